@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from wavefix.llm import decontamination, exact_dedup, packing
+from wavefix.llm import decontamination, exact_dedup, near_dedup, packing, phrase_dedup, suffix_dedup, token_output
 
 QUERIES = {
     "op1_packing": packing.query,
     "op3_decontamination": decontamination.query,
     "op4_exact_dedup": exact_dedup.query,
+    "op6_suffix_dedup": suffix_dedup.query,
+    "op7_token_output": token_output.query,
+    "op9_phrase_dedup": phrase_dedup.query,
+    "op10_near_dedup": near_dedup.query,
 }
 
 ORACLES = {
     "op3_decontamination": decontamination.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
+    "op6_suffix_dedup": suffix_dedup.ORACLE,
+    "op9_phrase_dedup": phrase_dedup.ORACLE,
+    "op10_near_dedup": near_dedup.ORACLE,
 }
