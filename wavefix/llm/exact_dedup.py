@@ -57,7 +57,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, digest: Callable[[Column],
     # costs a row for each task; only digests that belong to several texts are left.
     text = normalised(F.coalesce(F.col("text"), F.lit("")))
     rows = docs.select(digest(text).alias("digest"), text.alias("norm"), "doc_id", "text")
-    texts = rows.select("digest", "norm").join(hits.select("digest"), "digest", "left_semi").groupBy("norm").agg(F.first("digest").alias("digest"))
+    texts = rows.select("digest", "norm").join(hits.select("digest").hint("merge"), "digest", "left_semi").groupBy("norm").agg(F.first("digest").alias("digest"))
     mixed = saved(spark, texts.groupBy("digest").count().where("count > 1").select("digest"), "mixed")
 
     pure = hits.join(mixed, "digest", "left_anti")
