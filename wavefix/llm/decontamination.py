@@ -18,12 +18,15 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What is found in a document: runs of hit words, items, and its number of words.
+HITS = "struct<spans: array<struct<a: int, b: int>>, items: array<string>, n_words: bigint>"
 #: Words once A-Z are lower-cased; UTF-8 bytes above 7F belong to words.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -165,33 +168,40 @@ def shards(items: DataFrame, shard_words: int) -> Iterator[list[tuple[str, list[
 
 
 def scored(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = 13, coverage: float = 0.05, shard_words: int = 1 << 20) -> DataFrame:
-    """(doc_id, text, spans, items, n_words, n_hit, contaminated) for each document.
+    """``docs`` with spans, items, n_words, n_hit and contaminated (columns of these names are replaced).
 
     ``spans`` are maximal runs of hit words (from, to); ``items`` the sorted ids of the items with
     windows in the document; it is contaminated if hit words are at least ``coverage`` of all, and any.
     """
     at_least = round(1 / coverage)
-    out = docs.select("doc_id", "text", F.lit(None).cast("array<struct<a:int,b:int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_words"))
-
+    hits = F.lit(None).cast(HITS)
     for part in shards(items, shard_words):
-        sent = spark.sparkContext.broadcast(ItemAutomaton(part, window))
-
-        def step(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            automaton = sent.value
-            for pdf in batches:
-                spans, ids, counts = [], [], []
-                for text, was, had in zip(pdf["text"], pdf["spans"], pdf["items"], strict=True):
-                    words = words_of(text)
-                    hit, names = automaton.match(words)
-                    hit += [(x["a"], x["b"]) for x in was] if was is not None else []
-                    spans.append([{"a": a, "b": b} for a, b in joined(hit)])
-                    ids.append(sorted(names.union(had if had is not None else ())))
-                    counts.append(len(words))
-                yield pdf.assign(spans=spans, items=ids, n_words=counts)
-
-        out = out.mapInPandas(step, out.schema)
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + (x["b"] - x["a"]))
-    return out.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * at_least >= F.col("n_words")))
+        hits = _step(spark.sparkContext.broadcast(ItemAutomaton(part, window)))(F.col("text"), hits)
+    name = "_hits"
+    while name in docs.columns:
+        name += "_"
+    out = docs.withColumn(name, hits)
+    n_hit = F.aggregate(f"{name}.spans", F.lit(0).cast("long"), lambda n, x: n + (x["b"] - x["a"]))
+    return out.withColumns({"spans": F.col(f"{name}.spans"), "items": F.col(f"{name}.items"), "n_words": F.col(f"{name}.n_words"), "n_hit": n_hit}).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * at_least >= F.col("n_words"))).drop(name)
+
+
+def _step(sent: Broadcast) -> Callable[[Column, Column], Column]:
+    """Add what one automaton finds to what those before it have found."""
+
+    @F.pandas_udf(HITS)
+    def step(text: pd.Series, before: pd.DataFrame) -> pd.DataFrame:
+        automaton = sent.value
+        spans, ids, counts = [], [], []
+        for t, was, had in zip(text, before["spans"], before["items"], strict=True):
+            words = words_of(t)
+            hit, names = automaton.match(words)
+            hit += [(x["a"], x["b"]) for x in was] if was is not None else []
+            spans.append([{"a": a, "b": b} for a, b in joined(hit)])
+            ids.append(sorted(names.union(had if had is not None else ())))
+            counts.append(len(words))
+        return pd.DataFrame({"spans": spans, "items": ids, "n_words": counts})
+
+    return step
 
 
 def cleaned(rows: DataFrame, longest: int = 13) -> DataFrame:

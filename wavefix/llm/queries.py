@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from wavefix.llm import decontamination, exact_dedup, near_dedup, packing, phrase_dedup, suffix_dedup, token_output
+import corpus_pipeline
+from wavefix.llm import decontamination, exact_dedup, near_dedup, packing, phrase_dedup, quality, suffix_dedup, token_output
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_packing": packing.query,
+    "op2_quality": quality.query,
     "op3_decontamination": decontamination.query,
     "op4_exact_dedup": exact_dedup.query,
     "op6_suffix_dedup": suffix_dedup.query,
