@@ -1,0 +1,35 @@
+"""Ordered folds over keyed rows: one pass, state for one key at a time.
+
+Rows are dealt by key and sorted within partitions, then stream through Python in
+Arrow batches. A key's rows may span batches; nothing is gathered per key, so a
+key may have any number of rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+
+def ordered_scan(df: DataFrame, keys: list[str], order: list[str], values: list[str], new: Callable[[], Callable[..., tuple | None]], out: str) -> DataFrame:
+    """For each row, in order within its key, what the key's function returns for ``values``; None gives no row.
+
+    ``new()`` makes the function (with its state) for a key; ``out`` is the schema of what it returns.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.strip().split()[0] for c in out.split(",")]
+        at, step = None, None
+        for pdf in batches:
+            rows = []
+            for key, row in zip(zip(*(pdf[k] for k in keys), strict=True), zip(*(pdf[v].tolist() for v in values), strict=True), strict=True):
+                if step is None or key != at:
+                    at, step = key, new()
+                got = step(*row)
+                if got is not None:
+                    rows.append(got)
+            yield pd.DataFrame(rows, columns=names)
+
+    return df.select(*dict.fromkeys([*keys, *order, *values])).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, out)

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from wavefix.plans import signals
+
+QUERIES: dict = {**signals.QUERIES}
+ORACLES: dict = {**signals.ORACLES}
