@@ -7,9 +7,10 @@
    one goes on, so a hot bucket reaches its task as a row for each batch.
 3. Candidate pairs come from buckets in rounds, so that a group of n copies costs
    about n pairs, not n * n: first the least id of a bucket against the
-   others, then the greatest against those in other components, and last all
-   pairs of members that are still in different components. Every pair that
-   shares a bucket is therefore verified or already connected.
+   others, then the greatest against those in other components. Members that
+   are in different components even then are compared in blocks: a task compares two
+   blocks and returns the links alone. Every pair that shares a bucket is
+   therefore compared or already connected.
 4. A pair's signatures are compared a batch at a time. After each batch the posterior
    of the similarity (uniform prior) is known; the pair is pruned when similarity
    at or above the threshold has less than ``MISS`` probability. Survivors are
@@ -35,18 +36,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavefix.llm.common import block_of, chunks, gram_hashes, keyed, mix, packed, partitions, routed, saved, unkeyed, unpacked, word_hashes, word_spans
+from wavefix.llm.common import chunks, gram_hashes, keyed, mix, packed, partitions, routed, saved, unkeyed, unpacked, word_hashes, word_spans
 
 WORDS = 5
 BANDS, ROWS = 40, 4
 #: Signature values compared before each look at the posterior.
 BATCH = 32
 #: Chance that pruning drops a pair at the threshold, at each look.
-MISS = 1e-9
+MISS = 1e-7
 #: Similarity, in hundredths.
 LEAST = 75
 #: Pairs verified beside one copy of their common document's text.
 STAR = 64
+#: Documents in a block of those compared with each other.
+BLOCK = 512
 
 _SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 _MUL, _ADD = _SEEDS[: BANDS * ROWS] | np.uint64(1), _SEEDS[BANDS * ROWS :]
@@ -220,6 +223,80 @@ def linked(spark: SparkSession, pairs: DataFrame, texts: DataFrame) -> DataFrame
     return routed(rows, n, "a", "salt", "kind").mapInPandas(verify, "a long, b long")
 
 
+def crossed(spark: SparkSession, open_: DataFrame, few: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between different components among members (bucket, key, comp), compared in blocks.
+
+    Members connected by buckets form a group. A group's large components have blocks of their
+    own, its small ones share blocks; each pair of blocks that holds two components is a unit of
+    at most about 2 * BLOCK documents. A unit compares inside its task and returns links only.
+    """
+    hubs = open_.groupBy("bucket").agg(F.min("key").alias("a"))
+    groups = components(spark, open_.join(hubs, "bucket").select("a", F.col("key").alias("b")).distinct())
+    docs = saved(spark, open_.select("key", "comp").distinct().join(groups.select("key", F.col("comp").alias("group")), "key"), "grouped")
+    sizes = docs.groupBy("group", "comp").agg(F.count(F.lit(1)).alias("n")).withColumn("large", F.col("n") > BLOCK // 2)
+    small = sizes.groupBy("group").agg(F.sum(F.when(~F.col("large"), F.col("n"))).alias("rest"))
+    pieces = F.when(F.col("large"), F.ceil(F.col("n") / BLOCK)).otherwise(F.ceil(F.col("rest") / BLOCK))
+    part = F.pmod(F.when(F.col("large"), F.xxhash64("key")).otherwise(F.xxhash64("comp")), pieces)
+    placed = docs.join(sizes, ["group", "comp"]).join(small, "group").select("key", "comp", "group", F.struct(F.when(F.col("large"), F.col("comp")).otherwise(-1).alias("of"), part.alias("part")).alias("block"))
+    placed = saved(spark, placed, "placed")
+    blocks = placed.groupBy("group", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    x, y = (blocks.select("group", *(F.col(c).alias(f"{c}_{i}") for c in ("block", "lo", "hi"))) for i in "xy")
+    units = x.join(y, "group").where("block_x <= block_y AND (lo_x <> hi_y OR hi_x <> lo_y)").select("group", "block_x", "block_y")
+    sides = F.explode(F.array_distinct(F.array("block_x", "block_y"))).alias("block")
+    wide = few.join(texts, "key").select("key", "sig", "text")
+    n = partitions(spark)
+    unit = F.xxhash64("group", "block_x", "block_y")
+    rows = units.select("group", unit.alias("unit"), F.col("block_x"), F.col("block_y"), sides).join(placed, ["group", "block"])
+    rows = rows.select("unit", (F.col("block") == F.col("block_x")).alias("x"), (F.col("block") == F.col("block_y")).alias("y"), "key", "comp").join(wide, "key")
+    rows = rows.withColumn("target", F.pmod("unit", F.lit(n)).cast("int"))
+    least = fewest_matches()
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            for _, g in pdf.groupby("unit", sort=False):
+                if held and held[0]["unit"].iloc[0] != g["unit"].iloc[0]:
+                    yield _compared(pd.concat(held), least)
+                    held = []
+                held.append(g)
+        if held:
+            yield _compared(pd.concat(held), least)
+
+    return routed(rows, n, "unit").mapInPandas(compare, "a long, b long")
+
+
+def _compared(unit: pd.DataFrame, least: dict[int, int]) -> pd.DataFrame:
+    """The links between the two sides of a unit."""
+    keys, comps = unit["key"].to_numpy(), unit["comp"].to_numpy()
+    sides = unit["x"].to_numpy(), unit["y"].to_numpy()
+    sigs = unpacked(unit["sig"], "<u4").reshape(len(unit), -1)
+    texts = [t.encode("utf-8", "replace") for t in unit["text"]]
+    sets = [s for _, part in chunks(keys, texts) for s in shingle_sets(part)]
+    sizes = np.array([len(s) for s in sets])
+    grams, at = np.unique(np.concatenate(sets), return_inverse=True)
+    doc = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(at, kind="stable")
+    doc, bounds = doc[order], np.searchsorted(at[order], np.arange(len(grams) + 1))
+    own = np.split(at, np.cumsum(sizes)[:-1])
+    same = bool((sides[0] & sides[1]).any())
+    out = []
+    for i in np.flatnonzero(sides[0]).tolist():
+        alive = np.flatnonzero(sides[1] & (comps != comps[i]))
+        if same:
+            alive = alive[alive > i]
+        matches = np.zeros(len(alive), np.int64)
+        for n, m in least.items():
+            matches = matches + (sigs[alive, n - BATCH : n] == sigs[i, n - BATCH : n]).sum(axis=1)
+            alive, matches = alive[matches >= m], matches[matches >= m]
+        if len(alive):
+            mine = own[i]
+            holders = np.concatenate([doc[a:b] for a, b in zip(bounds[mine].tolist(), bounds[mine + 1].tolist(), strict=True)])
+            shared = np.bincount(holders, minlength=len(sets))[alive]
+            linked = alive[100 * shared >= LEAST * (sizes[i] + sizes[alive] - shared)]
+            out += [(keys[i], keys[j]) for j in linked.tolist()]
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """(key, comp): the least key reachable over ``links`` (a, b), for every key in them.
 
@@ -251,24 +328,18 @@ def near_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     texts = saved(spark, docs.join(inside, "key", "left_semi").dropDuplicates(["key", "text"]), "texts", compression="zstd")
 
     names = held.select("key").distinct().withColumn("comp", F.col("key"))
-    links = tested = None
+    links = None
     for turn in ("min", "max", "all"):
         named = held.join(names, "key")
         open_ = saved(spark, named.join(named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket"), "bucket", "left_semi"), "open")
         if open_.isEmpty():
             break
         if turn == "all":
-            x, y = (open_.select("bucket", F.col("key").alias(k), F.col("comp").alias(c)) for k, c in (("p", "cp"), ("q", "cq")))
-            pairs = x.join(y, "bucket").where("cp < cq").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+            new = saved(spark, crossed(spark, open_, few, texts), "links")
         else:
             pick = open_.groupBy("bucket").agg(getattr(F, f"{turn}_by")(F.struct("key", "comp"), "key").alias("hub"))
-            pairs = open_.join(pick, "bucket").where("hub.comp <> comp").select(F.col("hub.key").alias("a"), F.col("key").alias("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        pairs = saved(spark, pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        new = saved(spark, linked(spark, saved(spark, likely(pairs, few), "likely"), texts), "links")
+            pairs = open_.join(pick, "bucket").where("hub.comp <> comp").select(F.least("hub.key", "key").alias("a"), F.greatest("hub.key", "key").alias("b")).distinct()
+            new = saved(spark, linked(spark, saved(spark, likely(pairs, few), "likely"), texts), "links")
         links = new if links is None else links.union(new)
         found = components(spark, links)
         names = saved(spark, inside.join(found, "key", "left").select("key", F.coalesce("comp", "key").alias("comp")), "components")
