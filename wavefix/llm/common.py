@@ -12,9 +12,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,14 +62,10 @@ def unkeyed(col: str | Column = "key") -> Column:
 
 
 def block_of(keys: np.ndarray, n: int) -> np.ndarray:
-    """The block (0 to n - 1) of each id; ``block_col`` is the same on the JVM's side."""
+    """The block (0 to n - 1) of each id."""
     return (keys % n).astype(np.int32)
 
 
-def block_col(col: str, n: int) -> Column:
-    return F.pmod(F.col(col), F.lit(n)).cast("int")
-
-
 def routed(df: DataFrame, n: int, *order: str) -> DataFrame:
     """Deal rows to partition ``target`` (0 to n - 1), sorted there by ``target`` and ``order``."""
     return df.repartitionById(n, F.col("target")).sortWithinPartitions("target", *order)
@@ -194,8 +191,22 @@ def anchors(units: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def packed(targets: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[dict[str, object]]:
-    """One row for each target: its records' columns as bytes."""
+def squeezed(x: np.ndarray) -> bytes:
+    """An array's bytes by significance, compressed: bytes that rarely change cost next to nothing."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unsqueezed(blobs: Iterable[bytes], kind: str) -> np.ndarray:
+    """The arrays of several ``squeezed`` blobs, joined."""
+    size = np.dtype(kind).itemsize
+    open_ = zstandard.ZstdDecompressor().decompress
+    parts = [np.frombuffer(open_(x), np.uint8).reshape(size, -1).T.ravel().view(kind) for x in blobs if x]
+    return np.concatenate(parts) if parts else np.empty(0, kind)
+
+
+def packed(targets: np.ndarray, columns: dict[str, np.ndarray], pack: Callable[[np.ndarray], bytes] = squeezed) -> Iterator[dict[str, object]]:
+    """One row for each target: its records' columns, each packed into bytes."""
     if not len(targets):
         return
     order = np.argsort(targets, kind="stable")
@@ -203,10 +214,11 @@ def packed(targets: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[dict
     columns = {k: v[order] for k, v in columns.items()}
     cuts = np.flatnonzero(np.concatenate(([True], targets[1:] != targets[:-1], [True])))
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        yield {"target": int(targets[a]), **{k: v[a:b].tobytes() for k, v in columns.items()}}
+        yield {"target": int(targets[a]), **{k: pack(v[a:b]) for k, v in columns.items()}}
 
 
 def unpacked(blobs: Iterable[bytes], kind: str) -> np.ndarray:
+    """Arrays kept as plain bytes, joined."""
     return np.frombuffer(b"".join(blobs), np.dtype(kind))
 
 

@@ -246,8 +246,8 @@ WITH low AS (
   SELECT DISTINCT item, array_to_string(list_slice(w, i, i + least(len(w), 13) - 1), ' ') AS s, least(len(w), 13) AS n
   FROM items, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS t(i) WHERE len(w) > 0
 ), sizes AS (SELECT DISTINCT n FROM win), pos AS (
-  SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS s
-  FROM low, sizes, unnest(range(1, len(w) - n + 2)) AS t(i) WHERE len(w) >= n
+  SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(list_slice(w, i, i + n - 1), ' '))) AS s
+  FROM low, sizes WHERE len(w) >= n
 ), hit AS (
   SELECT p.doc_id, p.i, p.n, v.item FROM pos p JOIN win v ON v.s = p.s AND v.n = p.n
 ), covered AS (

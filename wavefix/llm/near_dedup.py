@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavefix.llm.common import chunks, gram_hashes, keyed, mix, packed, partitions, routed, saved, unkeyed, unpacked, word_hashes, word_spans
+from wavefix.llm.common import chunks, gram_hashes, keyed, mix, packed, partitions, routed, saved, unkeyed, unpacked, unsqueezed, word_hashes, word_spans
 
 WORDS = 5
 BANDS, ROWS = 40, 4
@@ -145,8 +145,9 @@ def members(spark: SparkSession, sigs: DataFrame) -> DataFrame:
             target = (buckets % np.uint64(n)).astype(np.int32)
             for kind, pick in ((0, new), (1, shared & ~new)):
                 # The first member of a bucket in this batch looks for others elsewhere; the rest are known already.
-                for row in packed(target[pick], {"buckets": buckets[pick], "keys": keys[pick], "known": shared[pick]}):
-                    yield pd.DataFrame([{"kind": kind, **row}])
+                rows = list(packed(target[pick], {"buckets": buckets[pick], "keys": keys[pick], "known": shared[pick]}))
+                if rows:
+                    yield pd.DataFrame(rows).assign(kind=kind)
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[bytes, bytes, bytes]] = []
@@ -158,11 +159,11 @@ def members(spark: SparkSession, sigs: DataFrame) -> DataFrame:
         for pdf in batches:
             for kind, buckets, keys, known in zip(pdf["kind"], pdf["buckets"], pdf["keys"], pdf["known"], strict=True):
                 if kind:
-                    yield from tell(unpacked([buckets], "<u8"), unpacked([keys], "<i8"))
+                    yield from tell(unsqueezed([buckets], "<u8"), unsqueezed([keys], "<i8"))
                 else:
                     held.append((buckets, keys, known))
         if held:
-            buckets, keys, known = (unpacked(x, k) for x, k in zip(zip(*held, strict=True), ("<u8", "<i8", "?"), strict=True))
+            buckets, keys, known = (unsqueezed(x, k) for x, k in zip(zip(*held, strict=True), ("<u8", "<i8", "?"), strict=True))
             order = np.argsort(buckets, kind="stable")
             buckets, keys, known = buckets[order], keys[order], known[order]
             new = np.concatenate(([True], buckets[1:] != buckets[:-1]))
@@ -358,7 +359,7 @@ ORACLE = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
 ), s AS (
-  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) AS g FROM w WHERE len(w) > 0
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), links AS (
   SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
   GROUP BY 1, 2 HAVING 100 * count(*) >= 75 * ((SELECT n FROM n WHERE n.doc_id = a.doc_id) + (SELECT n FROM n WHERE n.doc_id = b.doc_id) - count(*))

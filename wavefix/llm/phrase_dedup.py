@@ -147,10 +147,10 @@ ORACLE = r"""
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
 ), win AS (
-  SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS s FROM w, unnest(range(1, len(w) - 48)) AS t(i) WHERE len(w) >= 50
+  SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, unnest(list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(list_slice(w, i, i + 49), ' ')))) AS s FROM w WHERE len(w) >= 50
 ), least AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s), gone AS (
   SELECT DISTINCT doc_id, k FROM win JOIN least USING (s), unnest(range(i, i + 50)) AS t(k) WHERE m < doc_id
-), words AS (SELECT doc_id, k, w[k] AS x FROM w, unnest(range(1, len(w) + 1)) AS t(k)), kept AS (
+), words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS x FROM w), kept AS (
   SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY k) AS x FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY 1
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(x, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)

@@ -21,16 +21,20 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavefix.llm.common import anchors, block_col, block_of, chunks, gram_hashes, packed, routed, unpacked, window_minima
+from wavefix.llm.common import anchors, block_of, chunks, gram_hashes, packed, routed, squeezed, unsqueezed, window_minima
 
 #: Packed columns of an anchor: hash, document, position, how far before it its first and last window start.
 FIELDS = {"h": "<u8", "keys": "<i8", "pos": "<u4", "lo": "<u2", "hi": "<u2"}
+#: Bits of the hash that are kept: a chance agreement costs a comparison, no wrong result.
+KEPT = np.uint64(0xFFFFFFFFFFFF0000)
 _PACKED = ", ".join(f"{k} binary" for k in FIELDS)
 
 
@@ -71,8 +75,13 @@ def chunk_anchors(units: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np
 
 
 def _rows(rows: Iterator[dict[str, object]], **also: object) -> Iterator[pd.DataFrame]:
-    for row in rows:
-        yield pd.DataFrame([{**row, **also}])
+    made = list(rows)
+    if made:
+        yield pd.DataFrame(made).assign(**also)
+
+
+def _shard(h: np.ndarray, n: int) -> np.ndarray:
+    return ((h >> np.uint64(16)) % np.uint64(n)).astype(np.int32)
 
 
 def gathered(docs: DataFrame, n: int, rule: Rule) -> DataFrame:
@@ -84,7 +93,7 @@ def gathered(docs: DataFrame, n: int, rule: Rule) -> DataFrame:
             texts = [t.encode("utf-8", "replace") for t in pdf["text"]]
             for keys, part in chunks(pdf["key"].to_numpy(), texts):
                 h, doc, *rest = chunk_anchors(*rule.units(part), rule)
-                for x, y in zip(found, (h, keys[doc], *rest), strict=True):
+                for x, y in zip(found, (h & KEPT, keys[doc], *rest), strict=True):
                     x.append(y)
             cols = {k: np.concatenate(x).astype(kind) if x else np.empty(0, kind) for (k, kind), x in zip(FIELDS.items(), found, strict=True)}
             order = np.lexsort((cols["keys"], cols["h"]))
@@ -92,9 +101,8 @@ def gathered(docs: DataFrame, n: int, rule: Rule) -> DataFrame:
             if not len(order):
                 continue
             new, settled = _recurring(cols["h"], cols["keys"], None, rule.across)
-            target = (cols["h"] % np.uint64(n)).astype(np.int32)
             ask = new | ~settled
-            yield from _rows(packed(target[ask], {**{k: x[ask] for k, x in cols.items()}, "known": settled[ask]}), kind=0)
+            yield from _rows(packed(_shard(cols["h"], n)[ask], {**{k: x[ask] for k, x in cols.items()}, "known": settled[ask]}), kind=0)
             told = settled & ~new
             block = block_of(cols["keys"], n)
             yield from _rows(packed(block[told], {k: x[told] for k, x in cols.items()}), kind=1, known=b"")
@@ -108,7 +116,7 @@ def gathered(docs: DataFrame, n: int, rule: Rule) -> DataFrame:
             for x, name in zip(held, [*FIELDS, "known"], strict=True):
                 x += pdf.loc[pdf["kind"] == 0, name].tolist()
         if held[0]:
-            cols = {k: unpacked(x, kind) for (k, kind), x in zip({**FIELDS, "known": "?"}.items(), held, strict=True)}
+            cols = {k: unsqueezed(x, kind) for (k, kind), x in zip({**FIELDS, "known": "?"}.items(), held, strict=True)}
             order = np.lexsort((cols["keys"], cols["h"]))
             cols = {k: x[order] for k, x in cols.items()}
             _, keep = _recurring(cols["h"], cols["keys"], cols.pop("known"), rule.across)
@@ -130,32 +138,56 @@ def _recurring(h: np.ndarray, keys: np.ndarray, known: np.ndarray | None, across
 
 
 def beside(docs: DataFrame, rows: DataFrame, n: int, names: list[str]) -> DataFrame:
-    """Texts and packed rows of the same block in one partition, packed rows first, texts by id."""
-    texts = docs.select(block_col("key", n).alias("target"), F.lit(1).alias("kind"), "key", "text", *(F.lit(None).cast("binary").alias(c) for c in names))
-    notes = rows.select("target", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("string").alias("text"), *names)
-    return routed(notes.unionByName(texts), n, "kind", "key")
+    """Texts and packed rows of the same block in one partition, packed rows first."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            blocks, keys = block_of(pdf["key"].to_numpy(), n), pdf["key"].to_numpy()
+            order = np.argsort(blocks, kind="stable")
+            texts = [t.encode("utf-8", "replace") for t in pdf["text"]]
+            yield from _rows(_with_data(blocks[order], {"keys": keys[order]}, [texts[i] for i in order.tolist()]))
+
+    empty = F.lit(None).cast("binary")
+    texts = docs.mapInPandas(pack, "target int, keys binary, size binary, data binary")
+    texts = texts.select("target", F.lit(1).alias("kind"), "size", "data", *(F.col(c) if c == "keys" else empty.alias(c) for c in names))
+    notes = rows.select("target", F.lit(0).alias("kind"), empty.alias("size"), empty.alias("data"), *names)
+    return routed(notes.unionByName(texts), n, "kind")
+
+
+def _with_data(targets: np.ndarray, columns: dict[str, np.ndarray], data: list[bytes]) -> Iterator[dict[str, object]]:
+    """``packed`` with pieces of text; everything is sorted by target already."""
+    cuts = np.flatnonzero(np.concatenate(([True], targets[1:] != targets[:-1], [True]))).tolist() if len(targets) else [0]
+    press = zstandard.ZstdCompressor(level=3)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        sizes = np.array([len(x) for x in data[a:b]], "<u4")
+        yield {"target": int(targets[a]), **{k: squeezed(v[a:b]) for k, v in columns.items()}, "size": squeezed(sizes), "data": press.compress(b"".join(data[a:b]))}
+
+
+def _pieces(size: bytes, data: bytes) -> list[bytes]:
+    """The pieces of text of one ``_with_data`` row."""
+    ends = np.cumsum(unsqueezed([size], "<u4").astype(np.int64)).tolist()
+    whole = zstandard.ZstdDecompressor().decompress(data)
+    return [whole[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def by_document(batches: Iterator[pd.DataFrame], kinds: dict[str, str]) -> Iterator[Iterator[tuple[int, bytes, dict[str, np.ndarray], int, int]]]:
-    """For each batch of texts: (key, text, columns, from, to), the last three its block's notes sorted by ``keys`` and this document's slice."""
+    """For each pack of texts: (key, text, columns, from, to), the last three its block's notes sorted by ``keys`` and this document's slice."""
     held: dict[str, list[bytes]] = {k: [] for k in kinds}
     notes: dict[str, np.ndarray] | None = None
     for pdf in batches:
-        packed_rows = pdf["kind"] == 0
-        if packed_rows.any():
+        first = pdf["kind"] == 0
+        if first.any():
             notes = None
             for k, x in held.items():
-                x += pdf.loc[packed_rows, k].tolist()
-        pdf = pdf[~packed_rows]
-        if not len(pdf):
-            continue
-        if notes is None:
-            notes = {k: unpacked(x, kinds[k]) for k, x in held.items()}
-            order = np.argsort(notes["keys"], kind="stable")
-            notes = {k: x[order] for k, x in notes.items()}
-        keys = pdf["key"].to_numpy()
-        a, b = np.searchsorted(notes["keys"], keys), np.searchsorted(notes["keys"], keys, "right")
-        yield ((k, t.encode("utf-8", "replace"), notes, i, j) for k, t, i, j in zip(keys.tolist(), pdf["text"], a.tolist(), b.tolist(), strict=True))
+                x += pdf.loc[first, k].tolist()
+        for _, row in pdf[~first].iterrows():
+            if notes is None:
+                notes = {k: unsqueezed(x, kinds[k]) for k, x in held.items()}
+                order = np.argsort(notes["keys"], kind="stable")
+                notes = {k: x[order] for k, x in notes.items()}
+            keys = unsqueezed([row["keys"]], "<i8")
+            a, b = np.searchsorted(notes["keys"], keys), np.searchsorted(notes["keys"], keys, "right")
+            yield zip(keys.tolist(), _pieces(row["size"], row["data"]), repeat(notes), a.tolist(), b.tolist(), strict=False)
 
 
 def cut(docs: DataFrame, found: DataFrame, n: int, rule: Rule) -> DataFrame:
@@ -178,25 +210,21 @@ def cut(docs: DataFrame, found: DataFrame, n: int, rule: Rule) -> DataFrame:
                     passage = rule.join(units[p - a : p - b + rule.window])
                     mark = hashlib.blake2b(passage, digest_size=16, salt=a.to_bytes(8, "little"), person=h_.to_bytes(8, "little")).digest()
                     was = seen.get(mark)
-                    if was is None:
+                    if was is None or (key, p) < was:
                         seen[mark] = key, p
-                    elif was[0] < key or not rule.across and was[1] < p:
-                        gone.append((key, p - a, p - b + rule.window))
+                    elif was == (key, p):
                         continue
-                    elif was[1] == p:
+                    elif not rule.across or was[0] < key:
+                        gone.append((key, p - a, p - b + rule.window))
                         continue
                     out.append((h_, key, p, a, b))
                     data.append(passage)
             if out:
                 cols = {k: np.array(x, kind) for (k, kind), x in zip(FIELDS.items(), zip(*out, strict=True), strict=True)}
-                target = (cols["h"] % np.uint64(n)).astype(np.int32)
+                target = _shard(cols["h"], n)
                 order = np.argsort(target, kind="stable")
-                cols = {k: x[order] for k, x in cols.items()} | {"size": np.array([len(data[i]) for i in order], "<u4")}
-                at = target[order]
-                cuts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1], [True]))).tolist()
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    yield pd.DataFrame([{"target": int(at[a]), "kind": 0, **{k: x[a:b].tobytes() for k, x in cols.items()}, "data": b"".join([data[i] for i in order[a:b]]), "froms": b"", "tos": b""}])
-            yield from _rows(_ranges(gone, n), kind=1, h=b"", lo=b"", hi=b"", size=b"", data=b"")
+                yield from _rows(_with_data(target[order], {k: x[order] for k, x in cols.items()}, [data[i] for i in order.tolist()]), kind=0, froms=b"", tos=b"")
+            yield from _rows(_ranges(gone, n), kind=1, h=b"", pos=b"", lo=b"", hi=b"", size=b"", data=b"")
 
     names = list(FIELDS)
     return beside(docs, found, n, names).mapInPandas(slices, f"target int, kind int, {_PACKED}, size binary, data binary, froms binary, tos binary")
@@ -206,7 +234,7 @@ def _ranges(rows: list[tuple[int, int, int]], n: int) -> Iterator[dict[str, obje
     """Ranges (document, from, to) packed by block."""
     if rows:
         keys, a, b = (np.array(x, np.int64) for x in zip(*rows, strict=True))
-        yield from packed(block_of(keys, n), {"keys": keys, "froms": a.astype("<u4"), "tos": b.astype("<u4"), "pos": np.empty(len(keys), "<u1")})
+        yield from packed(block_of(keys, n), {"keys": keys, "froms": a.astype("<u4"), "tos": b.astype("<u4")})
 
 
 def judged(passages: DataFrame, n: int, judge: Callable[[list[np.ndarray], list[bytes]], list[tuple[int, int, int]]]) -> DataFrame:
@@ -221,14 +249,8 @@ def judged(passages: DataFrame, n: int, judge: Callable[[list[np.ndarray], list[
             for k, x in held.items():
                 x += pdf.loc[pdf["kind"] == 0, k].tolist()
         if held["h"]:
-            sizes = unpacked(held["size"], "<u4").astype(np.int64)
-            data = b"".join(held.pop("data"))
-            ends = np.cumsum(sizes)
-            parts = [data[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
-            del data
-            for row in _ranges(judge([unpacked(held[k], kind) for k, kind in FIELDS.items()], parts), n):
-                row.pop("pos")
-                yield pd.DataFrame([row])
+            parts = [x for size, data in zip(held["size"], held["data"], strict=True) for x in _pieces(size, data)]
+            yield from _rows(_ranges(judge([unsqueezed(held[k], kind) for k, kind in FIELDS.items()], parts), n))
 
     return passages.repartitionById(n, F.col("target")).mapInPandas(shard, "target int, keys binary, froms binary, tos binary")
 

@@ -179,7 +179,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents), win AS (
-  SELECT doc_id, i, md5(substr(x, 2 * i + 1, 200)) AS s FROM b, unnest(range(0, CAST(len(x) // 2 - 99 AS BIGINT))) AS t(i) WHERE len(x) >= 200
+  SELECT doc_id, unnest(range(0, CAST(len(x) // 2 - 99 AS BIGINT))) AS i, unnest(list_transform(range(0, CAST(len(x) // 2 - 99 AS BIGINT)), lambda i: md5_number(substr(x, 2 * i + 1, 200)))) AS s FROM b WHERE len(x) >= 200
 ), hit AS (
   SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM win) WHERE r > 1
 ), marked AS (
