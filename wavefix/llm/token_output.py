@@ -48,10 +48,11 @@ class WaveletMatrix:
     @classmethod
     def build(cls, values: np.ndarray, levels: int) -> WaveletMatrix:
         planes, ranks, zeros = [], [], []
-        values = values.astype(np.uint32)
+        kind = np.uint16 if levels <= 16 else np.uint32
+        values = values.astype(kind)
         size = -(-max(len(values), 1) // STEP) * STEP
         for level in reversed(range(levels)):
-            bits = (values >> np.uint32(level)) & np.uint32(1) == 1
+            bits = (values & kind(1 << level)) != 0
             full = np.zeros(size, bool)
             full[: len(bits)] = bits
             plane = np.packbits(full, bitorder="little")
@@ -67,13 +68,15 @@ class WaveletMatrix:
 
     def values(self) -> np.ndarray:
         """All integers in order."""
-        out = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.levels <= 16 else np.uint32
+        out = np.zeros(self.n, kind)
         for k in reversed(range(self.levels)):
             bits = self._bits(k)
             below = out
-            out = np.empty(self.n, np.uint32)
+            below[self.zeros[k] :] |= kind(1 << (self.levels - 1 - k))
+            out = np.empty(self.n, kind)
             out[~bits] = below[: self.zeros[k]]
-            out[bits] = below[self.zeros[k] :] | np.uint32(1 << (self.levels - 1 - k))
+            out[bits] = below[self.zeros[k] :]
         return out
 
     def _ones(self, k: int, i: int) -> int:

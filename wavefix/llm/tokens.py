@@ -14,8 +14,8 @@ import regex
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-#: Entries of each memory; once full, new pieces are encoded each time.
-REMEMBERED = 300_000
+#: Entries of the memories of chunks and of pieces (about 200 bytes each); once full, new ones are encoded each time.
+CHUNKS, PIECES = 1_000_000, 500_000
 
 #: The vocabularies' own patterns (as their files and library describe them).
 BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -26,13 +26,13 @@ _ODD = re.compile("[" + "".join(c for c in map(chr, range(0x3001)) if c.isspace(
 
 
 class _Memory(dict):
-    def __init__(self, make: Callable[[str], bytes]):
+    def __init__(self, make: Callable[[str], bytes], most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, key: str) -> bytes:
         out = self.make(key)
-        if len(self) < REMEMBERED:
+        if len(self) < self.most:
             self[key] = out
         return out
 
@@ -57,14 +57,15 @@ class PieceEncoder:
             seen = piece.encode("utf-8").decode("latin-1").translate(as_latin)
             return np.array([t.id for t in model.tokenize(seen)], "<u4").tobytes()
 
-        pieces = _Memory(tokens)
+        pieces = _Memory(tokens, PIECES)
 
         def encode(chunk: str) -> bytes:
             if self.normal:
-                chunk = self.normal(chunk)
+                # Below U+0250 composing changes nothing and each letter has the one lower case.
+                chunk = chunk.lower() if max(chunk) < "\u0250" else self.normal(chunk)
             return b"".join(map(pieces.__getitem__, split.findall(chunk)))
 
-        self.chunks = _Memory(encode)
+        self.chunks = _Memory(encode, CHUNKS)
 
     def ids(self, text: str) -> np.ndarray:
         if _ODD.search(text) or any(s in text for s in self.specials):
