@@ -33,6 +33,8 @@ from wavefix.llm.common import anchors, block_of, chunks, gram_hashes, packed, r
 
 #: Packed columns of an anchor: hash, document, position, how far before it its first and last window start.
 FIELDS = {"h": "<u8", "keys": "<i8", "pos": "<u4", "lo": "<u2", "hi": "<u2"}
+#: Bytes of passages that a task gathers before it sends them on.
+FLUSH = 1 << 25
 #: Bits of the hash that are kept: a chance agreement costs a comparison, no wrong result.
 KEPT = np.uint64(0xFFFFFFFFFFFF0000)
 _PACKED = ", ".join(f"{k} binary" for k in FIELDS)
@@ -195,10 +197,23 @@ def cut(docs: DataFrame, found: DataFrame, n: int, rule: Rule) -> DataFrame:
 
     def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[bytes, tuple[int, int]] = {}
+        out: list[tuple[int, int, int, int, int]] = []
+        data: list[bytes] = []
+        gone: list[tuple[int, int, int]] = []
+        held = 0
+
+        def flush() -> Iterator[pd.DataFrame]:
+            nonlocal held
+            if out:
+                cols = {k: np.array(x, kind) for (k, kind), x in zip(FIELDS.items(), zip(*out, strict=True), strict=True)}
+                target = _shard(cols["h"], n)
+                order = np.argsort(target, kind="stable")
+                yield from _rows(_with_data(target[order], {k: x[order] for k, x in cols.items()}, [data[i] for i in order.tolist()]), kind=0, froms=b"", tos=b"")
+            yield from _rows(_ranges(gone, n), kind=1, h=b"", pos=b"", lo=b"", hi=b"", size=b"", data=b"")
+            out.clear(), data.clear(), gone.clear()
+            held = 0
+
         for docs_ in by_document(batches, FIELDS):
-            out: list[tuple[int, int, int, int, int]] = []
-            data: list[bytes] = []
-            gone: list[tuple[int, int, int]] = []
             for key, text, notes, i, j in docs_:
                 if i == j:
                     continue
@@ -219,12 +234,10 @@ def cut(docs: DataFrame, found: DataFrame, n: int, rule: Rule) -> DataFrame:
                         continue
                     out.append((h_, key, p, a, b))
                     data.append(passage)
-            if out:
-                cols = {k: np.array(x, kind) for (k, kind), x in zip(FIELDS.items(), zip(*out, strict=True), strict=True)}
-                target = _shard(cols["h"], n)
-                order = np.argsort(target, kind="stable")
-                yield from _rows(_with_data(target[order], {k: x[order] for k, x in cols.items()}, [data[i] for i in order.tolist()]), kind=0, froms=b"", tos=b"")
-            yield from _rows(_ranges(gone, n), kind=1, h=b"", pos=b"", lo=b"", hi=b"", size=b"", data=b"")
+                    held += len(passage)
+            if held > FLUSH:
+                yield from flush()
+        yield from flush()
 
     names = list(FIELDS)
     return beside(docs, found, n, names).mapInPandas(slices, f"target int, kind int, {_PACKED}, size binary, data binary, froms binary, tos binary")
