@@ -151,19 +151,19 @@ SQL_GRID = f"""cells AS (
   SELECT f AS floor, row, col, (col + 0.5) * 0.5 AS cx, (row + 0.5) * 0.5 AS cy FROM range(1, 4) a(f), range(0, 59) b(row), range(0, 36) d(col)
 ), in_room AS (
   SELECT floor, row, col, min(room_pos) AS room_pos FROM (
-    SELECT c.floor, row, col, e.room_pos FROM cells c JOIN {layout.values("room_edges")} AS e ON e.floor = c.floor JOIN {layout.values("rooms")} AS q ON q.floor = e.floor AND q.room_pos = e.room_pos AND q.walkable
+    SELECT c.floor, row, col, e.room_pos FROM cells c JOIN {layout.values("room_edges", "e")} ON e.floor = c.floor JOIN {layout.values("rooms", "q")} ON q.floor = e.floor AND q.room_pos = e.room_pos AND q.walkable
     GROUP BY ALL HAVING sum(CASE WHEN (yi > cy) <> (yj > cy) AND cx < (xj - xi) * (cy - yi) / nullif(yj - yi, 0) + xi THEN 1 ELSE 0 END) % 2 = 1
   ) GROUP BY ALL
 ), in_obstacle AS (
   SELECT DISTINCT floor, row, col FROM (
-    SELECT c.floor, row, col, obstacle FROM cells c JOIN {layout.values("obstacle_edges")} AS e ON e.floor = c.floor
+    SELECT c.floor, row, col, obstacle FROM cells c JOIN {layout.values("obstacle_edges", "e")} ON e.floor = c.floor
     GROUP BY ALL HAVING sum(CASE WHEN (yi > cy) <> (yj > cy) AND cx < (xj - xi) * (cy - yi) / nullif(yj - yi, 0) + xi THEN 1 ELSE 0 END) % 2 = 1
   )
 ), open_cells AS (SELECT * FROM in_room ANTI JOIN in_obstacle USING (floor, row, col)), walls AS (
   SELECT DISTINCT a.floor, a.row, a.col FROM open_cells a JOIN open_cells b ON a.floor = b.floor AND abs(a.row - b.row) + abs(a.col - b.col) = 1 AND a.room_pos > b.room_pos
     AND a.row BETWEEN b.row - 1 AND b.row + 1 AND a.col BETWEEN b.col - 1 AND b.col + 1
 ), carved AS (
-  SELECT DISTINCT c.floor, row, col FROM cells c JOIN {layout.values("openings")} AS o ON o.floor = c.floor
+  SELECT DISTINCT c.floor, row, col FROM cells c JOIN {layout.values("openings", "o")} ON o.floor = c.floor
     AND abs(c.cx - o.cx) <= CASE WHEN wall_axis = 'x' THEN width / 2 ELSE 1.0 END AND abs(c.cy - o.cy) <= CASE WHEN wall_axis = 'y' THEN width / 2 ELSE 1.0 END
 ), grid AS (
   SELECT c.floor, c.row, c.col, (v.floor IS NOT NULL OR (o.floor IS NOT NULL AND w.floor IS NULL)) AS walkable
@@ -171,14 +171,14 @@ SQL_GRID = f"""cells AS (
 )"""
 SQL_ROOM = f"""room_hit AS (
   SELECT pid, min(room_pos) AS room_pos FROM (
-    SELECT pid, x, y, e.room_pos FROM c JOIN {layout.values("room_edges")} AS e ON e.floor = c.floor
+    SELECT pid, x, y, e.room_pos FROM c JOIN {layout.values("room_edges", "e")} ON e.floor = c.floor
     GROUP BY ALL HAVING sum(CASE WHEN (yi > y) <> (yj > y) AND x < (xj - xi) * (y - yi) / nullif(yj - yi, 0) + xi THEN 1 ELSE 0 END) % 2 = 1
   ) GROUP BY ALL
 ), lab AS (
   SELECT c.pid, c.x, c.y, c.floor, coalesce(q.room, 'unknown') AS room,
          coalesce(CASE WHEN g.axis IS NULL THEN q.room WHEN (CASE WHEN g.axis = 'x' THEN c.x ELSE c.y END) >= g.coord THEN g.above ELSE g.below END, 'unknown') AS zone
-  FROM c LEFT JOIN room_hit h USING (pid) LEFT JOIN {layout.values("rooms")} AS q ON q.floor = c.floor AND q.room_pos = h.room_pos
-    LEFT JOIN {layout.values("gates")} AS g ON g.floor = c.floor AND g.room_pos = h.room_pos
+  FROM c LEFT JOIN room_hit h USING (pid) LEFT JOIN {layout.values("rooms", "q")} ON q.floor = c.floor AND q.room_pos = h.room_pos
+    LEFT JOIN {layout.values("gates", "g")} ON g.floor = c.floor AND g.room_pos = h.room_pos
 )"""
 #: Walks rays (rid, floor, r0, c0, r1, c1) step by step; ``walked`` has rid, clear, n_walls.
 SQL_RAYS = """steps AS (
@@ -196,6 +196,6 @@ SQL_SNAP = f"""snap AS (
     SELECT a.anchor_idx, a.floor, (g.col + 0.5) * 0.5 AS sx, (g.row + 0.5) * 0.5 AS sy, (g.col + 0.5) * 0.5 - a.ax AS ex, (g.row + 0.5) * 0.5 - a.ay AS ey,
            g.row - greatest(0, least(58, CAST(trunc(a.ay / 0.5) AS INTEGER))) AS dr, g.col - greatest(0, least(35, CAST(trunc(a.ax / 0.5) AS INTEGER))) AS dc,
            {{'a': greatest(abs(dr), abs(dc)), 'b': round(ex * ex + ey * ey, 9), 'c': dr, 'd': dc}} AS k
-    FROM {layout.values("anchors")} AS a JOIN grid g ON g.floor = a.floor AND g.walkable
+    FROM {layout.values("anchors", "a")} JOIN grid g ON g.floor = a.floor AND g.walkable
   ) GROUP BY ALL
 )"""

@@ -15,7 +15,7 @@ from wavefix.sources import layout
 def aggregated(samples: DataFrame) -> DataFrame:
     """Mean, sample deviation and count of each (point_id, anchor_idx), with the point's counts and flags."""
     one = F.count(F.lit(1)) < 2
-    out = samples.groupBy("point_id", "anchor_idx").agg(F.when(one, F.round(F.avg("rssi"), 1)).otherwise(F.round(F.avg("rssi"), 2)).alias("mean"), F.when(one, 0.0).otherwise(F.round(F.stddev_samp("rssi"), 2)).alias("std"), F.count(F.lit(1)).alias("n"))
+    out = samples.groupBy("point_id", "anchor_idx").agg(F.when(one, F.round(F.avg("rssi") + 1e-9, 1)).otherwise(F.round(F.avg("rssi") + 1e-9, 2)).alias("mean"), F.when(one, 0.0).otherwise(F.round(F.stddev_samp("rssi") + 1e-9, 2)).alias("std"), F.count(F.lit(1)).alias("n"))
     point = out.groupBy("point_id").agg(F.count(F.lit(1)).alias("anchor_count"), F.avg("n").cast("int").alias("n_readings"))
     return out.join(point, "point_id").withColumns({"high_var": F.col("std") > K.SURVEY_HIGH_STD, "rejected": F.col("anchor_count") < K.SURVEY_MIN_ANCHORS})
 

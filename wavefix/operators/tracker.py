@@ -1,0 +1,196 @@
+"""The whole filter for many beacons: one pass over each beacon's cycles, NumPy inside a cycle.
+
+The particle filter and the floor model depend on each other's last step, so a beacon's
+cycles are folded in order (see ``scan``). Beacons are independent and spread over
+the cluster; a beacon's state has a fixed size. Random numbers are seeded by the beacon.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+from typing import Any
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from wavefix.functions import constants as K
+from wavefix.operators import kalman, space
+from wavefix.operators.scan import ordered_scan
+from wavefix.sources import layout
+
+
+@dataclass(frozen=True)
+class House:
+    """The floor plan as arrays; its size does not depend on the data."""
+
+    free: dict[int, np.ndarray]
+    anchors: dict[int, tuple[int, float, float, float]]
+    stairs: list[tuple[int, int, float, float]]
+    elevation: dict[int, float]
+
+    @classmethod
+    def of(cls, plan: DataFrame, cells: DataFrame) -> House:
+        free = {r["floor"]: np.array(r["free"], bool).reshape(r["h"], r["w"]) for r in space.grid_arrays(cells).collect()}
+        anchors = {r["anchor_idx"]: (r["floor"], r["ax"], r["ay"], r["az"]) for r in layout.anchors(plan).collect()}
+        stairs = [(r["from_floor"], r["to_floor"], r["ex"], r["ey"]) for r in layout.stairs(plan).orderBy("stair_pos").collect()]
+        return cls(free, anchors, stairs, dict(K.FLOOR_ELEVATION_FT))
+
+    def open_at(self, x: np.ndarray, y: np.ndarray, floor: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), bool)
+        for f, grid in self.free.items():
+            at = floor == f
+            row, col = (y[at] / K.GRID_FT).astype(int), (x[at] / K.GRID_FT).astype(int)
+            good = (x[at] >= 0) & (y[at] >= 0) & (row < grid.shape[0]) & (col < grid.shape[1])
+            out[at] = good & grid[np.clip(row, 0, grid.shape[0] - 1), np.clip(col, 0, grid.shape[1] - 1)]
+        return out
+
+    def draw(self, n: int, floors: list[int], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        cells = np.array([(f, r, c) for f in floors for r, c in zip(*np.nonzero(self.free[f]), strict=True)])
+        pick = cells[rng.integers(0, len(cells), n)]
+        return (pick[:, 2] + 0.5) * K.GRID_FT, (pick[:, 1] + 0.5) * K.GRID_FT, pick[:, 0].astype(int)
+
+
+class Filter:
+    """State of one beacon: particles, floor belief, teleport timer."""
+
+    def __init__(self, house: House, seed: int, n: int = K.PARTICLES):
+        self.house, self.rng, self.n = house, np.random.default_rng(seed), n
+        self.floors = sorted(house.free)
+        self.x, self.y, self.floor = house.draw(n, self.floors, self.rng)
+        self.w, self.cooldown = np.full(n, 1 / n), np.zeros(n)
+        self.belief = dict.fromkeys(self.floors, 1 / len(self.floors))
+        self.hold = 0.0
+
+    def step(self, heard: dict[int, float], dt: float) -> tuple[float, float, int, float, float]:
+        dt = max(dt, K.MIN_DT)
+        self._believe(heard, dt)
+        self._teleport(dt)
+        self._move(heard, dt)
+        self._weigh(heard)
+        n_eff = 1 / float((self.w**2).sum())
+        if n_eff < K.RESAMPLE_RATIO * self.n:
+            at = np.minimum(np.searchsorted(np.cumsum(self.w), (np.arange(self.n) + self.rng.random()) / self.n), self.n - 1)
+            self.x, self.y, self.floor = self.x[at], self.y[at], self.floor[at]
+            self.w = np.full(self.n, 1 / self.n)
+        return (*self.estimate(), n_eff)
+
+    def _believe(self, heard: dict[int, float], dt: float) -> None:
+        off = min(K.HMM_RATE * dt, K.HMM_MAX_OFF)
+        ways = {(a, b) for a, b, *_ in self.house.stairs} | {(b, a) for a, b, *_ in self.house.stairs}
+        p = {f: self.belief[f] * (1 - off * sum(a == f for a, _ in ways)) + off * sum(self.belief[a] for a, b in ways if b == f) for f in self.floors}
+        best: dict[int, float] = {}
+        for a, v in heard.items():
+            f = self.house.anchors[a][0]
+            best[f] = max(best.get(f, -1e9), v)
+        if heard:
+            ll = {}
+            for g in self.floors:
+                adjusted = np.array([v + abs(f - g) * K.FLOOR_ATTENUATION_DB for f, v in best.items()])
+                ll[g] = -0.5 * len(adjusted) * adjusted.var() / K.HMM_SIGMA**2 if len(adjusted) > 1 else 0.0
+            top = max(ll.values())
+            p = {f: p[f] * float(np.exp(ll[f] - top)) for f in self.floors}
+        total = sum(p.values())
+        self.belief = {f: v / total if total > 0 else 1 / len(p) for f, v in p.items()}
+
+    def _teleport(self, dt: float) -> None:
+        best = min(self.floors, key=lambda f: (-self.belief[f], f))
+        counts = {f: int((self.floor == f).sum()) for f in self.floors}
+        most = min(self.floors, key=lambda f: (-counts[f], f))
+        beside = any({a, b} == {best, most} for a, b, *_ in self.house.stairs)
+        if best == most or self.belief[best] < K.TELEPORT_BELIEF or not beside:
+            self.hold = 0.0
+            return
+        self.hold += dt
+        if self.hold >= K.TELEPORT_HOLD_S:
+            low = np.lexsort((np.arange(self.n), self.w))[: max(1, int(K.TELEPORT_SHARE * self.n))]
+            self.x[low], self.y[low], self.floor[low] = self.house.draw(len(low), [best], self.rng)
+            self.w, self.hold = np.full(self.n, 1 / self.n), 0.0
+
+    def _move(self, heard: dict[int, float], dt: float) -> None:
+        move = self.rng.normal(0, K.MOTION_SIGMA * dt**0.5, (2, self.n))
+        for f in self.floors:
+            there = [(10 ** ((v + 100) / 10), *self.house.anchors[a][1:3]) for a, v in heard.items() if self.house.anchors[a][0] == f]
+            if there:
+                w, ax, ay = np.array(there).T
+                at = self.floor == f
+                move[0, at] += K.DRIFT_RATE * dt * ((w * ax).sum() / w.sum() - self.x[at])
+                move[1, at] += K.DRIFT_RATE * dt * ((w * ay).sum() / w.sum() - self.y[at])
+        far, cap = np.hypot(*move), K.MAX_SPEED_FT_S * dt
+        move *= np.where(far > cap, cap / np.maximum(far, 1e-12), 1)
+        parts = max(1, int(np.ceil(min(float(far.max()), cap) / K.GRID_FT)) * 2)
+        good = np.ones(self.n, bool)
+        for i in range(1, parts + 1):  # the way is open if all points along it are
+            good &= self.house.open_at(self.x + move[0] * i / parts, self.y + move[1] * i / parts, self.floor)
+        self.x, self.y = np.where(good, self.x + move[0], self.x), np.where(good, self.y + move[1], self.y)
+        self.cooldown = np.maximum(self.cooldown - dt, 0)
+        moved = np.zeros(self.n, bool)
+        for a, b, ex, ey in self.house.stairs:
+            d = np.hypot(self.x - ex, self.y - ey)
+            near = (self.floor == a) & (self.cooldown == 0) & ~moved & (d < K.STAIR_RADIUS_FT)
+            if not near.any():
+                continue
+            p = max(min(self.belief[b] * K.STAIR_RATE * dt, 0.4), min(K.STAIR_BASE_P * dt, 0.1)) * np.clip(1 - d / K.STAIR_RADIUS_FT, 0.1, 1)
+            go = near & (self.rng.random(self.n) < p)
+            back = next(((x, y) for c, e, x, y in self.house.stairs if (c, e) == (b, a)), None)
+            if back:
+                self.x[go], self.y[go] = back
+            self.floor[go], self.cooldown[go] = b, K.STAIR_COOLDOWN_S
+            moved |= go
+
+    def _weigh(self, heard: dict[int, float]) -> None:
+        log = np.zeros(self.n)
+        z = np.vectorize(self.house.elevation.get)(self.floor)
+        for a, v in heard.items():
+            f, ax, ay, az = self.house.anchors[a]
+            d = np.sqrt((self.x - ax) ** 2 + (self.y - ay) ** 2 + (z - az) ** 2)
+            expected = K.TX_POWER_DBM - 10 * K.PATH_LOSS_N * np.log10(np.maximum(d, K.MIN_DISTANCE_FT) * K.METRES_PER_FOOT) - K.FLOOR_ATTENUATION_DB * abs(self.floor - f) - K.WALL_ATTENUATION_DB * self._walls(f, ax, ay)
+            log += -0.5 * ((v - expected) / K.RSSI_SIGMA) ** 2
+        w = self.w * np.exp(log - log.max())
+        self.w = w / w.sum() if w.sum() > 0 else np.full(self.n, 1 / self.n)
+
+    def _walls(self, f: int, ax: float, ay: float, parts: int = 24) -> np.ndarray:
+        """Walls towards an anchor on its floor: falls from open to blocked along the way."""
+        out, at = np.zeros(self.n), self.floor == f
+        if at.any():
+            s = np.linspace(0, 1, parts)[:, None]
+            grid = self.house.free[f]
+            rows = np.clip(((self.y[at] + (ay - self.y[at]) * s) / K.GRID_FT).astype(int), 0, grid.shape[0] - 1)
+            cols = np.clip(((self.x[at] + (ax - self.x[at]) * s) / K.GRID_FT).astype(int), 0, grid.shape[1] - 1)
+            way = grid[rows, cols]
+            out[at] = (way[:-1] & ~way[1:]).sum(axis=0)
+        return out
+
+    def estimate(self) -> tuple[float, float, int, float]:
+        weight = {f: float(self.w[self.floor == f].sum()) for f in self.floors}
+        best = min(self.floors, key=lambda f: (-weight[f], f))
+        at = self.floor == best
+        w = self.w[at] / max(weight[best], 1e-300)
+        mx, my = float((w * self.x[at]).sum()), float((w * self.y[at]).sum())
+        spread = float(np.sqrt((w * ((self.x[at] - mx) ** 2 + (self.y[at] - my) ** 2)).sum()))
+        return mx, my, best, round(weight[best] * float(np.exp(-spread / 5)), 3)
+
+
+def trajectories(readings: DataFrame, plan: DataFrame, cells: DataFrame, n: int = K.PARTICLES) -> DataFrame:
+    """(event_id, beacon, x, y, floor, confidence, n_eff) after each cycle that the throttle lets through."""
+    sent = readings.sparkSession.sparkContext.broadcast(House.of(plan, cells))
+
+    def new() -> Any:
+        s: dict[str, Any] = {"heard": {}, "filter": None, "last": None}
+        banks: dict[int, Any] = {}
+
+        def step(event_id: int, beacon: int, anchor_idx: int, t: float, rssi: float) -> tuple | None:
+            bank = banks.setdefault(anchor_idx, kalman.bank()())
+            s["heard"][anchor_idx] = (t, bank(event_id, beacon, anchor_idx, t, rssi)[4])
+            if s["last"] is not None and t - s["last"] < K.MIN_INTERVAL_S:
+                return None
+            if s["filter"] is None:
+                s["filter"] = Filter(sent.value, int(beacon), n)
+            dt = K.DEFAULT_DT if s["last"] is None else min(t - s["last"], K.MAX_DT)
+            s["last"] = t
+            live = {a: x for a, (at, x) in s["heard"].items() if t - at <= K.STALE_S}
+            return event_id, beacon, *s["filter"].step(live, dt)
+
+        return step
+
+    return ordered_scan(readings, ["beacon"], ["t", "event_id"], ["event_id", "beacon", "anchor_idx", "t", "rssi"], new, "event_id long, beacon long, x double, y double, floor int, confidence double, n_eff double")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wavefix.plans import signals
+from wavefix.plans import archive, signals, spatial
 
-QUERIES: dict = {**signals.QUERIES}
-ORACLES: dict = {**signals.ORACLES}
+QUERIES: dict = {**signals.QUERIES, **spatial.QUERIES, **archive.QUERIES}
+ORACLES: dict = {**signals.ORACLES, **spatial.ORACLES, **archive.ORACLES}

@@ -57,7 +57,7 @@ def _floors(plan: DataFrame) -> DataFrame:
 
 def floors(plan: DataFrame) -> DataFrame:
     elevation = F.create_map(*(F.lit(v) for kv in FLOOR_ELEVATION_FT.items() for v in kv))
-    xs, ys = (F.transform("f.outer_boundary", lambda p, i=i: p[i]) for i in (0, 1))
+    xs, ys = F.transform("f.outer_boundary", lambda p: p[0]), F.transform("f.outer_boundary", lambda p: p[1])
     return _floors(plan).select("f.floor", "f.name", elevation[F.col("f.floor")].alias("elevation"), *(g(v).alias(n) for v, a in ((xs, "x"), (ys, "y")) for g, n in ((F.array_min, f"{a}_min"), (F.array_max, f"{a}_max"))))
 
 
@@ -129,7 +129,7 @@ def openings(plan: DataFrame) -> DataFrame:
 
 
 @cache
-def values(name: str) -> str:
+def values(name: str, alias: str | None = None) -> str:
     """A dimension of the packaged plan as a SQL VALUES list, for the SQL twins of queries."""
     plan: dict[str, Any] = json.loads(Path(DEFAULT).read_text())
     rows: list[tuple] = []
@@ -175,7 +175,7 @@ def values(name: str) -> str:
     def literal(v: Any) -> str:
         return f"'{v}'" if isinstance(v, str) else str(v).upper() if isinstance(v, bool) else f"{v!r}::DOUBLE" if isinstance(v, float) else str(v)
 
-    return f"(VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) AS {name}({COLUMNS[name]})"
+    return f"(VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) AS {alias or name}({COLUMNS[name]})"
 
 
 #: Columns of ``values``.
