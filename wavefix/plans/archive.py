@@ -99,10 +99,11 @@ def zone_top6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(history.zone_means(_probabilities(spark, sf_dir), _h(spark, sf_dir)), 6, "mean_p")
 
 
-@query(f"{EMISSIONS}, {H}, bf AS (SELECT event_id, CASE WHEN w1 >= w2 AND w1 >= w3 THEN 1 WHEN w2 >= w3 THEN 2 ELSE 3 END AS f FROM es) SELECT h.floor AS pf_floor, count(*) AS n, count(*) FILTER (bf.f = h.floor) AS agree FROM bf JOIN h USING (event_id) GROUP BY 1")
+@query(f"{EMISSIONS}, {H}, bf AS (SELECT event_id, CASE WHEN round(w1 / s, 9) >= round(w2 / s, 9) AND round(w1 / s, 9) >= round(w3 / s, 9) THEN 1 WHEN round(w2 / s, 9) >= round(w3 / s, 9) THEN 2 ELSE 3 END AS f FROM es) SELECT h.floor AS pf_floor, count(*) AS n, count(*) FILTER (bf.f = h.floor) AS agree FROM bf JOIN h USING (event_id) GROUP BY 1")
 def floor_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = floors.emissions(_vec(spark, sf_dir)[1], _anchors(spark))
-    likely = e.select("event_id", F.when((F.col("e1") >= F.col("e2")) & (F.col("e1") >= F.col("e3")), 1).when(F.col("e2") >= F.col("e3"), 2).otherwise(3).alias("floor"))
+    a, b, c = (F.round(f"e{i}", 9) for i in (1, 2, 3))
+    likely = e.select("event_id", F.when((a >= b) & (a >= c), 1).when(b >= c, 2).otherwise(3).alias("floor"))
     return history.floor_agreement(likely, _h(spark, sf_dir)).groupBy("pf_floor").agg(F.count(F.lit(1)).alias("n"), F.count_if("agree").alias("agree"))
 
 
@@ -121,10 +122,10 @@ def survey_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survey.aggregated(_samples(spark, sf_dir))
 
 
-@query(f"WITH {R}, {SAMPLES}, p AS (SELECT DISTINCT point_id FROM sa) SELECT point_id FROM p WHERE point_id NOT IN (SELECT point_id FROM sa WHERE rssi > -40)")
+@query(f"WITH {R}, {SAMPLES}, p AS (SELECT DISTINCT point_id FROM sa) SELECT point_id FROM p WHERE point_id NOT IN (SELECT point_id FROM sa WHERE rssi > -30.2)")
 def remaining_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _samples(spark, sf_dir)
-    return survey.remaining(s.select("point_id").distinct(), s.where("rssi > -40").select("point_id").distinct())
+    return survey.remaining(s.select("point_id").distinct(), s.where("rssi > -30.2").select("point_id").distinct())
 
 
 @query(f"WITH {C}, {spatial.space.SQL_ROOM} SELECT floor, room, zone, count(*) AS n FROM lab GROUP BY GROUPING SETS ((floor), (room), (zone))")
@@ -257,7 +258,7 @@ def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rf_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-validated forest predictions: (sample_id, label, predicted)."""
     rows = zones.assembled(_vectors(spark, sf_dir), _labels(spark, sf_dir))
-    return zones.cross_validated(rows, 3, trees=20, depth=6)
+    return zones.cross_validated(rows, 2, trees=10, depth=5)
 
 
 QUERIES["rf_zone"] = rf_zone
