@@ -60,15 +60,13 @@ def features(texts: list[bytes]) -> np.ndarray:
 
 def _fill(out: np.ndarray, texts: list[bytes]) -> None:
     n = len(texts)
-    data = np.frombuffer(b"\n".join(texts), np.uint8)
+    data = np.frombuffer(b"".join(t + b"\n" for t in texts), np.uint8)
     sizes = np.array([len(t) + 1 for t in texts])
-    sizes[-1] -= 1
     doc = np.repeat(np.arange(n), sizes)
-    if not len(data):
-        return
     pair = _BIN[(data[:-1].astype(np.int64) << 8) | data[1:]]
-    counts = np.bincount(doc[:-1] * BINS + pair, minlength=n * BINS).reshape(n, BINS)
-    length = np.maximum(sizes, 1)[:, None]
+    own = doc[:-1] == doc[1:]
+    counts = np.bincount((doc[:-1] * BINS + pair)[own], minlength=n * BINS).reshape(n, BINS)
+    length = sizes[:, None]
     out[:, :BINS] = np.sqrt(counts / length)
     out[:, BINS : BINS + KINDS] = np.bincount(doc * KINDS + _KIND[data], minlength=n * KINDS).reshape(n, KINDS) / length
     starts, ends = word_spans(data)
