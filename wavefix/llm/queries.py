@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from wavefix.llm import decontamination, exact_dedup, near_dedup, packing, phrase_dedup, quality, suffix_dedup, token_output
+from wavefix.llm import decontamination, exact_dedup, line_dedup, near_dedup, packing, phrase_dedup, quality, secret_scan, suffix_dedup, token_output
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -11,8 +11,10 @@ QUERIES = {
     "op2_quality": quality.query,
     "op3_decontamination": decontamination.query,
     "op4_exact_dedup": exact_dedup.query,
+    "op5_secret_scan": secret_scan.query,
     "op6_suffix_dedup": suffix_dedup.query,
     "op7_token_output": token_output.query,
+    "op8_line_dedup": line_dedup.query,
     "op9_phrase_dedup": phrase_dedup.query,
     "op10_near_dedup": near_dedup.query,
 }
@@ -21,6 +23,7 @@ ORACLES = {
     "op3_decontamination": decontamination.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op6_suffix_dedup": suffix_dedup.ORACLE,
+    "op8_line_dedup": line_dedup.ORACLE,
     "op9_phrase_dedup": phrase_dedup.ORACLE,
     "op10_near_dedup": near_dedup.ORACLE,
 }
