@@ -66,10 +66,10 @@ def parsed(msgs: DataFrame) -> DataFrame:
     Only ``devices`` topics count, anchor ids are lower-cased, and a missing strength or distance gets its default.
     """
     parts = F.split("topic", "/")
-    out = msgs.withColumn("_p", parts).where((F.size("_p") >= 4) & (F.col("_p")[0] == "espresense") & (F.col("_p")[1] == "devices"))
+    out = msgs.withColumn("_p", parts).where((F.size("_p") >= 4) & (F.get("_p", F.lit(0)) == "espresense") & (F.get("_p", F.lit(1)) == "devices"))
     body = F.trim("payload")
     out = out.where(body.startswith("{")).withColumn("_j", F.from_json(body, PAYLOAD + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})).where("_j IS NOT NULL AND _j._corrupt IS NULL")
-    return out.select(*(c for c in msgs.columns if c not in ("topic", "payload")), F.col("_p")[2].alias("device"), F.lower(F.col("_p")[3]).alias("anchor_id"), F.coalesce("_j.rssi", F.lit(-100.0)).alias("rssi"), F.coalesce("_j.distance", F.lit(0.0)).alias("distance"), F.col("_j.mV").alias("mv"), F.col("_j.temp").alias("temp"))
+    return out.select(*(c for c in msgs.columns if c not in ("topic", "payload")), F.get("_p", F.lit(2)).alias("device"), F.lower(F.get("_p", F.lit(3))).alias("anchor_id"), F.coalesce("_j.rssi", F.lit(-100.0)).alias("rssi"), F.coalesce("_j.distance", F.lit(0.0)).alias("distance"), F.col("_j.mV").alias("mv"), F.col("_j.temp").alias("temp"))
 
 
 def survey_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -9,7 +9,7 @@ a batch that is run again replaces what it wrote.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -47,27 +47,36 @@ def _kalman(state: list[float] | None, t: float, z: float) -> list[float]:
     return [t, x + a / s * y, v + b / s * y, (1 - a / s) * a, (1 - a / s) * b, c - b * b / s]
 
 
-def _track(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    s = json.loads(state.get[0]) if state.exists else {"anchors": {}, "last": None}
-    rows = pd.concat(list(batches)).sort_values(["t", "event_id"])
-    out = []
-    for event_id, anchor, t, rssi in zip(rows["event_id"], rows["anchor_id"], rows["t"], rows["rssi"], strict=True):
-        s["anchors"][anchor] = _kalman(s["anchors"].get(anchor), float(t), float(rssi))
-        due = s["last"] is None or t - s["last"] >= K.MIN_INTERVAL_S
-        if due:
-            s["last"] = float(t)
-        out.append((event_id, key[0], anchor, t, s["anchors"][anchor][1], due))
-    state.update((json.dumps(s),))
-    state.setTimeoutDuration(FORGET_MS)
-    yield pd.DataFrame(out, columns=["event_id", "beacon", "anchor_id", "t", "x", "cycle"])
-
-
-def tracked(stream: DataFrame) -> DataFrame:
-    """Smoothed readings, and which of them start a cycle; silent beacons are forgotten after an hour."""
-    return stream.groupBy("beacon").applyInPandasWithState(_track, OUT, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+def _tracker(forget: bool) -> Callable[..., Iterator[pd.DataFrame]]:
+    def track(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        s = json.loads(state.get[0]) if state.exists else {"anchors": {}, "last": None}
+        rows = pd.concat(list(batches)).sort_values(["t", "event_id"])
+        out = []
+        for event_id, anchor, t, rssi in zip(rows["event_id"], rows["anchor_id"], rows["t"], rows["rssi"], strict=True):
+            s["anchors"][anchor] = _kalman(s["anchors"].get(anchor), float(t), float(rssi))
+            due = s["last"] is None or t - s["last"] >= K.MIN_INTERVAL_S
+            if due:
+                s["last"] = float(t)
+            out.append((event_id, key[0], anchor, t, s["anchors"][anchor][1], due))
+        state.update((json.dumps(s),))
+        if forget:
+            state.setTimeoutDuration(FORGET_MS)
+        yield pd.DataFrame(out, columns=["event_id", "beacon", "anchor_id", "t", "x", "cycle"])
+
+    return track
+
+
+def tracked(stream: DataFrame, forget: bool = False) -> DataFrame:
+    """Smoothed readings, and which of them start a cycle.
+
+    With ``forget`` a beacon silent for an hour is dropped from the state; such a query never
+    runs out of work, so it is for endless triggers only.
+    """
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout
+    return stream.groupBy("beacon").applyInPandasWithState(_tracker(forget), OUT, "state string", "append", timeout)
 
 
 def visits(positions: DataFrame, gap: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
