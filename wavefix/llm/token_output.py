@@ -60,7 +60,7 @@ class WaveletMatrix:
             planes.append(plane)
             ranks.append(np.concatenate(([0], np.cumsum(ones, dtype=np.uint32)[:-1])).astype(np.uint32))
             zeros.append(int(len(bits) - bits.sum()))
-            values = np.concatenate((values[~bits], values[bits]))
+            values = np.concatenate((np.compress(~bits, values), np.compress(bits, values)))
         return cls(len(values), planes, ranks, zeros)
 
     def _bits(self, k: int) -> np.ndarray:
@@ -75,8 +75,8 @@ class WaveletMatrix:
             below = out
             below[self.zeros[k] :] |= kind(1 << (self.levels - 1 - k))
             out = np.empty(self.n, kind)
-            out[~bits] = below[: self.zeros[k]]
-            out[bits] = below[self.zeros[k] :]
+            out[np.flatnonzero(~bits)] = below[: self.zeros[k]]
+            out[np.flatnonzero(bits)] = below[self.zeros[k] :]
         return out
 
     def _ones(self, k: int, i: int) -> int:

@@ -7,6 +7,7 @@ pieces in turn. Pieces recur; the tokenizer is asked only for new ones.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -47,22 +48,33 @@ class PieceEncoder:
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         split = regex.compile(WORD_SPLIT if self.normal else BYTE_SPLIT)
         self.chunk = re.compile(r"[^ \t\n\r\f\v]+" if self.normal else r" ?\S+|\s+(?!\S)|\s+").findall
-        marks = ByteLevel.alphabet()
         table = _byte_marks()
-        if set(table) != set(marks):
+        if set(table) != set(ByteLevel.alphabet()):
             raise ValueError("the byte alphabet is not the expected one")
         as_latin = {i: c for i, c in enumerate(table)}
+        blank = table[0x20]
 
         def tokens(piece: str) -> bytes:
-            seen = piece.encode("utf-8").decode("latin-1").translate(as_latin)
-            return np.array([t.id for t in model.tokenize(seen)], "<u4").tobytes()
+            if piece.isalpha() and piece.isascii():
+                seen = piece  # letters stand for themselves
+            elif piece[0] == " " and piece[1:].isalpha() and piece.isascii():
+                seen = blank + piece[1:]
+            else:
+                seen = piece.encode("utf-8").decode("latin-1").translate(as_latin)
+            return array("I", [t.id for t in model.tokenize(seen)]).tobytes()
 
         pieces = _Memory(tokens, PIECES)
+        words_only = self.normal is not None
 
         def encode(chunk: str) -> bytes:
-            if self.normal:
+            # Letters alone, after at most one blank where blanks count, are one piece.
+            if words_only:
                 # Below U+0250 composing changes nothing and each letter has the one lower case.
-                chunk = chunk.lower() if max(chunk) < "\u0250" else self.normal(chunk)
+                chunk = chunk.lower() if chunk.isascii() or max(chunk) < "\u0250" else self.normal(chunk)
+                if chunk.isascii() and chunk.isalpha():
+                    return pieces[chunk]
+            elif chunk.isascii() and (chunk[1:] if chunk[0] == " " else chunk).isalpha():
+                return pieces[chunk]
             return b"".join(map(pieces.__getitem__, split.findall(chunk)))
 
         self.chunks = _Memory(encode, CHUNKS)
