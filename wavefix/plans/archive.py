@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from wavefix.functions import constants as K
 from wavefix.functions.signal import noise
 from wavefix.operators import floors, history, survey, zones
+from wavefix.operators.scan import ordered_scan
 from wavefix.plans import spatial
 from wavefix.plans.signals import C, EMISSIONS, H, ORACLES, QUERIES, R, query, rounded
 from wavefix.plans.signals import _anchors, _vec
@@ -268,3 +269,38 @@ QUERIES["rf_zone"] = rf_zone
 def bench_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = readings.readings(spark, sf_dir).select(F.col("anchor_id").alias("stage"), (-F.col("rssi")).alias("ms"))
     return rounded(history.stage_percentiles(rows), 6, "min_ms", "mean_ms", "p50", "p95", "p99", "max_ms", "per_s", "pct")
+
+
+@query(f"WITH {R}, {PRINTS}, {LABELLED} SELECT sample_id, label, count(*) AS n_anchors FROM lb JOIN fp USING (sample_id) WHERE label = 'floor_2' GROUP BY ALL ORDER BY sample_id DESC LIMIT 1000")
+def fingerprint_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _labels(spark, sf_dir).where("label = 'floor_2'").join(_prints(spark, sf_dir), "sample_id").groupBy("sample_id", "label").agg(F.count(F.lit(1)).alias("n_anchors"))
+    return rows.orderBy(F.desc("sample_id")).limit(1000)
+
+
+#: How fast a zone's smoothed probability follows, by activity: fixed values.
+FOLLOW = {"moving": 0.3, "stationary": 0.05, "sleeping": 0.01}
+
+
+def zone_smoothed_rows(positions: DataFrame) -> DataFrame:
+    """Exponentially smoothed confidence of a beacon's label: it follows by activity and starts anew when the label changes."""
+
+    def new():
+        s: dict = {}
+
+        def step(event_id: int, label: str, activity: str | None, confidence: float) -> tuple:
+            a = FOLLOW.get(activity or "", FOLLOW["stationary"])
+            p = confidence if s.get("label") != label else s["p"] + a * (confidence - s["p"])
+            s["label"], s["p"] = label, p
+            return event_id, p
+
+        return step
+
+    return ordered_scan(positions, ["beacon"], ["t", "event_id"], ["event_id", "label", "activity", "confidence"], new, "event_id long, p double")
+
+
+@query(f"""WITH RECURSIVE {H}, n AS (SELECT *, row_number() OVER (PARTITION BY beacon ORDER BY t, event_id) AS i, CASE activity WHEN 'moving' THEN 0.3 WHEN 'sleeping' THEN 0.01 ELSE 0.05 END::DOUBLE AS a FROM h), z(beacon, i, event_id, label, p) AS (
+  SELECT beacon, i, event_id, label, confidence FROM n WHERE i = 1
+  UNION ALL SELECT n.beacon, n.i, n.event_id, n.label, CASE WHEN n.label <> z.label THEN n.confidence ELSE z.p + n.a * (n.confidence - z.p) END FROM z JOIN n ON n.beacon = z.beacon AND n.i = z.i + 1
+) SELECT event_id, round(p, 6) AS p FROM z""")
+def zone_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(zone_smoothed_rows(_h(spark, sf_dir)), 6, "p")

@@ -256,3 +256,14 @@ def anchor_sparkline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def service_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = readings.readings(spark, sf_dir)
     return r.agg(F.count(F.lit(1)).alias("readings"), F.count_distinct("beacon").alias("devices"), F.count_distinct("anchor_idx").alias("anchors"), F.round(F.min("t"), 6).alias("first_t"), F.round(F.max("t"), 6).alias("last_t"))
+
+
+@query(f"WITH {R}, {readings.SQL_MESSAGES} SELECT p.event_id, p.anchor_id, CAST(j ->> '$.rssi' AS DOUBLE) AS rssi FROM p JOIN {ANCHORS} ON anchors.anchor_id = replace(p.anchor_id, '-', '_') WHERE j ->> '$.rssi' IS NOT NULL")
+def calibration_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readings.calibration_readings(readings.messages(spark, sf_dir), _anchors(spark))
+
+
+@query(f"WITH {R} SELECT event_id, beacon, anchor_id, round(t, 6) AS t, round(rssi, 6) AS rssi FROM (SELECT * FROM r ORDER BY r.t DESC, event_id DESC LIMIT 100) ORDER BY t, event_id")
+def rssi_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = history.page(readings.readings(spark, sf_dir), 100).orderBy("t", "event_id")
+    return rounded(rows, 6, "t", "rssi").select("event_id", "beacon", "anchor_id", "t", "rssi")

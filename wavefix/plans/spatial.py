@@ -234,3 +234,17 @@ SELECT row_number() OVER (PARTITION BY c.floor ORDER BY floor(c.x / 3), CASE WHE
 def survey_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = survey.survey_points(_plan(spark), _cells(spark)).withColumn("seq", F.col("seq").cast("long"))
     return rounded(_by_events(rows, spark, sf_dir), 4, "x", "y")
+
+
+@query(f"WITH {R}, {COUNTS}, s AS (SELECT from_floor AS a, to_floor AS b FROM {V('stairs')}), e AS (SELECT DISTINCT * FROM (SELECT a, b FROM s UNION ALL SELECT b, a FROM s)), m AS (SELECT a, b, {1 - K.HMM_SELF}::DOUBLE / count(*) OVER (PARTITION BY a) AS p FROM e UNION ALL SELECT DISTINCT a, a, {K.HMM_SELF}::DOUBLE FROM e) SELECT a AS floor_a, b AS floor_b, round(p, 6) AS p, coalesce(n, 0) AS n_readings FROM m LEFT JOIN nf ON nf.floor = a")
+def hmm_base_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = floors.base_matrix(layout.adjacency(_plan(spark))).withColumnRenamed("floor_a", "floor")
+    return rounded(_by_events(rows, spark, sf_dir).withColumnRenamed("floor", "floor_a"), 6, "p")
+
+
+@query(f"WITH {C}, {space.SQL_ROOM}, q AS (SELECT floor, count(*) AS n, count(*) FILTER (zone <> room) AS gated FROM lab GROUP BY 1) SELECT floor, n, gated, round(((n - gated) * {K.SURVEY_DWELL_S + 15} + gated * 25) / 60, 4) AS minutes FROM q")
+def survey_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time to survey every particle's place, gated zones at the shorter dwell of points of interest."""
+    rows = space.labelled(_cloud(spark, sf_dir), _plan(spark)).withColumn("kind", F.when(F.col("zone") != F.col("room"), "poi").otherwise("grid"))
+    gated = rows.groupBy("floor").agg(F.count_if(F.col("kind") == "poi").alias("gated"))
+    return rounded(survey.minutes(rows).join(gated, "floor"), 4, "minutes")

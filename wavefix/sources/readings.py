@@ -72,6 +72,14 @@ def parsed(msgs: DataFrame) -> DataFrame:
     return out.select(*(c for c in msgs.columns if c not in ("topic", "payload")), F.get("_p", F.lit(2)).alias("device"), F.lower(F.get("_p", F.lit(3))).alias("anchor_id"), F.coalesce("_j.rssi", F.lit(-100.0)).alias("rssi"), F.coalesce("_j.distance", F.lit(0.0)).alias("distance"), F.col("_j.mV").alias("mv"), F.col("_j.temp").alias("temp"))
 
 
+def calibration_readings(msgs: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(event_id, anchor_id, rssi) of messages from known anchors: ids match in any case and with - for _; rows without a strength are dropped."""
+    body = F.from_json(F.trim("payload"), "rssi double")
+    name = F.lower(F.replace(F.get(F.split("topic", "/"), F.lit(3)), F.lit("-"), F.lit("_")))
+    rows = msgs.where(F.col("topic").startswith("espresense/devices/")).select("event_id", name.alias("anchor_id"), body["rssi"].alias("rssi")).where("rssi IS NOT NULL")
+    return rows.join(F.broadcast(anchors.select("anchor_id")), "anchor_id").select("event_id", "anchor_id", "rssi")
+
+
 def survey_csv(spark: SparkSession, path: str) -> DataFrame:
     """Survey rows in long form (row, floor, x, y, room, zone, anchor_id, rssi, std); columns are found by prefix, blanks are absent."""
     wide = spark.read.csv(path, header=True)
