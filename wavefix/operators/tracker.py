@@ -12,7 +12,6 @@ from typing import Any
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from wavefix.functions import constants as K
 from wavefix.operators import kalman, space

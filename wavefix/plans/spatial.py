@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wavefix.functions import constants as K
 from wavefix.functions.signal import confidence_radius
 from wavefix.operators import floors, history, particles, space, survey, tracker
-from wavefix.plans.signals import ANCHORS, C, H, ORACLES, QUERIES, R, query, rounded
+from wavefix.plans.signals import C, ORACLES, QUERIES, R, query, rounded
 from wavefix.sources import layout, readings
 
 __all__ = ["ORACLES", "QUERIES"]
