@@ -75,3 +75,21 @@ def test_secret_scan_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, at int, secret boolean")
     assert {r["score"] for r in secret_scan.scored(found, none).collect()} == {0.0}
     assert secret_scan.scored(found.where("false"), none).count() == 0
+
+
+def test_secret_labels_look_at_the_value(spark):
+    key = "0f" * 20
+    secret = [f'token = "{key}"###', f'TOKEN = "{key}"!!', f'{{"token":"{key}"}}', f'{{"token": "{key}"}},', f"API_KEY={key}", f'auth_token="{key}";', f"curl https://x.example/a?token={key}", f"password: {key}"]
+    clean = [f"commit {key}", f'id = "{key}"', "an internationalisation of"]
+    unknown = ["token = internationalisation", f"the token {key} is", "auth = getTokenFromRequestHeader(x)"]
+    rows = [(i, x, "a") for i, x in enumerate([*secret, *clean, *unknown])]
+    found = secret_scan.findings(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = {r["doc_id"]: r["secret"] for r in secret_scan.labelled(found).collect()}
+    assert [got[i] for i in range(len(rows))] == [True] * len(secret) + [False] * len(clean) + [None] * len(unknown)
+
+
+def test_secret_scan_keeps_secrets_with_noise_after_the_quote(spark):
+    noisy = [(i, x.replace('" ', '"### ' if i % 8 else '"!! '), s) for i, x, s in texts()]
+    found = secret_scan.findings(spark.createDataFrame(noisy, "doc_id long, text string, source string")).cache()
+    for r in secret_scan.scored(found, secret_scan.labelled(found.where("doc_id % 5 <> 0"))).collect():
+        assert r["secret"] == r["word"].startswith('"'), r

@@ -8,8 +8,9 @@ of least hash) are used, with classes weighted alike; every candidate is scored.
 
 DataFrame functions and Spark's own forest only; no row meets Python.
 
-The tables hold no labelled findings, so the query labels them itself: a candidate in quotes that a
-credential's name is assigned to is a secret, any other is not. The operator takes any labels.
+The tables hold no labelled findings, so the query labels them itself. A value that is assigned to a
+credential's name, with or without blanks, is a secret if it is in quotes (whatever follows them) or mixes
+letters and digits; a candidate far from such names is none; any other has no label. The operator takes any labels.
 
 Defined results: a null or empty text has no candidates; a word with several gives its
 first; without labels of both classes the score is the share of secrets among the labels
@@ -37,18 +38,36 @@ DICTIONARY = 500
 #: Fixed patterns: a candidate, names of credentials, signs of assignment, paths of examples.
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}"
 NAME = r"(?i)(token|secret|password|passwd|pwd|api_?key|access_?key|auth|credential)"
-ASSIGN = r"^[\"']?[:=]+>?$|[:=]$"
+ASSIGN = r"[:=]>?[\"'`]*$"
+#: What stands before a value that is assigned to a credential's name; a candidate that holds both itself.
+OWNED = NAME + r"[A-Za-z0-9_.-]*[\"'`\])]*\x20?[:=]+>?\x20?[\"'`]*$"
+INLINE = r"^[A-Za-z0-9+/_-]*?" + NAME + r"[A-Za-z0-9_-]*=+(?=[^=])"
+#: Characters kept on each side of a candidate inside its word.
+AROUND = 256
 EXAMPLE = r"(?i)(test|example|sample|doc|mock)"
 
 
 def findings(docs: DataFrame) -> DataFrame:
-    """(doc_id, path, at, word, candidate, before, name, after): one row for each candidate in ``docs`` (doc_id, text, source)."""
+    """(doc_id, path, at, word, candidate, lead, tail, before, name, after): one row for each candidate in ``docs`` (doc_id, text, source).
+
+    ``lead`` and ``tail`` are what the word holds before and after the candidate.
+    """
     words = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("path"), F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+").alias("w"))
     w = F.col("w")
     long = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (F.length(w[i]) >= SHORTEST) & w[i].rlike(CANDIDATE))
     word = lambda d: F.coalesce(F.get(w, F.col("at") + d), F.lit(""))
     out = words.select("doc_id", "path", "w", F.explode(long).alias("at"))
-    return out.select("doc_id", "path", "at", word(0).alias("word"), F.regexp_extract(word(0), CANDIDATE, 0).alias("candidate"), word(-1).alias("before"), word(-2).alias("name"), word(1).alias("after"))
+    sides = F.split(word(0), CANDIDATE, 2)
+    return out.select("doc_id", "path", "at", word(0).alias("word"), F.regexp_extract(word(0), CANDIDATE, 0).alias("candidate"), F.right(sides[0], F.lit(AROUND)).alias("lead"), F.left(sides[1], F.lit(AROUND)).alias("tail"), word(-1).alias("before"), word(-2).alias("name"), word(1).alias("after"))
+
+
+def _context() -> Column:
+    """What stands before a value: two words and its own word's start, without earlier parts of a dotted value."""
+    return F.concat_ws(" ", "name", "before", F.regexp_replace("lead", r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]+\.)+$", ""))
+
+
+def _quoted() -> Column:
+    return F.col("lead").rlike("[\"'`][A-Za-z0-9+/_.-]*$") & F.col("tail").rlike("^[A-Za-z0-9+/_=.-]*[\"'`]")
 
 
 def dictionary(found: DataFrame, size: int = DICTIONARY) -> DataFrame:
@@ -73,7 +92,7 @@ def described(found: DataFrame, known: DataFrame) -> DataFrame:
         "f_length": n, "f_digits": _count(c, "[0-9]") / n, "f_upper": _count(c, "[A-Z]") / n, "f_hex": _count(c, "[0-9a-fA-F]") / n, "f_vowels": _count(c, "[aeiouAEIOU]") / n,
         "f_case_changes": changes[0] / n, "f_digit_changes": changes[1] / n, "f_sign_changes": changes[2] / n, "f_repeats": _count(c, "(.)\\1") / n, "f_dictionary": covered / n,
         "f_path_length": F.length("path").cast("double"), "f_path_example": flag(F.col("path").rlike(EXAMPLE)),
-        "f_quoted": flag(F.col("word").rlike("^[\"'].*[\"'][.,;]?$")), "f_assigned": flag(F.col("before").rlike(ASSIGN)), "f_named": flag(F.concat_ws(" ", "name", "before").rlike(NAME)), "f_after_short": flag(F.length("after") < 4),
+        "f_quoted": flag(_quoted()), "f_assigned": flag(F.trim(_context()).rlike(ASSIGN) | c.rlike(INLINE)), "f_named": flag(_context().rlike(NAME) | c.rlike(INLINE)), "f_after_short": flag(F.length("after") < 4),
     }
     return found.crossJoin(F.broadcast(known)).select(*found.columns, *(v.alias(k) for k, v in features.items()))
 
@@ -82,9 +101,13 @@ FEATURES = ["f_length", "f_digits", "f_upper", "f_hex", "f_vowels", "f_case_chan
 
 
 def labelled(found: DataFrame) -> DataFrame:
-    """(doc_id, at, secret): the query's own labels of findings (see above)."""
-    secret = F.col("word").rlike("^[\"'].*[\"'][.,;]?$") & F.col("before").rlike(ASSIGN) & F.col("name").rlike(NAME)
-    return found.select("doc_id", "at", secret.alias("secret"))
+    """(doc_id, at, secret): the query's own labels of findings (see above); null where it can't tell."""
+    c = F.col("candidate")
+    owned = F.trim(_context()).rlike(OWNED) | c.rlike(INLINE)
+    value = F.regexp_replace(c, INLINE, "")
+    mixed = value.rlike("[A-Za-z]") & value.rlike("[0-9]") & ~F.col("tail").rlike(r"^[(\[]")
+    near = _context().rlike(NAME) | c.rlike(NAME)
+    return found.select("doc_id", "at", F.when(owned & (_quoted() | mixed), True).when(~near, False).alias("secret"))
 
 
 def scored(found: DataFrame, labels: DataFrame, bound: int = LABELLED) -> DataFrame:
