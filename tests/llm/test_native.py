@@ -93,3 +93,31 @@ def test_secret_scan_keeps_secrets_with_noise_after_the_quote(spark):
     found = secret_scan.findings(spark.createDataFrame(noisy, "doc_id long, text string, source string")).cache()
     for r in secret_scan.scored(found, secret_scan.labelled(found.where("doc_id % 5 <> 0"))).collect():
         assert r["secret"] == r["word"].startswith('"'), r
+
+
+def test_every_candidate_of_a_word_is_scored_and_redacted(spark):
+    rng = random.Random(4)
+    new = lambda: "".join(rng.choices("0123456789abcdef", k=32))
+    docs, want = [], {}
+    for i in range(60, 90):
+        a, b, c = new(), new(), new()
+        docs.append((i, f'{{"token":"{a}","secret":"{b}","commit_of_repository":"{c}"}}', "src"))
+        want[i] = [a, b, "commit_of_repository", c]
+    docs.append((90, 'token = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N"', "src"))
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    found = secret_scan.findings(df).cache()
+    got = {}
+    for r in found.orderBy("doc_id", "at", "n").collect():
+        got.setdefault(r["doc_id"], []).append(r["candidate"])
+    assert {i: got[i] for i in want} == want and len(got[90]) == 3
+    labels = secret_scan.labelled(found)
+    assert [r["secret"] for r in labels.where("doc_id = 90").collect()] == [True] * 3
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redacted(df, secret_scan.scored(found, labels)).collect()}
+    assert all(clean[i] == f'{{"token":"<secret>","secret":"<secret>","commit_of_repository":"{w[3]}"}}' for i, w in want.items())
+    assert clean[90] == 'token = "<secret>.<secret>.<secret>"'
+
+
+def test_dictionary_has_all_frequent_words(spark):
+    words = ["".join(x) for x in zip("abcdefghij" * 200, *(random.Random(k).choices("abcdefghijklmnopqrstuvwxyz", k=2000) for k in range(7)), strict=True)]
+    docs = spark.createDataFrame([(" ".join(words),), (", ".join(words) + " once",), (None,)], "text string")
+    assert {r["run"] for r in secret_scan.dictionary(docs).collect()} == set(words)
