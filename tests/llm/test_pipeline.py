@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -51,3 +53,25 @@ def test_quality_stage_rejects_by_score(spark):
     score = quality.scorer(quality.trained(docs, spark.read.parquet(f"{DATA}/labels.parquet")))
     want = {r["doc_id"] for r in docs.where(score(F.col("text")) >= 0.3).collect()}
     assert {r["doc_id"] for r in corpus_pipeline.good_quality(spark, docs, DATA).collect()} == want
+
+
+def prose(seed, n=60):
+    rng = random.Random(seed)
+    return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+
+
+def test_rows_are_dropped_by_id_and_text(spark):
+    a, b, c, d = (prose(i) for i in range(4))
+    rows = [(1, a), (None, a), (None, b), (2, c), (2, d), (3, c + " "), (None, b), (2, d), (4, None), (None, "")]
+    docs = spark.createDataFrame([(i, x, "en") for i, x in rows], "doc_id long, text string, lang string")
+    out = corpus_pipeline.exact_copies_removed(spark, docs, DATA)
+    assert out.columns == docs.columns
+    got = sorted(((r["doc_id"] or 0, r["text"] or "") for r in out.collect()))
+    assert got == sorted([(1, a), (0, b), (2, d), (3, c + " "), (4, "")])
+    near = [(1, a), (None, a + " more"), (None, b), (None, b + " more"), (2, c), (2, d), (5, d + " more"), (None, prose(9)), (6, c + " more")]
+    docs = spark.createDataFrame([(i, x, "en") for i, x in near], "doc_id long, text string, lang string")
+    out = corpus_pipeline.near_copies_removed(spark, docs, DATA)
+    assert out.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert {(1, a), (2, c), (2, d), (None, prose(9))} <= set(got) and len(got) == 5
+    assert sum(x in (b, b + " more") for _, x in got) == 1
