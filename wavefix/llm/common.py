@@ -13,6 +13,8 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from itertools import count
 
 import numpy as np
 import zstandard
@@ -26,22 +28,38 @@ CHUNK = 1 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (tests), a temporary one is set."""
+    """A new folder under spark.checkpoint.dir; where that is unset in a local session (tests), a temporary one is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='wavefix-')}"
         atexit.register(shutil.rmtree, root[7:], True)
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/wavefix/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def saved(spark: SparkSession, df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut and lost executors don't matter."""
-    path = shared_dir(spark, name)
+def _written(spark: SparkSession, df: DataFrame, path: str, options: dict[str, str]) -> DataFrame:
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def saved(spark: SparkSession, df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage is cut and lost executors don't matter."""
+    return _written(spark, df, shared_dir(spark, name), options)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """``saved`` for tables that nothing needs after the block: their folder is deleted at its end."""
+    root, number = shared_dir(spark, name), count()
+    try:
+        yield lambda df: _written(spark, df, f"{root}/{next(number)}", {})
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session: they set how many shards and blocks the operators use."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

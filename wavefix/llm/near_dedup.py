@@ -8,14 +8,15 @@
 3. Candidate pairs come from buckets in rounds, so that a group of n copies costs
    about n pairs, not n * n: first the least id of a bucket against the
    others, then the greatest against those in other components. Members that
-   are in different components even then are compared in blocks: a task compares two
-   blocks and returns the links alone. Every pair that shares a bucket is
+   are in different components even then are compared in blocks: first inside each block,
+   then, where a group has several, two blocks at a time; a task joins components as it
+   goes and returns only the links that joined some. Every pair that shares a bucket is
    therefore compared or already connected.
 4. A pair's signatures are compared a batch at a time. After each batch the posterior
    of the similarity (uniform prior) is known; the pair is pruned when similarity
    at or above the threshold has less than ``MISS`` probability. Survivors are
    verified exactly on their full shingle sets.
-5. Components of the verified links spread by least label until nothing changes.
+5. Components of the verified links: hooks to the least neighbour, doubled and contracted.
 
 A pair at the threshold misses all bands with probability (1 - 0.75 ** 4) ** 40 = 2.5e-7.
 
@@ -36,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavefix.llm.common import chunks, gram_hashes, keyed, mix, packed, partitions, routed, saved, unkeyed, unpacked, unsqueezed, word_hashes, word_spans
+from wavefix.llm.common import chunks, gram_hashes, keyed, mix, packed, partitions, routed, saved, scratch, unkeyed, unpacked, unsqueezed, word_hashes, word_spans
 
 WORDS = 5
 BANDS, ROWS = 40, 4
@@ -191,6 +192,17 @@ def likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return both.select("a", "b", "sig_a", "sig_b").mapInPandas(compare, "a long, b long")
 
 
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if not len(small) or 100 * len(small) < LEAST * len(large):
+        return False
+    where = np.searchsorted(large, small)
+    where[where == len(large)] = 0
+    shared = int((large[where] == small).sum())
+    return 100 * shared >= LEAST * (len(small) + len(large) - shared)
+
+
 def linked(spark: SparkSession, pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full shingle sets are similar enough."""
     n = partitions(spark)
@@ -202,52 +214,60 @@ def linked(spark: SparkSession, pairs: DataFrame, texts: DataFrame) -> DataFrame
     rows = left.unionByName(right).withColumn("target", F.pmod(F.xxhash64("a", "salt"), F.lit(n)).cast("int"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, mine = None, None
+        at, mine = None, []
         for pdf in batches:
             texts = [t.encode("utf-8", "replace") for t in pdf["text"]]
             sets = (s for _, part in chunks(pdf["key"].to_numpy(), texts) for s in shingle_sets(part))
             out = []
             for a, salt, kind, key, own in zip(pdf["a"], pdf["salt"], pdf["kind"], pdf["key"], sets, strict=True):
                 if kind == 0:
-                    at, mine = (a, salt), own
-                elif at == (a, salt):
-                    small, large = (own, mine) if len(own) <= len(mine) else (mine, own)
-                    if not len(small) or 100 * len(small) < LEAST * len(large):
-                        continue
-                    where = np.searchsorted(large, small)
-                    where[where == len(large)] = 0
-                    shared = int((large[where] == small).sum())
-                    if 100 * shared >= LEAST * (len(small) + len(large) - shared):
-                        out.append((a, key))
+                    mine = [*mine, own] if at == (a, salt) else [own]  # several texts of one id
+                    at = a, salt
+                elif at == (a, salt) and any(similar(own, x) for x in mine):
+                    out.append((a, key))
             yield pd.DataFrame(out, columns=["a", "b"])
 
     return routed(rows, n, "a", "salt", "kind").mapInPandas(verify, "a long, b long")
 
 
-def crossed(spark: SparkSession, open_: DataFrame, few: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between different components among members (bucket, key, comp), compared in blocks.
+def opened(spark: SparkSession, held: DataFrame, names: DataFrame) -> DataFrame:
+    """(bucket, key, comp) of the buckets that still hold several components of ``names`` (key, comp)."""
+    named = held.join(names, "key")
+    several = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
+    return saved(spark, named.join(several, "bucket", "left_semi").select("bucket", "key", "comp"), "open")
+
+
+def placed(spark: SparkSession, open_: DataFrame) -> DataFrame:
+    """(key, comp, group, block) of the members (bucket, key, comp) of open buckets.
 
     Members connected by buckets form a group. A group's large components have blocks of their
-    own, its small ones share blocks; each pair of blocks that holds two components is a unit of
-    at most about 2 * BLOCK documents. A unit compares inside its task and returns links only.
+    own, its small ones share blocks. A bucket is known by its least member and a document by the
+    least of these, so that only (hub, least hub) pairs are links of the grouping, not all (document, hub) pairs.
     """
-    hubs = open_.groupBy("bucket").agg(F.min("key").alias("a"))
-    groups = components(spark, open_.join(hubs, "bucket").select("a", F.col("key").alias("b")).distinct())
-    docs = saved(spark, open_.select("key", "comp").distinct().join(groups.select("key", F.col("comp").alias("group")), "key"), "grouped")
+    hubs = open_.join(open_.groupBy("bucket").agg(F.min("key").alias("hub")), "bucket").select("key", "comp", "hub").distinct()
+    hubs = saved(spark, hubs.join(hubs.groupBy("key").agg(F.min("hub").alias("least")), "key"), "hubs")
+    groups = components(spark, hubs.select(F.col("hub").alias("a"), F.col("least").alias("b")))
+    docs = hubs.select("key", "comp", "least").distinct().join(groups.select(F.col("key").alias("least"), F.col("comp").alias("group")), "least", "left")
+    docs = saved(spark, docs.select("key", "comp", F.coalesce("group", "least").alias("group")), "grouped")
     sizes = docs.groupBy("group", "comp").agg(F.count(F.lit(1)).alias("n")).withColumn("large", F.col("n") > BLOCK // 2)
     small = sizes.groupBy("group").agg(F.sum(F.when(~F.col("large"), F.col("n"))).alias("rest"))
     pieces = F.when(F.col("large"), F.ceil(F.col("n") / BLOCK)).otherwise(F.ceil(F.col("rest") / BLOCK))
     part = F.pmod(F.when(F.col("large"), F.xxhash64("key")).otherwise(F.xxhash64("comp")), pieces)
-    placed = docs.join(sizes, ["group", "comp"]).join(small, "group").select("key", "comp", "group", F.struct(F.when(F.col("large"), F.col("comp")).otherwise(-1).alias("of"), part.alias("part")).alias("block"))
-    placed = saved(spark, placed, "placed")
-    blocks = placed.groupBy("group", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    x, y = (blocks.select("group", *(F.col(c).alias(f"{c}_{i}") for c in ("block", "lo", "hi"))) for i in "xy")
-    units = x.join(y, "group").where("block_x <= block_y AND (lo_x <> hi_y OR hi_x <> lo_y)").select("group", "block_x", "block_y")
+    block = F.struct(F.when(F.col("large"), F.col("comp")).otherwise(-1).alias("of"), part.alias("part")).alias("block")
+    return saved(spark, docs.join(sizes, ["group", "comp"]).join(small, "group").select("key", "comp", "group", block), "placed")
+
+
+def crossed(spark: SparkSession, docs: DataFrame, units: DataFrame, few: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between different components in ``units`` (group, block_x, block_y) of ``placed`` documents.
+
+    A unit has at most about 2 * BLOCK documents. It compares inside its task, joins components as
+    it finds links and returns only the links that joined two: fewer than it has components.
+    """
     sides = F.explode(F.array_distinct(F.array("block_x", "block_y"))).alias("block")
     wide = few.join(texts, "key").select("key", "sig", "text")
     n = partitions(spark)
     unit = F.xxhash64("group", "block_x", "block_y")
-    rows = units.select("group", unit.alias("unit"), F.col("block_x"), F.col("block_y"), sides).join(placed, ["group", "block"])
+    rows = units.select("group", unit.alias("unit"), F.col("block_x"), F.col("block_y"), sides).join(docs, ["group", "block"])
     rows = rows.select("unit", (F.col("block") == F.col("block_x")).alias("x"), (F.col("block") == F.col("block_y")).alias("y"), "key", "comp").join(wide, "key")
     rows = rows.withColumn("target", F.pmod("unit", F.lit(n)).cast("int"))
     least = fewest_matches()
@@ -267,7 +287,7 @@ def crossed(spark: SparkSession, open_: DataFrame, few: DataFrame, texts: DataFr
 
 
 def _compared(unit: pd.DataFrame, least: dict[int, int]) -> pd.DataFrame:
-    """The links between the two sides of a unit."""
+    """Links (components a, b) between the two sides of a unit that join its components."""
     keys, comps = unit["key"].to_numpy(), unit["comp"].to_numpy()
     sides = unit["x"].to_numpy(), unit["y"].to_numpy()
     sigs = unpacked(unit["sig"], "<u4").reshape(len(unit), -1)
@@ -280,9 +300,10 @@ def _compared(unit: pd.DataFrame, least: dict[int, int]) -> pd.DataFrame:
     doc, bounds = doc[order], np.searchsorted(at[order], np.arange(len(grams) + 1))
     own = np.split(at, np.cumsum(sizes)[:-1])
     same = bool((sides[0] & sides[1]).any())
+    now = np.unique(comps, return_inverse=True)[1]  # components as they are joined
     out = []
     for i in np.flatnonzero(sides[0]).tolist():
-        alive = np.flatnonzero(sides[1] & (comps != comps[i]))
+        alive = np.flatnonzero(sides[1] & (now != now[i]))
         if same:
             alive = alive[alive > i]
         matches = np.zeros(len(alive), np.int64)
@@ -293,27 +314,43 @@ def _compared(unit: pd.DataFrame, least: dict[int, int]) -> pd.DataFrame:
             mine = own[i]
             holders = np.concatenate([doc[a:b] for a, b in zip(bounds[mine].tolist(), bounds[mine + 1].tolist(), strict=True)])
             shared = np.bincount(holders, minlength=len(sets))[alive]
-            linked = alive[100 * shared >= LEAST * (sizes[i] + sizes[alive] - shared)]
-            out += [(keys[i], keys[j]) for j in linked.tolist()]
+            for j in alive[100 * shared >= LEAST * (sizes[i] + sizes[alive] - shared)].tolist():
+                if now[j] != now[i]:
+                    out.append((comps[i], comps[j]))
+                    now[now == now[j]] = now[i]
     return pd.DataFrame(out, columns=["a", "b"])
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
-    """(key, comp): the least key reachable over ``links`` (a, b), for every key in them.
+    """(key, comp): the least key reachable over ``links`` (a, b), for every key that is not itself the least.
 
-    Each pass hooks a component to its least neighbour and renames its members; a
-    pass at least halves the components that can still grow.
+    A pass hooks each node to its least smaller neighbour, follows the hooks to their ends by doubling
+    (a chain of n in log2(n) steps) and contracts the links. Of the nodes of a pass only those without a smaller
+    neighbour are left; after two passes at most half, so the passes are logarithmic and the work shrinks with the links.
     """
-    ends = links.select(F.col("a").alias("x"), F.col("b").alias("y")).where("x <> y")
-    ends = saved(spark, ends.union(ends.select("y", "x")).distinct(), "edges")
-    names = saved(spark, ends.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("key"), F.least("x", "y").alias("comp")), "names")
-    while True:
-        left, right = names.select(F.col("key").alias("x"), F.col("comp").alias("cx")), names.select(F.col("key").alias("y"), F.col("comp").alias("cy"))
-        between = ends.join(left, "x").join(right, "y").where("cx > cy").select("cx", "cy")
-        hooks = saved(spark, between.groupBy("cx").agg(F.min("cy").alias("to")), "hooks")
-        if hooks.isEmpty():
-            return names
-        names = saved(spark, names.join(hooks, F.col("comp") == F.col("cx"), "left").select("key", F.coalesce("to", "comp").alias("comp")), "names")
+    with scratch(spark, "components") as keep:
+        names = None
+        edges = keep(links.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x > y").distinct())
+        while not edges.isEmpty():
+            hooks = keep(edges.groupBy("x").agg(F.min("y").alias("to")))
+            while True:
+                doubled = keep(hooks.join(hooks.select(F.col("x").alias("to"), F.col("to").alias("up")), "to", "left"))
+                hooks = doubled.select("x", F.coalesce("up", "to").alias("to"))
+                if doubled.where("up IS NOT NULL").isEmpty():
+                    break
+            moved = hooks.select(F.col("x").alias("key"), F.col("to").alias("comp"))
+            names = moved if names is None else keep(renamed(names, moved).unionByName(moved))
+            ends = edges.join(hooks.withColumnRenamed("to", "tx"), "x").join(hooks.select(F.col("x").alias("y"), F.col("to").alias("ty")), "y", "left")
+            ends = ends.select("tx", F.coalesce("ty", "y").alias("ty"))
+            edges = keep(ends.select(F.greatest("tx", "ty").alias("x"), F.least("tx", "ty").alias("y")).where("x > y").distinct())
+        if names is None:
+            names = edges.select(F.col("x").alias("key"), F.col("y").alias("comp"))
+        return saved(spark, names, "joined")
+
+
+def renamed(names: DataFrame, moved: DataFrame) -> DataFrame:
+    """``names`` (key, comp) after components moved (key, comp)."""
+    return names.join(moved.select(F.col("key").alias("comp"), F.col("comp").alias("_to")), "comp", "left").select("key", F.coalesce("_to", "comp").alias("comp"))
 
 
 def near_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -328,22 +365,36 @@ def near_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     few = saved(spark, alone.join(inside, "key", "left_semi"), "candidates")
     texts = saved(spark, docs.join(inside, "key", "left_semi").dropDuplicates(["key", "text"]), "texts", compression="zstd")
 
-    names = held.select("key").distinct().withColumn("comp", F.col("key"))
-    links = None
-    for turn in ("min", "max", "all"):
-        named = held.join(names, "key")
-        open_ = saved(spark, named.join(named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket"), "bucket", "left_semi"), "open")
+    names = inside.withColumn("comp", F.col("key"))
+
+    def joined(links: DataFrame) -> DataFrame:
+        return saved(spark, renamed(names, components(spark, links)), "components")
+
+    open_ = opened(spark, held, names)
+    for turn in ("min", "max"):
         if open_.isEmpty():
             break
-        if turn == "all":
-            new = saved(spark, crossed(spark, open_, few, texts), "links")
-        else:
-            pick = open_.groupBy("bucket").agg(getattr(F, f"{turn}_by")(F.struct("key", "comp"), "key").alias("hub"))
-            pairs = open_.join(pick, "bucket").where("hub.comp <> comp").select(F.least("hub.key", "key").alias("a"), F.greatest("hub.key", "key").alias("b")).distinct()
-            new = saved(spark, linked(spark, saved(spark, likely(pairs, few), "likely"), texts), "links")
-        links = new if links is None else links.union(new)
-        found = components(spark, links)
-        names = saved(spark, inside.join(found, "key", "left").select("key", F.coalesce("comp", "key").alias("comp")), "components")
+        pick = open_.groupBy("bucket").agg(getattr(F, f"{turn}_by")(F.struct("key", "comp"), "key").alias("hub"))
+        pairs = open_.join(pick, "bucket").where("hub.comp <> comp").select(F.least("hub.key", "key").alias("a"), F.greatest("hub.key", "key").alias("b")).distinct()
+        new = saved(spark, linked(spark, saved(spark, likely(pairs, few), "likely"), texts), "links")
+        if turn == "max":  # links of components from here on
+            new = new.join(names.select(F.col("key").alias("a"), F.col("comp").alias("ca")), "a").join(names.select(F.col("key").alias("b"), F.col("comp").alias("cb")), "b")
+            new = new.select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        names = joined(new)
+        open_ = opened(spark, open_.select("bucket", "key"), names)
+    if not open_.isEmpty():
+        docs_ = placed(spark, open_)
+        blocks = docs_.groupBy("group", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        inner = blocks.where("lo < hi").select("group", F.col("block").alias("block_x"), F.col("block").alias("block_y"))
+        names = joined(saved(spark, crossed(spark, docs_, inner, few, texts), "links"))
+        wide = saved(spark, docs_.join(blocks.groupBy("group").count().where("count > 1"), "group", "left_semi").select("key").distinct(), "wide")
+        if not wide.isEmpty():
+            # Groups of several blocks: what is joined by now needs no comparison, the rest meets block by block.
+            docs_ = placed(spark, opened(spark, open_.select("bucket", "key").join(wide, "key", "left_semi"), names))
+            blocks = docs_.groupBy("group", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+            x, y = (blocks.select("group", *(F.col(c).alias(f"{c}_{i}") for c in ("block", "lo", "hi"))) for i in "xy")
+            units = x.join(y, "group").where("block_x <= block_y AND (lo_x <> hi_y OR hi_x <> lo_y)").select("group", "block_x", "block_y")
+            names = joined(saved(spark, crossed(spark, docs_, units, few, texts), "links"))
 
     heads = groups.join(names.select(F.col("key").alias("head"), "comp"), "head", "left").select("same", F.coalesce("comp", "head").alias("comp"), "n")
     out = sigs.select("key", "n_shingles", "same").join(heads.where("n > 1 OR comp IS NOT NULL"), "same", "left")
