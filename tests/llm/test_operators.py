@@ -6,8 +6,10 @@ import hashlib
 import random
 import re
 import zlib
+from contextlib import contextmanager
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,6 +168,32 @@ def test_phrase_dedup(spark):
     assert got == brute_words(TEXTS)
 
 
+def test_phrases_are_removed_where_the_automata_find_them(spark):
+    """Confirmed passages alone remove nothing, any number of phrases to an automaton finds the same, ids may be equal."""
+    rng = random.Random(6)
+    line = [[f"p{i}{k}" for k in range(60)] for i in range(7)]
+    texts = [" ".join(sum(([*rng.choices("abc", k=5), *rng.choice(line)] for _ in range(3)), [])) for _ in range(30)]
+    keys = list(range(30))
+    passages = [(0, 5, " ".join(x[:55]).encode()) for x in line]
+    owners, places, words = (list(x) for x in zip(*passages, strict=True))
+    data = [t.encode() for t in texts]
+    whole = phrase_dedup.occurrences(phrase_dedup.compiled(np.array(owners), np.array(places), words), keys, data)
+    for most in (1, 3):
+        parts = phrase_dedup.occurrences(phrase_dedup.compiled(np.array(owners), np.array(places), words, most), keys, data)
+        assert [sorted(x) for x in parts] == [sorted(x) for x in whole]
+    for key, text, spans in zip(keys, texts, whole, strict=True):
+        w = text.split()
+        assert sorted(spans) == [(i, i + 55) for i in range(len(w)) if w[i : i + 55] in [x[:55] for x in line] and key > 0]
+    assert phrase_dedup.occurrences([], keys, data) == [[]] * 30
+
+
+def test_phrase_dedup_tells_texts_of_one_id_apart(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    rows = [(1, a), (2, f"{a} {b}"), (2, c), (None, f"{c} z"), (None, b), (None, f"{b} y")]
+    got = phrase_dedup.phrase_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 9, bytes(r["kept"]).decode()) for r in got) == sorted([(1, a), (2, b), (2, c), (9, "z"), (9, ""), (9, "y")])
+
+
 def test_window_minima_are_the_least_of_each_window():
     h = np.random.default_rng(3).integers(0, 1 << 63, 500).astype(np.uint64)
     for w in (1, 2, 3, 8, 61):
@@ -235,6 +263,59 @@ def test_near_dedup(spark):
     assert near(spark, texts) == brute_near(texts)
 
 
+def test_components_of_a_chain_take_few_passes(spark, monkeypatch):
+    made, scratch = [], near_dedup.scratch
+
+    @contextmanager
+    def counted(*args):
+        with scratch(*args) as keep:
+            yield lambda df: made.append(1) or keep(df)
+
+    monkeypatch.setattr(near_dedup, "scratch", counted)
+    links = spark.createDataFrame([(i, i + 1) for i in range(1000)], "a long, b long")
+    assert {r["key"]: r["comp"] for r in near_dedup.components(spark, links).collect()} == {i: 0 for i in range(1, 1001)}
+    assert len(made) <= 16  # ten doublings
+    rng = random.Random(4)
+    pairs = [(rng.randrange(900), rng.randrange(900)) for _ in range(500)]
+    root = list(range(900))
+    for _ in range(900):
+        before = list(root)
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    got = {r["key"]: r["comp"] for r in near_dedup.components(spark, spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {i: x for i, x in enumerate(root) if i != x}
+
+
+def test_a_unit_returns_a_forest(spark):
+    rng, base = random.Random(3), [f"b{i}" for i in range(100)]
+    texts = []
+    for _ in range(90):
+        t = list(base)
+        for _ in range(rng.randrange(5)):
+            t[rng.randrange(100)] = f"c{rng.randrange(10**6)}"
+        texts.append(" ".join(t))
+    sets = near_dedup.shingle_sets([t.encode() for t in texts])
+    unit = pd.DataFrame({"key": range(90), "comp": range(90), "x": True, "y": True, "sig": [x.tobytes() for x in near_dedup.signatures(sets)], "text": texts})
+    links = near_dedup._compared(unit, near_dedup.fewest_matches())
+    root = list(range(90))
+    for a, b in links.itertuples(index=False):
+        x, y = root[a], root[b]
+        assert x != y
+        root = [x if r == y else r for r in root]
+    want = brute_near(["", "", *texts])
+    assert len(set(root)) == len({want[i + 2][1] for i in range(90)})
+
+
+def test_near_dedup_links_every_text_of_an_id(spark):
+    rng = random.Random(12)
+    a, b = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, f"{a} more"), (3, f"{b} more"), (4, "else where is a text of other words")]
+    got = near_dedup.near_groups(spark, keyed(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert {(r["key"], r["comp"]) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
 def test_pruning_never_drops_what_it_must_keep():
     least = near_dedup.fewest_matches()
     assert all(m <= 0.75 * n for n, m in least.items()) and least[160] > 80

@@ -81,7 +81,7 @@ def unkeyed(col: str | Column = "key") -> Column:
 
 def block_of(keys: np.ndarray, n: int) -> np.ndarray:
     """The block (0 to n - 1) of each id."""
-    return (keys % n).astype(np.int32)
+    return (mix(keys.astype(np.uint64)) % np.uint64(n)).astype(np.int32)
 
 
 def routed(df: DataFrame, n: int, *order: str) -> DataFrame:

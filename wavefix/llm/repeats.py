@@ -8,8 +8,9 @@ anchor), so equal windows are assigned to equal grams at equal offsets. Then
 2. ``cut``: there the text around each recurring anchor, as far as its windows reach,
    is cut out and sent to the shard of its gram;
 3. ``judged``: a shard compares the passages of each of its grams (this is what the
-   operators differ in) and tells the ranges to remove;
-4. ``finished``: ranges return to their blocks and are applied to the whole texts.
+   operators differ in) and tells what it has found: ranges to remove, or confirmed passages;
+4. ``finished``, or an operator's own last step: that returns to the blocks of the documents and
+   is applied to the whole texts.
 
 Hot passages: the anchors of equal grams in one input batch, and equal passages in one
 block, meet where they are. Only the first goes on; the others are settled. So a gram
@@ -38,6 +39,7 @@ FLUSH = 1 << 25
 #: Bits of the hash that are kept: a chance agreement costs a comparison, no wrong result.
 KEPT = np.uint64(0xFFFFFFFFFFFF0000)
 _PACKED = ", ".join(f"{k} binary" for k in FIELDS)
+TOLD = ["target", "keys", "froms", "tos", "size", "data"]
 
 
 @dataclass(frozen=True)
@@ -53,6 +55,10 @@ class Rule:
     join: Callable[[bytes | list[bytes]], bytes]
     #: Only repeats in another document count.
     across: bool
+    #: What is told of a passage (document, position, distances to the first and last window) that an earlier document
+    #: of the block holds too (its id comes last), and how what is told is packed by block.
+    settled: Callable[[int, int, int, int, bytes, int], tuple]
+    told: Callable[[list[tuple], int], Iterator[dict[str, object]]]
 
 
 def chunk_anchors(units: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.ndarray, ...]:
@@ -147,16 +153,16 @@ def beside(docs: DataFrame, rows: DataFrame, n: int, names: list[str]) -> DataFr
             blocks, keys = block_of(pdf["key"].to_numpy(), n), pdf["key"].to_numpy()
             order = np.argsort(blocks, kind="stable")
             texts = [t.encode("utf-8", "replace") for t in pdf["text"]]
-            yield from _rows(_with_data(blocks[order], {"keys": keys[order]}, [texts[i] for i in order.tolist()]))
+            yield from _rows(with_data(blocks[order], {"keys": keys[order]}, [texts[i] for i in order.tolist()]))
 
     empty = F.lit(None).cast("binary")
     texts = docs.mapInPandas(pack, "target int, keys binary, size binary, data binary")
     texts = texts.select("target", F.lit(1).alias("kind"), "size", "data", *(F.col(c) if c == "keys" else empty.alias(c) for c in names))
-    notes = rows.select("target", F.lit(0).alias("kind"), empty.alias("size"), empty.alias("data"), *names)
+    notes = rows.select("target", F.lit(0).alias("kind"), *(F.col(c) if c in rows.columns else empty.alias(c) for c in ("size", "data")), *names)
     return routed(notes.unionByName(texts), n, "kind")
 
 
-def _with_data(targets: np.ndarray, columns: dict[str, np.ndarray], data: list[bytes]) -> Iterator[dict[str, object]]:
+def with_data(targets: np.ndarray, columns: dict[str, np.ndarray], data: list[bytes]) -> Iterator[dict[str, object]]:
     """``packed`` with pieces of text; everything is sorted by target already."""
     cuts = np.flatnonzero(np.concatenate(([True], targets[1:] != targets[:-1], [True]))).tolist() if len(targets) else [0]
     press = zstandard.ZstdCompressor(level=3)
@@ -165,8 +171,8 @@ def _with_data(targets: np.ndarray, columns: dict[str, np.ndarray], data: list[b
         yield {"target": int(targets[a]), **{k: squeezed(v[a:b]) for k, v in columns.items()}, "size": squeezed(sizes), "data": press.compress(b"".join(data[a:b]))}
 
 
-def _pieces(size: bytes, data: bytes) -> list[bytes]:
-    """The pieces of text of one ``_with_data`` row."""
+def pieces(size: bytes, data: bytes) -> list[bytes]:
+    """The pieces of text of one ``with_data`` row."""
     ends = np.cumsum(unsqueezed([size], "<u4").astype(np.int64)).tolist()
     whole = zstandard.ZstdDecompressor().decompress(data)
     return [whole[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
@@ -189,17 +195,17 @@ def by_document(batches: Iterator[pd.DataFrame], kinds: dict[str, str]) -> Itera
                 notes = {k: x[order] for k, x in notes.items()}
             keys = unsqueezed([row["keys"]], "<i8")
             a, b = np.searchsorted(notes["keys"], keys), np.searchsorted(notes["keys"], keys, "right")
-            yield zip(keys.tolist(), _pieces(row["size"], row["data"]), repeat(notes), a.tolist(), b.tolist(), strict=False)
+            yield zip(keys.tolist(), pieces(row["size"], row["data"]), repeat(notes), a.tolist(), b.tolist(), strict=False)
 
 
 def cut(docs: DataFrame, found: DataFrame, n: int, rule: Rule) -> DataFrame:
-    """Passages around recurring anchors by the shard of their gram (kind 0), and ranges settled at once (kind 1)."""
+    """Passages around recurring anchors by the shard of their gram (kind 0), and what is settled at once (kind 1)."""
 
     def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[bytes, tuple[int, int]] = {}
         out: list[tuple[int, int, int, int, int]] = []
         data: list[bytes] = []
-        gone: list[tuple[int, int, int]] = []
+        gone: list[tuple] = []
         held = 0
 
         def flush() -> Iterator[pd.DataFrame]:
@@ -208,8 +214,8 @@ def cut(docs: DataFrame, found: DataFrame, n: int, rule: Rule) -> DataFrame:
                 cols = {k: np.array(x, kind) for (k, kind), x in zip(FIELDS.items(), zip(*out, strict=True), strict=True)}
                 target = _shard(cols["h"], n)
                 order = np.argsort(target, kind="stable")
-                yield from _rows(_with_data(target[order], {k: x[order] for k, x in cols.items()}, [data[i] for i in order.tolist()]), kind=0, froms=b"", tos=b"")
-            yield from _rows(_ranges(gone, n), kind=1, h=b"", pos=b"", lo=b"", hi=b"", size=b"", data=b"")
+                yield from _rows(with_data(target[order], {k: x[order] for k, x in cols.items()}, [data[i] for i in order.tolist()]), kind=0, froms=b"", tos=b"")
+            yield from _rows(rule.told(gone, n), kind=1, h=b"", pos=b"", lo=b"", hi=b"")
             out.clear(), data.clear(), gone.clear()
             held = 0
 
@@ -230,7 +236,7 @@ def cut(docs: DataFrame, found: DataFrame, n: int, rule: Rule) -> DataFrame:
                     elif was == (key, p):
                         continue
                     elif not rule.across or was[0] < key:
-                        gone.append((key, p - a, p - b + rule.window))
+                        gone.append(rule.settled(key, p, a, b, passage, was[0]))
                         continue
                     out.append((h_, key, p, a, b))
                     data.append(passage)
@@ -243,29 +249,30 @@ def cut(docs: DataFrame, found: DataFrame, n: int, rule: Rule) -> DataFrame:
     return beside(docs, found, n, names).mapInPandas(slices, f"target int, kind int, {_PACKED}, size binary, data binary, froms binary, tos binary")
 
 
-def _ranges(rows: list[tuple[int, int, int]], n: int) -> Iterator[dict[str, object]]:
+def ranges(rows: list[tuple[int, int, int]], n: int) -> Iterator[dict[str, object]]:
     """Ranges (document, from, to) packed by block."""
     if rows:
         keys, a, b = (np.array(x, np.int64) for x in zip(*rows, strict=True))
-        yield from packed(block_of(keys, n), {"keys": keys, "froms": a.astype("<u4"), "tos": b.astype("<u4")})
+        for row in packed(block_of(keys, n), {"keys": keys, "froms": a.astype("<u4"), "tos": b.astype("<u4")}):
+            yield {**row, "size": b"", "data": b""}
 
 
-def judged(passages: DataFrame, n: int, judge: Callable[[list[np.ndarray], list[bytes]], list[tuple[int, int, int]]]) -> DataFrame:
-    """Ranges to remove, packed by block. ``judge`` gets [h, keys, pos, lo, hi] and the passages of one shard."""
+def judged(passages: DataFrame, n: int, rule: Rule, judge: Callable[[list[np.ndarray], list[bytes]], list[tuple]]) -> DataFrame:
+    """What ``judge`` finds, packed by block. It gets [h, keys, pos, lo, hi] and the passages of one shard."""
 
     def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list[bytes]] = {k: [] for k in [*FIELDS, "size", "data"]}
         for pdf in batches:
             passed = pdf[pdf["kind"] == 1]
             if len(passed):
-                yield passed[["target", "keys", "froms", "tos"]]
+                yield passed[TOLD]
             for k, x in held.items():
                 x += pdf.loc[pdf["kind"] == 0, k].tolist()
         if held["h"]:
-            parts = [x for size, data in zip(held["size"], held["data"], strict=True) for x in _pieces(size, data)]
-            yield from _rows(_ranges(judge([unsqueezed(held[k], kind) for k, kind in FIELDS.items()], parts), n))
+            parts = [x for size, data in zip(held["size"], held["data"], strict=True) for x in pieces(size, data)]
+            yield from _rows(rule.told(judge([unsqueezed(held[k], kind) for k, kind in FIELDS.items()], parts), n))
 
-    return passages.repartitionById(n, F.col("target")).mapInPandas(shard, "target int, keys binary, froms binary, tos binary")
+    return passages.repartitionById(n, F.col("target")).mapInPandas(shard, "target int, keys binary, froms binary, tos binary, size binary, data binary")
 
 
 def finished(docs: DataFrame, ranges: DataFrame, n: int, make: Callable[[int, bytes, np.ndarray, np.ndarray], dict[str, object]], schema: str) -> DataFrame:
@@ -278,7 +285,6 @@ def finished(docs: DataFrame, ranges: DataFrame, n: int, make: Callable[[int, by
     return beside(docs, ranges, n, ["keys", "froms", "tos"]).mapInPandas(apply, schema)
 
 
-def repeats_removed(docs: DataFrame, n: int, rule: Rule, judge: Callable, make: Callable, schema: str) -> DataFrame:
-    """All four steps over ``docs`` (key, text)."""
-    ranges = judged(cut(docs, gathered(docs, n, rule), n, rule), n, judge)
-    return finished(docs, ranges, n, make, schema)
+def found(docs: DataFrame, n: int, rule: Rule, judge: Callable) -> DataFrame:
+    """The first three steps over ``docs`` (key, text)."""
+    return judged(cut(docs, gathered(docs, n, rule), n, rule), n, rule, judge)

@@ -22,12 +22,13 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from wavefix.llm.common import byte_units, keyed, merged, partitions, unkeyed
-from wavefix.llm.repeats import Rule, repeats_removed
+from wavefix.llm.repeats import Rule, finished, found, ranges
 
 LENGTH, GRAM = 100, 40
 
@@ -36,7 +37,11 @@ def _units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return byte_units(b"".join(texts)), np.cumsum([0, *map(len, texts)])
 
 
-RULE = Rule(LENGTH, GRAM, _units, bytes, bytes, across=False)
+def _settled(key: int, pos: int, lo: int, hi: int, passage: bytes, owner: int) -> tuple[int, int, int]:
+    return key, pos - lo, pos - hi + LENGTH
+
+
+RULE = Rule(LENGTH, GRAM, _units, bytes, bytes, False, _settled, ranges)
 
 
 def shallow_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,15 +170,20 @@ def _digested(*args: object) -> dict[str, object]:
     return row
 
 
+def _removed(spark: SparkSession, docs: DataFrame, make: Callable, schema: str) -> DataFrame:
+    n = partitions(spark)
+    return finished(docs, found(docs, n, RULE, judge), n, make, schema)
+
+
 def substring_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) with the bytes that stay."""
-    rows = repeats_removed(keyed(docs), partitions(spark), RULE, judge, applied, "key long, n_bytes long, n_removed long, n_spans long, kept binary")
+    rows = _removed(spark, keyed(docs), applied, "key long, n_bytes long, n_removed long, n_spans long, kept binary")
     return rows.select(unkeyed().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = repeats_removed(keyed(docs), partitions(spark), RULE, judge, _digested, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = _removed(spark, keyed(docs), _digested, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return rows.select(unkeyed().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
