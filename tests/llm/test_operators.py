@@ -88,6 +88,24 @@ def test_exact_dedup(spark, weak):
     assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in got} == brute_exact(texts)
 
 
+def test_index_levels_keep_the_least_and_answer_lookups(spark):
+    rng = random.Random(2)
+    rows = [(i, "x" * rng.randrange(40)) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(40, "doc_id")
+    runs = exact_dedup.flushed(spark, docs)
+    assert runs.agg(F.max("run")).first()[0] >= exact_dedup.FANOUT  # so that several levels are merged
+    got = {bytes(r["digest"]): (r["keep_id"], r["group_size"]) for r in exact_dedup.compacted(spark, runs).collect()}
+    of = lambda t: hashlib.sha256(t.encode()).digest()
+    want = {of(t): (min(i for i, u in rows if u == t), sum(u == t for _, u in rows)) for _, t in rows}
+    assert got == want
+    some = [of("x" * 3), of("xx"), of("absent")]
+    assert sorted(r["id"] for r in exact_dedup.found(runs, some).collect()) == sorted(i for i, t in rows if len(t) in (2, 3))
+    probe = spark.createDataFrame([(of(f"y{i}"),) for i in range(2000)] + [(x,) for x in want], "digest binary")
+    passed = {bytes(r["digest"]) for r in exact_dedup.passing(probe, exact_dedup.filter_of(runs)).collect()}
+    assert want.keys() <= passed and len(passed) < len(want) + 20
+    assert exact_dedup.passing(probe, exact_dedup.filter_of(runs.where("false"))).count() == 0
+
+
 # --- op3 ----------------------------------------------------------------------------
 
 

@@ -1,10 +1,14 @@
 """Exact deduplication by a log-structured merge index of text digests.
 
-Each task is a memtable: it hashes the normalised texts of its rows and flushes
-them as a run sorted by digest, whose Parquet files carry a Bloom filter on the
-digest for later look-ups. Compaction merges all runs and keeps for each digest
-the row that stays. Digests with several rows are hits; the bytes of their
-texts are compared, and a digest whose texts differ is split by text.
+Each task is a memtable: it hashes the normalised texts of its rows and flushes them as a run sorted
+by digest (level 0), whose Parquet files carry a Bloom filter on the digest. Levels are compacted by
+size: ``FANOUT`` runs of a level merge into one sorted run of the next, which keeps for each digest the
+row that stays and how many there were, until one run is left. A run's rows are dealt by digest, so a
+level is merged by all tasks, and a hot digest is reduced before it is shuffled.
+
+Digests of several rows in the last run are hits. They get a filter of ``BITS`` bits (of fixed size, so it is
+broadcast; a full one only lets more pass); texts that pass it are looked up in the hits and their bytes
+compared, and a digest whose texts differ is split by text. Point look-ups in the runs use their files' own filters.
 
 Defined results: a null text is empty, and all empty texts are one group; a
 null id loses to any id; rows that repeat an id carry the same decision each; an
@@ -22,6 +26,12 @@ from wavefix.llm.common import saved
 
 #: Characters that don't count when texts are compared.
 IGNORED = " \t\n\x0b\x0c\r"
+#: Runs that merge into one.
+FANOUT = 16
+#: Bits of the hits' filter.
+BITS = 1 << 26
+#: How runs are written: Parquet's own filters, for point look-ups.
+FILTERED = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled#digest": "true"}
 
 
 def normalised(text: Column) -> Column:
@@ -35,29 +45,62 @@ def sha256(text: Column) -> Column:
 
 
 def flushed(spark: SparkSession, docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """Level 0: (digest, id, chars) in sorted runs, one for each task, with filters."""
+    """Level 0: (run, digest, id, chars) in sorted runs, one for each task, with filters."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(digest(normalised(text)).alias("digest"), F.col("doc_id").alias("id"), F.length(text).alias("chars"))
-    return saved(spark, rows.sortWithinPartitions("digest"), "runs", **{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled#digest": "true"})
+    rows = docs.select(F.spark_partition_id().alias("run"), digest(normalised(text)).alias("digest"), F.col("doc_id").alias("id"), F.length(text).alias("chars"))
+    return saved(spark, rows.sortWithinPartitions("digest"), "runs", **FILTERED)
+
+
+def merged(level: DataFrame, *also: str) -> DataFrame:
+    """The next level of runs (run, digest, best, n): each digest once in each, with the row that stays (longest text, then least id)."""
+    out = level.groupBy(F.floor(F.col("run") / FANOUT).cast("int").alias("run"), "digest", *also).agg(F.max("best").alias("best"), F.sum("n").alias("n"))
+    return out.sortWithinPartitions("run", "digest")
+
+
+def compacted(spark: SparkSession, runs: DataFrame, *also: str) -> DataFrame:
+    """The last run, (digest, keep_id, group_size), after merging level by level."""
+    level = runs.select("run", "digest", *also, F.struct("chars", F.bitwise_not("id").alias("rest")).alias("best"), F.lit(1).cast("long").alias("n"))
+    most = None
+    while most is None or most > 0:
+        level = saved(spark, merged(level, *also), "level", **FILTERED)
+        most = level.agg(F.max("run")).first()[0] or 0
+    return level.select("digest", *also, F.bitwise_not("best.rest").alias("keep_id"), F.col("n").alias("group_size"))
+
+
+def _bit() -> Column:
+    return F.pmod(F.xxhash64("digest"), F.lit(BITS))
 
 
-def compacted(runs: DataFrame, *also: str) -> DataFrame:
-    """One row for each digest: the id that stays (longest text, then least id) and the number of rows."""
-    best = F.max(F.struct("chars", F.bitwise_not("id").alias("rest")))
-    return runs.groupBy("digest", *also).agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")).select("digest", *also, F.bitwise_not("best.rest").alias("keep_id"), "group_size")
+def filter_of(digests: DataFrame) -> DataFrame:
+    """(bucket, bits): a Bloom filter of digests in rows of 4 KB, ``BITS`` / 8 bytes at most."""
+    return digests.groupBy(F.bitmap_bucket_number(_bit()).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(_bit())).alias("bits"))
+
+
+def passing(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """The rows whose digest may be among those of the filter; nothing is shuffled."""
+    at = F.bitmap_bit_position(_bit())
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    out = rows.withColumn("bucket", F.bitmap_bucket_number(_bit())).join(F.broadcast(bits), "bucket")
+    return out.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(rows.columns)
+
+
+def found(runs: DataFrame, digests: list[bytes]) -> DataFrame:
+    """Rows of a level with the given digests (a short list): ranges and Bloom filters of the files let the scan skip their row groups."""
+    return runs.where(F.col("digest").isin([F.lit(x) for x in digests]))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, digest) for each row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     runs = flushed(spark, docs, digest)
-    hits = saved(spark, compacted(runs).where("group_size > 1"), "hits")
+    hits = saved(spark, compacted(spark, runs).where("group_size > 1"), "hits")
 
     # Byte verification of the hits. Copies in one task collapse before the shuffle by text, so a hot text
     # costs a row for each task; only digests that belong to several texts are left.
     text = normalised(F.coalesce(F.col("text"), F.lit("")))
     rows = docs.select(digest(text).alias("digest"), text.alias("norm"), "doc_id", "text")
-    texts = rows.select("digest", "norm").join(hits.select("digest").hint("merge"), "digest", "left_semi").groupBy("norm").agg(F.first("digest").alias("digest"))
+    maybe = passing(rows.select("digest", "norm"), filter_of(hits))
+    texts = maybe.groupBy("norm").agg(F.first("digest").alias("digest")).join(hits.select("digest"), "digest", "left_semi")
     mixed = saved(spark, texts.groupBy("digest").count().where("count > 1").select("digest"), "mixed")
 
     pure = hits.join(mixed, "digest", "left_anti")
@@ -69,17 +112,12 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, digest: Callable[[Column],
     if mixed.isEmpty():
         out = single
     else:
-        clash = rows.join(mixed, "digest", "left_semi").select("digest", "norm", F.col("doc_id").alias("id"), F.length(F.coalesce("text", F.lit(""))).alias("chars"))
-        split = clash.join(compacted(clash, "norm"), ["digest", "norm"]).select(F.col("id").alias("doc_id"), "keep_id", "group_size", "digest")
+        clash = rows.join(mixed, "digest", "left_semi").select(F.lit(0).alias("run"), "digest", "norm", F.col("doc_id").alias("id"), F.length(F.coalesce("text", F.lit(""))).alias("chars"))
+        split = clash.join(compacted(spark, clash, "norm"), ["digest", "norm"]).select(F.col("id").alias("doc_id"), "keep_id", "group_size", "digest")
         out = single.unionByName(split)
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 
-def found(runs: DataFrame, digests: DataFrame) -> DataFrame:
-    """Rows of the index with the given digests; each run's filter and ranges let Spark skip its row groups."""
-    return runs.join(digests.select("digest"), "digest", "left_semi")
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = exact_dedup(spark, docs)
