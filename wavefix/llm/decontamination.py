@@ -16,9 +16,9 @@ columns of either table are ignored; repeated documents give repeated rows.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import pandas as pd
 from pyspark import Broadcast
@@ -173,7 +173,7 @@ def scored(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int =
     ``spans`` are maximal runs of hit words (from, to); ``items`` the sorted ids of the items with
     windows in the document; it is contaminated if hit words are at least ``coverage`` of all, and any.
     """
-    at_least = round(1 / coverage)
+    least = Fraction(str(coverage))
     hits = F.lit(None).cast(HITS)
     for part in shards(items, shard_words):
         hits = _step(spark.sparkContext.broadcast(ItemAutomaton(part, window)))(F.col("text"), hits)
@@ -182,7 +182,7 @@ def scored(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int =
         name += "_"
     out = docs.withColumn(name, hits)
     n_hit = F.aggregate(f"{name}.spans", F.lit(0).cast("long"), lambda n, x: n + (x["b"] - x["a"]))
-    return out.withColumns({"spans": F.col(f"{name}.spans"), "items": F.col(f"{name}.items"), "n_words": F.col(f"{name}.n_words"), "n_hit": n_hit}).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * at_least >= F.col("n_words"))).drop(name)
+    return out.withColumns({"spans": F.col(f"{name}.spans"), "items": F.col(f"{name}.items"), "n_words": F.col(f"{name}.n_words"), "n_hit": n_hit}).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * least.denominator >= F.col("n_words") * least.numerator)).drop(name)
 
 
 def _step(sent: Broadcast) -> Callable[[Column, Column], Column]:
@@ -232,11 +232,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
-def digest_of(ids: list[str]) -> str:
-    """items_sha256 of a list of item ids."""
-    return hashlib.sha256(",".join(sorted(set(ids))).encode()).hexdigest()
-
-
 ORACLE = r"""
 WITH low AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents

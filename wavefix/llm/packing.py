@@ -26,11 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wavefix.llm.common import keyed, saved, unkeyed
+from wavefix.llm.common import keyed, partitions, saved, unkeyed
 from wavefix.llm.tokens import encoder, vocabulary
 
 END = 1
-BLOCKS = 64
 
 
 def pack_histogram(counts: dict[int, int], size: int) -> list[tuple[list[int], int]]:
@@ -95,9 +94,9 @@ def pieces(docs: DataFrame, path: str, size: int) -> DataFrame:
     return docs.mapInPandas(cut, "key long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def ranked(df: DataFrame, by: str, key: str) -> DataFrame:
+def ranked(df: DataFrame, by: str, key: str, blocks: int) -> DataFrame:
     """Add ``rank`` from 0 within ``by``, in blocks of ids: no task holds all rows of one value."""
-    df = df.withColumn("block", F.pmod(F.xxhash64(key), F.lit(BLOCKS)))
+    df = df.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)))
     sizes = df.groupBy(by, "block").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy(by).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     sizes = sizes.select(by, "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
@@ -128,7 +127,7 @@ def packed(spark: SparkSession, docs: DataFrame, path: str, size: int = 2048) ->
                 seq[g], off[g] = base[i] + rank - first[i], offset[i]
             yield pdf.drop(columns="rank").assign(sequence_id=seq, offset=off)
 
-    out = ranked(rows, "length", "key").select("key", "start", "length", "ids_crc32", "doc_tokens", "rank")
+    out = ranked(rows, "length", "key", partitions(spark)).select("key", "start", "length", "ids_crc32", "doc_tokens", "rank")
     out = out.mapInPandas(place, "key long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return out.select(unkeyed().alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 

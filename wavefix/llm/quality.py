@@ -123,7 +123,9 @@ def trained(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     prior = float(np.clip((good + 1) / (n + 2), 0.05, 0.98))
     # Both lists of ids are limited, so they may be broadcast; texts don't move.
     positives = known.where("quality = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(POSITIVES).withColumn("positive", F.lit(True))
-    unlabelled = docs.where(~held_out(F.col("doc_id"))).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(UNLABELLED).withColumn("positive", F.lit(False))
+    # A bound on the hash, four times wider than needed, keeps what tasks send for the limit from growing with their number.
+    widest = min((1 << 64) - 1, (UNLABELLED << 66) // max(docs.count(), 1)) - (1 << 63)
+    unlabelled = docs.where(~held_out(F.col("doc_id")) & (F.xxhash64("doc_id") <= widest)).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(UNLABELLED).withColumn("positive", F.lit(False))
     rows = docs.select("doc_id", "text").join(F.broadcast(positives.union(unlabelled)), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "positive", "doc_id")
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
