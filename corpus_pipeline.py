@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next stage's ``docs``. All but the last return the
 columns of ``documents``; the last returns the packed pieces.
+
+Defined results: a null text is an empty text in every stage; empty texts are exact copies of each
+other, near copies of nothing and never contaminated; rows may share an id or have none: they are told apart
+by their text, and of rows equal in both one stays; an empty table passes through; other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -64,8 +68,9 @@ def near_copies_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by benchmark passages."""
-    rows = decontamination.scored(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return rows.where("NOT contaminated").select(docs.columns)
+    own = docs.select("text", F.struct(*docs.columns).alias("_row"))  # whatever the columns' names are
+    rows = decontamination.scored(spark, own, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.where("NOT contaminated").select("_row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
