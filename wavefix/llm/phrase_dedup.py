@@ -24,6 +24,7 @@ gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -31,12 +32,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from wavefix.llm.common import block_of, chunks, keyed, merged, partitions, unkeyed, unsqueezed, word_hashes, word_spans
+from wavefix.llm.common import block_of, chunks, keyed, merged, partitions, powers, unkeyed, unsqueezed, word_hashes, word_spans
 from wavefix.llm.repeats import Rule, beside, found, pieces, with_data
 
 LENGTH, GRAM = 50, 16
 #: Phrases in one automaton; their words must have fewer distinct values than Unicode has letters.
 PHRASES = 50_000
+_MASK = (1 << 64) - 1
 
 
 def _units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -117,11 +119,35 @@ def _confirmed(same: list[Passage]) -> Iterator[tuple[int, int, int, bytes]]:
                 begin = -1
 
 
+#: The inverse of the base of ``powers``.
+_BACK = np.uint64(pow(int(powers(2)[1]), -1, 1 << 64))
+
+
+class Sums:
+    """Hashes of any run of words, from running sums of the words' hashes; equal runs have equal hashes anywhere."""
+
+    def __init__(self, units: np.ndarray):
+        back = np.full(len(units) + 1, _BACK)
+        back[0] = 1
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(units * powers(len(units)), dtype=np.uint64)))
+        self.back = np.multiply.accumulate(back)
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return (self.sums[ends] - self.sums[starts]) * self.back[starts]
+
+    def lists(self) -> tuple[list[int], list[int]]:
+        return self.sums.tolist(), self.back.tolist()
+
+
+#: Confirmed passages of a phrase by place and number of words, then by hash: texts and their owners.
+Known = dict[tuple[int, int], dict[int, list[tuple[bytes, int]]]]
+
+
 class Phrases:
     """An automaton over words that locates phrases, and the confirmed passages of each."""
 
-    def __init__(self, words: np.ndarray, found_: list[dict[tuple[int, int], dict[bytes, int]]]):
-        """``words`` has the word hashes of each phrase as a row; ``found_`` its passages by place and number of words."""
+    def __init__(self, words: np.ndarray, found_: list[list[Known]]):
+        """``words`` has the word hashes of each phrase as a row."""
         self.known = np.unique(words)
         self.find = ahocorasick.Automaton()
         for row, at in zip(self._letters(np.searchsorted(self.known, words)), found_, strict=True):
@@ -145,11 +171,14 @@ class Phrases:
 
 def compiled(owners: np.ndarray, places: np.ndarray, passages: list[bytes], most: int = PHRASES) -> list[Phrases]:
     """Automata of confirmed passages, each of at most ``most`` phrases."""
-    by: dict[bytes, dict[tuple[int, int], dict[bytes, int]]] = {}
-    for owner, place, text in zip(owners.tolist(), places.tolist(), passages, strict=True):
-        words = text.split(b" ")
-        same = by.setdefault(b" ".join(words[place : place + GRAM]), {}).setdefault((place, len(words)), {})
-        same[text] = min(owner, same.get(text, owner))
+    by: dict[bytes, Known] = {}
+    for a in range(0, len(passages), most):
+        part = passages[a : a + most]
+        units, bounds = _units(part)
+        hashes = Sums(units).of(bounds[:-1], bounds[1:]).tolist()
+        for owner, place, text, h in zip(owners[a : a + most].tolist(), places[a : a + most].tolist(), part, hashes, strict=True):
+            words = text.split(b" ")
+            by.setdefault(b" ".join(words[place : place + GRAM]), {}).setdefault((place, len(words)), {}).setdefault(h, []).append((text, owner))
     phrases, out = list(by), []
     for a in range(0, len(phrases), most):
         part = phrases[a : a + most]
@@ -162,20 +191,24 @@ def occurrences(automata: list[Phrases], keys: list[int], texts: list[bytes]) ->
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
     units, bounds = _units(texts)
     ends, split = bounds.tolist(), {}
+    sums, back = Sums(units).lists() if automata else ([], [])
     for x in automata:
         for at, found_ in x.located(units):
-            d = int(np.searchsorted(bounds, at, "right")) - 1
-            if d not in split:
-                split[d] = texts[d].split()
-            words, here = split[d], at - ends[d]
+            d = bisect_right(ends, at) - 1
+            first, last, key = ends[d], ends[d + 1], keys[d]
             for phrase in found_:
                 for (place, n), same in phrase.items():
-                    a = here - place
-                    if a < 0 or a + n > len(words):
+                    a = at - place
+                    if a < first or a + n > last:
+                        continue
+                    had = same.get((sums[a + n] - sums[a]) * back[a] & _MASK)
+                    if had is None or had[0][1] >= key and all(owner >= key for _, owner in had):
                         continue
-                    owner = same.get(b" ".join(words[a : a + n]))
-                    if owner is not None and owner < keys[d]:
-                        out[d].append((a, a + n))
+                    if d not in split:
+                        split[d] = texts[d].split()
+                    words = b" ".join(split[d][a - first : a - first + n])
+                    if any(owner < key and text == words for text, owner in had):
+                        out[d].append((a - first, a - first + n))
     return out
 
 
