@@ -29,7 +29,7 @@ IGNORED = " \t\n\x0b\x0c\r"
 #: Runs that merge into one.
 FANOUT = 16
 #: Bits of the hits' filter.
-BITS = 1 << 26
+BITS = 1 << 24
 #: How runs are written: Parquet's own filters, for point look-ups.
 FILTERED = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled#digest": "true"}
 
