@@ -121,3 +121,20 @@ def test_dictionary_has_all_frequent_words(spark):
     words = ["".join(x) for x in zip("abcdefghij" * 200, *(random.Random(k).choices("abcdefghijklmnopqrstuvwxyz", k=2000) for k in range(7)), strict=True)]
     docs = spark.createDataFrame([(" ".join(words),), (", ".join(words) + " once",), (None,)], "text string")
     assert {r["run"] for r in secret_scan.dictionary(docs).collect()} == set(words)
+
+
+def test_findings_against_plain_python(spark):
+    rng = random.Random(11)
+    parts = ["a" * 20, "0123456789abcdef" * 2, "x", ".", '"', ":", "(", "é", "Az09+/_=-" * 2, "{", ",", "short"]
+    texts = [None, "", " \n", *(" ".join("".join(rng.choices(parts, k=rng.randrange(1, 9))) for _ in range(rng.randrange(1, 12))) for _ in range(150)), "k=" + "b" * 100_000]
+    texts = [t if i % 3 else t and t.replace(" ", "\n\t") for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(i, t, None if i % 5 == 0 else f"s{i % 2}") for i, t in enumerate(texts)], "doc_id long, text string, source string").withColumns({"n": F.lit(1), "word": F.lit(2)})
+    want = set()
+    for i, t in enumerate(texts):
+        words = re.split(r"[\x20\x09-\x0D]+", t or "")
+        for at, w in enumerate(words):
+            near = [words[at + d] if 0 <= at + d < len(words) else "" for d in (-2, -1, 1)]
+            for n, m in enumerate(re.finditer(r"[A-Za-z0-9+/_=-]{16,}", w)):
+                want.add((i, "" if i % 5 == 0 else f"s{i % 2}", at, n, m[0], w[: m.start()], w[m.end() :], *near))
+    rows = secret_scan.findings(df).select("doc_id", "path", "at", "n", "candidate", "lead", "tail", "name", "before", "after").collect()
+    assert len(rows) == len(want) and {tuple(r) for r in rows} == want

@@ -1,16 +1,17 @@
 """Secret scanning: candidates by pattern, false positives removed by a random forest.
 
 A candidate is a run of at least ``SHORTEST`` characters of base 64, hexadecimal or
-identifiers inside a word. The forest sees its length, how its characters change
-class, how much of it a dictionary covers (the corpus's words of at least a millionth of all),
-the document's path (its source), and the words around it. It is trained on labelled findings, of which at most ``LABELLED`` (those
+identifiers inside a word. The forest sees its length, the table of its characters' transitions between
+classes, how much of it a dictionary covers (the corpus's words of at least a millionth of all),
+the document's path (its source), and the shape of the words around it and of what its own word holds beside it. It is trained on labelled findings, of which at most ``LABELLED`` (those
 of least hash) are used, with classes weighted alike; every candidate is scored.
 
 DataFrame functions and Spark's own forest only; no row meets Python.
 
 The tables hold no labelled findings, so the query labels them itself. A value that is assigned to a
 credential's name, with or without blanks, is a secret if it is in quotes (whatever follows them) or mixes
-letters and digits; a candidate far from such names is none; any other has no label. The operator takes any labels.
+letters and digits; a candidate far from such names or in the place of a name is none; any other has no label. What the rule looks at (names,
+assignments, quotes) is no feature, so the forest has to find secrets by other signs. The operator takes any labels.
 
 Defined results: a null or empty text has no candidates; a word with several gives them
 all, numbered by ``n``; labels without ``n`` hold for all candidates of a word; without labels of both classes the score is the share of secrets among the labels
@@ -30,7 +31,7 @@ from wavefix.llm.common import saved
 
 SHORTEST = 16
 LABELLED = 20_000
-TREES, DEPTH = 30, 6
+TREES, DEPTH = 40, 8
 THRESHOLD = 0.5
 #: A letter run is in the dictionary if it is so often a word of the corpus, and such a share of all its words.
 SEEN, SHARE = 2, 1e-6
@@ -38,13 +39,14 @@ SEEN, SHARE = 2, 1e-6
 #: Fixed patterns: a candidate, names of credentials, signs of assignment, paths of examples.
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}"
 NAME = r"(?i)(token|secret|password|passwd|pwd|api_?key|access_?key|auth|credential)"
-ASSIGN = r"[:=]>?[\"'`]*$"
 #: What stands before a value that is assigned to a credential's name, or to any; a candidate that holds both itself.
 OWNED = NAME + r"[A-Za-z0-9_.-]*[\"'`\])]*\x20?[:=]+>?\x20?[\"'`]*$"
 OTHER = r"[A-Za-z0-9_.-][\"'`\])]*\x20?[:=]+>?\x20?[\"'`]*$"
 INLINE = r"^[A-Za-z0-9+/_-]*?" + NAME + r"[A-Za-z0-9_-]*=+(?=[^=])"
 #: Characters kept on each side of a candidate inside its word.
 AROUND = 256
+#: Characters of a neighbouring word that its shape counts.
+LONGEST = 64
 EXAMPLE = r"(?i)(test|example|sample|doc|mock)"
 
 
@@ -114,18 +116,25 @@ def described(found: DataFrame, known: DataFrame) -> DataFrame:
     """Add the features' columns; ``known`` (run) is the dictionary."""
     c = F.col("candidate")
     n = F.length(c).cast("double")
-    changes = _count(c, "[a-z](?=[A-Z])") + _count(c, "[A-Z](?=[a-z])"), _count(c, "[A-Za-z](?=[0-9])") + _count(c, "[0-9](?=[A-Za-z])"), _count(c, "[A-Za-z0-9](?=[+/_=-])")
-    flag = lambda x: x.cast("double")
+    size = lambda x: F.least(F.length(x), F.lit(LONGEST)).cast("double")
     features = {
         "f_length": n, "f_digits": _count(c, "[0-9]") / n, "f_upper": _count(c, "[A-Z]") / n, "f_hex": _count(c, "[0-9a-fA-F]") / n, "f_vowels": _count(c, "[aeiouAEIOU]") / n,
-        "f_case_changes": changes[0] / n, "f_digit_changes": changes[1] / n, "f_sign_changes": changes[2] / n, "f_repeats": _count(c, "(.)\\1") / n, "f_dictionary": F.coalesce("covered", F.lit(0.0)) / n,
-        "f_path_length": F.length("path").cast("double"), "f_path_example": flag(F.col("path").rlike(EXAMPLE)),
-        "f_quoted": flag(_quoted()), "f_assigned": flag(_key().rlike(ASSIGN) | c.rlike(INLINE)), "f_named": flag(_key().rlike(NAME) | c.rlike(INLINE)), "f_after_short": flag(F.length("after") < 4),
+        "f_repeats": _count(c, "(.)\\1") / n, "f_dictionary": F.coalesce("covered", F.lit(0.0)) / n, "f_path_length": F.length("path").cast("double"), "f_path_example": F.col("path").rlike(EXAMPLE).cast("double"),
     }
+    features |= {f"f_{a}_{b}": _count(c, f"{CLASSES[a]}(?={CLASSES[b]})") / n for a in CLASSES for b in CLASSES}
+    for w in BESIDE:
+        x = _key() if w == "key" else F.col(w)
+        features |= {f"f_{w}_length": size(x), f"f_{w}_letters": _count(F.right(x, F.lit(LONGEST)), "[A-Za-z]") / F.greatest(size(x), F.lit(1.0))}
     return found.join(covered(found, known), "candidate", "left").select(*found.columns, *(v.alias(k) for k, v in features.items()))
 
 
-FEATURES = ["f_length", "f_digits", "f_upper", "f_hex", "f_vowels", "f_case_changes", "f_digit_changes", "f_sign_changes", "f_repeats", "f_dictionary", "f_path_length", "f_path_example", "f_quoted", "f_assigned", "f_named", "f_after_short"]
+#: Classes of characters, and the words whose shape counts; ``key`` is what a separator before the value begins.
+CLASSES = {"lower": "[a-z]", "upper": "[A-Z]", "digit": "[0-9]", "sign": "[+/_=-]"}
+BESIDE = ("name", "before", "key", "tail", "after")
+FEATURES = [
+    *(f"f_{x}" for x in ("length", "digits", "upper", "hex", "vowels", "repeats", "dictionary", "path_length", "path_example")),
+    *(f"f_{a}_{b}" for a in CLASSES for b in CLASSES), *(f"f_{w}_{x}" for w in BESIDE for x in ("length", "letters")),
+]
 
 
 def labelled(found: DataFrame) -> DataFrame:
@@ -135,7 +144,8 @@ def labelled(found: DataFrame) -> DataFrame:
     value = F.regexp_replace(c, INLINE, "")
     mixed = value.rlike("[A-Za-z]") & value.rlike("[0-9]") & ~F.col("tail").rlike(r"^[(\[]")
     near = c.rlike(NAME) | F.when(_key().rlike(OTHER), _key().rlike(NAME)).otherwise(_context().rlike(NAME))
-    return found.select("doc_id", "at", "n", F.when(owned & (_quoted() | mixed), True).when(~near, False).alias("secret"))
+    names = F.col("tail").rlike("^[\"'`][\\x20]?[:=]")  # the candidate is a key itself
+    return found.select("doc_id", "at", "n", F.when(names, False).when(owned & (_quoted() | mixed), True).when(~near, False).alias("secret"))
 
 
 def scored(found: DataFrame, labels: DataFrame, bound: int = LABELLED, known: DataFrame | None = None) -> DataFrame:
@@ -150,7 +160,7 @@ def scored(found: DataFrame, labels: DataFrame, bound: int = LABELLED, known: Da
         weight = F.when(F.col("secret"), 0.5 / counts[True]).otherwise(0.5 / counts[False]) * sum(counts.values())
         vector = VectorAssembler(inputCols=FEATURES, outputCol="_x")
         train = vector.transform(rows.join(F.broadcast(sample), key).withColumn("_y", F.col("secret").cast("double")).withColumn("_weight", weight))
-        forest = RandomForestClassifier(labelCol="_y", featuresCol="_x", weightCol="_weight", numTrees=TREES, maxDepth=DEPTH, seed=7, probabilityCol="_p", predictionCol="_c", rawPredictionCol="_r").fit(train)
+        forest = RandomForestClassifier(labelCol="_y", featuresCol="_x", weightCol="_weight", numTrees=TREES, maxDepth=DEPTH, featureSubsetStrategy="onethird", seed=7, probabilityCol="_p", predictionCol="_c", rawPredictionCol="_r").fit(train)
         out = forest.transform(vector.transform(rows)).withColumn("score", vector_to_array("_p")[1])
     return out.withColumn("secret", F.col("score") >= THRESHOLD)
 
