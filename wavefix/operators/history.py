@@ -91,6 +91,36 @@ def zone_means(probabilities: DataFrame, samples: DataFrame, top: int = 6) -> Da
     return probabilities.groupBy("zone").agg(F.sum("p").alias("s")).crossJoin(F.broadcast(n)).select("zone", (F.col("s") / F.col("n")).alias("mean_p")).orderBy(F.desc(F.round("mean_p", 9)), "zone").limit(top)
 
 
+def top_zones(probabilities: DataFrame, top: int = 4) -> DataFrame:
+    """The ``top`` likeliest zones of each sample with their rank."""
+    order = W.partitionBy("sample_id").orderBy(F.desc(F.round("p", 9)), "zone")
+    return probabilities.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
+#: Rows shown for a history of so many hours: fixed values.
+WINDOWS = {1: 500, 3: 1500, 6: 3000, 12: 5000, 24: 10000}
+
+
+def window(rows: DataFrame, hours: int) -> DataFrame:
+    """The newest rows of the last ``hours``, in order, as many as that window shows."""
+    last = rows.agg(F.max("t").alias("last"))
+    recent = rows.crossJoin(F.broadcast(last)).where(F.col("t") >= F.col("last") - hours * 3600).drop("last")
+    return page(recent, WINDOWS[hours]).orderBy("t", "event_id")
+
+
+def records(positions: DataFrame, zones: DataFrame) -> DataFrame:
+    """What a cycle stores: positions (with room and zone of the plan) and the classifier's (event_id, zone, confidence).
+
+    The classifier's zone is the label where it has one, else the plan's.
+    """
+    z = zones.select("event_id", F.col("zone").alias("zone_label"), F.round(F.col("confidence") + 1e-9, 3).alias("zone_confidence"))
+    out = positions.withColumnRenamed("zone", "polygon_label").join(z, "event_id", "left")
+    return out.select(
+        "event_id", "beacon", "ts", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"), "floor", F.round("confidence", 3).alias("confidence"), F.coalesce("zone_label", "polygon_label").alias("location_label"),
+        "activity", "polygon_label", "zone_label", F.coalesce("zone_confidence", F.lit(0.0)).alias("zone_confidence"),
+    )
+
+
 def density(points: DataFrame, size: float = K.DENSITY_FT) -> DataFrame:
     """Neighbours of each particle in its 3 x 3 bins, scaled to 0..1 (0.5 where all are equal)."""
     bins = points.withColumns({"bx": (F.col("x") / size).cast("int"), "by": (F.col("y") / size).cast("int")})

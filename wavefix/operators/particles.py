@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wavefix.functions import constants as K
-from wavefix.functions.signal import distance, expected_rssi, gaussian, log_likelihood, power
+from wavefix.functions.signal import distance, expected_rssi, gaussian, log_likelihood, noise, power
 from wavefix.operators import space
 from wavefix.sources import layout
 
@@ -20,7 +20,7 @@ def drift_targets(latest: DataFrame) -> DataFrame:
 
 def predicted(cloud: DataFrame, targets: DataFrame, arrays: DataFrame, dt: float) -> DataFrame:
     """Move particles by noise and drift, at most as fast as walking, where no wall is in the way: adds nx, ny, accepted."""
-    out = cloud.join(F.broadcast(targets.select("floor", F.col("tx").alias("gx"), F.col("ty").alias("gy"))), "floor", "left")
+    out = cloud.join(targets.select("beacon", "floor", F.col("tx").alias("gx"), F.col("ty").alias("gy")), ["beacon", "floor"], "left")
     sigma = K.MOTION_SIGMA * dt**0.5
     move = lambda p, g, a, b: sigma * gaussian("pid", a, b) + F.coalesce(K.DRIFT_RATE * dt * (F.col(g) - F.col(p)), F.lit(0.0))
     out = out.withColumns({"mx": move("x", "gx", "u1", "u2"), "my": move("y", "gy", "n1", "n2")})
@@ -30,7 +30,7 @@ def predicted(cloud: DataFrame, targets: DataFrame, arrays: DataFrame, dt: float
     out = out.withColumns({"tx": F.col("x") + F.col("mx") * scale, "ty": F.col("y") + F.col("my") * scale})
     out = space.rays(out, arrays).join(F.broadcast(arrays), "floor")
     good = F.col("clear") & F.coalesce(space.is_walkable(F.col("tx"), F.col("ty"), F.col("w"), F.col("h"), F.col("free")), F.lit(False))
-    return out.select("pid", "floor", F.when(good, F.col("tx")).otherwise(F.col("x")).alias("nx"), F.when(good, F.col("ty")).otherwise(F.col("y")).alias("ny"), good.alias("accepted"))
+    return out.select("beacon", "pid", "floor", F.when(good, F.col("tx")).otherwise(F.col("x")).alias("nx"), F.when(good, F.col("ty")).otherwise(F.col("y")).alias("ny"), good.alias("accepted"))
 
 
 def elevation(cloud: DataFrame, plan: DataFrame) -> DataFrame:
@@ -46,31 +46,96 @@ def elevation(cloud: DataFrame, plan: DataFrame) -> DataFrame:
     return out.withColumn("z", F.coalesce(z, "elevation", F.lit(0.0))).drop("_run", "runs", "x_max", "elevation")
 
 
-def seen_from(cloud: DataFrame, heard: DataFrame, plan: DataFrame, arrays: DataFrame, snapped: DataFrame) -> DataFrame:
-    """Each particle with each heard anchor (rssi): distance, floors and walls between, and the log likelihood.
+def seen_from(cloud: DataFrame, heard: DataFrame, plan: DataFrame, cells: DataFrame, walls: DataFrame) -> DataFrame:
+    """Each beacon's particles with the anchors that hear it (beacon, anchor, rssi): distance and log likelihood.
 
-    ``heard`` is bounded by the anchors of the plan, so it is broadcast: no particle moves.
+    ``walls`` is ``space.anchor_rays``: of the plan's size, so it is broadcast.
     """
-    a = heard.join(snapped.select(F.col("key").alias("anchor_idx"), "sx", "sy"), "anchor_idx").select("anchor_idx", F.col("floor").alias("a_floor"), "ax", "ay", "az", "sx", "sy", "rssi")
-    both = elevation(cloud, plan).crossJoin(F.broadcast(a)).withColumns({"tx": F.col("sx"), "ty": F.col("sy")})
-    both = space.rays(both, arrays)
-    walls = F.when(F.col("a_floor") == F.col("floor"), F.col("n_walls")).otherwise(0)
+    a = heard.select("beacon", "anchor_idx", F.col("floor").alias("a_floor"), "ax", "ay", "az", "rssi")
+    both = elevation(space.in_cells(cloud, cells), plan).join(a, "beacon")
+    both = both.join(F.broadcast(walls.select("floor", "row", "col", "anchor_idx", "n_walls")), ["floor", "row", "col", "anchor_idx"], "left")
     d = distance("x", "y", "ax", "ay", "z", "az")
-    expected = expected_rssi(d, F.abs(F.col("floor") - F.col("a_floor")), walls)
+    expected = expected_rssi(d, F.abs(F.col("floor") - F.col("a_floor")), F.coalesce("n_walls", F.lit(0)))
     return both.withColumns({"dist": d, "expected": expected, "ll": log_likelihood("rssi", expected)})
 
 
 def weights(pairs: DataFrame, prior: Column | None = None) -> DataFrame:
-    """Normalised particle weights (pid, w) from ``seen_from``: the largest log weight is taken off before exp."""
-    logw = pairs.groupBy("pid", "floor", "x", "y").agg(F.sum("ll").alias("logw"))
-    top = logw.agg(F.max("logw").alias("top"))
-    raw = logw.crossJoin(F.broadcast(top)).withColumn("raw", F.exp(F.col("logw") - F.col("top")) * (F.lit(1.0) if prior is None else prior))
-    total = raw.agg(F.sum("raw").alias("total"), F.count(F.lit(1)).alias("n"))
-    return raw.crossJoin(F.broadcast(total)).select("pid", "floor", "x", "y", F.when(F.col("total") > 0, F.col("raw") / F.col("total")).otherwise(1 / F.col("n")).alias("w"))
+    """Normalised weights (beacon, pid, w) from ``seen_from``: a beacon's largest log weight is taken off before exp.
+
+    A beacon has a fixed number of particles, so its window is small.
+    """
+    own = W.partitionBy("beacon")
+    logw = pairs.groupBy("beacon", "pid", "floor", "x", "y").agg(F.sum("ll").alias("logw"))
+    raw = logw.withColumn("raw", F.exp(F.col("logw") - F.max("logw").over(own)) * (F.lit(1.0) if prior is None else prior))
+    total = F.sum("raw").over(own)
+    return raw.select("beacon", "pid", "floor", "x", "y", F.when(total > 0, F.col("raw") / total).otherwise(1 / F.count(F.lit(1)).over(own)).alias("w"))
+
+
+def n_eff(cloud: DataFrame, *by: str) -> DataFrame:
+    """(n_eff, n) of all particles or of those of each ``by``."""
+    return cloud.groupBy(*by).agg((1 / F.sum(F.col("w") * F.col("w"))).alias("n_eff"), F.count(F.lit(1)).alias("n"))
 
 
-def n_eff(cloud: DataFrame) -> DataFrame:
-    return cloud.agg((1 / F.sum(F.col("w") * F.col("w"))).alias("n_eff"))
+def around(ids: DataFrame, cells: DataFrame, x: float, y: float, floor: int, spread: float = 5.0, tries: int = 100) -> DataFrame:
+    """Places (beacon, pid, x, y, floor) for particles (beacon, pid) in a Gaussian cloud around a point.
+
+    Each takes its first walkable draw of ``tries``. Those without any take the places of the beacon's others in turn;
+    where a beacon has none at all its particles have no place.
+    """
+    arrays = space.grid_arrays(cells.where(F.col("floor") == floor)).drop("floor")
+    draw = lambda k, at, a, b: at + spread * gaussian(F.concat_ws("/", "pid", k.cast("string")), a, b)
+    spots = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda k: F.struct(draw(k, x, "u1", "u2").alias("x"), draw(k, y, "n1", "n2").alias("y")))
+    good = F.filter("spots", lambda s: F.coalesce(space.is_walkable(s["x"], s["y"], F.col("w"), F.col("h"), F.col("free")), F.lit(False)))
+    out = ids.crossJoin(F.broadcast(arrays)).withColumn("spots", spots).select("beacon", "pid", F.get(good, F.lit(0)).alias("s"))
+    found = F.col("s").isNotNull()
+    out = out.withColumns({"i": F.row_number().over(W.partitionBy("beacon", found).orderBy("pid")) - 1, "n": F.count("s").over(W.partitionBy("beacon"))})
+    lender = out.where(found).select("beacon", F.col("i").alias("from"), F.col("s").alias("lent"))
+    out = out.withColumn("from", F.when(found, F.lit(-1)).otherwise(F.expr("try_mod(i, n)"))).join(lender, ["beacon", "from"], "left")
+    s = F.coalesce("s", "lent")
+    return out.select("beacon", "pid", s["x"].alias("x"), s["y"].alias("y"), F.lit(floor).alias("floor"))
+
+
+def changed_floor(cloud: DataFrame, belief: DataFrame, plan: DataFrame, dt: float) -> DataFrame:
+    """Particles (beacon, pid, x, y, floor, cooldown) after a step in which those beside a stairway may take it.
+
+    Stairways count in order and a particle takes the first that its draw lets it take, if there is a way back; it then
+    waits. ``belief`` (beacon, floor, p) is the floor model's; the chance falls with the distance.
+    """
+    s = layout.stairs(plan)
+    back = s.groupBy(F.col("to_floor").alias("from_floor"), F.col("from_floor").alias("to_floor")).agg(F.min_by(F.struct("ex", "ey"), "stair_pos").alias("back"))
+    ways = F.broadcast(s.join(back, ["from_floor", "to_floor"]).withColumnRenamed("from_floor", "floor"))
+    out = cloud.withColumn("cooldown", F.greatest(F.col("cooldown") - dt, F.lit(0.0)))
+    d = distance("x", "y", "ex", "ey")
+    near = out.where("cooldown = 0").join(ways, "floor").withColumn("d", d).where(F.col("d") < K.STAIR_RADIUS_FT)
+    near = near.join(belief.select("beacon", F.col("floor").alias("to_floor"), "p"), ["beacon", "to_floor"], "left")
+    chance = F.least(F.coalesce("p", F.lit(0.0)) * K.STAIR_RATE * dt, F.lit(0.4)) * F.greatest(F.lit(0.1), F.least(F.lit(1.0), 1 - F.col("d") / K.STAIR_RADIUS_FT))
+    took = near.where(noise(F.concat_ws("/", "pid", "stair_pos"), "r") < chance).groupBy("beacon", "pid").agg(F.min_by(F.struct("to_floor", "back"), "stair_pos").alias("went"))
+    out = out.join(took, ["beacon", "pid"], "left")
+    moved = F.col("went").isNotNull()
+    place = lambda c: F.when(moved, F.col(f"went.back.e{c}")).otherwise(F.col(c)).alias(c)
+    return out.select("beacon", "pid", place("x"), place("y"), F.coalesce("went.to_floor", "floor").alias("floor"), F.when(moved, K.STAIR_COOLDOWN_S).otherwise(F.col("cooldown")).alias("cooldown"), moved.alias("moved"))
+
+
+def teleported(cloud: DataFrame, belief: DataFrame, held: DataFrame, adjacency: DataFrame, cells: DataFrame) -> DataFrame:
+    """Particles (beacon, pid, x, y, floor, w) after the check of the floor model against them: adds moved.
+
+    Where the floor of most belief (beacon, floor, p) is not the one of most particles (the lower of equals) but beside it, is believed
+    enough and has been for long enough (``held``: beacon, seconds), the particles of least weight
+    go to walkable cells of that floor and all weights become equal.
+    """
+    n = F.count(F.lit(1))
+    most = cloud.groupBy("beacon", "floor").agg(n.alias("k")).groupBy("beacon").agg(F.max_by("floor", F.struct("k", -F.col("floor"))).alias("most"), F.sum("k").alias("n"))
+    best = belief.groupBy("beacon").agg(F.max_by(F.struct("floor", "p"), F.struct("p", -F.col("floor"))).alias("b"))
+    due = most.join(best, "beacon").join(held, "beacon").where((F.col("b.floor") != F.col("most")) & (F.col("b.p") >= K.TELEPORT_BELIEF) & (F.col("seconds") >= K.TELEPORT_HOLD_S))
+    due = due.join(F.broadcast(adjacency.select(F.col("floor_a").alias("most"), F.col("floor_b").alias("to"))), "most").where("to = b.floor")
+    due = due.select("beacon", "to", "n", F.greatest(F.lit(1), F.floor(F.col("n") * K.TELEPORT_SHARE)).alias("k"))
+    spots = cells.where("walkable").groupBy(F.col("floor").alias("to")).agg(F.array_sort(F.collect_list(F.struct("row", "col"))).alias("spots"))
+    least = W.partitionBy("beacon").orderBy("w", "pid")
+    out = cloud.join(due.join(F.broadcast(spots), "to"), "beacon", "left").withColumn("i", F.row_number().over(least))
+    moved = F.coalesce(F.col("i") <= F.col("k"), F.lit(False))
+    spot = F.get("spots", F.floor(noise(F.concat_ws("/", "beacon", "pid"), "r") * F.size("spots")).cast("int"))
+    place = lambda c, cell: F.when(F.col("moved"), (spot[cell] + 0.5) * K.GRID_FT).otherwise(F.col(c)).alias(c)
+    return out.withColumn("moved", moved).select("beacon", "pid", place("x", "col"), place("y", "row"), F.when(F.col("moved"), F.col("to")).otherwise(F.col("floor")).alias("floor"), F.when(F.col("k").isNotNull(), 1 / F.col("n")).otherwise(F.col("w")).alias("w"), "moved")
 
 
 def prefix_sums(cloud: DataFrame, blocks: int = 64) -> DataFrame:

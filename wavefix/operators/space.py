@@ -145,6 +145,23 @@ def rays(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     return out.withColumns({"clear": F.col("_ray.clear"), "n_walls": F.col("_ray.walls")}).drop("_ray", "_r0", "_c0", "_r1", "_c1", "w", "h", "free")
 
 
+def anchor_rays(cells: DataFrame, snapped: DataFrame) -> DataFrame:
+    """(floor, row, col, anchor_idx, clear, n_walls) from each cell to each snapped anchor of its floor.
+
+    A ray depends on its two cells only, so this table of the plan's size answers for any number of particles.
+    """
+    s = F.broadcast(snapped.select(F.col("key").alias("anchor_idx"), "floor", F.col("sx").alias("tx"), F.col("sy").alias("ty")))
+    at = cells.select("floor", "row", "col", cell_centre("col", F.lit(0)).alias("x"), cell_centre("row", F.lit(0)).alias("y"))
+    return rays(at.join(s, "floor").repartition("floor", "row"), grid_arrays(cells)).select("floor", "row", "col", "anchor_idx", "clear", "n_walls")
+
+
+def in_cells(points: DataFrame, cells: DataFrame) -> DataFrame:
+    """Add row and col of points (x, y, floor)."""
+    dims = cells.groupBy("floor").agg((F.max("col") + 1).alias("_w"), (F.max("row") + 1).alias("_h"))
+    row, col = cell_index(F.col("x"), F.col("y"), F.col("_w"), F.col("_h"))
+    return points.join(F.broadcast(dims), "floor").withColumns({"row": row, "col": col}).drop("_w", "_h")
+
+
 # --- the grid in SQL --------------------------------------------------------------
 
 SQL_GRID = f"""cells AS (
@@ -159,9 +176,10 @@ SQL_GRID = f"""cells AS (
     SELECT c.floor, row, col, obstacle FROM cells c JOIN {layout.values("obstacle_edges", "e")} ON e.floor = c.floor
     GROUP BY ALL HAVING sum(CASE WHEN (yi > cy) <> (yj > cy) AND cx < (xj - xi) * (cy - yi) / nullif(yj - yi, 0) + xi THEN 1 ELSE 0 END) % 2 = 1
   )
-), open_cells AS (SELECT * FROM in_room ANTI JOIN in_obstacle USING (floor, row, col)), walls AS (
-  SELECT DISTINCT a.floor, a.row, a.col FROM open_cells a JOIN open_cells b ON a.floor = b.floor AND abs(a.row - b.row) + abs(a.col - b.col) = 1 AND a.room_pos > b.room_pos
-    AND a.row BETWEEN b.row - 1 AND b.row + 1 AND a.col BETWEEN b.col - 1 AND b.col + 1
+), open_cells AS (SELECT * FROM in_room ANTI JOIN in_obstacle USING (floor, row, col)), beside AS (
+  SELECT floor, row + dr AS row, col + dc AS col, room_pos FROM open_cells, (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) AS v(dr, dc)
+), walls AS (
+  SELECT DISTINCT a.floor, a.row, a.col FROM open_cells a JOIN beside b ON a.floor = b.floor AND a.row = b.row AND a.col = b.col WHERE a.room_pos > b.room_pos
 ), carved AS (
   SELECT DISTINCT c.floor, row, col FROM cells c JOIN {layout.values("openings", "o")} ON o.floor = c.floor
     AND abs(c.cx - o.cx) <= CASE WHEN wall_axis = 'x' THEN width / 2 ELSE 1.0 END AND abs(c.cy - o.cy) <= CASE WHEN wall_axis = 'y' THEN width / 2 ELSE 1.0 END

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -51,8 +51,8 @@ def minutes(points: DataFrame) -> DataFrame:
 
 def label_distribution(samples: DataFrame) -> DataFrame:
     """Counts by floor, by room and by zone in one pass."""
-    samples.createOrReplaceTempView("_survey_samples")
-    return samples.sparkSession.sql("SELECT floor, room, zone, count(*) AS n FROM _survey_samples GROUP BY GROUPING SETS ((floor), (room), (zone))")
+    by = [F.col(c) for c in ("floor", "room", "zone")]
+    return samples.groupingSets([[c] for c in by], *by).agg(F.count(F.lit(1)).alias("n")).select("floor", "room", "zone", "n")
 
 
 def remaining(points: DataFrame, completed: DataFrame) -> DataFrame:
@@ -114,22 +114,60 @@ def scoped(probabilities: DataFrame, zones: DataFrame, rooms: DataFrame) -> Data
     return kept.join(total, "sample_id").where("total > 0").select("sample_id", "zone", F.round(F.col("p") / F.col("total"), 4).alias("p"))
 
 
+def _shaken(key: Column, rssi: Column) -> Column:
+    """A heard strength with noise; an absent one stays absent."""
+    return F.when(rssi > K.MISSING_RSSI, rssi + K.AUGMENT_SIGMA * gaussian(key, "u1", "u2")).otherwise(rssi)
+
+
 def augmented(samples: DataFrame, factor: int = K.AUGMENT_FACTOR) -> DataFrame:
-    """Noisy copies of (sample_id, anchor_idx, rssi): heard strengths get noise, then some drop out."""
-    out = samples.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(factor - 1))))
+    """The samples (sample_id, anchor_idx, rssi) as copy 0 and ``factor`` noisy copies: heard strengths get noise, then some drop out."""
+    out = samples.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(factor))))
     key = F.concat_ws("/", "sample_id", "copy", "anchor_idx")
-    noisy = F.when(F.col("rssi") > K.MISSING_RSSI, F.col("rssi") + K.AUGMENT_SIGMA * gaussian(key, "u1", "u2")).otherwise(F.col("rssi"))
-    return out.select("sample_id", "copy", "anchor_idx", F.when(F.col("copy") == 0, F.col("rssi")).when(noise(key, "drop") < K.AUGMENT_DROPOUT, K.MISSING_RSSI).otherwise(noisy).alias("rssi"))
+    return out.select("sample_id", "copy", "anchor_idx", F.when(F.col("copy") == 0, F.col("rssi")).when(noise(key, "drop") < K.AUGMENT_DROPOUT, K.MISSING_RSSI).otherwise(_shaken(key, F.col("rssi"))).alias("rssi"))
+
 
+def ranked(rows: DataFrame, by: str, key: str, block: int = 4096) -> DataFrame:
+    """Add i, the rank from 0 by an integer key within ``by``: blocks of keys are ranked alone, then moved up by those before."""
+    rows = rows.withColumn("_block", F.floor(F.col(key) / block))
+    sizes = rows.groupBy(by, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = F.coalesce(F.sum("_n").over(W.partitionBy(by).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    out = rows.join(sizes.select(by, "_block", ahead.alias("_ahead")), [by, "_block"])
+    return out.withColumn("i", F.row_number().over(W.partitionBy(by, "_block").orderBy(key)) - 1 + F.col("_ahead")).drop("_block", "_ahead")
 
-def oversampled(labels: DataFrame) -> DataFrame:
-    """Extra copies that bring each label to the largest one's count: (sample_id, label, copy)."""
-    counts = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+def oversampled(pool: DataFrame, labels: DataFrame) -> DataFrame:
+    """Extra rows (sample_id, label, copy, extra, anchor_idx, rssi) that bring each label to the largest one's count.
+
+    ``pool`` is ``augmented``, ``labels`` are (sample_id, label). A label's augmented samples give copies in turn,
+    each with noise of its own and without dropping out.
+    """
+    per = pool.select("sample_id", "copy").distinct().groupBy("sample_id").agg(F.count(F.lit(1)).alias("copies"))
+    mine = ranked(labels.join(per, "sample_id"), "label", "sample_id")
+    counts = mine.groupBy("label").agg(F.sum("copies").alias("n"))
     most = counts.agg(F.max("n").alias("most"))
-    ranked = labels.withColumn("i", F.row_number().over(W.partitionBy("label").orderBy("sample_id")) - 1)
-    out = ranked.join(F.broadcast(counts), "label").crossJoin(F.broadcast(most))
-    copies = F.floor((F.col("most") - F.col("n") - F.col("i") + F.col("n") - 1) / F.col("n"))
-    return out.withColumn("copies", F.greatest(copies, F.lit(0))).where("copies > 0").select("sample_id", "label", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    need = mine.join(F.broadcast(counts), "label").crossJoin(F.broadcast(most)).select("sample_id", "label", "copies", "i", "n", (F.col("most") - F.col("n")).alias("lack")).where("lack > 0")
+    out = pool.join(need, "sample_id").withColumn("extras", F.ceil((F.col("lack") - F.col("i") * F.col("copies") - F.col("copy")) / F.col("n")))
+    out = out.where("extras > 0").withColumn("extra", F.explode(F.sequence(F.lit(1), F.col("extras").cast("int"))))
+    key = F.concat_ws("/", "sample_id", "copy", "anchor_idx", "extra")
+    return out.select("sample_id", "label", "copy", "extra", "anchor_idx", _shaken(key, F.col("rssi")).alias("rssi"))
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """Accuracy, macro-F1 and counts of (label, predicted), rounded."""
+    right = rows.agg(F.round(F.avg((F.col("label") == F.col("predicted")).cast("int")), 4).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+    macro = class_metrics(rows).agg(F.round(F.avg("f1"), 4).alias("macro_f1"), F.count(F.lit(1)).alias("n_classes"))
+    return right.crossJoin(F.broadcast(macro))
+
+
+def zone_of_room(probabilities: DataFrame, zones: DataFrame, rooms: DataFrame) -> DataFrame:
+    """(sample_id, zone, confidence): the likeliest zone of each sample's room; no zone and 0 where the room has none."""
+    best = scoped(probabilities, zones, rooms).groupBy("sample_id").agg(F.max("p").alias("confidence"), F.min_by("zone", F.struct(-F.col("p"), F.col("zone"))).alias("zone"))
+    return rooms.select("sample_id").join(best, "sample_id", "left").select("sample_id", "zone", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+
+
+def coverage(samples: DataFrame, least: int = 3) -> DataFrame:
+    """Quality control by zone: points done of all (zone, point, done), and whether they are enough."""
+    return samples.groupBy("zone").agg(F.count_if("done").alias("done"), F.count(F.lit(1)).alias("total")).withColumn("enough", F.col("done") >= least)
 
 
 def class_metrics(rows: DataFrame) -> DataFrame:

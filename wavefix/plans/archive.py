@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from wavefix.functions import constants as K
 from wavefix.functions.signal import noise
-from wavefix.operators import floors, history, survey, zones
+from wavefix.operators import floors, history, space, survey, zones
+from wavefix.operators.space import SQL_ROOM
 from wavefix.operators.scan import ordered_scan
 from wavefix.plans import spatial
 from wavefix.plans.signals import C, EMISSIONS, H, ORACLES, QUERIES, R, query, rounded
@@ -210,14 +211,63 @@ def zone_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survey.scoped(_probabilities(spark, sf_dir), rooms, mine)
 
 
+SCOPED = f"sc AS (SELECT zp.sample_id, zp.zone, p FROM zp JOIN {ROOM_OF} USING (zone) WHERE room = chr(CAST(97 + sample_id % 3 AS INTEGER)) AND sample_id % 5 > 0), sp AS (SELECT sample_id, zone, round(p / sum(p) OVER (PARTITION BY sample_id), 4) AS p FROM sc), bz AS (SELECT event_id, arg_min(zone, (-p, zone)) AS zone, coalesce(max(p), 0) AS confidence FROM h LEFT JOIN sp ON sample_id = event_id GROUP BY 1)"
+
+
+def _best_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classifier's answer for each position; it has none for a fifth of them."""
+    zones_ = spark.createDataFrame([("living_room", "a"), ("kitchen", "a"), ("office", "b"), ("master_bed", "b"), ("hallway", "c"), ("bathroom", "c"), ("guest", "c")], "zone string, room string")
+    mine = _h(spark, sf_dir).select(F.col("event_id").alias("sample_id"), F.char((97 + F.col("event_id") % 3).cast("int")).alias("room"))
+    return survey.zone_of_room(_probabilities(spark, sf_dir).where("sample_id % 5 > 0"), zones_, mine).withColumnRenamed("sample_id", "event_id")
+
+
+@query(f"WITH {H}, {ZP}, {SCOPED} SELECT event_id, zone, confidence FROM bz")
+def zone_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _best_zones(spark, sf_dir)
+
+
+@query(f"WITH {H}, {ZP} SELECT sample_id, zone, round(p, 6) AS p, row_number() OVER (PARTITION BY sample_id ORDER BY round(p, 9) DESC, zone) AS rank FROM zp QUALIFY rank <= 4")
+def zone_top4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(history.top_zones(_probabilities(spark, sf_dir)), 6, "p").select("sample_id", "zone", "p", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {H}, {ZP}, {SCOPED}, n AS (SELECT event_id, h.t, bz.zone, bz.confidence FROM bz JOIN h USING (event_id) WHERE zone IS NOT NULL ORDER BY h.t DESC, event_id DESC LIMIT 300) SELECT event_id, round(t, 6) AS t, zone, confidence FROM n ORDER BY n.t, event_id")
+def zone_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest zone predictions, oldest first: as many as the service keeps."""
+    rows = _best_zones(spark, sf_dir).where("zone IS NOT NULL").join(_h(spark, sf_dir).select("event_id", "t"), "event_id")
+    return rounded(history.page(rows, 300).orderBy("t", "event_id"), 6, "t").select("event_id", "t", "zone", "confidence")
+
+
+@query(f"WITH {H}, n AS (SELECT * FROM h WHERE t >= (SELECT max(t) FROM h) - 10800 ORDER BY t DESC, event_id DESC LIMIT 1500) SELECT event_id, beacon, round(t, 6) AS t, floor, label FROM n")
+def history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hours of history."""
+    return rounded(history.window(_h(spark, sf_dir), 3), 6, "t").select("event_id", "beacon", "t", "floor", "label")
+
+
+@query(f"WITH {H}, {ZP}, {SCOPED}, c AS (SELECT event_id AS pid, x, y, floor FROM h), {SQL_ROOM} SELECT h.event_id, beacon, round(h.x, 2) AS x, round(h.y, 2) AS y, h.floor, round(h.confidence, 3) AS confidence, coalesce(bz.zone, lab.zone) AS location_label, activity, lab.zone AS polygon_label, bz.zone AS zone_label, round(bz.confidence + 1e-9, 3) AS zone_confidence FROM h JOIN bz USING (event_id) JOIN lab ON pid = h.event_id")
+def position_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = space.labelled(_h(spark, sf_dir), spatial._plan(spark))
+    return history.records(rows, _best_zones(spark, sf_dir)).drop("ts")
+
+
+@query(f"WITH {H}, p AS (SELECT label AS zone, event_id // 40 AS point, count(*) FILTER (activity IS NOT NULL) >= 3 AS done FROM h GROUP BY ALL) SELECT zone, count(*) FILTER (done) AS done, count(*) AS total, count(*) FILTER (done) >= 3 AS enough FROM p GROUP BY 1")
+def survey_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points (forty positions each) of a label are done with three readings that have an activity."""
+    points = _h(spark, sf_dir).groupBy(F.col("label").alias("zone"), F.floor(F.col("event_id") / 40).alias("point")).agg((F.count("activity") >= 3).alias("done"))
+    return survey.coverage(points)
+
+
 def _gauss(key: str) -> str:
     return f"sqrt(-2 * ln(1 - {U(key, chr(39) + 'u1' + chr(39))})) * cos(2 * 3.141592653589793 * {U(key, chr(39) + 'u2' + chr(39))})"
 
 
 KEY = "sample_id || '/' || copy || '/' || anchor_idx"
+SHAKEN = lambda key: f"CASE WHEN rssi > -100 THEN rssi + {K.AUGMENT_SIGMA} * {_gauss(key)} ELSE rssi END"
+AUGMENTED = f"""cp AS (SELECT fp.*, CAST(i AS INTEGER) AS copy FROM fp, range(0, {K.AUGMENT_FACTOR + 1}) g(i)),
+ag AS (SELECT sample_id, copy, anchor_idx, CASE WHEN copy = 0 THEN rssi WHEN {U(KEY, chr(39) + 'drop' + chr(39))} < {K.AUGMENT_DROPOUT} THEN -100 ELSE {SHAKEN(KEY)} END AS rssi FROM cp)"""
 
 
-@query(f"WITH {R}, {PRINTS}, cp AS (SELECT fp.*, CAST(i AS INTEGER) AS copy FROM fp, range(0, {K.AUGMENT_FACTOR}) g(i)) SELECT sample_id, copy, anchor_idx, round(CASE WHEN copy = 0 THEN rssi WHEN {U(KEY, chr(39) + 'drop' + chr(39))} < {K.AUGMENT_DROPOUT} THEN -100 WHEN rssi > -100 THEN rssi + {K.AUGMENT_SIGMA} * {_gauss(KEY)} ELSE rssi END, 4) AS rssi FROM cp")
+@query(f"WITH {R}, {PRINTS}, {AUGMENTED} SELECT sample_id, copy, anchor_idx, round(rssi, 4) AS rssi FROM ag")
 def augment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(survey.augmented(_prints(spark, sf_dir)), 4, "rssi")
 
@@ -231,9 +281,12 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 LABELLED = "bl AS (SELECT event_id // 40 AS sample_id, floor, avg(rssi) AS m FROM r GROUP BY ALL), lb AS (SELECT sample_id, 'floor_' || arg_max(floor, (round(m, 9), -floor)) AS label FROM bl GROUP BY 1)"
 
 
-@query(f"WITH {R}, {LABELLED}, i AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sample_id) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM lb), m AS (SELECT max(n) AS most FROM i) SELECT sample_id, label, unnest(range(1, 1 + CAST(greatest(0, floor((most - n - i + n - 1) / n)) AS BIGINT))) AS copy FROM i, m")
+@query(f"""WITH {R}, {PRINTS}, {LABELLED}, {AUGMENTED}, k AS (SELECT sample_id, count(DISTINCT copy) AS copies FROM ag GROUP BY 1),
+i AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sample_id) - 1 AS i, sum(copies) OVER (PARTITION BY label) AS n FROM lb JOIN k USING (sample_id)), m AS (SELECT max(n) AS most FROM i),
+e AS (SELECT ag.*, label, unnest(range(1, 1 + CAST(greatest(0, ceil((most - n - i * copies - copy) / n)) AS BIGINT))) AS extra FROM ag JOIN i USING (sample_id), m)
+SELECT sample_id, label, copy, extra, anchor_idx, round({SHAKEN(KEY + " || '/' || extra")}, 4) AS rssi FROM e""")
 def oversample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return survey.oversampled(_labels(spark, sf_dir))
+    return rounded(survey.oversampled(survey.augmented(_prints(spark, sf_dir)), _labels(spark, sf_dir)), 4, "rssi")
 
 
 #: Predictions from the strongest anchor's floor.
@@ -256,6 +309,11 @@ def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survey.confusion(_predicted(spark, sf_dir))
 
 
+@query(f"WITH {R}, {PRINTS}, {LABELLED}, {PREDICTED}, u AS (SELECT label AS l, 1 AS a, 0 AS p, CAST(label = predicted AS INTEGER) AS h FROM pl UNION ALL SELECT predicted, 0, 1, 0 FROM pl), f AS (SELECT coalesce(2 * sum(h) / nullif(sum(a) + sum(p), 0), 0) AS f1 FROM u GROUP BY l) SELECT round(avg(CAST(label = predicted AS INTEGER)), 4) AS accuracy, count(*) AS n, (SELECT round(avg(f1), 4) FROM f) AS macro_f1, (SELECT count(*) FROM f) AS n_classes FROM pl")
+def class_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survey.summary(_predicted(spark, sf_dir))
+
+
 def rf_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-validated forest predictions: (sample_id, label, predicted)."""
     rows = zones.assembled(_vectors(spark, sf_dir), _labels(spark, sf_dir))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wavefix.functions import constants as K
-from wavefix.functions.signal import confidence_radius
+from wavefix.functions.signal import confidence_radius, noise, power
 from wavefix.operators import floors, history, particles, space, survey, tracker
 from wavefix.plans.signals import C, ORACLES, QUERIES, R, query, rounded
 from wavefix.sources import layout, readings
@@ -25,15 +28,26 @@ def _cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readings.particles(spark, sf_dir)
 
 
-_GRIDS: dict[str, DataFrame] = {}
+_FIXED: dict[tuple[str, str], DataFrame] = {}
+
+
+def _fixed(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table of the plan's size, computed once in an application."""
+    at = spark.sparkContext.applicationId, name
+    if at not in _FIXED:
+        for old in [x for x in _FIXED if x[0] != at[0]]:
+            del _FIXED[old]
+        df = make()
+        _FIXED[at] = spark.createDataFrame(df.collect(), df.schema).coalesce(1)
+    return _FIXED[at]
 
 
 def _cells(spark: SparkSession) -> DataFrame:
-    """The grid, of fixed size, computed once in an application."""
-    app = spark.sparkContext.applicationId
-    if app not in _GRIDS:
-        _GRIDS[app] = space.grid(_plan(spark)).coalesce(1).cache()
-    return _GRIDS[app]
+    return _fixed(spark, "cells", lambda: space.grid(_plan(spark)))
+
+
+def _walls(spark: SparkSession) -> DataFrame:
+    return _fixed(spark, "walls", lambda: space.anchor_rays(_cells(spark), _snapped(spark, _cells(spark))))
 
 
 def _by_events(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,9 +102,7 @@ RAYS = f"""ray_in AS (SELECT (c.pid, s.anchor_idx) AS rid, c.floor, {CELL.format
 
 @query(f"WITH RECURSIVE {C}, {space.SQL_GRID}, {space.SQL_SNAP}, {RAYS}, {space.SQL_RAYS} SELECT rid[1] AS pid, rid[2] AS anchor_idx, clear, n_walls FROM walked")
 def ray_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _cells(spark)
-    s = _snapped(spark, cells).select(F.col("key").alias("anchor_idx"), "floor", F.col("sx").alias("tx"), F.col("sy").alias("ty"))
-    return space.rays(_cloud(spark, sf_dir).join(F.broadcast(s), "floor"), space.grid_arrays(cells)).select("pid", "anchor_idx", "clear", "n_walls")
+    return space.in_cells(_cloud(spark, sf_dir), _cells(spark)).join(F.broadcast(_walls(spark)), ["floor", "row", "col"]).select("pid", "anchor_idx", "clear", "n_walls")
 
 
 @query(f"WITH {C}, d AS (SELECT pid, c.floor, min(sqrt((x - ex) * (x - ex) + (y - ey) * (y - ey))) AS dist FROM c LEFT JOIN {V('stairs')} ON from_floor = c.floor GROUP BY ALL) SELECT pid, floor, round(dist, 6) AS dist, round(1 + 4 / (1 + (dist / 6) * (dist / 6)), 6) AS boost FROM d")
@@ -126,56 +138,114 @@ def pf_drift_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(particles.drift_targets(history.latest(readings.readings(spark, sf_dir))), 4, "tx", "ty")
 
 
-def _first_beacon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Newest readings of the beacon of least id."""
-    newest = history.latest(readings.readings(spark, sf_dir))
-    return newest.join(F.broadcast(newest.agg(F.min("beacon").alias("beacon"))), "beacon")
+CLOUDS = "cb AS (SELECT c.*, r.beacon FROM c JOIN r ON r.event_id = c.pid)"
+
+
+def _clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cloud dealt to the beacons: a particle belongs to the beacon of the reading of its number."""
+    of = readings.readings(spark, sf_dir).select(F.col("event_id").alias("pid"), "beacon")
+    return _cloud(spark, sf_dir).join(of, "pid")
+
+
+def _newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.latest(readings.readings(spark, sf_dir))
 
 
 U = readings.sql_noise
 G = lambda a, b: f"sqrt(-2 * ln(1 - {U('CAST(pid AS VARCHAR)', chr(39) + a + chr(39))})) * cos(2 * 3.141592653589793 * {U('CAST(pid AS VARCHAR)', chr(39) + b + chr(39))})"
 PREDICT = f"""mv AS (
-  SELECT pid, c.floor, x, y, {K.MOTION_SIGMA} * sqrt({DT}::DOUBLE) * {G("u1", "u2")} + coalesce({K.DRIFT_RATE * DT} * (d.tx - x), 0) AS mx, {K.MOTION_SIGMA} * sqrt({DT}::DOUBLE) * {G("n1", "n2")} + coalesce({K.DRIFT_RATE * DT} * (d.ty - y), 0) AS my
-  FROM c LEFT JOIN (SELECT * FROM dr WHERE beacon = (SELECT min(beacon) FROM l)) d ON d.floor = c.floor
+  SELECT c.beacon, pid, c.floor, x, y, {K.MOTION_SIGMA} * sqrt({DT}::DOUBLE) * {G("u1", "u2")} + coalesce({K.DRIFT_RATE * DT} * (d.tx - x), 0) AS mx, {K.MOTION_SIGMA} * sqrt({DT}::DOUBLE) * {G("n1", "n2")} + coalesce({K.DRIFT_RATE * DT} * (d.ty - y), 0) AS my
+  FROM cb AS c LEFT JOIN dr d ON d.floor = c.floor AND d.beacon = c.beacon
 ), tg AS (SELECT *, CASE WHEN sqrt(mx * mx + my * my) > {K.MAX_SPEED_FT_S * DT} THEN {K.MAX_SPEED_FT_S * DT} / sqrt(mx * mx + my * my) ELSE 1 END AS sc FROM mv),
-tt AS (SELECT pid, floor, x, y, x + mx * sc AS tx, y + my * sc AS ty FROM tg),
+tt AS (SELECT beacon, pid, floor, x, y, x + mx * sc AS tx, y + my * sc AS ty FROM tg),
 ray_in AS (SELECT pid AS rid, floor, {CELL.format(m=58, v="y")} AS r0, {CELL.format(m=35, v="x")} AS c0, {CELL.format(m=58, v="ty")} AS r1, {CELL.format(m=35, v="tx")} AS c1 FROM tt)"""
 
 
-@query(f"""WITH RECURSIVE {R}, {C}, {LATEST}, {DRIFT}, {space.SQL_GRID}, {PREDICT}, {space.SQL_RAYS}
-SELECT pid, round(CASE WHEN ok THEN tx ELSE x END, 4) AS x, round(CASE WHEN ok THEN ty ELSE y END, 4) AS y, ok AS accepted FROM (
+@query(f"""WITH RECURSIVE {R}, {C}, {CLOUDS}, {LATEST}, {DRIFT}, {space.SQL_GRID}, {PREDICT}, {space.SQL_RAYS}
+SELECT beacon, pid, round(CASE WHEN ok THEN tx ELSE x END, 4) AS x, round(CASE WHEN ok THEN ty ELSE y END, 4) AS y, ok AS accepted FROM (
   SELECT tt.*, clear AND tx >= 0 AND ty >= 0 AND tx <= 17.7 AND ty <= 29.39 AND g.walkable AS ok FROM tt JOIN walked ON rid = pid
   JOIN grid g ON g.floor = tt.floor AND g.row = {CELL.format(m=58, v="ty")} AND g.col = {CELL.format(m=35, v="tx")})""")
 def pf_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    targets = particles.drift_targets(_first_beacon(spark, sf_dir))
-    out = particles.predicted(_cloud(spark, sf_dir), targets, space.grid_arrays(_cells(spark)), DT)
-    return out.select("pid", F.round("nx", 4).alias("x"), F.round("ny", 4).alias("y"), "accepted")
+    targets = particles.drift_targets(_newest(spark, sf_dir))
+    out = particles.predicted(_clouds(spark, sf_dir), targets, space.grid_arrays(_cells(spark)), DT)
+    return out.select("beacon", "pid", F.round("nx", 4).alias("x"), F.round("ny", 4).alias("y"), "accepted")
 
 
-WEIGHTS = f"""heard AS (SELECT l.anchor_idx, l.floor AS a_floor, l.ax, l.ay, l.az, l.rssi, sx, sy FROM l JOIN snap USING (anchor_idx) WHERE beacon = (SELECT min(beacon) FROM l)),
-ray_in AS (SELECT (z.pid, h.anchor_idx) AS rid, z.floor, {CELL.format(m=58, v="z.y")} AS r0, {CELL.format(m=35, v="z.x")} AS c0, {CELL.format(m=58, v="h.sy")} AS r1, {CELL.format(m=35, v="h.sx")} AS c1 FROM z, heard h WHERE h.a_floor = z.floor)"""
+WEIGHTS = f"""heard AS (SELECT l.beacon, l.anchor_idx, l.floor AS a_floor, l.ax, l.ay, l.az, l.rssi, sx, sy FROM l JOIN snap USING (anchor_idx)), zb AS (SELECT z.*, beacon FROM z JOIN cb USING (pid)),
+ray_in AS (SELECT (z.pid, h.anchor_idx) AS rid, z.floor, {CELL.format(m=58, v="z.y")} AS r0, {CELL.format(m=35, v="z.x")} AS c0, {CELL.format(m=58, v="h.sy")} AS r1, {CELL.format(m=35, v="h.sx")} AS c1 FROM zb z JOIN heard h ON h.a_floor = z.floor AND h.beacon = z.beacon)"""
 WEIGHED = f"""ll AS (
-  SELECT z.pid, z.x, z.y, z.floor, sum(-0.5 * pow((rssi - ({K.TX_POWER_DBM} - {10 * K.PATH_LOSS_N} * log10(greatest(sqrt((z.x - ax) * (z.x - ax) + (z.y - ay) * (z.y - ay) + (z.z - az) * (z.z - az)), 1) * {K.METRES_PER_FOOT}) - 6 * coalesce(n_walls, 0) - 6 * abs(z.floor - a_floor))) / 5, 2)) AS logw
-  FROM z CROSS JOIN heard h LEFT JOIN walked k ON k.rid = (z.pid, h.anchor_idx) GROUP BY ALL
-), ex AS (SELECT *, exp(logw - max(logw) OVER ()) AS raw FROM ll), pw AS (SELECT pid, x, y, floor, raw / sum(raw) OVER () AS w FROM ex)"""
-WBASE = f"WITH RECURSIVE {R}, {C}, {LATEST}, {space.SQL_GRID}, {space.SQL_SNAP}, {ELEVATION}, {WEIGHTS}, {space.SQL_RAYS}, {WEIGHED}"
+  SELECT z.beacon, z.pid, z.x, z.y, z.floor, sum(-0.5 * pow((rssi - ({K.TX_POWER_DBM} - {10 * K.PATH_LOSS_N} * log10(greatest(sqrt((z.x - ax) * (z.x - ax) + (z.y - ay) * (z.y - ay) + (z.z - az) * (z.z - az)), 1) * {K.METRES_PER_FOOT}) - 6 * coalesce(n_walls, 0) - 6 * abs(z.floor - a_floor))) / 5, 2)) AS logw
+  FROM zb z JOIN heard h ON h.beacon = z.beacon LEFT JOIN walked k ON k.rid = (z.pid, h.anchor_idx) GROUP BY ALL
+), ex AS (SELECT *, exp(logw - max(logw) OVER (PARTITION BY beacon)) AS raw FROM ll), pw AS (SELECT beacon, pid, x, y, floor, raw / sum(raw) OVER (PARTITION BY beacon) AS w FROM ex)"""
+WBASE = f"WITH RECURSIVE {R}, {C}, {CLOUDS}, {LATEST}, {space.SQL_GRID}, {space.SQL_SNAP}, {ELEVATION}, {WEIGHTS}, {space.SQL_RAYS}, {WEIGHED}"
 
 
 def _weighed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _cells(spark)
-    return particles.weights(particles.seen_from(_cloud(spark, sf_dir), _first_beacon(spark, sf_dir), _plan(spark), space.grid_arrays(cells), _snapped(spark, cells)))
+    return particles.weights(particles.seen_from(_clouds(spark, sf_dir), _newest(spark, sf_dir), _plan(spark), _cells(spark), _walls(spark)))
 
 
-@query(f"{WBASE} SELECT pid, round(w, 9) AS w FROM pw")
+@query(f"{WBASE} SELECT beacon, pid, round(w, 9) AS w FROM pw")
 def pf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _weighed(spark, sf_dir).select("pid", F.round("w", 9).alias("w"))
+    return _weighed(spark, sf_dir).select("beacon", "pid", F.round("w", 9).alias("w"))
 
 
-@query(f"{WBASE} SELECT round(1 / sum(w * w), 3) AS n_eff, count(*) AS n, 1 / sum(w * w) < {K.RESAMPLE_RATIO} * count(*) AS resample FROM pw")
+@query(f"{WBASE} SELECT beacon, round(1 / sum(w * w), 3) AS n_eff, count(*) AS n, 1 / sum(w * w) < {K.RESAMPLE_RATIO} * count(*) AS resample FROM pw GROUP BY 1")
 def pf_neff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = _weighed(spark, sf_dir)
-    out = w.agg((1 / F.sum(F.col("w") * F.col("w"))).alias("e"), F.count(F.lit(1)).alias("n"))
-    return out.select(F.round("e", 3).alias("n_eff"), "n", (F.col("e") < K.RESAMPLE_RATIO * F.col("n")).alias("resample"))
+    out = particles.n_eff(_weighed(spark, sf_dir), "beacon")
+    return out.select("beacon", F.round("n_eff", 3).alias("n_eff"), "n", (F.col("n_eff") < K.RESAMPLE_RATIO * F.col("n")).alias("resample"))
+
+
+P = lambda key, tag: U(key, f"'{tag}'")
+GAUSS = lambda key, a, b: f"sqrt(-2 * ln(1 - {P(key, a)})) * cos(2 * 3.141592653589793 * {P(key, b)})"
+TRY = "pid || '/' || k"
+
+
+@query(f"""WITH {R}, {C}, {CLOUDS}, {space.SQL_GRID}, tr AS (SELECT beacon, pid, k, 10 + 3 * {GAUSS(TRY, "u1", "u2")} AS x, 10 + 3 * {GAUSS(TRY, "n1", "n2")} AS y FROM cb, range(0, 2) g(k)),
+ok AS (SELECT beacon, pid, arg_min((x, y), k) AS s FROM tr JOIN grid g ON g.floor = 2 AND g.walkable AND g.row = {CELL.format(m=58, v="y")} AND g.col = {CELL.format(m=35, v="x")} WHERE x BETWEEN 0 AND 17.7 AND y BETWEEN 0 AND 29.39 GROUP BY ALL),
+al AS (SELECT beacon, pid, s, row_number() OVER (PARTITION BY beacon, s IS NOT NULL ORDER BY pid) - 1 AS i, count(s) OVER (PARTITION BY beacon) AS n FROM cb LEFT JOIN ok USING (beacon, pid))
+SELECT a.beacon, a.pid, round(coalesce(a.s, b.s)[1], 4) AS x, round(coalesce(a.s, b.s)[2], 4) AS y, 2 AS floor FROM al a LEFT JOIN al b ON a.s IS NULL AND b.s IS NOT NULL AND b.beacon = a.beacon AND b.i = a.i % nullif(a.n, 0)""")
+def pf_init_around(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two draws each, so that some particles find no place of their own."""
+    return rounded(particles.around(_clouds(spark, sf_dir).select("beacon", "pid"), _cells(spark), 10.0, 10.0, 2, 3.0, 2), 4, "x", "y")
+
+
+STEP = 2.0
+WAYS = f"""bl AS (SELECT beacon, floor, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY beacon) AS p FROM r GROUP BY beacon, floor),
+ways AS (SELECT s.*, b.ex AS bx, b.ey AS b2 FROM {V("stairs", "s")} JOIN (SELECT from_floor AS bf, to_floor AS bt, arg_min(ex, stair_pos) AS ex, arg_min(ey, stair_pos) AS ey FROM {V("stairs")} GROUP BY ALL) b ON bf = s.to_floor AND bt = s.from_floor),
+cc AS (SELECT *, greatest(greatest({P("CAST(pid AS VARCHAR)", "g")} * 10 - 5, 0) - {STEP}, 0) AS cool FROM cb),
+nr AS (SELECT cc.beacon, pid, ways.*, sqrt((x - ex) * (x - ex) + (y - ey) * (y - ey)) AS d FROM cc JOIN ways ON from_floor = cc.floor WHERE cool = 0),
+tk AS (SELECT nr.beacon, pid, arg_min((to_floor, bx, b2), stair_pos) AS w FROM nr LEFT JOIN bl ON bl.beacon = nr.beacon AND bl.floor = nr.to_floor
+  WHERE d < {K.STAIR_RADIUS_FT} AND {P("pid || '/' || stair_pos", "r")} < least(coalesce(p, 0) * {K.STAIR_RATE} * {STEP}, 0.4) * greatest(0.1, least(1, 1 - d / {K.STAIR_RADIUS_FT})) GROUP BY ALL)"""
+
+
+@query(f"WITH {R}, {C}, {CLOUDS}, {WAYS} SELECT cc.beacon, pid, round(coalesce(w[2], x), 4) AS x, round(coalesce(w[3], y), 4) AS y, coalesce(w[1], floor) AS floor, round(CASE WHEN w IS NULL THEN cool ELSE {K.STAIR_COOLDOWN_S} END, 6) AS cooldown, w IS NOT NULL AS moved FROM cc LEFT JOIN tk USING (beacon, pid)")
+def pf_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A step of two seconds; the belief in a floor is its share of the beacon's readings."""
+    per = readings.readings(spark, sf_dir).groupBy("beacon", "floor").agg(F.count(F.lit(1)).alias("n"))
+    belief = per.select("beacon", "floor", (F.col("n") / F.sum("n").over(W.partitionBy("beacon"))).alias("p"))
+    cloud = _clouds(spark, sf_dir).withColumn("cooldown", F.greatest(noise("pid", "g") * 10 - 5, F.lit(0.0)))
+    return rounded(rounded(particles.changed_floor(cloud, belief, _plan(spark), STEP), 4, "x", "y"), 6, "cooldown")
+
+
+POWER = "pow(10, (rssi + 100) / 10)"
+TELEPORT = f"""sw AS (SELECT *, 0.5 + {P("CAST(pid AS VARCHAR)", "w")} AS v FROM cb), sn AS (SELECT beacon, pid, x, y, floor, v / sum(v) OVER (PARTITION BY beacon) AS w, row_number() OVER (PARTITION BY beacon ORDER BY v, pid) AS i FROM sw),
+be AS (SELECT beacon, arg_max(floor, (p, -floor)) AS best, max(p) AS p FROM (SELECT beacon, floor, sum({POWER}) / sum(sum({POWER})) OVER (PARTITION BY beacon) AS p FROM l GROUP BY beacon, floor) GROUP BY 1),
+mo AS (SELECT beacon, arg_max(floor, (k, -floor)) AS most, CAST(sum(k) AS BIGINT) AS n FROM (SELECT beacon, floor, count(*) AS k FROM cb GROUP BY ALL) GROUP BY 1),
+st AS (SELECT from_floor AS a, to_floor AS b FROM {V("stairs")}), ad AS (SELECT a, b FROM st UNION SELECT b, a FROM st),
+du AS (SELECT beacon, best, n, greatest(1, CAST(floor(n * {K.TELEPORT_SHARE}::DOUBLE) AS BIGINT)) AS k FROM mo JOIN be USING (beacon) JOIN ad ON a = most AND b = best WHERE p >= {K.TELEPORT_BELIEF} AND {P("CAST(beacon AS VARCHAR)", "q")} * 4 >= {K.TELEPORT_HOLD_S}),
+cl AS (SELECT floor, row, col, row_number() OVER (PARTITION BY floor ORDER BY row, col) - 1 AS j, count(*) OVER (PARTITION BY floor) AS nc FROM grid WHERE walkable), pk AS (
+  SELECT sn.*, du.best, du.n, du.k, coalesce(i <= k, false) AS moved, {P("sn.beacon || '/' || pid", "r")} AS u FROM sn LEFT JOIN du USING (beacon))"""
+
+
+@query(f"WITH {R}, {C}, {CLOUDS}, {LATEST}, {space.SQL_GRID}, {TELEPORT} SELECT beacon, pid, round(CASE WHEN moved THEN (col + 0.5) * 0.5 ELSE x END, 4) AS x, round(CASE WHEN moved THEN (row + 0.5) * 0.5 ELSE y END, 4) AS y, CASE WHEN moved THEN best ELSE pk.floor END AS floor, round(CASE WHEN n IS NULL THEN w ELSE 1 / n END, 9) AS w, moved FROM pk LEFT JOIN cl ON moved AND cl.floor = best AND j = CAST(floor(u * nc) AS BIGINT)")
+def pf_teleport(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The belief in a floor is its share of the newest readings' power; the disagreement has lasted up to four seconds."""
+    own = W.partitionBy("beacon")
+    heard = _newest(spark, sf_dir).groupBy("beacon", "floor").agg(F.sum(power("rssi")).alias("s"))
+    belief = heard.select("beacon", "floor", (F.col("s") / F.sum("s").over(own)).alias("p"))
+    held = belief.select("beacon").distinct().withColumn("seconds", noise("beacon", "q") * 4)
+    cloud = _clouds(spark, sf_dir).withColumn("v", 0.5 + noise("pid", "w")).withColumn("w", F.col("v") / F.sum("v").over(own)).drop("v")
+    return rounded(rounded(particles.teleported(cloud, belief, held, layout.adjacency(_plan(spark)), _cells(spark)), 4, "x", "y"), 9, "w")
 
 
 #: A smooth cloud for resampling: weights from hashes, so that no cumulative sum falls on a slot's edge.
@@ -183,8 +253,6 @@ SMOOTH = f"sw AS (SELECT pid, x, y, floor, (0.5 + {U('CAST(pid AS VARCHAR)', chr
 
 
 def _smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from wavefix.functions.signal import noise
-
     c = _cloud(spark, sf_dir).withColumn("v", 0.5 + noise("pid", "w"))
     return c.crossJoin(F.broadcast(c.agg(F.sum("v").alias("total")))).withColumn("w", F.col("v") / F.col("total")).drop("v", "total")
 
