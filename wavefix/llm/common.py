@@ -50,11 +50,11 @@ def saved(spark: SparkSession, df: DataFrame, name: str, **options: str) -> Data
 
 
 @contextmanager
-def scratch(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame], DataFrame]]:
+def scratch(spark: SparkSession, name: str) -> Iterator[Callable[..., DataFrame]]:
     """``saved`` for tables that nothing needs after the block: their folder is deleted at its end."""
     root, number = shared_dir(spark, name), count()
     try:
-        yield lambda df: _written(spark, df, f"{root}/{next(number)}", {})
+        yield lambda df, **options: _written(spark, df, f"{root}/{next(number)}", options)
     finally:
         path = spark._jvm.org.apache.hadoop.fs.Path(root)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,7 +8,7 @@ level is merged by all tasks, and a hot digest is reduced before it is shuffled.
 
 Digests of several rows in the last run are hits. They get a filter of ``BITS`` bits (of fixed size, so it is
 broadcast; a full one only lets more pass); texts that pass it are looked up in the hits and their bytes
-compared, and a digest whose texts differ is split by text. Point look-ups in the runs use their files' own filters.
+compared, and a digest whose texts differ is split by text. Point look-ups in the first runs use their files' own filters.
 
 Defined results: a null text is empty, and all empty texts are one group; a
 null id loses to any id; rows that repeat an id carry the same decision each; an
@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavefix.llm.common import saved
+from wavefix.llm.common import saved, scratch
 
 #: Characters that don't count when texts are compared.
 IGNORED = " \t\n\x0b\x0c\r"
@@ -30,8 +30,8 @@ IGNORED = " \t\n\x0b\x0c\r"
 FANOUT = 16
 #: Bits of the hits' filter.
 BITS = 1 << 24
-#: How runs are written: Parquet's own filters, for point look-ups.
-FILTERED = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled#digest": "true"}
+#: How the first runs are written: Parquet's own filters of at most 64 KB a file, for point look-ups.
+FILTERED = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled#digest": "true", "parquet.bloom.filter.max.bytes": "65536"}
 
 
 def normalised(text: Column) -> Column:
@@ -60,10 +60,12 @@ def merged(level: DataFrame, *also: str) -> DataFrame:
 def compacted(spark: SparkSession, runs: DataFrame, *also: str) -> DataFrame:
     """The last run, (digest, keep_id, group_size), after merging level by level."""
     level = runs.select("run", "digest", *also, F.struct("chars", F.bitwise_not("id").alias("rest")).alias("best"), F.lit(1).cast("long").alias("n"))
-    most = None
-    while most is None or most > 0:
-        level = saved(spark, merged(level, *also), "level", **FILTERED)
-        most = level.agg(F.max("run")).first()[0] or 0
+    most = runs.agg(F.max("run")).first()[0] or 0
+    with scratch(spark, "levels") as keep:
+        while most >= FANOUT:
+            level = keep(merged(level, *also))
+            most //= FANOUT
+        level = saved(spark, merged(level, *also), "level")
     return level.select("digest", *also, F.bitwise_not("best.rest").alias("keep_id"), F.col("n").alias("group_size"))
 
 

@@ -29,7 +29,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
@@ -39,6 +39,9 @@ from pyspark.sql import functions as F
 
 from wavefix.llm.common import chunks, gram_hashes, keyed, mix, packed, partitions, routed, saved, scratch, unkeyed, unpacked, unsqueezed, word_hashes, word_spans
 
+#: Writes a table and reads it back (see ``scratch``).
+Keep = Callable[..., DataFrame]
+
 WORDS = 5
 BANDS, ROWS = 40, 4
 #: Signature values compared before each look at the posterior.
@@ -131,7 +134,7 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(sign, "key long, n_shingles long, same binary, sig binary")
 
 
-def members(spark: SparkSession, sigs: DataFrame) -> DataFrame:
+def members(spark: SparkSession, sigs: DataFrame, keep: Keep) -> DataFrame:
     """(bucket, key) of every bucket with two members or more."""
     n = partitions(spark)
 
@@ -172,7 +175,7 @@ def members(spark: SparkSession, sigs: DataFrame) -> DataFrame:
             yield from tell(buckets[shared], keys[shared])
 
     dealt = sigs.select("key", "sig").mapInPandas(deal, "target int, kind int, buckets binary, keys binary, known binary")
-    return saved(spark, dealt.repartitionById(n, F.col("target")).mapInPandas(meet, "bucket long, key long"), "buckets")
+    return keep(dealt.repartitionById(n, F.col("target")).mapInPandas(meet, "bucket long, key long"))
 
 
 def likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -230,14 +233,14 @@ def linked(spark: SparkSession, pairs: DataFrame, texts: DataFrame) -> DataFrame
     return routed(rows, n, "a", "salt", "kind").mapInPandas(verify, "a long, b long")
 
 
-def opened(spark: SparkSession, held: DataFrame, names: DataFrame) -> DataFrame:
+def opened(held: DataFrame, names: DataFrame, keep: Keep) -> DataFrame:
     """(bucket, key, comp) of the buckets that still hold several components of ``names`` (key, comp)."""
     named = held.join(names, "key")
     several = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-    return saved(spark, named.join(several, "bucket", "left_semi").select("bucket", "key", "comp"), "open")
+    return keep(named.join(several, "bucket", "left_semi").select("bucket", "key", "comp"))
 
 
-def placed(spark: SparkSession, open_: DataFrame) -> DataFrame:
+def placed(spark: SparkSession, open_: DataFrame, keep: Keep) -> DataFrame:
     """(key, comp, group, block) of the members (bucket, key, comp) of open buckets.
 
     Members connected by buckets form a group. A group's large components have blocks of their
@@ -245,16 +248,16 @@ def placed(spark: SparkSession, open_: DataFrame) -> DataFrame:
     least of these, so that only (hub, least hub) pairs are links of the grouping, not all (document, hub) pairs.
     """
     hubs = open_.join(open_.groupBy("bucket").agg(F.min("key").alias("hub")), "bucket").select("key", "comp", "hub").distinct()
-    hubs = saved(spark, hubs.join(hubs.groupBy("key").agg(F.min("hub").alias("least")), "key"), "hubs")
-    groups = components(spark, hubs.select(F.col("hub").alias("a"), F.col("least").alias("b")))
+    hubs = keep(hubs.join(hubs.groupBy("key").agg(F.min("hub").alias("least")), "key"))
+    groups = components(spark, hubs.select(F.col("hub").alias("a"), F.col("least").alias("b")), keep)
     docs = hubs.select("key", "comp", "least").distinct().join(groups.select(F.col("key").alias("least"), F.col("comp").alias("group")), "least", "left")
-    docs = saved(spark, docs.select("key", "comp", F.coalesce("group", "least").alias("group")), "grouped")
+    docs = keep(docs.select("key", "comp", F.coalesce("group", "least").alias("group")))
     sizes = docs.groupBy("group", "comp").agg(F.count(F.lit(1)).alias("n")).withColumn("large", F.col("n") > BLOCK // 2)
     small = sizes.groupBy("group").agg(F.sum(F.when(~F.col("large"), F.col("n"))).alias("rest"))
     pieces = F.when(F.col("large"), F.ceil(F.col("n") / BLOCK)).otherwise(F.ceil(F.col("rest") / BLOCK))
     part = F.pmod(F.when(F.col("large"), F.xxhash64("key")).otherwise(F.xxhash64("comp")), pieces)
     block = F.struct(F.when(F.col("large"), F.col("comp")).otherwise(-1).alias("of"), part.alias("part")).alias("block")
-    return saved(spark, docs.join(sizes, ["group", "comp"]).join(small, "group").select("key", "comp", "group", block), "placed")
+    return keep(docs.join(sizes, ["group", "comp"]).join(small, "group").select("key", "comp", "group", block))
 
 
 def crossed(spark: SparkSession, docs: DataFrame, units: DataFrame, few: DataFrame, texts: DataFrame) -> DataFrame:
@@ -321,7 +324,7 @@ def _compared(unit: pd.DataFrame, least: dict[int, int]) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"])
 
 
-def components(spark: SparkSession, links: DataFrame) -> DataFrame:
+def components(spark: SparkSession, links: DataFrame, kept: Keep | None = None) -> DataFrame:
     """(key, comp): the least key reachable over ``links`` (a, b), for every key that is not itself the least.
 
     A pass hooks each node to its least smaller neighbour, follows the hooks to their ends by doubling
@@ -345,7 +348,7 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
             edges = keep(ends.select(F.greatest("tx", "ty").alias("x"), F.least("tx", "ty").alias("y")).where("x > y").distinct())
         if names is None:
             names = edges.select(F.col("x").alias("key"), F.col("y").alias("comp"))
-        return saved(spark, names, "joined")
+        return saved(spark, names, "joined") if kept is None else kept(names)
 
 
 def renamed(names: DataFrame, moved: DataFrame) -> DataFrame:
@@ -353,48 +356,55 @@ def renamed(names: DataFrame, moved: DataFrame) -> DataFrame:
     return names.join(moved.select(F.col("key").alias("comp"), F.col("comp").alias("_to")), "comp", "left").select("key", F.coalesce("_to", "comp").alias("comp"))
 
 
-def near_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(key, n_shingles, comp) for each row of ``docs`` (key, text)."""
-    sigs = saved(spark, signed(docs), "signatures")
-    full = sigs.where("same IS NOT NULL")
-    groups = saved(spark, full.groupBy("same").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("n")), "equal")
+def _joined(spark: SparkSession, docs: DataFrame, full: DataFrame, groups: DataFrame, keep: Keep) -> DataFrame:
+    """(key, comp) of the heads of equal sets that share a bucket with another."""
     heads = groups.select(F.col("head").alias("key"))
-    alone = saved(spark, full.join(heads.distinct(), "key", "left_semi").select("key", "sig").dropDuplicates(["key", "sig"]), "heads")
-    held = members(spark, alone)
+    alone = keep(full.join(heads.distinct(), "key", "left_semi").select("key", "sig").dropDuplicates(["key", "sig"]))
+    held = members(spark, alone, keep)
     inside = held.select("key").distinct()
-    few = saved(spark, alone.join(inside, "key", "left_semi"), "candidates")
-    texts = saved(spark, docs.join(inside, "key", "left_semi").dropDuplicates(["key", "text"]), "texts", compression="zstd")
+    few = keep(alone.join(inside, "key", "left_semi"))
+    texts = keep(docs.join(inside, "key", "left_semi").dropDuplicates(["key", "text"]), compression="zstd")
 
     names = inside.withColumn("comp", F.col("key"))
 
     def joined(links: DataFrame) -> DataFrame:
-        return saved(spark, renamed(names, components(spark, links)), "components")
+        return keep(renamed(names, components(spark, links, keep)))
 
-    open_ = opened(spark, held, names)
+    open_ = opened(held, names, keep)
     for turn in ("min", "max"):
         if open_.isEmpty():
             break
         pick = open_.groupBy("bucket").agg(getattr(F, f"{turn}_by")(F.struct("key", "comp"), "key").alias("hub"))
         pairs = open_.join(pick, "bucket").where("hub.comp <> comp").select(F.least("hub.key", "key").alias("a"), F.greatest("hub.key", "key").alias("b")).distinct()
-        new = saved(spark, linked(spark, saved(spark, likely(pairs, few), "likely"), texts), "links")
+        new = keep(linked(spark, keep(likely(pairs, few)), texts))
         if turn == "max":  # links of components from here on
             new = new.join(names.select(F.col("key").alias("a"), F.col("comp").alias("ca")), "a").join(names.select(F.col("key").alias("b"), F.col("comp").alias("cb")), "b")
             new = new.select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         names = joined(new)
-        open_ = opened(spark, open_.select("bucket", "key"), names)
+        open_ = opened(open_.select("bucket", "key"), names, keep)
     if not open_.isEmpty():
-        docs_ = placed(spark, open_)
+        docs_ = placed(spark, open_, keep)
         blocks = docs_.groupBy("group", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         inner = blocks.where("lo < hi").select("group", F.col("block").alias("block_x"), F.col("block").alias("block_y"))
-        names = joined(saved(spark, crossed(spark, docs_, inner, few, texts), "links"))
-        wide = saved(spark, docs_.join(blocks.groupBy("group").count().where("count > 1"), "group", "left_semi").select("key").distinct(), "wide")
+        names = joined(keep(crossed(spark, docs_, inner, few, texts)))
+        wide = keep(docs_.join(blocks.groupBy("group").count().where("count > 1"), "group", "left_semi").select("key").distinct())
         if not wide.isEmpty():
             # Groups of several blocks: what is joined by now needs no comparison, the rest meets block by block.
-            docs_ = placed(spark, opened(spark, open_.select("bucket", "key").join(wide, "key", "left_semi"), names))
+            docs_ = placed(spark, opened(open_.select("bucket", "key").join(wide, "key", "left_semi"), names, keep), keep)
             blocks = docs_.groupBy("group", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
             x, y = (blocks.select("group", *(F.col(c).alias(f"{c}_{i}") for c in ("block", "lo", "hi"))) for i in "xy")
             units = x.join(y, "group").where("block_x <= block_y AND (lo_x <> hi_y OR hi_x <> lo_y)").select("group", "block_x", "block_y")
-            names = joined(saved(spark, crossed(spark, docs_, units, few, texts), "links"))
+            names = joined(keep(crossed(spark, docs_, units, few, texts)))
+    return names
+
+
+def near_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(key, n_shingles, comp) for each row of ``docs`` (key, text)."""
+    sigs = saved(spark, signed(docs), "signatures")
+    full = sigs.where("same IS NOT NULL")
+    groups = saved(spark, full.groupBy("same").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("n")), "equal")
+    with scratch(spark, "near") as keep:
+        names = saved(spark, _joined(spark, docs, full, groups, keep), "components")
 
     heads = groups.join(names.select(F.col("key").alias("head"), "comp"), "head", "left").select("same", F.coalesce("comp", "head").alias("comp"), "n")
     out = sigs.select("key", "n_shingles", "same").join(heads.where("n > 1 OR comp IS NOT NULL"), "same", "left")
