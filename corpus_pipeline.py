@@ -21,7 +21,7 @@ from wavefix.llm.tokens import vocabulary
 
 def _matched(docs: DataFrame, listed: DataFrame, mark: Column, how: str) -> DataFrame:
     """Rows of ``docs`` whose id and ``mark`` (of their text) are in ``listed`` (doc_id, mark), by a semi or anti join; ids may be null or repeated."""
-    other = listed.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_listed")).distinct()
+    other = listed.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_listed")).distinct().hint("merge")
     return docs.withColumn("_mark", mark).join(other, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_listed")), how).select(docs.columns)
 
 
