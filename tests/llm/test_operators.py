@@ -428,6 +428,41 @@ def test_quality_without_labels(spark):
     assert [r["s"] for r in got] == [0.5] * 9
 
 
+def test_whole_risk_covers_every_document_not_held_out(spark):
+    docs = documents(spark, [*TEXTS[:40], *TEXTS[8:12]])
+    x = quality.features([(t or "").encode() for t in TEXTS[8:30]])
+    model = quality.fit(x, np.arange(len(x)) < 9, 0.5, np.zeros(quality.WIDTH + 2))
+    own = [r["text"] or "" for r in docs.collect() if r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    z = (quality.features([t.encode() for t in own]) - model[1, :-1]) / model[2, :-1]
+    at = z @ model[0, :-1] + model[0, -1]
+    slope = 1 / (1 + np.exp(-at))
+    want = np.concatenate(([np.log1p(np.exp(at)).sum()], slope @ z, [slope.sum(), len(own)]))
+    assert np.allclose(quality.whole_risk(docs, model), want, rtol=1e-3, atol=1e-2)
+
+
+def test_small_unlabelled_sample_is_led_by_all_documents(spark, monkeypatch):
+    """Held-out accuracy with an unlabelled sample of a tenth of the documents."""
+    data = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    monkeypatch.setattr(quality, "UNLABELLED", 80)
+    model = quality.trained(docs, labels)
+    got = docs.select("doc_id", quality.held_out(F.col("doc_id")).alias("h"), quality.scorer(model)(F.col("text")).alias("s")).join(labels, "doc_id").where("h").toPandas()
+    assert ((got["s"] >= quality.THRESHOLD) == got["quality"]).mean() > 0.93
+
+
+def test_quality_of_odd_tables(spark):
+    """Null and repeated ids and labels, labels without a document, empty and repeated texts, clashing columns, no rows."""
+    docs = documents(spark, TEXTS[:40])
+    docs = docs.union(docs)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(3, 1), (4, None), (None, 1), (10**9, 1)], "doc_id long, quality int")
+    got = docs.select("doc_id", quality.scorer(quality.trained(docs, labels))(F.col("text")).alias("s")).collect()
+    assert len(got) == 80 and all(0 <= r["s"] <= 1 for r in got) and len({(r["doc_id"], r["s"]) for r in got}) == 40
+    none = docs.where("false")
+    assert none.select(quality.scorer(quality.trained(none, labels))(F.col("text")).alias("s")).count() == 0
+    only = spark.createDataFrame([(10**9 + 1, 1)], "doc_id long, quality int")
+    assert {r["s"] for r in docs.select(quality.scorer(quality.trained(docs, only))(F.col("text")).alias("s")).collect()} == {0.5}
+
+
 def test_score_does_not_depend_on_neighbours():
     x = [t.encode() for t in TEXTS[8:30]]
     whole = quality.features(x)
@@ -461,3 +496,5 @@ def test_repeated_rows(spark):
     once = {r["doc_id"]: r["kept"] for r in phrase_dedup.phrase_dedup(spark, docs).collect()}
     assert len(got) == 60 and all(once[r["doc_id"]] == r["kept"] for r in got)
     assert len({(r["doc_id"], r["keep_id"]) for r in exact_dedup.exact_dedup(spark, twice).collect()}) == 30
+    hits = lambda d: sorted(map(str, decontamination.scored(spark, d, spark.createDataFrame([("a", "w1 w2"), ("b", "the")], "item_id string, text string")).select("doc_id", "n_words", "n_hit").collect()))
+    assert hits(twice) == sorted(2 * hits(docs))

@@ -55,6 +55,26 @@ def test_quality_stage_rejects_by_score(spark):
     assert {r["doc_id"] for r in corpus_pipeline.good_quality(spark, docs, DATA).collect()} == want
 
 
+def test_run_over_odd_rows_and_no_rows(spark, tmp_path):
+    """Null ids and texts, empty and very long texts, repeats, ties and columns with names that the operators use."""
+    fields = "doc_id long, text string, lang string, key string, spans string, n_hit string, score string, sequence_id string"
+    long = prose(7, 20_000)
+    texts = [None, "", " ", prose(1), prose(1), prose(1) + " x", long, long + " y", prose(2), None]
+    rows = [(None if i in (3, 9) else i, t, None, *"abcde") for i, t in enumerate(texts)]
+    for n, some in enumerate((rows + rows, [])):
+        at = str(tmp_path / str(n))
+        spark.createDataFrame(some, fields).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([(i, 1) for i in range(9)], "doc_id long, quality int").write.parquet(f"{at}/labels.parquet")
+        spark.createDataFrame([("a", prose(2)), ("b", None)], "item_id string, text string").write.parquet(f"{at}/benchmark.parquet")
+        pieces = corpus_pipeline.run(spark, at).collect()
+        assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(pieces[0].asDict() if pieces else {"doc_id", "start", "length", "sequence_id", "offset"})
+        if not some:
+            assert pieces == []
+        else:
+            # One empty text, one of the near copies of each of two texts; the contaminated text is gone.
+            assert len({r["doc_id"] for r in pieces}) == 3 and 8 not in {r["doc_id"] for r in pieces}
+
+
 def prose(seed, n=60):
     rng = random.Random(seed)
     return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))

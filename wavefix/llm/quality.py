@@ -9,8 +9,11 @@ where the second term turns negative its gradient is reversed, so the model cann
 fit the positives out of the unlabelled text. The class prior is estimated from the
 labels. Inputs are the text's byte-pair profile and a few ratios, nothing else.
 
-The fit uses at most ``POSITIVES`` labelled positives and ``UNLABELLED`` documents, those of
-least hashed id, and runs in one task; scoring is a map over all documents.
+The inputs' means and scales are those of the positives. The unlabelled risk is that of all documents
+that aren't held out: the fit itself runs in one task on at most ``POSITIVES`` labelled positives and ``UNLABELLED``
+documents, those of least hashed id, but a second round shifts its unlabelled risk by the difference between
+all documents and that sample in risk and gradient, both at the first round's model (the surrogate
+likelihood of distributed estimation). Where the sample is the whole table the shift is nil. Scoring is a map.
 
 Defined results: a null text is scored as an empty one; without any positive label
 every score is 0.5; a null label is no label; a document with several labels
@@ -27,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavefix.llm.common import CHUNK, gram_hashes, mix, word_hashes, word_spans
+from wavefix.llm.common import CHUNK, gram_hashes, mix, scratch, word_hashes, word_spans
 
 POSITIVES, UNLABELLED = 6_000, 12_000
 FOLDS = 5
@@ -83,27 +86,40 @@ def _fill(out: np.ndarray, texts: list[bytes]) -> None:
                 out[i, last + 3] = 1 - len(np.unique(grams[a : b - 2])) / (b - a - 2)
 
 
-def fit(x: np.ndarray, positive: np.ndarray, prior: float) -> np.ndarray:
-    """Weights, bias, and the inputs' means and scales (rows of a matrix) of the model of least risk."""
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 0.01
+def unlabelled_risk(model: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Sums over rows of features: the loss of calling them negative, its gradient by weights and bias, and the rows."""
+    z = ((x - model[1, :-1]) / model[2, :-1]).astype(np.float32)
+    at = z @ model[0, :-1].astype(np.float32) + model[0, -1]
+    slope = 1 / (1 + np.exp(-at))
+    return np.concatenate(([np.logaddexp(0, at).sum()], slope @ z, [slope.sum(), len(x)])).astype(np.float64)
+
+
+def fit(x: np.ndarray, positive: np.ndarray, prior: float, shift: np.ndarray) -> np.ndarray:
+    """Weights, bias, and the positives' means and scales (rows of a matrix) of the model of least risk; zeros without positives.
+
+    ``shift`` (a level, then a slope for each weight and the bias) is added to the unlabelled risk.
+    """
     weights, bias = np.zeros(WIDTH), 0.0
     model = np.zeros((3, WIDTH + 1))
     if positive.any() and not positive.all():
+        mean, scale = x[positive].mean(axis=0), x[positive].std(axis=0) + 0.01
+        model[1, :-1], model[2, :-1] = mean, scale
         z = ((x - mean) / scale).astype(np.float32)
         p, u = z[positive], z[~positive]
         m1, m2 = np.zeros(WIDTH + 1), np.zeros(WIDTH + 1)
         for step in range(1, STEPS + 1):
             at_p, at_u = p @ weights.astype(np.float32) + bias, u @ weights.astype(np.float32) + bias
             good, bad, unl = (1 / (1 + np.exp(-v)) for v in (-at_p, at_p, at_u))  # slopes of the three risks
-            negative = np.logaddexp(0, at_u).mean() - prior * np.logaddexp(0, at_p).mean()
+            shifted = shift[0] + shift[1:] @ np.append(weights, bias)
+            negative = np.logaddexp(0, at_u).mean() + shifted - prior * np.logaddexp(0, at_p).mean()
             g_p, g_u = prior * bad / len(p), unl / len(u)
             by = (-prior * good / len(p) - g_p, g_u) if negative >= 0 else (g_p, -g_u)
             grad = np.append(p.T @ by[0].astype(np.float32) + u.T @ by[1].astype(np.float32) + DECAY * weights, by[0].sum() + by[1].sum())
+            grad = grad + shift[1:] if negative >= 0 else grad - shift[1:]
             m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
             move = RATE * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
             weights, bias = weights - move[:-1], bias - move[-1]
-    model[0], model[1, :-1], model[2, :-1] = np.append(weights, bias), mean, scale
-    model[2, -1] = 1
+    model[0] = np.append(weights, bias)
     return model
 
 
@@ -116,6 +132,20 @@ def held_out(id_: Column) -> Column:
     return F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
+def whole_risk(docs: DataFrame, model: np.ndarray) -> np.ndarray:
+    """``unlabelled_risk`` of all documents that aren't held out; one short vector leaves a task."""
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(WIDTH + 3)
+        for pdf in batches:
+            total += unlabelled_risk(model, features([t.encode("utf-8", "replace") for t in pdf["text"]]))
+        yield pd.DataFrame({"v": [total]})
+
+    rows = docs.where(~held_out(F.col("doc_id"))).select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(part, "v array<double>")
+    sums = rows.select(F.posexplode("v").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").collect()
+    return np.array([r["v"] for r in sums])
+
+
 def trained(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """The model fitted on rows of ``docs`` (doc_id, text) and ``labels`` (doc_id, quality) that aren't held out."""
     known = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -133,14 +163,28 @@ def trained(docs: DataFrame, labels: DataFrame) -> np.ndarray:
             x = features([t.encode("utf-8", "replace") for t in pdf["text"]])
             yield pd.DataFrame({"one": 1, "doc_id": pdf["doc_id"], "positive": pdf["positive"], "x": [r.tobytes() for r in x]})
 
-    def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["positive", "doc_id"], kind="stable")
-        x = np.frombuffer(b"".join(pdf["x"]), np.float32).reshape(len(pdf), -1)
-        return pd.DataFrame({"model": [fit(x, pdf["positive"].to_numpy(), prior).tobytes()]})
-
-    described = rows.mapInPandas(describe, "one int, doc_id long, positive boolean, x binary")
-    found = described.groupBy("one").applyInPandas(train, "model binary").first()
-    return np.frombuffer(found["model"]).reshape(3, -1) if found else np.zeros((3, WIDTH + 1))
+    def fitted(sample: DataFrame, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The model, and its unlabelled risk and gradient on the sample."""
+
+        def train(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["positive", "doc_id"], kind="stable")
+            x, positive = np.frombuffer(b"".join(pdf["x"]), np.float32).reshape(len(pdf), -1), pdf["positive"].to_numpy()
+            model = fit(x, positive, prior, shift)
+            risk = unlabelled_risk(model, x[~positive]) if model[2].any() else np.zeros(WIDTH + 3)
+            return pd.DataFrame({"model": [model.tobytes()], "risk": [risk.tobytes()]})
+
+        found = sample.groupBy("one").applyInPandas(train, "model binary, risk binary").first()
+        return (np.frombuffer(found["model"]).reshape(3, -1), np.frombuffer(found["risk"])) if found else (np.zeros((3, WIDTH + 1)), np.zeros(WIDTH + 3))
+
+    with scratch(docs.sparkSession, "quality") as written:
+        sample = written(rows.mapInPandas(describe, "one int, doc_id long, positive boolean, x binary"))
+        model, part = fitted(sample, np.zeros(WIDTH + 2))
+        if not model[2].any():  # no positive in the table
+            return model
+        whole = whole_risk(docs, model)
+        shift = whole[:-1] / whole[-1] - part[:-1] / part[-1]
+        shift[0] -= shift[1:] @ model[0]
+        return fitted(sample, shift)[0]
 
 
 def scorer(model: np.ndarray) -> Callable[[Column], Column]:
