@@ -18,7 +18,7 @@ def drift_targets(latest: DataFrame) -> DataFrame:
     return latest.groupBy("beacon", "floor").agg((F.sum(w * F.col("ax")) / F.sum(w)).alias("tx"), (F.sum(w * F.col("ay")) / F.sum(w)).alias("ty"))
 
 
-def predicted(cloud: DataFrame, targets: DataFrame, arrays: DataFrame, dt: float) -> DataFrame:
+def predicted(cloud: DataFrame, targets: DataFrame, arrays: DataFrame, dt: float | Column) -> DataFrame:
     """Move particles by noise and drift, at most as fast as walking, where no wall is in the way: adds nx, ny, accepted."""
     out = cloud.join(targets.select("beacon", "floor", F.col("tx").alias("gx"), F.col("ty").alias("gy")), ["beacon", "floor"], "left")
     sigma = K.MOTION_SIGMA * dt**0.5
@@ -95,7 +95,7 @@ def around(ids: DataFrame, cells: DataFrame, x: float, y: float, floor: int, spr
     return out.select("beacon", "pid", s["x"].alias("x"), s["y"].alias("y"), F.lit(floor).alias("floor"))
 
 
-def changed_floor(cloud: DataFrame, belief: DataFrame, plan: DataFrame, dt: float) -> DataFrame:
+def changed_floor(cloud: DataFrame, belief: DataFrame, plan: DataFrame, dt: float | Column) -> DataFrame:
     """Particles (beacon, pid, x, y, floor, cooldown) after a step in which those beside a stairway may take it.
 
     Stairways count in order and a particle takes the first that its draw lets it take, if there is a way back; it then

@@ -21,7 +21,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from wavefix.functions import constants as K
 from wavefix.sources.readings import parsed
 
-OUT = "event_id long, beacon long, anchor_id string, t double, x double, cycle boolean"
+OUT = "event_id long, beacon long, anchor_id string, t double, rssi double, x double, cycle boolean"
 FORGET_MS = 3_600_000
 
 
@@ -60,11 +60,11 @@ def _tracker(forget: bool) -> Callable[..., Iterator[pd.DataFrame]]:
             due = s["last"] is None or t - s["last"] >= K.MIN_INTERVAL_S
             if due:
                 s["last"] = float(t)
-            out.append((event_id, key[0], anchor, t, s["anchors"][anchor][1], due))
+            out.append((event_id, key[0], anchor, t, float(rssi), s["anchors"][anchor][1], due))
         state.update((json.dumps(s),))
         if forget:
             state.setTimeoutDuration(FORGET_MS)
-        yield pd.DataFrame(out, columns=["event_id", "beacon", "anchor_id", "t", "x", "cycle"])
+        yield pd.DataFrame(out, columns=["event_id", "beacon", "anchor_id", "t", "rssi", "x", "cycle"])
 
     return track
 
