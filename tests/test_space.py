@@ -86,3 +86,48 @@ def test_tracker_finds_a_still_beacon(spark, plan, cells):
         rows.append((i, 1, a["anchor_idx"], i * 0.3, float(K.TX_POWER_DBM - 24 * np.log10(d * 0.3048) - 6 * abs(a["floor"] - 2) + rng.normal(0, 2))))
     out = tracker.trajectories(spark.createDataFrame(rows, "event_id long, beacon long, anchor_idx int, t double, rssi double"), plan, cells).orderBy(F.desc("event_id")).first()
     assert out["floor"] == 2 and ((out["x"] - 7) ** 2 + (out["y"] - 10) ** 2) ** 0.5 < 8
+
+
+def test_tracker_sees_the_house_as_the_steps_do(spark, plan, cells):
+    """Ways, walls towards anchors and heights of the fold equal those of the step operators."""
+    import numpy as np
+
+    from wavefix.operators import tracker
+
+    rng = np.random.default_rng(3)
+    n = 400
+    x, y, f = rng.uniform(0, 17.7, n), rng.uniform(0, 29.39, n), rng.integers(1, 4, n)
+    x[:120] = rng.uniform(0, 3, 120)
+    tx, ty = np.clip(x + rng.normal(0, 4, n), 0, 17.7), np.clip(y + rng.normal(0, 4, n), 0, 29.39)
+    points = spark.createDataFrame([(i, int(f[i]), *(float(v[i]) for v in (x, y, tx, ty))) for i in range(n)], "pid long, floor int, x double, y double, tx double, ty double")
+    house = tracker.House.of(plan, cells)
+    ways = {r["pid"]: r["clear"] for r in space.rays(points, space.grid_arrays(cells)).collect()}
+    assert house.way_open(x, y, tx, ty, f).tolist() == [ways[i] for i in range(n)] and len(set(ways.values())) == 2
+    z = {r["pid"]: r["z"] for r in particles.elevation(points, plan).collect()}
+    assert np.allclose(house.height(x, y, f), [z[i] for i in range(n)]) and len(set(z.values())) > 3
+    snapped = space.nearest_walkable(layout.anchors(plan).select(F.col("anchor_idx").alias("key"), "floor", F.col("ax").alias("x"), F.col("ay").alias("y")), cells)
+    walls = space.in_cells(points, cells).join(space.anchor_rays(cells, snapped), ["floor", "row", "col"]).collect()
+    row, col = house.cell(x, y, f)
+    assert len(walls) > n and all(house.walls[r["anchor_idx"]][row[r["pid"]], col[r["pid"]]] == r["n_walls"] for r in walls)
+
+
+def test_tracker_waits_on_a_floor_without_a_way_back(spark, plan, cells):
+    """Particles beside a stairway change floor by the belief alone, and only where the other floor has an entry back."""
+    import dataclasses
+
+    import numpy as np
+
+    from wavefix.operators import tracker
+
+    house = tracker.House.of(plan, cells)
+    a, b, ex, ey = house.stairs[0]
+    for stairs, can in ((house.stairs, True), (house.stairs[:1], False)):
+        f = tracker.Filter(dataclasses.replace(house, stairs=stairs), 1)
+        f.x, f.y, f.floor = np.full(f.n, ex), np.full(f.n, ey), np.full(f.n, a)
+        f.belief = {g: float(g == b) for g in f.floors}
+        f._move({}, 0.5)
+        assert (f.floor == b).any() == can and ((f.floor == b) == (f.cooldown > 0)).all()
+        f.belief = {g: 0.0 for g in f.floors}
+        f.floor, f.cooldown = np.full(f.n, a), np.zeros(f.n)
+        f._move({}, 0.5)
+        assert (f.floor == a).all()

@@ -12,6 +12,7 @@ from typing import Any
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from wavefix.functions import constants as K
 from wavefix.operators import kalman, space
@@ -21,33 +22,92 @@ from wavefix.sources import layout
 
 @dataclass(frozen=True)
 class House:
-    """The floor plan as arrays; its size does not depend on the data."""
+    """The floor plan as arrays, filled from the tables the step operators use; its size does not depend on the data.
 
-    free: dict[int, np.ndarray]
+    ``free`` and ``walls`` (from each cell to each snapped anchor of its floor) have one layer for each of ``floors``.
+    """
+
+    floors: np.ndarray
+    size: np.ndarray
+    box: np.ndarray
+    free: np.ndarray
+    walls: dict[int, np.ndarray]
     anchors: dict[int, tuple[int, float, float, float]]
     stairs: list[tuple[int, int, float, float]]
-    elevation: dict[int, float]
+    elevation: np.ndarray
+    runs: dict[int, list[tuple[float, float, float, float]]]
+    beside: np.ndarray
 
     @classmethod
-    def of(cls, plan: DataFrame, cells: DataFrame) -> House:
-        free = {r["floor"]: np.array(r["free"], bool).reshape(r["h"], r["w"]) for r in space.grid_arrays(cells).collect()}
+    def of(cls, plan: DataFrame, cells: DataFrame, walls: DataFrame | None = None) -> House:
+        if walls is None:
+            at = layout.anchors(plan).select(F.col("anchor_idx").alias("key"), "floor", F.col("ax").alias("x"), F.col("ay").alias("y"))
+            walls = space.anchor_rays(cells, space.nearest_walkable(at, cells))
+        dims = layout.floors(plan).join(layout.staircase_bounds(plan).withColumnRenamed("x_max", "beside"), "floor", "left").orderBy("floor").collect()
+        floors = np.array([r["floor"] for r in dims])
+        grids = {r["floor"]: np.array(r["free"], bool).reshape(r["h"], r["w"]) for r in space.grid_arrays(cells).collect()}
+        size = np.array([grids[f].shape for f in floors])
+        free = np.zeros((len(floors), *size.max(axis=0)), bool)
+        for i, f in enumerate(floors):
+            free[i, : size[i, 0], : size[i, 1]] = grids[f]
         anchors = {r["anchor_idx"]: (r["floor"], r["ax"], r["ay"], r["az"]) for r in layout.anchors(plan).collect()}
+        counts = {a: np.zeros(free.shape[1:]) for a in anchors}
+        for r in walls.collect():
+            counts[r["anchor_idx"]][r["row"], r["col"]] = r["n_walls"]
         stairs = [(r["from_floor"], r["to_floor"], r["ex"], r["ey"]) for r in layout.stairs(plan).orderBy("stair_pos").collect()]
-        return cls(free, anchors, stairs, dict(K.FLOOR_ELEVATION_FT))
+        runs: dict[int, list[tuple[float, float, float, float]]] = {}
+        for r in layout.runs(plan).orderBy("run_pos").collect():
+            runs.setdefault(r["floor"], []).append((r["low_z"], r["high_z"], r["entry_y_low"], r["entry_y_high"]))
+        beside = np.array([np.nan if r["beside"] is None else r["beside"] for r in dims], float)
+        return cls(floors, size, np.array([(r["x_max"], r["y_max"]) for r in dims]), free, counts, anchors, stairs, np.array([r["elevation"] or 0.0 for r in dims]), runs, beside)
 
-    def open_at(self, x: np.ndarray, y: np.ndarray, floor: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(x), bool)
-        for f, grid in self.free.items():
-            at = floor == f
-            row, col = (y[at] / K.GRID_FT).astype(int), (x[at] / K.GRID_FT).astype(int)
-            good = (x[at] >= 0) & (y[at] >= 0) & (row < grid.shape[0]) & (col < grid.shape[1])
-            out[at] = good & grid[np.clip(row, 0, grid.shape[0] - 1), np.clip(col, 0, grid.shape[1] - 1)]
-        return out
+    def layer(self, floor: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.floors, floor)
 
-    def draw(self, n: int, floors: list[int], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        cells = np.array([(f, r, c) for f in floors for r, c in zip(*np.nonzero(self.free[f]), strict=True)])
-        pick = cells[rng.integers(0, len(cells), n)]
-        return (pick[:, 2] + 0.5) * K.GRID_FT, (pick[:, 1] + 0.5) * K.GRID_FT, pick[:, 0].astype(int)
+    def cell(self, x: np.ndarray, y: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and column: truncated, then clamped to the floor's grid."""
+        h, w = self.size[self.layer(floor)].T
+        return np.clip((y / K.GRID_FT).astype(int), 0, h - 1), np.clip((x / K.GRID_FT).astype(int), 0, w - 1)
+
+    def open_at(self, x: np.ndarray, y: np.ndarray, floor: np.ndarray) -> np.ndarray:
+        i = self.layer(floor)
+        row, col = self.cell(x, y, floor)
+        return (x >= 0) & (y >= 0) & (x <= self.box[i, 0]) & (y <= self.box[i, 1]) & self.free[i, row, col]
+
+    def way_open(self, x: np.ndarray, y: np.ndarray, tx: np.ndarray, ty: np.ndarray, floor: np.ndarray) -> np.ndarray:
+        """Are all of Bresenham's cells from one point to another walkable?"""
+        i = self.layer(floor)
+        (r, c), (r1, c1) = self.cell(x, y, floor), self.cell(tx, ty, floor)
+        dr, dc, sr, sc = abs(r1 - r), abs(c1 - c), np.where(r < r1, 1, -1), np.where(c < c1, 1, -1)
+        err, length, good = dc - dr, np.maximum(dr, dc), np.ones(len(x), bool)
+        for n in range(int(length.max(initial=0)) + 1):
+            good &= (n > length) | self.free[i, r, c]
+            go_c, go_r = (2 * err > -dr) & (n < length), (2 * err < dc) & (n < length)
+            err = err - np.where(go_c, dr, 0) + np.where(go_r, dc, 0)
+            r, c = r + np.where(go_r, sr, 0), c + np.where(go_c, sc, 0)
+        return good
+
+    def height(self, x: np.ndarray, y: np.ndarray, floor: np.ndarray) -> np.ndarray:
+        """The floor's height, or along the first stair run that spans y when beside the staircase."""
+        i = self.layer(floor)
+        z, todo = self.elevation[i].copy(), x <= self.beside[i]
+        for f, parts in self.runs.items():
+            for low, high, y_low, y_high in parts:
+                on = todo & (floor == f) & (y >= min(y_low, y_high)) & (y <= max(y_low, y_high))
+                if y_low != y_high:
+                    z[on] = low + np.clip((y_low - y[on]) / (y_low - y_high), 0, 1) * (high - low)
+                todo &= ~on
+        return z
+
+    def near_stairs(self, x: float, y: float, floor: int) -> float:
+        """How much likelier leaving the floor is at a place: by its nearest stair entry."""
+        d = min((float(np.hypot(x - ex, y - ey)) for a, _, ex, ey in self.stairs if a == floor), default=None)
+        return 1.0 if d is None else 1 + (K.HMM_STAIR_BOOST - 1) / (1 + (d / K.HMM_STAIR_RADIUS_FT) ** 2)
+
+    def draw(self, n: int, floors: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        layers, rows, cols = np.nonzero(self.free & np.isin(self.floors, floors)[:, None, None])
+        pick = rng.integers(0, len(rows), n)
+        return (cols[pick] + 0.5) * K.GRID_FT, (rows[pick] + 0.5) * K.GRID_FT, self.floors[layers[pick]]
 
 
 class Filter:
@@ -55,8 +115,8 @@ class Filter:
 
     def __init__(self, house: House, seed: int, n: int = K.PARTICLES):
         self.house, self.rng, self.n = house, np.random.default_rng(seed), n
-        self.floors = sorted(house.free)
-        self.x, self.y, self.floor = house.draw(n, self.floors, self.rng)
+        self.floors = [int(f) for f in house.floors]
+        self.x, self.y, self.floor = house.draw(n, house.floors, self.rng)
         self.w, self.cooldown = np.full(n, 1 / n), np.zeros(n)
         self.belief = dict.fromkeys(self.floors, 1 / len(self.floors))
         self.hold = 0.0
@@ -75,9 +135,15 @@ class Filter:
         return (*self.estimate(), n_eff)
 
     def _believe(self, heard: dict[int, float], dt: float) -> None:
-        off = min(K.HMM_RATE * dt, K.HMM_MAX_OFF)
+        x, y, at, _ = self.estimate()
         ways = {(a, b) for a, b, *_ in self.house.stairs} | {(b, a) for a, b, *_ in self.house.stairs}
-        p = {f: self.belief[f] * (1 - off * sum(a == f for a, _ in ways)) + off * sum(self.belief[a] for a, b in ways if b == f) for f in self.floors}
+        p = dict.fromkeys(self.floors, 0.0)
+        for f in self.floors:
+            to = [b for a, b in ways if a == f]
+            off = min(K.HMM_RATE * dt * (self.house.near_stairs(x, y, f) if f == at else 1.0), K.HMM_MAX_OFF)
+            p[f] += self.belief[f] * max(1 - off * len(to), 0.0)
+            for b in to:
+                p[b] += self.belief[f] * off / max(1.0, off * len(to))
         best: dict[int, float] = {}
         for a, v in heard.items():
             f = self.house.anchors[a][0]
@@ -103,7 +169,7 @@ class Filter:
         self.hold += dt
         if self.hold >= K.TELEPORT_HOLD_S:
             low = np.lexsort((np.arange(self.n), self.w))[: max(1, int(K.TELEPORT_SHARE * self.n))]
-            self.x[low], self.y[low], self.floor[low] = self.house.draw(len(low), [best], self.rng)
+            self.x[low], self.y[low], self.floor[low] = self.house.draw(len(low), np.array([best]), self.rng)
             self.w, self.hold = np.full(self.n, 1 / self.n), 0.0
 
     def _move(self, heard: dict[int, float], dt: float) -> None:
@@ -117,49 +183,34 @@ class Filter:
                 move[1, at] += K.DRIFT_RATE * dt * ((w * ay).sum() / w.sum() - self.y[at])
         far, cap = np.hypot(*move), K.MAX_SPEED_FT_S * dt
         move *= np.where(far > cap, cap / np.maximum(far, 1e-12), 1)
-        parts = max(1, int(np.ceil(min(float(far.max()), cap) / K.GRID_FT)) * 2)
-        good = np.ones(self.n, bool)
-        for i in range(1, parts + 1):  # the way is open if all points along it are
-            good &= self.house.open_at(self.x + move[0] * i / parts, self.y + move[1] * i / parts, self.floor)
-        self.x, self.y = np.where(good, self.x + move[0], self.x), np.where(good, self.y + move[1], self.y)
+        x, y = self.x + move[0], self.y + move[1]
+        good = self.house.open_at(x, y, self.floor) & self.house.way_open(self.x, self.y, x, y, self.floor)
+        self.x, self.y = np.where(good, x, self.x), np.where(good, y, self.y)
         self.cooldown = np.maximum(self.cooldown - dt, 0)
         moved = np.zeros(self.n, bool)
         for a, b, ex, ey in self.house.stairs:
+            back = next(((x, y) for c, e, x, y in self.house.stairs if (c, e) == (b, a)), None)
             d = np.hypot(self.x - ex, self.y - ey)
             near = (self.floor == a) & (self.cooldown == 0) & ~moved & (d < K.STAIR_RADIUS_FT)
-            if not near.any():
+            if back is None or not near.any():
                 continue
-            p = max(min(self.belief[b] * K.STAIR_RATE * dt, 0.4), min(K.STAIR_BASE_P * dt, 0.1)) * np.clip(1 - d / K.STAIR_RADIUS_FT, 0.1, 1)
+            p = min(self.belief[b] * K.STAIR_RATE * dt, 0.4) * np.clip(1 - d / K.STAIR_RADIUS_FT, 0.1, 1)
             go = near & (self.rng.random(self.n) < p)
-            back = next(((x, y) for c, e, x, y in self.house.stairs if (c, e) == (b, a)), None)
-            if back:
-                self.x[go], self.y[go] = back
+            self.x[go], self.y[go] = back
             self.floor[go], self.cooldown[go] = b, K.STAIR_COOLDOWN_S
             moved |= go
 
     def _weigh(self, heard: dict[int, float]) -> None:
         log = np.zeros(self.n)
-        z = np.vectorize(self.house.elevation.get)(self.floor)
+        z, (row, col) = self.house.height(self.x, self.y, self.floor), self.house.cell(self.x, self.y, self.floor)
         for a, v in heard.items():
             f, ax, ay, az = self.house.anchors[a]
             d = np.sqrt((self.x - ax) ** 2 + (self.y - ay) ** 2 + (z - az) ** 2)
-            expected = K.TX_POWER_DBM - 10 * K.PATH_LOSS_N * np.log10(np.maximum(d, K.MIN_DISTANCE_FT) * K.METRES_PER_FOOT) - K.FLOOR_ATTENUATION_DB * abs(self.floor - f) - K.WALL_ATTENUATION_DB * self._walls(f, ax, ay)
+            expected = K.TX_POWER_DBM - 10 * K.PATH_LOSS_N * np.log10(np.maximum(d, K.MIN_DISTANCE_FT) * K.METRES_PER_FOOT) - K.FLOOR_ATTENUATION_DB * abs(self.floor - f) - K.WALL_ATTENUATION_DB * np.where(self.floor == f, self.house.walls[a][row, col], 0)
             log += -0.5 * ((v - expected) / K.RSSI_SIGMA) ** 2
         w = self.w * np.exp(log - log.max())
         self.w = w / w.sum() if w.sum() > 0 else np.full(self.n, 1 / self.n)
 
-    def _walls(self, f: int, ax: float, ay: float, parts: int = 24) -> np.ndarray:
-        """Walls towards an anchor on its floor: falls from open to blocked along the way."""
-        out, at = np.zeros(self.n), self.floor == f
-        if at.any():
-            s = np.linspace(0, 1, parts)[:, None]
-            grid = self.house.free[f]
-            rows = np.clip(((self.y[at] + (ay - self.y[at]) * s) / K.GRID_FT).astype(int), 0, grid.shape[0] - 1)
-            cols = np.clip(((self.x[at] + (ax - self.x[at]) * s) / K.GRID_FT).astype(int), 0, grid.shape[1] - 1)
-            way = grid[rows, cols]
-            out[at] = (way[:-1] & ~way[1:]).sum(axis=0)
-        return out
-
     def estimate(self) -> tuple[float, float, int, float]:
         weight = {f: float(self.w[self.floor == f].sum()) for f in self.floors}
         best = min(self.floors, key=lambda f: (-weight[f], f))
@@ -170,9 +221,9 @@ class Filter:
         return mx, my, best, round(weight[best] * float(np.exp(-spread / 5)), 3)
 
 
-def trajectories(readings: DataFrame, plan: DataFrame, cells: DataFrame, n: int = K.PARTICLES) -> DataFrame:
+def trajectories(readings: DataFrame, plan: DataFrame, cells: DataFrame, n: int = K.PARTICLES, walls: DataFrame | None = None) -> DataFrame:
     """(event_id, beacon, x, y, floor, confidence, n_eff) after each cycle that the throttle lets through."""
-    sent = readings.sparkSession.sparkContext.broadcast(House.of(plan, cells))
+    sent = readings.sparkSession.sparkContext.broadcast(House.of(plan, cells, walls))
 
     def new() -> Any:
         s: dict[str, Any] = {"heard": {}, "filter": None, "last": None}

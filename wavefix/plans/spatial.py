@@ -286,8 +286,7 @@ def particle_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pf_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole filter for each beacon: cannot be expressed in SQL; tested by its invariants."""
-    cells = _cells(spark)
-    rows = tracker.trajectories(readings.readings(spark, sf_dir), _plan(spark), cells)
+    rows = tracker.trajectories(readings.readings(spark, sf_dir), _plan(spark), _cells(spark), walls=_walls(spark))
     return rounded(rows, 4, "x", "y")
 
 
