@@ -77,3 +77,43 @@ def test_particles_around_a_point_are_walkable(spark):
 def test_history_windows(spark):
     rows = spark.createDataFrame([(i, float(i * 60)) for i in range(1000)], "event_id int, t double")
     assert history.window(rows, 1).count() == 61 and history.window(rows, 24).count() == 1000
+
+
+def test_csv_import(spark, tmp_path):
+    points = spark.createDataFrame([(1, 1, 2.0, 3.0, "den", "den_sofa", "poi"), (2, 2, 4.0, 5.0, None, "hall", None)], "point_id int, floor int, grid_x double, grid_y double, room string, zone string, point_type string")
+    samples = spark.createDataFrame([(1, "a_one", -60.5, 1.5), (1, "b_two", -70.0, 0.0), (2, "b_two", -55.25, 2.0)], "point_id int, anchor_id string, mean double, std double")
+    sinks.survey_csv(points, samples, str(tmp_path / "s"))
+    assert sinks.import_csv(spark, str(tmp_path / "s"), str(tmp_path / "f")) == 2
+    got = {r["location"]: (r["room"], r["rssi"], r["std"], r["notes"]) for r in spark.read.parquet(str(tmp_path / "f")).collect()}
+    assert got == {"den_sofa": ("den", {"a_one": -60.5, "b_two": -70.0}, {"a_one": 1.5, "b_two": 0.0}, "imported from CSV; point_type=poi"), "hall": ("hall", {"b_two": -55.25}, {"b_two": 2.0}, "imported from CSV; point_type=grid")}
+
+
+def test_model_registry(spark, tmp_path):
+    """The active model that exists, else the last by name, else none."""
+    at = str(tmp_path)
+    assert sinks.resolve_model(spark, at) is None
+    for name in ("random_forest_v20240101_000000", "random_forest_v20250101_000000"):
+        (tmp_path / name).mkdir()
+    assert sinks.resolve_model(spark, at).endswith("random_forest_v20250101_000000")
+    sinks.register_model(spark, at, f"{at}/gone")
+    assert sinks.resolve_model(spark, at).endswith("random_forest_v20250101_000000")
+    version = sinks.register_model(spark, at, f"{at}/random_forest_v20240101_000000", {"accuracy": 0.9})
+    assert len(version) == 15 and sinks.resolve_model(spark, at) == f"{at}/random_forest_v20240101_000000"
+
+
+def test_forest_on_enlarged_samples(spark):
+    """Training samples are (1 + factor) times as many and balanced; folds are as many as the rarest label allows."""
+    vectors = spark.createDataFrame([(i, j, float(-60 - 20 * (i % 3 == 0) if j < 2 else j)) for i in range(12) for j in range(4)], "sample_id int, idx int, value double").cache()
+    labels = spark.createDataFrame([(i, f"z{int(i % 3 == 0)}") for i in range(12)], "sample_id int, label string").cache()
+    rows = zones.enlarged(vectors, labels, 2, 3).cache()
+    assert {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()} == {"z0": 32, "z1": 32}
+    assert {(len(r["features"]), r["features"][2], r["features"][3]) for r in rows.collect()} == {(4, 2.0, 3.0)}
+    fold = zones.folds(labels, 4).groupBy("fold", "label").count().collect()
+    assert sorted((r["label"], r["count"]) for r in fold) == [("z0", 2)] * 4 + [("z1", 1)] * 4
+    out = zones.cross_validated(vectors, labels, 2, 5, trees=10, depth=4).collect()
+    assert len(out) == 12 and sum(r["label"] == r["predicted"] for r in out) >= 10
+    names = spark.createDataFrame([(i, f"f{i}") for i in range(4)], "idx int, name string")
+    top = zones.importances(zones.fitted(rows, trees=10, depth=4), names, 2).collect()
+    assert {r["name"] for r in top} == {"f0", "f1"}
+    alone = spark.createDataFrame([(0, "z1"), (1, "z0"), (2, "z0")], "sample_id int, label string")
+    assert len(zones.cross_validated(vectors, alone, 2, trees=5, depth=3).collect()) == 3

@@ -37,11 +37,10 @@ STAIR_RADIUS_FT, STAIR_BASE_P, STAIR_RATE, STAIR_COOLDOWN_S = 4.0, 0.02, 0.8, 5.
 TELEPORT_BELIEF, TELEPORT_HOLD_S, TELEPORT_SHARE = 0.85, 2.0, 0.3
 MIN_DT = 0.01
 
-# --- Fixed values: grid, survey, simulator, classifier ----------------------------
+# --- Fixed values: grid, survey, classifier ---------------------------------------
 GRID_FT = 0.5
 SURVEY_FT, SURVEY_MIN_ANCHORS, SURVEY_HIGH_STD = 3.0, 3, 8.0
 SURVEY_DWELL_S, OCCLUDED_DWELL_S = 30.0, 15.0
-SIM_TX_DBM, SIM_N = -59.0, 2.7
-TREES, MIN_LEAF, FOREST_SEED = 200, 3, 42
+TREES, TREE_DEPTH, MIN_LEAF, FOREST_SEED = 200, 30, 3, 42
 AUGMENT_FACTOR, AUGMENT_SIGMA, AUGMENT_DROPOUT = 5, 1.5, 0.15
 DENSITY_FT = 2.0

@@ -81,11 +81,6 @@ def confidence_radius(confidence: Col) -> Column:
     return 2.5 * (1 - _c(confidence)) + 0.4
 
 
-def grid_index(v: Col, low: Col, n: Col) -> Column:
-    """Cell of a coordinate: truncated, then clamped."""
-    return F.greatest(F.lit(0), F.least(_c(n) - 1, ((_c(v) - _c(low)) / K.GRID_FT).cast("int")))
-
-
 def cell_centre(i: Col, low: Col) -> Column:
     return _c(low) + (_c(i) + 0.5) * K.GRID_FT
 

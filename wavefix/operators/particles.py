@@ -189,3 +189,10 @@ def zone_reweighted(cloud: DataFrame, pois: DataFrame, probability: DataFrame, r
     total = out.agg(F.sum(F.col("w") * F.col("f")).alias("total"), F.count("z.zone").alias("n_in"), F.sum("w").alias("was"))
     scaled = F.when((F.col("n_in") > 0) & (F.col("total") > 0), F.col("w") * F.col("f") / F.col("total")).otherwise(F.col("w"))
     return out.crossJoin(F.broadcast(total)).select("pid", F.coalesce("z.zone", F.lit("")).alias("zone"), scaled.alias("w"))
+
+
+def zone_shift(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What a reweighting did: particles in a zone, and how far the largest factor of a weight is from the least."""
+    rows = before.select("pid", F.col("w").alias("was")).join(after, "pid").where("was > 0").withColumn("f", F.col("w") / F.col("was"))
+    n = F.count_if(F.col("zone") != "")
+    return rows.agg(n.alias("particles_in_poi"), n.alias("particles_reweighted"), F.when(n == 0, 1.0).otherwise(F.round(F.max("f") / F.greatest(F.min("f"), F.lit(1e-12)), 2)).alias("max_weight_shift"))

@@ -88,6 +88,11 @@ def poi_relabelled(samples: DataFrame, pois: DataFrame) -> DataFrame:
     return out.select("sample_id", F.when(F.col("n") > 0, F.col("near")).otherwise(F.col("label")).alias("zone"))
 
 
+def relabelled(before: DataFrame, after: DataFrame) -> DataFrame:
+    """How many samples of each former label (sample_id, label) have another zone (sample_id, zone) now."""
+    return before.join(after, "sample_id").groupBy("label").agg(F.count_if(F.col("zone") != F.col("label")).alias("relabelled"), F.count(F.lit(1)).alias("n"))
+
+
 #: Feature families of the classifier's vector, with the value of an absent feature.
 FAMILIES = (("rssi", K.MISSING_RSSI), ("delta", 0.0), ("rank", 0.0), ("variance", 0.0))
 

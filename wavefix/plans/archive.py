@@ -166,6 +166,12 @@ def poi_relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survey.poi_relabelled(rows.select(F.col("pid").alias("sample_id"), "floor", "room", "x", "y", F.col("zone").alias("label")), layout.pois(readings.plan(spark)))
 
 
+@query(ORACLES["poi_relabel"].split(" SELECT pid AS sample_id, ")[0] + ", rl AS (SELECT pid, coalesce(arg_min(z, (round(d, 9), zone_pos)) FILTER (d <= radius), label) AS zone, label FROM j GROUP BY pid, label) SELECT label, count(*) FILTER (zone <> label) AS relabelled, count(*) AS n FROM rl GROUP BY 1")
+def poi_relabel_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spatial.space.labelled(readings.particles(spark, sf_dir), readings.plan(spark)).select(F.col("pid").alias("sample_id"), F.col("zone").alias("label"))
+    return survey.relabelled(rows, poi_relabel(spark, sf_dir))
+
+
 # --- the zone classifier ------------------------------------------------------------
 
 #: A fingerprint is a run of forty events: its strengths by anchor, and the label of its first event.
@@ -315,9 +321,8 @@ def class_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rf_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cross-validated forest predictions: (sample_id, label, predicted)."""
-    rows = zones.assembled(_vectors(spark, sf_dir), _labels(spark, sf_dir))
-    return zones.cross_validated(rows, 2, trees=10, depth=5)
+    """Predictions (sample_id, label, predicted) of forests by five-fold cross-validation, trained on augmented and balanced samples."""
+    return zones.cross_validated(_vectors(spark, sf_dir).persist(), _labels(spark, sf_dir).persist(), 9)
 
 
 QUERIES["rf_zone"] = rf_zone

@@ -262,21 +262,46 @@ def pf_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return particles.resampled(_smooth(spark, sf_dir), K.PARTICLES, 0.5)
 
 
-@query(f"WITH {C}, {SMOOTH}, f AS (SELECT floor, sum(w) AS s, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my, sqrt(greatest(sum(w * x * x) / sum(w) - pow(sum(w * x) / sum(w), 2), 0) + greatest(sum(w * y * y) / sum(w) - pow(sum(w * y) / sum(w), 2), 0)) AS sp, sum(w * w) AS w2 FROM sn GROUP BY 1) SELECT round(arg_max(mx, (s, -floor)), 4) AS x, round(arg_max(my, (s, -floor)), 4) AS y, arg_max(floor, (s, -floor)) AS floor, round(arg_max(s * exp(-sp / 5), (s, -floor)), 3) AS confidence, round(1 / sum(w2), 1) AS n_eff, round(2.5 * (1 - confidence) + 0.4, 4) AS radius FROM f")
+ESTIMATED = f"WITH {C}, {SMOOTH}, f AS (SELECT floor, sum(w) AS s, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my, sqrt(greatest(sum(w * x * x) / sum(w) - pow(sum(w * x) / sum(w), 2), 0) + greatest(sum(w * y * y) / sum(w) - pow(sum(w * y) / sum(w), 2), 0)) AS sp, sum(w * w) AS w2 FROM sn GROUP BY 1)"
+
+
+@query(f"{ESTIMATED} SELECT round(arg_max(mx, (s, -floor)), 4) AS x, round(arg_max(my, (s, -floor)), 4) AS y, arg_max(floor, (s, -floor)) AS floor, round(arg_max(s * exp(-sp / 5), (s, -floor)), 3) AS confidence, round(1 / sum(w2), 1) AS n_eff, round(2.5 * (1 - confidence) + 0.4, 4) AS radius FROM f")
 def pf_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(particles.estimate(_smooth(spark, sf_dir)), 4, "x", "y").withColumn("radius", F.round(confidence_radius("confidence"), 4))
 
 
+@query(f"{ESTIMATED}, e AS (SELECT round(arg_max(mx, (s, -floor)), 4) AS ex, round(arg_max(my, (s, -floor)), 4) AS ey, arg_max(floor, (s, -floor)) AS ef FROM f) SELECT pid, round(x, 4) AS x, round(y, 4) AS y, floor, round(w, 9) AS weight, count(*) OVER () AS n_particles, ex AS estimate_x, ey AS estimate_y, ef AS estimate_floor FROM sn, e")
+def pf_particles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cloud with its estimate, as the service shows it."""
+    cloud = _smooth(spark, sf_dir)
+    e = particles.estimate(cloud).select(F.col("x").alias("estimate_x"), F.col("y").alias("estimate_y"), F.col("floor").alias("estimate_floor"))
+    n = cloud.agg(F.count(F.lit(1)).alias("n_particles"))
+    rows = cloud.select("pid", "x", "y", "floor", F.round("w", 9).alias("weight")).crossJoin(F.broadcast(n)).crossJoin(F.broadcast(e))
+    return rounded(rows, 4, "x", "y", "estimate_x", "estimate_y")
+
+
 ZONE_P = "(VALUES ('living_kitchen_dog_bed', 0.2::DOUBLE), ('living_kitchen_sofa', 0.5::DOUBLE), ('living_kitchen_table', 0.1::DOUBLE)) AS zp(zone, p)"
 
 
-@query(f"""WITH {C}, {SMOOTH}, zz AS (SELECT floor AS zf, zone_pos, zone, px, py, radius, p FROM {V("pois")} JOIN {ZONE_P} USING (zone) WHERE room = 'living_kitchen' AND p > 0),
+ZONED = f"""WITH {C}, {SMOOTH}, zz AS (SELECT floor AS zf, zone_pos, zone, px, py, radius, p FROM {V("pois")} JOIN {ZONE_P} USING (zone) WHERE room = 'living_kitchen' AND p > 0),
 hz AS (SELECT pid, sn.floor, w, arg_min((zone, p), zone_pos) AS z FROM sn LEFT JOIN zz ON sn.floor = zf AND sqrt((x - px) * (x - px) + (y - py) * (y - py)) <= radius GROUP BY ALL),
-fz AS (SELECT pid, z, w, w * CASE WHEN z IS NOT NULL THEN pow(greatest(z[2], 0.01), {K.ZONE_LIKELIHOOD_STRENGTH}) WHEN floor IN (SELECT zf FROM zz) THEN pow(0.2, {K.ZONE_LIKELIHOOD_STRENGTH}) ELSE 1 END AS v FROM hz)
-SELECT pid, coalesce(z[1], '') AS zone, round(CASE WHEN count(z) OVER () > 0 THEN v / sum(v) OVER () ELSE w END, 9) AS w FROM fz""")
+fz AS (SELECT pid, z, w, w * CASE WHEN z IS NOT NULL THEN pow(greatest(z[2], 0.01), {K.ZONE_LIKELIHOOD_STRENGTH}) WHEN floor IN (SELECT zf FROM zz) THEN pow(0.2, {K.ZONE_LIKELIHOOD_STRENGTH}) ELSE 1 END AS v FROM hz)"""
+
+
+@query(f"""{ZONED} SELECT pid, coalesce(z[1], '') AS zone, round(CASE WHEN count(z) OVER () > 0 THEN v / sum(v) OVER () ELSE w END, 9) AS w FROM fz""")
 def pf_zone_reweight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_zone_weights(spark, _smooth(spark, sf_dir)), 9, "w")
+
+
+def _zone_weights(spark: SparkSession, cloud: DataFrame) -> DataFrame:
     p = spark.createDataFrame([("living_kitchen_dog_bed", 0.2), ("living_kitchen_sofa", 0.5), ("living_kitchen_table", 0.1)], "zone string, p double")
-    return rounded(particles.zone_reweighted(_smooth(spark, sf_dir), layout.pois(_plan(spark)), p, "living_kitchen", 0.2), 9, "w")
+    return particles.zone_reweighted(cloud, layout.pois(_plan(spark)), p, "living_kitchen", 0.2)
+
+
+@query(f"{ZONED} SELECT count(z) AS particles_in_poi, count(z) AS particles_reweighted, CASE WHEN count(z) = 0 THEN 1 ELSE round(max(v / w) / greatest(min(v / w), 1e-12), 2) END AS max_weight_shift FROM fz")
+def pf_zone_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cloud = _smooth(spark, sf_dir)
+    return particles.zone_shift(cloud, _zone_weights(spark, cloud))
 
 
 @query(f"WITH {C}, b AS (SELECT pid, CAST(trunc(x / 2) AS INTEGER) AS bx, CAST(trunc(y / 2) AS INTEGER) AS b2 FROM c), k AS (SELECT bx, b2, count(*) AS n FROM b GROUP BY ALL), s AS (SELECT a.bx, a.b2, sum(k.n) AS near FROM (SELECT DISTINCT bx, b2 FROM b) a JOIN k ON abs(k.bx - a.bx) <= 1 AND abs(k.b2 - a.b2) <= 1 GROUP BY ALL) SELECT pid, round(CASE WHEN max(near) OVER () > min(near) OVER () THEN (near - min(near) OVER ()) * 1.0 / (max(near) OVER () - min(near) OVER ()) ELSE 0.5 END, 6) AS density FROM b JOIN s USING (bx, b2)")

@@ -81,14 +81,19 @@ def calibration_readings(msgs: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def survey_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Survey rows in long form (row, floor, x, y, room, zone, anchor_id, rssi, std); columns are found by prefix, blanks are absent."""
+    """Survey rows in long form (row, floor, x, y, room, zone, point_type, duration_s, n_readings, anchor_id, rssi, std).
+
+    Columns are found by prefix; blanks are absent, and so are columns that a file lacks.
+    """
     wide = spark.read.csv(path, header=True)
     names = [c[5:] for c in wide.columns if c.startswith("rssi_")]
     base = wide.withColumn("row", F.monotonically_increasing_id())
     zone = F.coalesce("zone", "location_label" if "location_label" in wide.columns else F.lit(None), F.lit("unknown"))
+    has = lambda name, kind: (F.col(name) if name in wide.columns else F.lit(None)).cast(kind)
+    more = F.coalesce(has("point_type", "string"), F.lit("grid")).alias("point_type"), has("duration_seconds", "double").alias("duration_s"), has("n_readings", "int").alias("n_readings")
     pairs = F.explode(F.array(*(F.struct(F.lit(n.lower()).alias("anchor_id"), F.col(f"rssi_{n}").cast("double").alias("rssi"), (F.col(f"std_{n}") if f"std_{n}" in wide.columns else F.lit(None)).cast("double").alias("std")) for n in names)))
-    out = base.select("row", F.col("floor").cast("int").alias("floor"), F.col("grid_x").cast("double").alias("x"), F.col("grid_y").cast("double").alias("y"), F.coalesce("room" if "room" in wide.columns else F.lit(None), zone).alias("room"), zone.alias("zone"), pairs.alias("p"))
-    return out.select("row", "floor", "x", "y", "room", "zone", "p.*").where("rssi IS NOT NULL")
+    out = base.select("row", F.col("floor").cast("int").alias("floor"), F.col("grid_x").cast("double").alias("x"), F.col("grid_y").cast("double").alias("y"), F.coalesce("room" if "room" in wide.columns else F.lit(None), zone).alias("room"), zone.alias("zone"), *more, pairs.alias("p"))
+    return out.select("row", "floor", "x", "y", "room", "zone", "point_type", "duration_s", "n_readings", "p.*").where("rssi IS NOT NULL")
 
 
 def calibration_files(spark: SparkSession, glob: str) -> DataFrame:
