@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from wavefix.llm import decontamination, exact_dedup, line_dedup, near_dedup, packing, phrase_dedup, quality, secret_scan, suffix_dedup, token_output
+from wavefix.llm import collocations, decontamination, exact_dedup, line_dedup, near_dedup, packing, phrase_dedup, piece_encoding, quality, secret_scan, suffix_dedup, token_output, whitening
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -17,6 +17,9 @@ QUERIES = {
     "op8_line_dedup": line_dedup.query,
     "op9_phrase_dedup": phrase_dedup.query,
     "op10_near_dedup": near_dedup.query,
+    "op11_collocations": collocations.query,
+    "op12_whitening": whitening.query,
+    "op13_piece_encoding": piece_encoding.query,
 }
 
 ORACLES = {
@@ -26,4 +29,5 @@ ORACLES = {
     "op8_line_dedup": line_dedup.ORACLE,
     "op9_phrase_dedup": phrase_dedup.ORACLE,
     "op10_near_dedup": near_dedup.ORACLE,
+    "op11_collocations": collocations.ORACLE,
 }
