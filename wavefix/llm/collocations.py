@@ -37,7 +37,7 @@ LEAST = 30
 #: Words between cuts, on average.
 PERIOD = 16
 #: Bytes of texts parsed at once, and of chunks in a block of the dictionary.
-BATCH, BLOCK = 1 << 22, 12 << 20
+BATCH, BLOCK = 1 << 22, 4 << 20
 #: Bits of the hashes that put rare phrases aside.
 BITS = 48
 
