@@ -179,32 +179,38 @@ class Block:
         own = word_hashes(np.frombuffer(words.dictionary.buffers()[2], np.uint8), (edges := np.frombuffer(words.dictionary.buffers()[1], np.int64)[: len(words.dictionary) + 1])[:-1], edges[1:])
         names = np.array([int.from_bytes(hashlib.blake2b(x.encode("utf-8"), digest_size=8).digest(), "little") for x in self.langs], np.uint64)
         self.hash = mix(own[first // len(self.langs)] + names[first % len(self.langs)])[self.units]
-        self.levels: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.sent: dict[int, np.ndarray] = {}
         self.codes = {1: self.units}
-        self._count(1, self.owned)
+        self._count(1, np.flatnonzero(self.owned))
+        # Pairs are numbered wherever they are, so that those in an overlap can be looked up.
+        self.codes[2] = self._numbered(2, np.flatnonzero(self.left >= 2))
+        self._count(2, np.flatnonzero(self.owned & (self.left >= 2)))
+
+    def _numbered(self, n: int, where: np.ndarray) -> np.ndarray:
+        """Exact numbers of the phrases of n words that start at ``where``, by those of n - 1 words."""
+        width = int(self.units.max(initial=0)) + 1
+        codes = np.zeros(len(self.units), np.int64)
+        codes[where] = pd.factorize(self.codes[n - 1][where] * width + self.units[where + n - 1])[0]
+        return codes
 
-    def _count(self, n: int, at: np.ndarray) -> None:
-        """Distinct phrases of n words that start where ``at`` says."""
-        where = np.flatnonzero(at & (self.left >= n))
+    def _count(self, n: int, where: np.ndarray) -> None:
+        """Distinct phrases of n words that start at ``where``: where each is first, and its count."""
         codes, distinct = pd.factorize(self.codes[n][where])
         first = where[_first(codes, len(distinct))]
-        hashes = gram_hashes(self.hash, n)[first] if len(self.hash) >= n else np.empty(0, np.uint64)
-        self.levels[n] = where, codes, first, np.bincount(codes, self.times[where], len(distinct)).astype(np.int64)
-        order = mix(hashes + np.uint64(n)) >> np.uint64(64 - BITS)
-        self.sent = {**getattr(self, "sent", {}), n: order}
+        self.levels[n] = first, np.bincount(codes, self.times[where], len(distinct)).astype(np.int64)
+        hashes = gram_hashes(self.hash, n)[first] if len(first) else np.empty(0, np.uint64)
+        self.sent[n] = mix(hashes + np.uint64(n)) >> np.uint64(64 - BITS)
 
     def longer(self, n: int, at: np.ndarray) -> None:
-        """Count phrases of n words, those of n - 1 being numbered, where ``at`` says."""
-        have, width = self.codes[n - 1], int(self.units.max(initial=0)) + 1
-        size = max(len(self.units) - n + 1, 0)
-        codes = np.zeros(len(self.units), np.int64)
-        codes[:size] = pd.factorize(have[:size] * width + self.units[n - 1 :])[0]
-        self.codes[n] = codes
-        self._count(n, at)
+        """Number and count the phrases of n words where ``at`` says."""
+        where = np.flatnonzero(at & (self.left >= n))
+        self.codes[n] = self._numbered(n, where)
+        self._count(n, where)
 
     def submitted(self, *lengths: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes and counts of the distinct phrases of some lengths by rising hash, and the order they come in."""
-        hashes, counts = np.concatenate([self.sent[n] for n in lengths]), np.concatenate([self.levels[n][3] for n in lengths])
+        hashes, counts = np.concatenate([self.sent[n] for n in lengths]), np.concatenate([self.levels[n][1] for n in lengths])
         order = np.argsort(hashes, kind="stable")
         return hashes[order], counts[order], order
 
@@ -218,16 +224,16 @@ class Block:
     def starting(self, n: int, flags: np.ndarray) -> np.ndarray:
         """Which words start a phrase of n words that is flagged (a chunk's overlap included)."""
         known = np.zeros(int(self.codes[n].max(initial=0)) + 1, bool)
-        known[self.codes[n][self.levels[n][2][flags]]] = True
+        known[self.codes[n][self.levels[n][0][flags]]] = True
         return known[self.codes[n]] & (self.left >= n)
 
     def phrases(self, n: int, flags: np.ndarray) -> pa.RecordBatch:
         """(lang, phrase, words, times) of the flagged phrases of n words."""
-        first = self.levels[n][2][flags]
+        first = self.levels[n][0][flags]
         a, b = self.starts[first], self.ends[first + n - 1]
         at, base = _gathered(a, b - a)
         text = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(np.append(base, len(at)).astype(np.int64).tobytes()), pa.py_buffer(self.data[at].tobytes())).cast(pa.string())
-        return pa.RecordBatch.from_pydict({"lang": pa.array(self.langs, pa.string()).take(pa.array(self.lang[first])), "phrase": text, "words": pa.array(np.full(len(first), n), pa.int32()), "times": self.levels[n][3][flags]})
+        return pa.RecordBatch.from_pydict({"lang": pa.array(self.langs, pa.string()).take(pa.array(self.lang[first])), "phrase": text, "words": pa.array(np.full(len(first), n), pa.int32()), "times": self.levels[n][1][flags]})
 
 
 def _target(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -284,17 +290,14 @@ def counted(spark: SparkSession, dictionary: DataFrame, least: int = LEAST) -> D
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.to_dict("records"):
-                block = Block(row)
-                block.longer(2, block.owned)
-                yield from _submissions(block, row["block"], shards, 1, 2)
+                yield from _submissions(Block(row), row["block"], shards, 1, 2)
 
     def extended(row: dict) -> tuple[Block, dict[int, np.ndarray]]:
         """The block with those longer phrases whose pairs are all frequent."""
         block = Block(row)
-        block.longer(2, block.owned)
         often = block.frequent(_bits(row["pairs"], block.submitted(1, 2)[0], shards), 1, 2)
         # Pairs that start in a chunk's overlap are another chunk's; one that is not counted here may be frequent there.
-        known = block.starting(2, often[2]) | (~block.owned & (block.left >= 2) & ~block.starting(2, np.ones(len(block.levels[2][2]), bool)))
+        known = block.starting(2, often[2]) | (~block.owned & (block.left >= 2) & ~block.starting(2, np.ones(len(block.levels[2][0]), bool)))
         at = block.owned & known
         for n in (3, 4):
             at = at & np.concatenate((known[n - 2 :], np.zeros(min(n - 2, len(known)), bool)))[: len(known)]
