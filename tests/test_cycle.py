@@ -1,80 +1,167 @@
-"""The live cycle: position records of a stream, late readings, and batches that are run again."""
+"""The live cycle: state grows by beacons heard, replays and restarts change nothing, silence is forgotten, streams equal tables."""
 
+import json
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
 from wavefix.functions import constants as K
+from wavefix.operators import space
+from wavefix.operators.beacon import Beacon, House
 from wavefix.sources import layout
 from wavefix.sources import readings as sources
 from wavefix.streaming import cycle, live
 
-FIELDS = "event_id long, beacon long, t double, anchor_id string, rssi double, x double"
+FIELDS = "event_id long, beacon long, t double, anchor_id string, rssi double"
 
 
 @pytest.fixture(scope="module")
-def house(spark):
-    return cycle.House.of(spark)
+def plan(spark):
+    return layout.read(spark)
 
 
-def readings(spark, house, beacon, t, x, y, floor, first):
+@pytest.fixture(scope="module")
+def house(spark, plan):
+    cells = space.grid(plan)
+    return House.of(plan, spark.createDataFrame(cells.collect(), cells.schema))
+
+
+def still(house, plan, beacon, t, x, y, floor, first):
     """Strengths that a still beacon gives without noise."""
-    a = layout.anchors(house.plan).orderBy("anchor_idx").collect()
     rows = []
-    for i, r in enumerate(a):
+    for i, r in enumerate(layout.anchors(plan).orderBy("anchor_idx").collect()):
         d = max(((r["ax"] - x) ** 2 + (r["ay"] - y) ** 2 + (r["az"] - K.FLOOR_ELEVATION_FT[floor] - 3) ** 2) ** 0.5, 1)
         s = K.TX_POWER_DBM - 10 * K.PATH_LOSS_N * math.log10(d * K.METRES_PER_FOOT) - K.FLOOR_ATTENUATION_DB * abs(r["floor"] - floor)
-        rows.append((first + i, beacon, t + i / 100, r["anchor_id"], s, s))
+        rows.append((first + i, beacon, t + i / 100, r["anchor_id"], s))
     return rows
 
 
-def test_cycles_give_position_records(spark, house, tmp_path):
-    at = str(tmp_path)
-    for n in range(3):
-        rows = readings(spark, house, 1, 10.0 + 2 * n, 8.0, 12.0, 2, 100 * n)
-        if n % 2 == 0:
-            rows += readings(spark, house, 2, 10.0 + 2 * n, 5.0, 20.0, 3, 100 * n + 50)
-        if n == 2:  # late readings: older than what is known
-            rows += [(1, 1, 2.0, rows[0][3], -10.0, -10.0)]
-        cycle.advance(spark.createDataFrame(rows, FIELDS), n, at, house)
-    out = spark.read.parquet(f"{at}/positions")
-    got = {(r["batch"], r["beacon"]): r for r in out.collect()}
-    assert got.keys() == {(0, 1), (0, 2), (1, 1), (2, 1), (2, 2)}
-    last = got[2, 1]
-    assert last["floor"] == 2 and 0 <= last["confidence"] <= 1 and abs(sum(last["floor_belief"].values()) - 1) < 1e-3
-    assert ((last["x"] - 8) ** 2 + (last["y"] - 12) ** 2) ** 0.5 < 12 and got[2, 2]["floor"] == 3
-    assert max(last["floor_belief"], key=last["floor_belief"].get) == 2
-    cloud = spark.read.parquet(f"{at}/state/{2:09d}/cloud")
-    sums = cloud.groupBy("beacon").agg(F.sum("w").alias("w"), F.count("w").alias("n"), F.countDistinct("slot").alias("slots")).collect()
-    assert {r["beacon"] for r in sums} == {1, 2}
-    assert all(r["w"] == pytest.approx(1) and r["n"] == r["slots"] == K.PARTICLES for r in sums)
-    held = {r["anchor_idx"]: r["raw"] for r in spark.read.parquet(f"{at}/state/{2:09d}/heard").where("beacon = 1").collect()}
-    assert -10.0 not in held.values() and len(held) == layout.anchors(house.plan).count()
-    # The same batch again gives the same records; the folder before the last two is gone.
-    cycle.advance(spark.createDataFrame(rows, FIELDS), 2, at, house)
-    again = {(r["batch"], r["beacon"]): r for r in spark.read.parquet(f"{at}/positions").collect()}
-    assert again == got
-    assert not (tmp_path / "state" / f"{0:09d}").exists()
-
-
-def test_batch_without_readings_keeps_the_state(spark, house, tmp_path):
-    at = str(tmp_path)
-    cycle.advance(spark.createDataFrame(readings(spark, house, 7, 1.0, 8.0, 12.0, 1, 0), FIELDS), 0, at, house)
-    cycle.advance(spark.createDataFrame([], FIELDS), 1, at, house)
-    for name in cycle.STATE:
-        a, b = (sorted(map(str, spark.read.parquet(f"{at}/state/{n:09d}/{name}").select("beacon").collect())) for n in (0, 1))
-        assert a == b and a
-
-
-def test_stream_of_messages_gives_positions(spark, tmp_path):
-    msgs = sources.messages(spark, DATA)
-    few = msgs.where(F.col("topic").rlike("/devices/[34]/|^bad"))
-    few.coalesce(1).write.json(str(tmp_path / "in"))
-    smoothed = live.tracked(live.readings(live.messages(spark, str(tmp_path / "in"))))
-    cycle.positions(smoothed, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out" / "positions")).collect()
-    want = {r["device"] for r in sources.parsed(few).select("device").distinct().collect()}
-    assert {str(r["beacon"]) for r in got} == want & {"3", "4"} and want
-    assert all(r["location_label"] and r["activity"] and r["floor"] in (1, 2, 3) for r in got)
+def put(spark, rows, path, name):
+    """One file of readings."""
+    path.mkdir(exist_ok=True)
+    (path / name).write_text("".join(json.dumps(dict(zip([c.split()[0] for c in FIELDS.split(", ")], r, strict=True))) + "\n" for r in rows))
+    os.utime(path / name, (1_700_000_000 + int(name.split(".")[0]),) * 2)  # files are read in the order of their times
+
+
+def stream(spark, path):
+    return spark.readStream.schema(FIELDS).option("maxFilesPerTrigger", 1).json(str(path))
+
+
+def play(spark, tmp_path, house, **how):
+    q = cycle.positions(how.pop("rows", None) or stream(spark, tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck"), house, **how)
+    q.awaitTermination()
+    return q
+
+
+def shown(spark, tmp_path):
+    return sorted(map(str, spark.read.schema("beacon long, event_id long, x double, y double, floor int, n_late long").parquet(str(tmp_path / "out")).drop("batch").collect()))
+
+
+def test_a_still_beacon_is_found(spark, house, plan, tmp_path):
+    for n in range(12):
+        put(spark, still(house, plan, 1, 10.0 + 2 * n, 8.0, 12.0, 2, 100 * n) + (still(house, plan, 2, 10.0 + 2 * n, 5.0, 20.0, 3, 100 * n + 50) if n % 2 == 0 else []), tmp_path / "in", f"{n:02d}.json")
+    play(spark, tmp_path, house)
+    out = {(r["batch"], r["beacon"]): r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert out.keys() == {(n, b) for n in range(12) for b in (1, 2) if b == 1 or n % 2 == 0}
+    last = out[11, 1]
+    assert last["floor"] == 2 and 0 <= last["confidence"] <= 1 and abs(sum(last["floor_belief"].values()) - 1) < 1e-3 and max(last["floor_belief"], key=last["floor_belief"].get) == 2
+    assert ((last["x"] - 8) ** 2 + (last["y"] - 12) ** 2) ** 0.5 < 8 and out[10, 2]["floor"] == 3 and last["location_label"] and last["activity"]
+
+
+def test_state_written_grows_with_beacons_heard(spark, house, plan, tmp_path):
+    """A micro-batch of one beacon writes as many rows of state beside ten silent beacons as beside a thousand, in under two seconds."""
+    wrote, took = {}, {}
+    for idle in (10, 1000):
+        at = tmp_path / str(idle)
+        at.mkdir()
+        anchor = layout.anchors(plan).first()["anchor_id"]
+        put(spark, [(i, i + 100, 1.0, anchor, -60.0) for i in range(idle)], at / "in", "0.json")
+        for n in range(1, 5):
+            put(spark, still(house, plan, 1, 10.0 * n, 8.0, 12.0, 2, 5000 * n), at / "in", f"{n}.json")
+        q = play(spark, at, house)
+        late = [p for p in q.recentProgress if p["numInputRows"] == layout.anchors(plan).count()]
+        wrote[idle] = [p["stateOperators"][0]["numRowsUpdated"] for p in late]
+        took[idle] = min(p["durationMs"]["triggerExecution"] for p in late)
+        assert q.recentProgress[0]["stateOperators"][0]["numRowsUpdated"] >= 3 * idle
+    assert wrote[10] == wrote[1000] and len(wrote[10]) == 4 and max(wrote[10]) < 20
+    assert max(took.values()) < 2000
+
+
+def test_restart_and_replay_give_the_same(spark, house, plan, tmp_path):
+    """Half the files, a restart from the checkpoint, a batch that is run again: records equal those of one run."""
+    files = [still(house, plan, b, 5.0 * n + b, 8.0, 12.0, 2, 100 * n + 20 * b) for n in range(4) for b in (1, 2)]
+    one, two = tmp_path / "one", tmp_path / "two"
+    one.mkdir(), two.mkdir()
+    for i, rows in enumerate(files):
+        put(spark, rows, one / "in", f"{i}.json")
+    play(spark, one, house)
+    for i, rows in enumerate(files):
+        put(spark, rows, two / "in", f"{i}.json")
+        if i % 3 == 2:
+            play(spark, two, house)
+    play(spark, two, house)
+    assert shown(spark, one) == shown(spark, two)
+    # The last batch's commit is lost: it is run again from the state before it.
+    last = max((two / "ck" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()
+    (two / "ck" / "commits" / f".{last.name}.crc").unlink(missing_ok=True)
+    play(spark, two, house)
+    assert shown(spark, one) == shown(spark, two)
+
+
+def test_late_and_negative_times(house):
+    b = Beacon(house, 5)
+    first = b.reading(1, 0, 100.0, -60.0)
+    assert first["n_late"] == 0
+    assert b.reading(2, 0, 90.0, -10.0) is None and b.heard[0].raw == -60.0 and b.late == 1  # older than its anchor's newest
+    assert b.reading(1, 0, 100.0, -60.0) is None and b.late == 2  # the same message again
+    assert b.reading(3, 1, 95.0, -70.0) is None and b.heard[1].raw == -70.0 and b.last == 100.0  # another anchor, before the last cycle: known, but no cycle
+    assert b.reading(4, 0, 101.0, -61.0)["n_late"] == 2
+
+
+def test_silent_beacons_are_forgotten_by_event_time(spark, house, plan, tmp_path):
+    """Once the watermark has passed a beacon's last reading by the idle time its state goes; readings behind the watermark are dropped and counted."""
+    anchor = layout.anchors(plan).first()["anchor_id"]
+    files = [[(1, 1, 100.0, anchor, -60.0), (1, 1, 100.0, anchor, -60.0)], [(2, 2, 500.0, anchor, -60.0)], [(3, 2, 501.0, anchor, -60.0)], [(5, 2, 900.0, anchor, -61.0), (4, 1, 100.5, anchor, -60.0)], [(6, 2, 901.0, anchor, -61.0)]]
+    for i, rows in enumerate(files):
+        put(spark, rows, tmp_path / "in", f"{i}.json")
+    q = play(spark, tmp_path, house, rows=live.on_time(stream(spark, tmp_path / "in")), idle_s=60)
+    out = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(r["event_id"] for r in out) == [1, 2, 3, 5, 6]  # the repeat and the late reading are gone
+    assert live.dropped(q) == 1
+    states = [max(p["stateOperators"], key=lambda s: s["operatorName"] == "transformWithStateInPandasExec" or "transformWithState" in s["operatorName"]) for p in q.recentProgress]
+    assert sum(s["numRowsRemoved"] for s in states) > 0
+
+
+def test_time_to_live(spark, house, plan, tmp_path):
+    """With a time to live a beacon's state is gone after so long without a change."""
+    import time
+
+    anchor = layout.anchors(plan).first()["anchor_id"]
+    put(spark, [(1, 1, 100.0, anchor, -60.0)], tmp_path / "in", "0.json")
+    out = cycle.cycles(stream(spark, tmp_path / "in"), house, layout.read(spark), ttl_ms=2500)
+    q = out.select("event_id", "n_eff", F.element_at("belief", 1).alias("b")).writeStream.format("memory").queryName("ttl").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="1 second").start()
+    try:
+        wait = lambda n: next((True for _ in range(100) if spark.table("ttl").count() >= n or time.sleep(0.3)), False)
+        assert wait(1)
+        time.sleep(8)
+        put(spark, [(0, 1, 50.0, anchor, -60.0)], tmp_path / "in", "1.json")  # older than what was known: only a forgotten beacon takes it
+        assert wait(2)
+    finally:
+        q.stop()
+
+
+def test_stream_equals_table(spark, house, plan, tmp_path):
+    """Messages of the driver's events, malformed ones included, as a stream in one batch and as a table."""
+    msgs = sources.messages(spark, DATA).where(F.col("topic").rlike("/devices/[34]/|^bad"))
+    msgs.coalesce(1).write.json(str(tmp_path / "in"))
+    rows = live.readings(live.messages(spark, str(tmp_path / "in")), [3, 4])
+    cycle.positions(rows, str(tmp_path / "out"), str(tmp_path / "ck"), house).awaitTermination()
+    got = {r["event_id"]: (r["x"], r["y"], r["floor"], r["confidence"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    flat = sources.parsed(msgs).withColumn("beacon", F.col("device").cast("long")).join(layout.anchors(plan).select("anchor_id", "anchor_idx"), "anchor_id")
+    want = {r["event_id"]: (round(r["x"], 2), round(r["y"], 2), r["floor"], r["confidence"]) for r in cycle.trajectories(flat, plan, space.grid(plan)).collect()}
+    assert got.keys() == want.keys() and len(got) > 20
+    assert all(got[k][2:] == want[k][2:] and got[k][:2] == pytest.approx(want[k][:2], abs=0.011) for k in want)

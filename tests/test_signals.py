@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from wavefix.functions import signal
 from wavefix.operators import features, floors, kalman
+from wavefix.sources import layout
 
 READING = "event_id long, beacon long, anchor_idx int, t double, rssi double"
 
@@ -63,8 +64,8 @@ def test_displacement(spark, points, expected):
 def test_belief_settles_on_the_heard_floor(spark):
     anchors = spark.createDataFrame([(0, 2), (1, 2), (2, 1), (3, 3)], "anchor_idx int, floor int")
     vec = spark.createDataFrame([(c * 4 + i, 1, c, float(c), i, v, v, 0.0, 1) for c in range(1, 21) for i, v in enumerate([-50.0, -52.0, -68.0, -70.0])], "event_id long, beacon long, cycle long, t double, anchor_idx int, raw double, x double, age double, first_seen long")
-    e = floors.emissions(vec.withColumn("event_id", F.col("cycle")), anchors)
-    last = floors.beliefs(e, first=1).orderBy(F.desc("event_id")).first()
+    e = floors.emissions(vec.withColumn("event_id", F.col("cycle")), anchors, [1, 2, 3])
+    last = floors.beliefs(e, layout.read(spark), first=1).orderBy(F.desc("event_id")).first()
     assert last["b2"] > 0.9 and last["floor"] == 2
     assert last["b1"] + last["b2"] + last["b3"] == pytest.approx(1)
 

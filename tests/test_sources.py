@@ -70,7 +70,7 @@ def test_particles_around_a_point_are_walkable(spark):
     ids = spark.range(200).select(F.lit(1).alias("beacon"), F.col("id").alias("pid"))
     out = particles.around(ids, cells, 10.0, 10.0, 2, 3.0)
     a = space.grid_arrays(cells)
-    good = out.join(a, "floor").where(space.is_walkable(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.col("free"))).agg(F.count(F.lit(1)), F.avg("x"), F.avg("y")).first()
+    good = out.join(a, "floor").where(space.is_walkable(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.col("free"), F.col("x_max"), F.col("y_max"))).agg(F.count(F.lit(1)), F.avg("x"), F.avg("y")).first()
     assert good[0] == 200 and abs(good[1] - 10) < 5 and abs(good[2] - 10) < 5
 
 

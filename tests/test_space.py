@@ -32,7 +32,7 @@ BLOCKED = [(1, 12, 13), (1, -1, 15), (1, 20, 15), (2, 10, 28.5), (2, 12, 22), (2
 def test_known_points(spark, cells):
     a = space.grid_arrays(cells)
     p = _points(spark, OPEN + BLOCKED).join(a, "floor")
-    got = {r["pid"]: r["ok"] for r in p.select("pid", space.is_walkable(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.col("free")).alias("ok")).collect()}
+    got = {r["pid"]: r["ok"] for r in p.select("pid", space.is_walkable(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.col("free"), F.col("x_max"), F.col("y_max")).alias("ok")).collect()}
     assert [got[i] for i in range(len(got))] == [True] * len(OPEN) + [False] * len(BLOCKED)
 
 
@@ -76,7 +76,7 @@ def test_tracker_finds_a_still_beacon(spark, plan, cells):
     import numpy as np
 
     from wavefix.functions import constants as K
-    from wavefix.operators import tracker
+    from wavefix.streaming import cycle
 
     rng, anchors = np.random.default_rng(7), layout.anchors(plan).collect()
     rows = []
@@ -84,7 +84,7 @@ def test_tracker_finds_a_still_beacon(spark, plan, cells):
         a = anchors[i % 9]
         d = max(1.0, ((7 - a["ax"]) ** 2 + (10 - a["ay"]) ** 2 + (8.75 - a["az"]) ** 2) ** 0.5)
         rows.append((i, 1, a["anchor_idx"], i * 0.3, float(K.TX_POWER_DBM - 24 * np.log10(d * 0.3048) - 6 * abs(a["floor"] - 2) + rng.normal(0, 2))))
-    out = tracker.trajectories(spark.createDataFrame(rows, "event_id long, beacon long, anchor_idx int, t double, rssi double"), plan, cells).orderBy(F.desc("event_id")).first()
+    out = cycle.trajectories(spark.createDataFrame(rows, "event_id long, beacon long, anchor_idx int, t double, rssi double"), plan, cells).orderBy(F.desc("event_id")).first()
     assert out["floor"] == 2 and ((out["x"] - 7) ** 2 + (out["y"] - 10) ** 2) ** 0.5 < 8
 
 
@@ -92,7 +92,7 @@ def test_tracker_sees_the_house_as_the_steps_do(spark, plan, cells):
     """Ways, walls towards anchors and heights of the fold equal those of the step operators."""
     import numpy as np
 
-    from wavefix.operators import tracker
+    from wavefix.operators import beacon
 
     rng = np.random.default_rng(3)
     n = 400
@@ -100,7 +100,7 @@ def test_tracker_sees_the_house_as_the_steps_do(spark, plan, cells):
     x[:120] = rng.uniform(0, 3, 120)
     tx, ty = np.clip(x + rng.normal(0, 4, n), 0, 17.7), np.clip(y + rng.normal(0, 4, n), 0, 29.39)
     points = spark.createDataFrame([(i, int(f[i]), *(float(v[i]) for v in (x, y, tx, ty))) for i in range(n)], "pid long, floor int, x double, y double, tx double, ty double")
-    house = tracker.House.of(plan, cells)
+    house = beacon.House.of(plan, cells)
     ways = {r["pid"]: r["clear"] for r in space.rays(points, space.grid_arrays(cells)).collect()}
     assert house.way_open(x, y, tx, ty, f).tolist() == [ways[i] for i in range(n)] and len(set(ways.values())) == 2
     z = {r["pid"]: r["z"] for r in particles.elevation(points, plan).collect()}
@@ -117,12 +117,13 @@ def test_tracker_waits_on_a_floor_without_a_way_back(spark, plan, cells):
 
     import numpy as np
 
-    from wavefix.operators import tracker
+    from wavefix.operators import beacon
 
-    house = tracker.House.of(plan, cells)
+    house = beacon.House.of(plan, cells)
     a, b, ex, ey = house.stairs[0]
     for stairs, can in ((house.stairs, True), (house.stairs[:1], False)):
-        f = tracker.Filter(dataclasses.replace(house, stairs=stairs), 1)
+        f = beacon.Beacon(dataclasses.replace(house, stairs=stairs), 1)
+        f.start()
         f.x, f.y, f.floor = np.full(f.n, ex), np.full(f.n, ey), np.full(f.n, a)
         f.belief = {g: float(g == b) for g in f.floors}
         f._move({}, 0.5)

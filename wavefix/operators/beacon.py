@@ -1,13 +1,14 @@
-"""The whole filter for many beacons: one pass over each beacon's cycles, NumPy inside a cycle.
+"""One beacon's cycle: what a beacon holds between readings, and what a reading does to it.
 
-The particle filter and the floor model depend on each other's last step, so a beacon's
-cycles are folded in order (see ``scan``). Beacons are independent and spread over
-the cluster; a beacon's state has a fixed size. Random numbers are seeded by the beacon.
+The particle filter, the floor model and the smoothed strengths depend on each other's last step, so a beacon's
+cycles follow one another; beacons are independent. A beacon's state has a fixed size, and the draws
+of a cycle are seeded by the beacon and the number of its cycle, so that a reading that is played again does the
+same. ``streaming.cycle`` keeps the state in Spark's state store and deals beacons to tasks.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
@@ -15,8 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavefix.functions import constants as K
-from wavefix.operators import kalman, space
-from wavefix.operators.scan import ordered_scan
+from wavefix.operators import features, kalman, space
 from wavefix.sources import layout
 
 
@@ -51,7 +51,7 @@ class House:
         for i, f in enumerate(floors):
             free[i, : size[i, 0], : size[i, 1]] = grids[f]
         anchors = {r["anchor_idx"]: (r["floor"], r["ax"], r["ay"], r["az"]) for r in layout.anchors(plan).collect()}
-        counts = {a: np.zeros(free.shape[1:]) for a in anchors}
+        counts = {a: np.zeros(free.shape[1:], np.int16) for a in anchors}
         for r in walls.collect():
             counts[r["anchor_idx"]][r["row"], r["col"]] = r["n_walls"]
         stairs = [(r["from_floor"], r["to_floor"], r["ex"], r["ey"]) for r in layout.stairs(plan).orderBy("stair_pos").collect()]
@@ -110,18 +110,78 @@ class House:
         return (cols[pick] + 0.5) * K.GRID_FT, (rows[pick] + 0.5) * K.GRID_FT, self.floors[layers[pick]]
 
 
-class Filter:
-    """State of one beacon: particles, floor belief, teleport timer."""
+@dataclass
+class Heard:
+    """What is known of one anchor: its newest reading, the filter's state after it, the strength at the last cycle, and its last changed strengths."""
 
-    def __init__(self, house: House, seed: int, n: int = K.PARTICLES):
-        self.house, self.rng, self.n = house, np.random.default_rng(seed), n
+    event_id: int
+    t: float
+    raw: float
+    state: tuple[float, ...]
+    was: float | None = None
+    past: list[float] = field(default_factory=list)
+
+    @property
+    def x(self) -> float:
+        return self.state[1]
+
+
+class Beacon:
+    """State of one beacon: strengths by anchor, particles, floor belief, and the clock of its cycles."""
+
+    def __init__(self, house: House, number: int, n: int = K.PARTICLES):
+        self.house, self.number, self.n = house, number, n
         self.floors = [int(f) for f in house.floors]
-        self.x, self.y, self.floor = house.draw(n, house.floors, self.rng)
-        self.w, self.cooldown = np.full(n, 1 / n), np.zeros(n)
+        self.heard: dict[int, Heard] = {}
+        self.last: float | None = None
+        self.cycles, self.late, self.hold = 0, 0, 0.0
+        self.recent: list[tuple[float, float, int]] = []
         self.belief = dict.fromkeys(self.floors, 1 / len(self.floors))
-        self.hold = 0.0
-
-    def step(self, heard: dict[int, float], dt: float) -> tuple[float, float, int, float, float]:
+        self.w = np.empty(0)
+
+    def start(self) -> None:
+        """Particles at walkable cells of all floors."""
+        self.rng = np.random.default_rng([abs(self.number), 0])
+        self.x, self.y, self.floor = self.house.draw(self.n, self.house.floors, self.rng)
+        self.w, self.cooldown = np.full(self.n, 1 / self.n), np.zeros(self.n)
+
+    def reading(self, event_id: int, anchor: int, t: float, raw: float) -> dict[str, Any] | None:
+        """Take in a reading; the record of the cycle that it starts, if one is due. A reading older than its anchor's newest only counts as late."""
+        known = self.heard.get(anchor)
+        if known is not None and (known.t, known.event_id) >= (t, event_id):
+            self.late += 1
+            return None
+        if known is None:
+            known = self.heard[anchor] = Heard(event_id, t, raw, kalman.step(None, t, raw))
+        else:
+            known.event_id, known.t, known.raw, known.state = event_id, t, raw, kalman.step(known.state, t, raw)
+        if not known.past or known.past[-1] != raw:
+            known.past = [*known.past[1 - K.FEATURE_WINDOW :], raw]
+        if self.last is not None and t - self.last < K.MIN_INTERVAL_S:
+            return None
+        dt = K.DEFAULT_DT if self.last is None else min(t - self.last, K.MAX_DT)
+        self.last, self.cycles = t, self.cycles + 1
+        live = {a: h for a, h in self.heard.items() if t - h.t <= K.STALE_S}
+        n_eff = self.step({a: h.x for a, h in live.items()}, dt)
+        x, y, floor, confidence = self.estimate()
+        self.recent = [*self.recent[1 - K.POSITION_WINDOW :], (x, y, floor)]
+        ox, oy, of = self.recent[0]
+        far = 0.0 if len(self.recent) < 2 else 1.0 if of != floor else round(float(np.hypot(x - ox, y - oy)), 3)
+        deltas = [abs(h.raw - h.was) for h in self.heard.values() if h.was is not None]
+        spreads = [round(float(np.var(h.past, ddof=1)) + features.TIE, 3) for h in live.values() if len(h.past) > 1]
+        for h in self.heard.values():
+            h.was = h.raw
+        late, self.late = self.late, 0
+        return {
+            "event_id": event_id, "t": t, "x": x, "y": y, "floor": floor, "confidence": confidence, "n_eff": round(n_eff, 1), "belief": [self.belief[f] for f in self.floors],
+            "delta_mean": round(float(np.mean(deltas)) + features.TIE, 3) if deltas else 0.0, "var_mean": round(float(np.mean(spreads)) + features.TIE, 3) if spreads else 0.0, "displacement_ft": far, "n_late": late,
+        }
+
+    def step(self, heard: dict[int, float], dt: float) -> float:
+        """Move belief and particles on by ``dt`` seconds; returns the effective number of particles."""
+        if not len(self.w):
+            self.start()
+        self.rng = np.random.default_rng([abs(self.number), self.cycles])
         dt = max(dt, K.MIN_DT)
         self._believe(heard, dt)
         self._teleport(dt)
@@ -132,7 +192,7 @@ class Filter:
             at = np.minimum(np.searchsorted(np.cumsum(self.w), (np.arange(self.n) + self.rng.random()) / self.n), self.n - 1)
             self.x, self.y, self.floor = self.x[at], self.y[at], self.floor[at]
             self.w = np.full(self.n, 1 / self.n)
-        return (*self.estimate(), n_eff)
+        return n_eff
 
     def _believe(self, heard: dict[int, float], dt: float) -> None:
         x, y, at, _ = self.estimate()
@@ -219,28 +279,3 @@ class Filter:
         mx, my = float((w * self.x[at]).sum()), float((w * self.y[at]).sum())
         spread = float(np.sqrt((w * ((self.x[at] - mx) ** 2 + (self.y[at] - my) ** 2)).sum()))
         return mx, my, best, round(weight[best] * float(np.exp(-spread / 5)), 3)
-
-
-def trajectories(readings: DataFrame, plan: DataFrame, cells: DataFrame, n: int = K.PARTICLES, walls: DataFrame | None = None) -> DataFrame:
-    """(event_id, beacon, x, y, floor, confidence, n_eff) after each cycle that the throttle lets through."""
-    sent = readings.sparkSession.sparkContext.broadcast(House.of(plan, cells, walls))
-
-    def new() -> Any:
-        s: dict[str, Any] = {"heard": {}, "filter": None, "last": None}
-        banks: dict[int, Any] = {}
-
-        def step(event_id: int, beacon: int, anchor_idx: int, t: float, rssi: float) -> tuple | None:
-            bank = banks.setdefault(anchor_idx, kalman.bank()())
-            s["heard"][anchor_idx] = (t, bank(event_id, beacon, anchor_idx, t, rssi)[4])
-            if s["last"] is not None and t - s["last"] < K.MIN_INTERVAL_S:
-                return None
-            if s["filter"] is None:
-                s["filter"] = Filter(sent.value, int(beacon), n)
-            dt = K.DEFAULT_DT if s["last"] is None else min(t - s["last"], K.MAX_DT)
-            s["last"] = t
-            live = {a: x for a, (at, x) in s["heard"].items() if t - at <= K.STALE_S}
-            return event_id, beacon, *s["filter"].step(live, dt)
-
-        return step
-
-    return ordered_scan(readings, ["beacon"], ["t", "event_id"], ["event_id", "beacon", "anchor_idx", "t", "rssi"], new, "event_id long, beacon long, x double, y double, floor int, confidence double, n_eff double")

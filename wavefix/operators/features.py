@@ -17,17 +17,26 @@ def cycles(readings: DataFrame) -> DataFrame:
     return readings.withColumn("cycle", F.row_number().over(W.partitionBy("beacon").orderBy("t", "event_id")).cast("long"))
 
 
-def vectors(cycle_rows: DataFrame, states: DataFrame, n_anchors: int = 9) -> DataFrame:
-    """For each cycle and anchor heard so far the newest raw and smoothed strength, its age and when it was first heard.
+def as_of(rows: DataFrame, *columns: str) -> DataFrame:
+    """For each cycle and each anchor that its beacon has heard so far, ``columns`` of the newest reading, its age and when it was first heard.
 
-    An as-of join of each cycle with all anchors, as one window over (beacon, anchor).
+    An as-of join of cycles (event_id, beacon, anchor_idx, cycle, t) with all anchors as one window over (beacon, anchor). A cycle
+    meets only anchors its beacon has heard by then, so it makes no rows but those it returns, whatever anchors there are.
     """
-    rows = cycle_rows.select("event_id", "beacon", "anchor_idx", "cycle", "t", "rssi").join(states.select("event_id", "x"), "event_id")
-    heard = F.when(F.col("anchor") == F.col("anchor_idx"), F.struct("rssi", "x", F.col("t").alias("at"), F.col("cycle").alias("seen")))
-    so_far = W.partitionBy("beacon", "anchor").orderBy("cycle").rowsBetween(W.unboundedPreceding, 0)
-    out = rows.withColumn("anchor", F.explode(F.sequence(F.lit(0), F.lit(n_anchors - 1))))
-    out = out.select("event_id", "beacon", "cycle", "t", "anchor", F.last(heard, True).over(so_far).alias("h"), F.first(heard, True).over(so_far).alias("f")).where("h IS NOT NULL")
-    return out.select("event_id", "beacon", "cycle", "t", F.col("anchor").alias("anchor_idx"), F.col("h.rssi").alias("raw"), "h.x", (F.col("t") - F.col("h.at")).alias("age"), F.col("f.seen").alias("first_seen"))
+    first = rows.groupBy("beacon", "anchor_idx").agg(F.min("cycle").alias("first_seen")).groupBy("beacon").agg(F.collect_list(F.struct(F.col("anchor_idx").alias("anchor"), "first_seen")).alias("known"))
+    out = rows.select("event_id", "beacon", "anchor_idx", "cycle", "t", *columns).join(first, "beacon")
+    out = out.withColumn("k", F.explode(F.filter("known", lambda k: k["first_seen"] <= F.col("cycle"))))
+    heard = F.when(F.col("k.anchor") == F.col("anchor_idx"), F.struct(*columns, F.col("t").alias("_at")))
+    so_far = W.partitionBy("beacon", "k.anchor").orderBy("cycle").rowsBetween(W.unboundedPreceding, 0)
+    out = out.select("event_id", "beacon", "cycle", "t", F.col("k.anchor").alias("anchor_idx"), F.col("k.first_seen").alias("first_seen"), F.last(heard, True).over(so_far).alias("_h"))
+    return out.select("event_id", "beacon", "cycle", "t", "anchor_idx", *(F.col(f"_h.{c}").alias(c) for c in columns), (F.col("t") - F.col("_h._at")).alias("age"), "first_seen")
+
+
+def vectors(cycle_rows: DataFrame, states: DataFrame | None = None) -> DataFrame:
+    """The newest raw and, with the filters' ``states``, smoothed strength (x) of each anchor in each cycle."""
+    if states is None:
+        return as_of(cycle_rows, "rssi").withColumnRenamed("rssi", "raw")
+    return as_of(cycle_rows.join(states.select("event_id", "x"), "event_id"), "rssi", "x").withColumnRenamed("rssi", "raw")
 
 
 def deltas(vec: DataFrame) -> DataFrame:
@@ -56,8 +65,8 @@ def fresh(vec: DataFrame, stale: float = K.STALE_S) -> DataFrame:
 
 
 def ranks(vec: DataFrame) -> DataFrame:
-    """Rank of each live anchor in a cycle by smoothed strength; ties go to the one heard first."""
-    order = W.partitionBy("event_id").orderBy(F.desc("x"), "first_seen", "anchor_idx")
+    """Rank of each live anchor in a cycle by smoothed strength; ties (to nine decimals) go to the one heard first."""
+    order = W.partitionBy("event_id").orderBy(F.desc(F.round("x", 9)), "first_seen", "anchor_idx")
     return fresh(vec).withColumn("rank", F.row_number().over(order).cast("long"))
 
 
@@ -77,7 +86,7 @@ def strongest(ranked: DataFrame) -> DataFrame:
 def floor_signal(vec: DataFrame, anchors: DataFrame) -> DataFrame:
     """Per cycle: each floor's count and mean, the best floor, and how far it is above the mean of the others."""
     per = fresh(vec).join(F.broadcast(anchors.select("anchor_idx", "floor")), "anchor_idx").groupBy("event_id", "beacon", "cycle", "floor").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"))
-    best = F.max_by("floor", F.struct("mean", -F.col("floor")))
+    best = F.max_by("floor", F.struct(F.round("mean", 9), -F.col("floor")))
     out = per.groupBy("event_id", "beacon", "cycle").agg(best.alias("best_floor"), F.max("mean").alias("top"), F.sum("mean").alias("total"), F.count(F.lit(1)).alias("n_floors"))
     return out.select("event_id", "beacon", "cycle", "best_floor", F.when(F.col("n_floors") > 1, F.round(F.col("top") - (F.col("total") - F.col("top")) / (F.col("n_floors") - 1) + TIE, 2)).otherwise(0.0).alias("ratio"), "n_floors")
 

@@ -24,10 +24,41 @@ def device_maps(newest: DataFrame) -> DataFrame:
     return newest.groupBy("beacon").agg(F.count(F.lit(1)).alias("anchor_count"), F.map_from_entries(F.collect_list(F.struct("anchor_id", "rssi"))).alias("anchors"))
 
 
+#: Relative accuracy of the sketch that finds the range of values around a rank is one by this; groups of no more rows need none.
+ACCURACY = 10_000
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, at: list[float]) -> DataFrame:
+    """(*by, q0, q1, ...): exact linear-interpolated quantiles of each group, without a group in any one task.
+
+    A mergeable sketch bounds the values around each rank; a second pass counts what is below and, by value, what is
+    inside, with partial sums, so that a task orders only the distinct values of a range: some ten-thousandths of a group. Nulls don't count; a
+    group of nulls alone has no row.
+    """
+    group = [f"_g{i}" for i in range(len(by))]
+    known = rows.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(by)), F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    around = [min(max(q + d / ACCURACY, 0.0), 1.0) for q in at for d in (-4, 4)]
+    ends = known.groupBy(*(F.col(f"_k{i}").alias(g) for i, g in enumerate(group))).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.percentile_approx("_v", around, ACCURACY).alias("_a"))
+    few = F.col("_n") <= ACCURACY
+    side = lambda i, all_: F.when(few, F.col(all_)).otherwise(F.col("_a")[i]).alias("_lo" if all_ == "_min" else "_hi")
+    ranges = F.array(*(F.struct(F.lit(i).alias("_i"), ((F.col("_n") - 1) * F.lit(q)).alias("_at"), side(2 * i, "_min"), side(2 * i + 1, "_max")) for i, q in enumerate(at)))
+    todo = ends.select(*group, F.explode(ranges).alias("_r")).select(*group, "_r.*")
+    mine = [F.col(f"_k{i}").eqNullSafe(F.col(g)) for i, g in enumerate(group)] + [F.col("_v") <= F.col("_hi")]
+    inside = known.join(todo, mine).groupBy(*group, "_i", "_at", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    past = F.sum("_n").over(W.partitionBy(*group, "_i").orderBy(F.asc_nulls_first("_x")))
+    inside = inside.withColumn("_past", past)
+    found = lambda f: F.min(F.when(F.col("_past") > f("_at"), F.col("_x")))
+    low, high, part = found(F.floor), found(F.ceil), F.first("_at") - F.floor(F.first("_at"))
+    each = inside.groupBy(*group, "_i").agg((low + F.when(part > 0, (high - low) * part).otherwise(0.0)).alias("_q"))
+    return each.groupBy(*group).agg(*(F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"q{i}") for i in range(len(at)))).select(*(F.col(g).alias(c) for g, c in zip(group, by, strict=True)), *(f"q{i}" for i in range(len(at))))
+
+
 def gaps(readings: DataFrame) -> DataFrame:
     """Message rate and gaps of each beacon."""
     gap = F.col("t") - F.lag("t").over(W.partitionBy("beacon").orderBy("t", "event_id"))
-    out = readings.withColumn("gap", gap).groupBy("beacon").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("a"), F.max("t").alias("b"), F.min("gap").alias("min_gap"), F.avg("gap").alias("mean_gap"), F.median("gap").alias("median_gap"), F.max("gap").alias("max_gap"))
+    rows = readings.withColumn("gap", gap)
+    out = rows.groupBy("beacon").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("a"), F.max("t").alias("b"), F.min("gap").alias("min_gap"), F.avg("gap").alias("mean_gap"), F.max("gap").alias("max_gap"))
+    out = out.join(quantiles(rows, ["beacon"], "gap", [0.5]).withColumnRenamed("q0", "median_gap"), "beacon", "left")
     return out.withColumn("rate", F.when(F.col("b") > F.col("a"), (F.col("n") - 1) / (F.col("b") - F.col("a")))).drop("a", "b")
 
 
@@ -143,6 +174,7 @@ def floor_agreement(beliefs: DataFrame, positions: DataFrame) -> DataFrame:
 
 def stage_percentiles(times: DataFrame) -> DataFrame:
     """Linear-interpolated percentiles of stage times (stage, ms), with throughput and share of the total."""
-    out = times.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.min("ms").alias("min_ms"), F.avg("ms").alias("mean_ms"), F.percentile("ms", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))).alias("p"), F.max("ms").alias("max_ms"), F.sum("ms").alias("total"))
+    out = times.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.min("ms").alias("min_ms"), F.avg("ms").alias("mean_ms"), F.max("ms").alias("max_ms"), F.sum("ms").alias("total"))
+    out = out.join(quantiles(times, ["stage"], "ms", [0.5, 0.95, 0.99]), "stage")
     whole = out.agg(F.sum("total").alias("whole"))
-    return out.crossJoin(F.broadcast(whole)).select("stage", "n", "min_ms", "mean_ms", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"), "max_ms", (1000 / F.col("mean_ms")).alias("per_s"), (F.col("total") * 100 / F.col("whole")).alias("pct"))
+    return out.crossJoin(F.broadcast(whole)).select("stage", "n", "min_ms", "mean_ms", F.col("q0").alias("p50"), F.col("q1").alias("p95"), F.col("q2").alias("p99"), "max_ms", (1000 / F.col("mean_ms")).alias("per_s"), (F.col("total") * 100 / F.col("whole")).alias("pct"))

@@ -29,7 +29,7 @@ def predicted(cloud: DataFrame, targets: DataFrame, arrays: DataFrame, dt: float
     scale = F.when(far > cap, cap / far).otherwise(1.0)
     out = out.withColumns({"tx": F.col("x") + F.col("mx") * scale, "ty": F.col("y") + F.col("my") * scale})
     out = space.rays(out, arrays).join(F.broadcast(arrays), "floor")
-    good = F.col("clear") & F.coalesce(space.is_walkable(F.col("tx"), F.col("ty"), F.col("w"), F.col("h"), F.col("free")), F.lit(False))
+    good = F.col("clear") & F.coalesce(space.is_walkable(F.col("tx"), F.col("ty"), F.col("w"), F.col("h"), F.col("free"), F.col("x_max"), F.col("y_max")), F.lit(False))
     return out.select("beacon", "pid", "floor", F.when(good, F.col("tx")).otherwise(F.col("x")).alias("nx"), F.when(good, F.col("ty")).otherwise(F.col("y")).alias("ny"), good.alias("accepted"))
 
 
@@ -85,7 +85,7 @@ def around(ids: DataFrame, cells: DataFrame, x: float, y: float, floor: int, spr
     arrays = space.grid_arrays(cells.where(F.col("floor") == floor)).drop("floor")
     draw = lambda k, at, a, b: at + spread * gaussian(F.concat_ws("/", "pid", k.cast("string")), a, b)
     spots = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda k: F.struct(draw(k, x, "u1", "u2").alias("x"), draw(k, y, "n1", "n2").alias("y")))
-    good = F.filter("spots", lambda s: F.coalesce(space.is_walkable(s["x"], s["y"], F.col("w"), F.col("h"), F.col("free")), F.lit(False)))
+    good = F.filter("spots", lambda s: F.coalesce(space.is_walkable(s["x"], s["y"], F.col("w"), F.col("h"), F.col("free"), F.col("x_max"), F.col("y_max")), F.lit(False)))
     out = ids.crossJoin(F.broadcast(arrays)).withColumn("spots", spots).select("beacon", "pid", F.get(good, F.lit(0)).alias("s"))
     found = F.col("s").isNotNull()
     out = out.withColumns({"i": F.row_number().over(W.partitionBy("beacon", found).orderBy("pid")) - 1, "n": F.count("s").over(W.partitionBy("beacon"))})

@@ -14,11 +14,18 @@ from wavefix.functions.signal import cell_centre, inside
 from wavefix.sources import layout
 
 
-def polygon_array(plan: DataFrame) -> DataFrame:
-    """One row for each floor: its rooms in order, with vertices."""
-    rows = layout.rooms(plan).groupBy("floor").agg(F.array_sort(F.collect_list(F.struct("room_pos", "room", "poly"))).alias("rooms"))
-    g = layout.gates(plan).groupBy("floor").agg(F.collect_list(F.struct("room_pos", "axis", "coord", "above", "below")).alias("gates"))
-    return rows.join(g, "floor", "left")
+#: Feet of the cells that find a point's polygons.
+CELL_FT = 2.0
+
+
+def polygon_cells(plan: DataFrame, size: float = CELL_FT) -> DataFrame:
+    """One row for each (floor, cell) that a room's bounding box touches: its rooms in order, with vertices and first gate."""
+    side = lambda i, pick: F.floor(pick(F.transform("poly", lambda p: p[i])) / size).cast("long")
+    g = layout.gates(plan).select("floor", "room_pos", F.struct("axis", "coord", "above", "below").alias("gate"))
+    rooms = layout.rooms(plan).select("floor", "room_pos", "room", "poly").join(g, ["floor", "room_pos"], "left")
+    at = lambda i, name: F.explode(F.sequence(side(i, F.array_min), side(i, F.array_max))).alias(name)
+    cells = rooms.withColumn("_r", F.struct("room_pos", "room", "poly", "gate")).select("floor", "_r", "poly", at(0, "_cx")).select("floor", "_r", "_cx", at(1, "_cy"))
+    return cells.groupBy("floor", "_cx", "_cy").agg(F.array_sort(F.collect_list("_r")).alias("_rooms"))
 
 
 def in_polygon(poly: Column, x: Column, y: Column) -> Column:
@@ -33,20 +40,30 @@ def in_polygon(poly: Column, x: Column, y: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(poly) - 1), F.lit(False), edge)
 
 
-def labelled(points: DataFrame, plan: DataFrame) -> DataFrame:
-    """Add room and zone to points (x, y, floor): the first polygon in order wins, then the room's first gate decides."""
-    out = points.join(F.broadcast(polygon_array(plan)), "floor", "left")
+def labelled(points: DataFrame, plan: DataFrame, size: float = CELL_FT) -> DataFrame:
+    """Add room and zone to points (x, y, floor): the first polygon in order wins, then the room's first gate decides.
+
+    A point meets the polygons of its cell by an equi-join, so that it isn't tested against a whole floor's; Spark broadcasts the cells
+    where the plan is small.
+    """
     x, y = F.col("x"), F.col("y")
-    out = out.withColumn("_r", F.get(F.filter("rooms", lambda r: in_polygon(r["poly"], x, y)), F.lit(0)))
-    out = out.withColumn("_g", F.get(F.filter("gates", lambda g: g["room_pos"] == F.col("_r.room_pos")), F.lit(0)))
-    at = F.when(F.col("_g.axis") == "x", x).otherwise(y)
-    gated = F.when(F.col("_g").isNull(), F.col("_r.room")).when(at >= F.col("_g.coord"), F.col("_g.above")).otherwise(F.col("_g.below"))
-    return out.withColumns({"room": F.coalesce("_r.room", F.lit("unknown")), "zone": F.coalesce(gated, F.lit("unknown"))}).drop("_r", "_g", "rooms", "gates")
+    out = points.withColumns({"_cx": F.floor(x / size).cast("long"), "_cy": F.floor(y / size).cast("long")}).join(polygon_cells(plan, size), ["floor", "_cx", "_cy"], "left")
+    out = out.withColumn("_r", F.get(F.filter("_rooms", lambda r: in_polygon(r["poly"], x, y)), F.lit(0)))
+    at = F.when(F.col("_r.gate.axis") == "x", x).otherwise(y)
+    gated = F.when(F.col("_r.gate").isNull(), F.col("_r.room")).when(at >= F.col("_r.gate.coord"), F.col("_r.gate.above")).otherwise(F.col("_r.gate.below"))
+    return out.withColumns({"room": F.coalesce("_r.room", F.lit("unknown")), "zone": F.coalesce(gated, F.lit("unknown"))}).drop("_r", "_rooms", "_cx", "_cy")
+
+
+def walkable_at(points: DataFrame, cells: DataFrame) -> DataFrame:
+    """Add walkable to points (x, y, floor) of any floors: an unknown floor is not walkable."""
+    out = points.join(F.broadcast(grid_arrays(cells)), "floor", "left")  # of the plan's size
+    good = is_walkable(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.col("free"), F.col("x_max"), F.col("y_max"))
+    return out.withColumn("walkable", F.coalesce(good, F.lit(False))).drop("w", "h", "free", "x_max", "y_max")
 
 
 def grid(plan: DataFrame, res: float = K.GRID_FT) -> DataFrame:
-    """(floor, row, col, walkable): rooms, less obstacles and walls between rooms, with openings carved last."""
-    dims = layout.floors(plan).select("floor", F.ceil((F.col("x_max") - F.col("x_min")) / res).cast("int").alias("w"), F.ceil((F.col("y_max") - F.col("y_min")) / res).cast("int").alias("h"))
+    """(floor, row, col, walkable, x_max, y_max): rooms, less obstacles and walls between rooms, with openings carved last."""
+    dims = layout.floors(plan).select("floor", F.ceil((F.col("x_max") - F.col("x_min")) / res).cast("int").alias("w"), F.ceil((F.col("y_max") - F.col("y_min")) / res).cast("int").alias("h"), "x_max", "y_max")
     cells = dims.select("floor", "w", "h", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("row")).select("floor", "w", "h", "row", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("col"))
     cells = cells.select("floor", "row", "col", ((F.col("col") + 0.5) * res).alias("cx"), ((F.col("row") + 0.5) * res).alias("cy"))
 
@@ -73,13 +90,13 @@ def grid(plan: DataFrame, res: float = K.GRID_FT) -> DataFrame:
     wall = side.join(around, ["floor", "row", "col"]).where("room_pos > beside").select("floor", "row", "col", F.lit(True).alias("wall")).distinct()
     out = out.join(wall, ["floor", "row", "col"], "left")
     free = F.col("carved").isNotNull() | (F.col("room_pos").isNotNull() & F.col("wall").isNull())
-    return out.select("floor", "row", "col", free.alias("walkable"))
+    return out.select("floor", "row", "col", free.alias("walkable")).join(F.broadcast(dims.select("floor", "x_max", "y_max")), "floor")
 
 
 def grid_arrays(cells: DataFrame) -> DataFrame:
-    """One row for each floor: (floor, w, h, free), ``free`` row by row."""
+    """One row for each floor: (floor, w, h, free, x_max, y_max), ``free`` row by row."""
     ordered = F.array_sort(F.collect_list(F.struct("row", "col", "walkable")))
-    return cells.groupBy("floor").agg((F.max("col") + 1).alias("w"), (F.max("row") + 1).alias("h"), F.transform(ordered, lambda c: c["walkable"]).alias("free"))
+    return cells.groupBy("floor").agg((F.max("col") + 1).alias("w"), (F.max("row") + 1).alias("h"), F.transform(ordered, lambda c: c["walkable"]).alias("free"), F.max("x_max").alias("x_max"), F.max("y_max").alias("y_max"))
 
 
 def walkable_fraction(cells: DataFrame) -> DataFrame:
@@ -92,7 +109,7 @@ def cell_index(x: Column, y: Column, w: Column, h: Column) -> tuple[Column, Colu
     return F.greatest(F.lit(0), F.least(h - 1, row)), F.greatest(F.lit(0), F.least(w - 1, col))
 
 
-def is_walkable(x: Column, y: Column, w: Column, h: Column, free: Column, x_max: float = 17.7, y_max: float = 29.39) -> Column:
+def is_walkable(x: Column, y: Column, w: Column, h: Column, free: Column, x_max: float | Column, y_max: float | Column) -> Column:
     row, col = cell_index(x, y, w, h)
     return (x >= 0) & (y >= 0) & (x <= x_max) & (y <= y_max) & free[row * w + col]
 
@@ -142,7 +159,7 @@ def rays(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     r1, c1 = cell_index(F.col("tx"), F.col("ty"), F.col("w"), F.col("h"))
     out = out.withColumns({"_r0": r0, "_c0": c0, "_r1": r1, "_c1": c1})
     out = out.withColumn("_ray", ray(F.col("_r0"), F.col("_c0"), F.col("_r1"), F.col("_c1"), F.col("w"), F.col("free")))
-    return out.withColumns({"clear": F.col("_ray.clear"), "n_walls": F.col("_ray.walls")}).drop("_ray", "_r0", "_c0", "_r1", "_c1", "w", "h", "free")
+    return out.withColumns({"clear": F.col("_ray.clear"), "n_walls": F.col("_ray.walls")}).drop("_ray", "_r0", "_c0", "_r1", "_c1", "w", "h", "free", "x_max", "y_max")
 
 
 def anchor_rays(cells: DataFrame, snapped: DataFrame) -> DataFrame:
@@ -164,26 +181,26 @@ def in_cells(points: DataFrame, cells: DataFrame) -> DataFrame:
 
 # --- the grid in SQL --------------------------------------------------------------
 
-SQL_GRID = f"""cells AS (
+SQL_GRID = f"""cells AS MATERIALIZED (
   SELECT f AS floor, row, col, (col + 0.5) * 0.5 AS cx, (row + 0.5) * 0.5 AS cy FROM range(1, 4) a(f), range(0, 59) b(row), range(0, 36) d(col)
-), in_room AS (
+), in_room AS MATERIALIZED (
   SELECT floor, row, col, min(room_pos) AS room_pos FROM (
     SELECT c.floor, row, col, e.room_pos FROM cells c JOIN {layout.values("room_edges", "e")} ON e.floor = c.floor JOIN {layout.values("rooms", "q")} ON q.floor = e.floor AND q.room_pos = e.room_pos AND q.walkable
     GROUP BY ALL HAVING sum(CASE WHEN (yi > cy) <> (yj > cy) AND cx < (xj - xi) * (cy - yi) / nullif(yj - yi, 0) + xi THEN 1 ELSE 0 END) % 2 = 1
   ) GROUP BY ALL
-), in_obstacle AS (
+), in_obstacle AS MATERIALIZED (
   SELECT DISTINCT floor, row, col FROM (
     SELECT c.floor, row, col, obstacle FROM cells c JOIN {layout.values("obstacle_edges", "e")} ON e.floor = c.floor
     GROUP BY ALL HAVING sum(CASE WHEN (yi > cy) <> (yj > cy) AND cx < (xj - xi) * (cy - yi) / nullif(yj - yi, 0) + xi THEN 1 ELSE 0 END) % 2 = 1
   )
-), open_cells AS (SELECT * FROM in_room ANTI JOIN in_obstacle USING (floor, row, col)), beside AS (
+), open_cells AS MATERIALIZED (SELECT * FROM in_room ANTI JOIN in_obstacle USING (floor, row, col)), beside AS MATERIALIZED (
   SELECT floor, row + dr AS row, col + dc AS col, room_pos FROM open_cells, (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) AS v(dr, dc)
-), walls AS (
+), walls AS MATERIALIZED (
   SELECT DISTINCT a.floor, a.row, a.col FROM open_cells a JOIN beside b ON a.floor = b.floor AND a.row = b.row AND a.col = b.col WHERE a.room_pos > b.room_pos
-), carved AS (
+), carved AS MATERIALIZED (
   SELECT DISTINCT c.floor, row, col FROM cells c JOIN {layout.values("openings", "o")} ON o.floor = c.floor
     AND abs(c.cx - o.cx) <= CASE WHEN wall_axis = 'x' THEN width / 2 ELSE 1.0 END AND abs(c.cy - o.cy) <= CASE WHEN wall_axis = 'y' THEN width / 2 ELSE 1.0 END
-), grid AS (
+), grid AS MATERIALIZED (
   SELECT c.floor, c.row, c.col, (v.floor IS NOT NULL OR (o.floor IS NOT NULL AND w.floor IS NULL)) AS walkable
   FROM cells c LEFT JOIN carved v USING (floor, row, col) LEFT JOIN open_cells o USING (floor, row, col) LEFT JOIN walls w USING (floor, row, col)
 )"""

@@ -35,7 +35,7 @@ def survey_points(plan: DataFrame, cells: DataFrame, step: float = K.SURVEY_FT)
         rows = rows.select("floor", "x", "y", F.lit(name).alias("kind"), F.lit(i).alias("source_rank"))
         out = rows if out is None else out.unionByName(rows)
     arrays = space.grid_arrays(cells)
-    out = out.join(F.broadcast(arrays), "floor").where(space.is_walkable(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.col("free"))).drop("w", "h", "free")
+    out = out.join(F.broadcast(arrays), "floor").where(space.is_walkable(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.col("free"), F.col("x_max"), F.col("y_max"))).drop("w", "h", "free", "x_max", "y_max")
     first = W.partitionBy("floor", F.round("x"), F.round("y")).orderBy("source_rank", "x", "y")
     out = space.labelled(out.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r"), plan)
     col = F.floor(F.col("x") / step)
@@ -59,6 +59,30 @@ def remaining(points: DataFrame, completed: DataFrame) -> DataFrame:
     return points.join(completed, "point_id", "left_anti")
 
 
+#: The two passes of a survey, as fingerprints' notes name them: fixed values.
+NORMAL, OCCLUDED = "normal", "occluded"
+
+
+def note_pass(notes: Column) -> Column:
+    """The pass that a fingerprint's notes tell of."""
+    return F.when(F.coalesce(notes, F.lit("")).rlike(f"^{OCCLUDED}($|;)"), OCCLUDED).otherwise(NORMAL)
+
+
+def progress(log: DataFrame) -> DataFrame:
+    """Newest entry of each (point_id, pass) of a log (point_id, pass, t, seq, done); a redo is an entry that isn't done."""
+    return log.groupBy("point_id", "pass").agg(F.max_by(F.struct("t", "done"), F.struct("t", "seq")).alias("s")).select("point_id", "pass", "s.t", "s.done")
+
+
+def resumed(points: DataFrame, log: DataFrame, skip_occluded: bool = False) -> DataFrame:
+    """What is left of a survey: (point_id, pass) of points (point_id, kind) whose newest entry isn't done.
+
+    Every point is due in the normal pass, points of interest in the occluded one too.
+    """
+    passes = F.array(F.lit(NORMAL)) if skip_occluded else F.when(F.col("kind") == "poi", F.array(F.lit(NORMAL), F.lit(OCCLUDED))).otherwise(F.array(F.lit(NORMAL)))
+    due = points.withColumn("pass", F.explode(passes))
+    return due.join(progress(log).where("done"), ["point_id", "pass"], "left_anti")
+
+
 def path_loss(samples: DataFrame) -> DataFrame:
     """Least squares of strength over log distance: (tx_power, path_loss_n, rmse, n); defaults with fewer than two points."""
     s = samples.select(F.log10(F.col("distance_ft") * K.METRES_PER_FOOT).alias("u"), "rssi").where("u IS NOT NULL")
@@ -68,6 +92,23 @@ def path_loss(samples: DataFrame) -> DataFrame:
     return err.select(F.when(few, K.TX_POWER_DBM).otherwise(F.round("a", 1)).alias("tx_power"), F.when(few, K.PATH_LOSS_N).otherwise(F.round(-F.col("b") / 10, 2)).alias("path_loss_n"), F.round("e", 2).alias("rmse"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def residuals(samples: DataFrame) -> DataFrame:
+    """Samples (key, distance_ft, rssi) with what their strength differs from the fitted line by; none with fewer than two points."""
+    s = samples.withColumn("u", F.log10(F.col("distance_ft") * K.METRES_PER_FOOT)).where("u IS NOT NULL")
+    f = s.agg(F.regr_intercept("rssi", "u").alias("a"), F.regr_slope("rssi", "u").alias("b"), F.count(F.lit(1)).alias("n"))
+    return s.crossJoin(F.broadcast(f)).where("n >= 2 AND b IS NOT NULL").select("key", F.round(F.col("rssi") - F.col("a") - F.col("b") * F.col("u"), 2).alias("residual"))
+
+
+def file_fits(samples: DataFrame) -> DataFrame:
+    """Path loss fitted to the samples (file, distance_ft, rssi) of all files together (file is null) and to each file's."""
+    s = samples.withColumn("u", F.log10(F.col("distance_ft") * K.METRES_PER_FOOT)).where("u IS NOT NULL")
+    f = s.groupingSets([[], ["file"]], "file").agg(F.regr_intercept("rssi", "u").alias("a"), F.regr_slope("rssi", "u").alias("b"), F.count(F.lit(1)).alias("n"), F.var_pop("rssi").alias("v"), F.covar_pop("rssi", "u").alias("c"))
+    # The mean square of residuals is what the slope leaves of the variance.
+    left = F.sqrt(F.greatest(F.col("v") - F.col("b") * F.col("c"), F.lit(0.0)))
+    few = (F.col("n") < 2) | F.col("b").isNull()
+    return f.select("file", F.when(few, K.TX_POWER_DBM).otherwise(F.round("a", 1)).alias("tx_power"), F.when(few, K.PATH_LOSS_N).otherwise(F.round(-F.col("b") / 10, 2)).alias("path_loss_n"), F.round(left, 2).alias("rmse"), "n")
+
+
 def wall_attenuation(samples: DataFrame) -> DataFrame:
     """Loss per wall: mean and population deviation of what is missing to free space."""
     d = F.greatest(F.col("distance_ft") * K.METRES_PER_FOOT, F.lit(0.3)) / K.METRES_PER_FOOT

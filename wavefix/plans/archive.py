@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 
 from wavefix.functions import constants as K
 from wavefix.functions.signal import noise
-from wavefix.operators import floors, history, space, survey, zones
+from wavefix.operators import floors, history, prefix, space, survey, zones
 from wavefix.operators.space import SQL_ROOM
-from wavefix.operators.scan import ordered_scan
 from wavefix.plans import spatial
 from wavefix.plans.signals import C, EMISSIONS, H, ORACLES, QUERIES, R, query, rounded
 from wavefix.plans.signals import _anchors, _vec
@@ -103,9 +102,9 @@ def zone_top6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{EMISSIONS}, {H}, bf AS (SELECT event_id, CASE WHEN round(w1 / s, 9) >= round(w2 / s, 9) AND round(w1 / s, 9) >= round(w3 / s, 9) THEN 1 WHEN round(w2 / s, 9) >= round(w3 / s, 9) THEN 2 ELSE 3 END AS f FROM es) SELECT h.floor AS pf_floor, count(*) AS n, count(*) FILTER (bf.f = h.floor) AS agree FROM bf JOIN h USING (event_id) GROUP BY 1")
 def floor_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = floors.emissions(_vec(spark, sf_dir)[1], _anchors(spark))
-    a, b, c = (F.round(f"e{i}", 9) for i in (1, 2, 3))
-    likely = e.select("event_id", F.when((a >= b) & (a >= c), 1).when(b >= c, 2).otherwise(3).alias("floor"))
+    known = floors.names(readings.plan(spark))
+    e = floors.emissions(_vec(spark, sf_dir)[1], _anchors(spark), known)
+    likely = e.select("event_id", floors.likeliest("e", known).alias("floor"))
     return history.floor_agreement(likely, _h(spark, sf_dir)).groupBy("pf_floor").agg(F.count(F.lit(1)).alias("n"), F.count_if("agree").alias("agree"))
 
 
@@ -149,6 +148,33 @@ def path_loss_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survey.path_loss(_calibration(spark, sf_dir).where("n_walls = 0"))
 
 
+FIT = "regr_intercept(rssi, log10(d * 0.3048)) AS a, regr_slope(rssi, log10(d * 0.3048)) AS b"
+
+
+@query(f"WITH {CALIBRATION}, f AS (SELECT {FIT} FROM cal WHERE walls = 0) SELECT k AS key, round(rssi - a - b * log10(d * 0.3048), 2) AS residual FROM cal, f WHERE walls = 0")
+def path_loss_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survey.residuals(_calibration(spark, sf_dir).where("n_walls = 0").withColumnRenamed("s_suppkey", "key"))
+
+
+@query(f"WITH {CALIBRATION}, x AS (SELECT *, k % 3 AS file FROM cal), f AS (SELECT file, {FIT}, count(*) AS n FROM x GROUP BY GROUPING SETS ((), (file))), e AS (SELECT f.file, any_value(a) AS a, any_value(b) AS b, any_value(n) AS n, sqrt(avg(pow(rssi - a - b * log10(d * 0.3048), 2))) AS e FROM f JOIN x ON f.file IS NULL OR f.file = x.file GROUP BY f.file) SELECT file, round(a, 1) AS tx_power, round(-b / 10, 2) AS path_loss_n, round(e, 2) AS rmse, n FROM e")
+def path_loss_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calibration as three files: fitted together and one by one."""
+    return survey.file_fits(_calibration(spark, sf_dir).withColumn("file", F.col("s_suppkey") % 3))
+
+
+#: A log of the survey: each event is an entry for its point, the last ten of forty in the occluded pass; some are redone.
+LOG = f"lg AS (SELECT event_id // 40 AS point_id, CASE WHEN event_id % 40 >= 30 THEN 'occluded' ELSE 'normal' END AS pass, t, event_id AS seq, {U('CAST(event_id AS VARCHAR)', chr(39) + 'd1' + chr(39))} > 0.4 AS done FROM r)"
+
+
+@query(f"WITH {R}, {LOG}, pt AS (SELECT DISTINCT point_id, CASE WHEN point_id % 3 = 0 THEN 'poi' ELSE 'grid' END AS kind FROM lg), due AS (SELECT point_id, kind, unnest(CASE WHEN kind = 'poi' THEN ['normal', 'occluded'] ELSE ['normal'] END) AS pass FROM pt), nw AS (SELECT point_id, pass, arg_max(done, (t, seq)) AS done FROM lg GROUP BY ALL) SELECT due.point_id, kind, due.pass FROM due LEFT JOIN nw ON nw.point_id = due.point_id AND nw.pass = due.pass WHERE NOT coalesce(done, false)")
+def survey_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points (forty events each, every third a point of interest) that are due in a pass: never done, or to be redone."""
+    which = F.when(F.col("event_id") % 40 >= 30, survey.OCCLUDED).otherwise(survey.NORMAL)
+    log = readings.readings(spark, sf_dir).select(F.floor(F.col("event_id") / 40).alias("point_id"), which.alias("pass"), "t", F.col("event_id").alias("seq"), (noise("event_id", "d1") > 0.4).alias("done"))
+    points = log.select("point_id").distinct().withColumn("kind", F.when(F.col("point_id") % 3 == 0, "poi").otherwise("grid"))
+    return survey.resumed(points, log).select("point_id", "kind", "pass")
+
+
 @query(f"WITH {CALIBRATION} SELECT round(avg(db), 1) AS db, round(stddev_pop(db), 1) AS std, count(*) AS n FROM (SELECT ({K.TX_POWER_DBM} - {10 * K.PATH_LOSS_N} * log10(greatest(greatest(d * 0.3048, 0.3) / 0.3048, 1) * 0.3048) - rssi) / walls AS db FROM cal WHERE walls > 0)")
 def wall_attenuation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survey.wall_attenuation(_calibration(spark, sf_dir))
@@ -320,9 +346,24 @@ def class_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survey.summary(_predicted(spark, sf_dir))
 
 
+ZONE_OF = "zc AS (SELECT event_id // 40 AS sample_id, label, count(*) AS n FROM h GROUP BY ALL), zl AS (SELECT sample_id, arg_min(label, (-n, label)) AS label FROM zc GROUP BY 1)"
+
+
+def _zone_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The zone of a fingerprint: the label that most of its positions have. Nothing that the classifier sees tells it."""
+    n = _h(spark, sf_dir).groupBy(F.floor(F.col("event_id") / 40).alias("sample_id"), "label").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy("sample_id").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label"))
+
+
+@query(f"WITH {H}, {ZONE_OF} SELECT sample_id, label, (row_number() OVER (PARTITION BY label ORDER BY {U('CAST(sample_id AS VARCHAR)', chr(39) + 'r' + chr(39))}) - 1) % 5 AS fold FROM zl")
+def zone_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folds that cross-validation deals samples to, each label by itself."""
+    return zones.folds(_zone_labels(spark, sf_dir))
+
+
 def rf_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions (sample_id, label, predicted) of forests by five-fold cross-validation, trained on augmented and balanced samples."""
-    return zones.cross_validated(_vectors(spark, sf_dir).persist(), _labels(spark, sf_dir).persist(), 9)
+    return zones.cross_validated(_vectors(spark, sf_dir).persist(), _zone_labels(spark, sf_dir).persist(), 9)
 
 
 QUERIES["rf_zone"] = rf_zone
@@ -344,21 +385,11 @@ def fingerprint_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 FOLLOW = {"moving": 0.3, "stationary": 0.05, "sleeping": 0.01}
 
 
-def zone_smoothed_rows(positions: DataFrame) -> DataFrame:
-    """Exponentially smoothed confidence of a beacon's label: it follows by activity and starts anew when the label changes."""
-
-    def new():
-        s: dict = {}
-
-        def step(event_id: int, label: str, activity: str | None, confidence: float) -> tuple:
-            a = FOLLOW.get(activity or "", FOLLOW["stationary"])
-            p = confidence if s.get("label") != label else s["p"] + a * (confidence - s["p"])
-            s["label"], s["p"] = label, p
-            return event_id, p
-
-        return step
-
-    return ordered_scan(positions, ["beacon"], ["t", "event_id"], ["event_id", "label", "activity", "confidence"], new, "event_id long, p double")
+def zone_smoothed_rows(positions: DataFrame, block_s: float = prefix.BLOCK_S) -> DataFrame:
+    """(event_id, p): exponentially smoothed confidence of a beacon's label: it follows by activity and starts anew when the label changes."""
+    follow = F.coalesce(F.create_map(*(F.lit(v) for kv in FOLLOW.items() for v in kv))[F.col("activity")], F.lit(FOLLOW["stationary"]))
+    rows = positions.select("beacon", "t", "event_id", F.xxhash64("label").alias("label"), follow.alias("follow"), "confidence")
+    return prefix.prefixed(rows, ["beacon"], ["t", "event_id"], zones.Following(), ["event_id"], block_s)
 
 
 @query(f"""WITH RECURSIVE {H}, n AS (SELECT *, row_number() OVER (PARTITION BY beacon ORDER BY t, event_id) AS i, CASE activity WHEN 'moving' THEN 0.3 WHEN 'sleeping' THEN 0.01 ELSE 0.05 END::DOUBLE AS a FROM h), z(beacon, i, event_id, label, p) AS (

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wavefix.functions import constants as K
 from wavefix.functions.signal import activity as activity_label
 from wavefix.functions.signal import activity_score, battery_class, battery_percent, expected_rssi, quality_bucket
-from wavefix.operators import features, floors, history, kalman
-from wavefix.operators.scan import ordered_scan
+from wavefix.operators import features, floors, history, kalman, prefix
 from wavefix.sources import layout, readings
+from wavefix.streaming import live
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -44,7 +43,7 @@ VECTORS = """vec AS (
   ) WHERE h IS NOT NULL
 )"""
 BASE = f"WITH RECURSIVE {R}, {kalman.SQL}, {CYCLES}, {VECTORS}"
-RANKS = f"ranks AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY x DESC, first_seen, anchor_idx) AS rank FROM vec WHERE age <= {K.STALE_S})"
+RANKS = f"ranks AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY round(x, 9) DESC, first_seen, anchor_idx) AS rank FROM vec WHERE age <= {K.STALE_S})"
 ANCHORS = layout.values("anchors")
 
 
@@ -53,6 +52,11 @@ def _vec(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return features.cycles(r), features.vectors(features.cycles(r), kalman.smoothed(r))
 
 
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw strengths alone: no filter runs for them."""
+    return features.vectors(features.cycles(readings.readings(spark, sf_dir)))
+
+
 def _anchors(spark: SparkSession) -> DataFrame:
     return layout.anchors(readings.plan(spark))
 
@@ -63,11 +67,16 @@ def reading_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows, 6, "t").select("event_id", F.col("device").cast("long").alias("beacon"), "anchor_id", "t", "rssi", "distance")
 
 
-@query(f"WITH {R}, {readings.SQL_MESSAGES} SELECT CAST(device AS BIGINT) AS beacon, arg_max(mv, (t, event_id)) AS battery_mv, CAST(greatest(0, least(100, floor((arg_max(mv, (t, event_id)) - 2000) / 10.0 + 0.5))) AS INTEGER) AS percent, CASE WHEN percent > 40 THEN 'good' WHEN percent > 15 THEN 'warn' ELSE 'bad' END AS class FROM (SELECT *, CAST(j ->> '$.mV' AS INTEGER) AS mv FROM p) WHERE mv IS NOT NULL GROUP BY 1")
+@query(f"""WITH {R}, {readings.SQL_MESSAGES}, v AS (SELECT *, CAST(j ->> '$.mV' AS INTEGER) AS mv, CAST(j ->> '$.temp' AS DOUBLE) AS temp FROM p), a AS (
+  SELECT CAST(device AS BIGINT) AS beacon, arg_max(mv, (t, event_id)) FILTER (mv IS NOT NULL) AS battery_mv, round(max(t) FILTER (mv IS NOT NULL), 6) AS updated, arg_max(temp, (t, event_id)) FILTER (temp IS NOT NULL) AS temp_c FROM v WHERE mv IS NOT NULL OR temp IS NOT NULL GROUP BY 1)
+SELECT *, CASE WHEN battery_mv IS NOT NULL THEN CAST(greatest(0, least(100, floor((battery_mv - 2000) / 10.0 + 0.5))) AS INTEGER) END AS percent, CASE WHEN battery_mv IS NULL THEN NULL WHEN percent > 40 THEN 'good' WHEN percent > 15 THEN 'warn' ELSE 'bad' END AS class FROM a""")
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = readings.parsed(readings.messages(spark, sf_dir)).where("mv IS NOT NULL")
-    out = rows.groupBy(F.col("device").cast("long").alias("beacon")).agg(F.max_by("mv", F.struct("t", "event_id")).alias("battery_mv"))
-    return out.withColumn("percent", battery_percent("battery_mv")).withColumn("class", battery_class("percent"))
+    """Each beacon's newest battery voltage and temperature; a message may tell of either."""
+    rows = readings.parsed(readings.messages(spark, sf_dir)).where("mv IS NOT NULL OR temp IS NOT NULL")
+    newest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("t", "event_id")))
+    out = rows.groupBy(F.col("device").cast("long").alias("beacon")).agg(newest("mv").alias("battery_mv"), F.round(F.max(F.when(F.col("mv").isNotNull(), F.col("t"))), 6).alias("updated"), newest("temp").alias("temp_c"))
+    known = F.col("battery_mv").isNotNull()
+    return out.withColumn("percent", F.when(known, battery_percent("battery_mv"))).withColumn("class", F.when(known, battery_class("percent")))
 
 
 @query(f"WITH {R} SELECT beacon, anchor_id, round(t, 6) AS t, round(rssi, 6) AS rssi, CASE WHEN rssi > -60 THEN 'good' WHEN rssi > -75 THEN 'warn' ELSE 'bad' END AS quality FROM r QUALIFY row_number() OVER (PARTITION BY beacon, anchor_idx ORDER BY t DESC, event_id DESC) = 1")
@@ -78,7 +87,7 @@ def reading_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{BASE} SELECT beacon, event_id, anchor_idx, round(raw, 6) AS rssi, round(age, 6) AS age_s FROM vec")
 def reading_asof_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vec(spark, sf_dir)[1].select("beacon", "event_id", "anchor_idx", F.round("raw", 6).alias("rssi"), F.round("age", 6).alias("age_s"))
+    return _raw(spark, sf_dir).select("beacon", "event_id", "anchor_idx", F.round("raw", 6).alias("rssi"), F.round("age", 6).alias("age_s"))
 
 
 @query(f"WITH {R}, l AS (SELECT beacon, rssi FROM r QUALIFY row_number() OVER (PARTITION BY beacon, anchor_idx ORDER BY t DESC, event_id DESC) = 1) SELECT beacon, count(*) AS anchor_count, round(min(rssi), 6) AS min_rssi, round(max(rssi), 6) AS max_rssi FROM l GROUP BY 1")
@@ -91,21 +100,9 @@ def device_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readings.readings(spark, sf_dir).select("beacon", "anchor_id").distinct()
 
 
-def throttle(rows: DataFrame, least: float = K.MIN_INTERVAL_S) -> DataFrame:
-    """Rows at least ``least`` seconds after the last one kept."""
-
-    def new():
-        last: list[float] = []
-
-        def step(beacon: int, event_id: int, t: float) -> tuple | None:
-            if last and t - last[0] < least:
-                return None
-            last[:] = [t]
-            return beacon, event_id, t
-
-        return step
-
-    return ordered_scan(rows, ["beacon"], ["t", "event_id"], ["beacon", "event_id", "t"], new, "beacon long, event_id long, t double")
+def throttle(rows: DataFrame, least: float = K.MIN_INTERVAL_S, block_s: float = prefix.BLOCK_S) -> DataFrame:
+    """Rows (beacon, event_id, t) at least ``least`` seconds after the last one kept."""
+    return prefix.throttled(rows, "beacon", "t", "event_id", least, block_s)
 
 
 @query(f"""WITH RECURSIVE {R}, {CYCLES}, z(beacon, cycle, event_id, t, kept, keep) AS (
@@ -132,6 +129,17 @@ def kalman_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(kalman.smoothed(readings.readings(spark, sf_dir)), 6, "x", "v", "p00").select("event_id", "x", "v", "p00")
 
 
+@query(f"WITH RECURSIVE {R}, {kalman.SQL}, l AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY beacon, anchor_idx ORDER BY n DESC) = 1) SELECT beacon, anchor_idx, round(v, 6) AS velocity, round(a, 6) AS variance, count(*) OVER (PARTITION BY beacon) AS n_active FROM l")
+def kalman_accessors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(kalman.accessors(kalman.smoothed(readings.readings(spark, sf_dir))), 6, "velocity", "variance")
+
+
+@query(f"WITH {R}, {readings.SQL_MESSAGES} SELECT event_id, anchor_id, coalesce(CAST(j ->> '$.rssi' AS DOUBLE), -100) AS rssi FROM p WHERE CAST(device AS BIGINT) IN (3, 5)")
+def tracked_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of the beacons that are tracked; others only pass by."""
+    return live.readings(readings.messages(spark, sf_dir), [3, 5]).select("event_id", "anchor_id", "rssi")
+
+
 @query(f"WITH RECURSIVE {R}, {kalman.SQL} SELECT beacon, anchor_idx, round(x, 6) AS x FROM k QUALIFY row_number() OVER (PARTITION BY beacon, anchor_idx ORDER BY n DESC) = 1 AND max(t) OVER (PARTITION BY beacon) - t <= {K.STALE_S}")
 def kalman_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kalman.snapshot(kalman.smoothed(readings.readings(spark, sf_dir))).select("beacon", "anchor_idx", F.round("x", 6).alias("x"))
@@ -139,7 +147,7 @@ def kalman_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{BASE}, d AS (SELECT event_id, cycle, beacon, abs(raw - lag(raw) OVER (PARTITION BY beacon, anchor_idx ORDER BY cycle)) AS d FROM vec) SELECT event_id, beacon, cycle, coalesce(round(avg(d) + 1e-9, 3), 0) AS delta_mean, coalesce(round(max(d) + 1e-9, 3), 0) AS delta_max FROM d GROUP BY ALL")
 def delta_rssi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.delta_features(_vec(spark, sf_dir)[1])
+    return features.delta_features(_raw(spark, sf_dir))
 
 
 VARIANCE = f"""ch AS (SELECT *, coalesce(rssi <> lag(rssi) OVER (PARTITION BY beacon, anchor_idx ORDER BY t, event_id), true) AS new FROM r), vw AS (
@@ -179,7 +187,7 @@ def floor_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("event_id", "beacon", "cycle", "floor").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x") + features.TIE, 2).alias("mean"))
 
 
-@query(f"{BASE}, {FLOORS} SELECT event_id, beacon, cycle, arg_max(floor, (mean, -floor)) AS best_floor, CASE WHEN count(*) > 1 THEN round(max(mean) - (sum(mean) - max(mean)) / (count(*) - 1) + 1e-9, 2) ELSE 0 END AS ratio, count(*) AS n_floors FROM fl GROUP BY ALL")
+@query(f"{BASE}, {FLOORS} SELECT event_id, beacon, cycle, arg_max(floor, (round(mean, 9), -floor)) AS best_floor, CASE WHEN count(*) > 1 THEN round(max(mean) - (sum(mean) - max(mean)) / (count(*) - 1) + 1e-9, 2) ELSE 0 END AS ratio, count(*) AS n_floors FROM fl GROUP BY ALL")
 def floor_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.floor_signal(_vec(spark, sf_dir)[1], _anchors(spark))
 
@@ -203,12 +211,10 @@ SELECT *, CASE WHEN activity_score < {K.SLEEPING_BELOW} THEN 'sleeping' WHEN act
 @query(ACTIVITY)
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = readings.readings(spark, sf_dir)
-    y, vec = _vec(spark, sf_dir)
+    rows = features.cycles(r).join(features.variances(r).select("event_id", "variance", "n_window"), "event_id")
+    vec = features.as_of(rows, "rssi", "variance", "n_window").withColumnRenamed("rssi", "raw")
     delta = features.delta_features(vec).select("event_id", "delta_mean")
-    heard = F.when(F.col("anchor") == F.col("anchor_idx"), F.struct("variance", "n_window"))
-    per = y.select("event_id", "beacon", "cycle", "anchor_idx").join(features.variances(r).select("event_id", "variance", "n_window"), "event_id").withColumn("anchor", F.explode(F.sequence(F.lit(0), F.lit(8))))
-    per = per.select("event_id", F.col("anchor").alias("anchor_idx"), F.last(heard, True).over(W.partitionBy("beacon", "anchor").orderBy("cycle").rowsBetween(W.unboundedPreceding, 0)).alias("s"))
-    var = features.fresh(vec).join(per, ["event_id", "anchor_idx"]).where("s.n_window >= 2").groupBy("event_id").agg(F.round(F.avg("s.variance") + 1e-9, 3).alias("var_mean"), F.round(F.max("s.variance"), 3).alias("var_max"))
+    var = features.fresh(vec).where("n_window >= 2").groupBy("event_id").agg(F.round(F.avg("variance") + 1e-9, 3).alias("var_mean"), F.round(F.max("variance"), 3).alias("var_max"))
     out = delta.join(features.displacement(readings.positions(spark, sf_dir)).drop("beacon"), "event_id").join(var, "event_id", "left").fillna(0.0, ["var_mean", "var_max"])
     out = out.withColumn("activity_score", activity_score("var_mean", "delta_mean", "displacement_ft"))
     return out.select("event_id", "var_mean", "var_max", "activity_score", activity_label("activity_score").alias("activity"))
@@ -231,7 +237,7 @@ es AS (SELECT event_id, beacon, cycle, t, exp(l1 - m) AS w1, exp(l2 - m) AS w2,
 
 @query(f"{EMISSIONS} SELECT event_id, beacon, cycle, round(w1 / s, 6) AS e1, round(w2 / s, 6) AS e2, round(w3 / s, 6) AS e3 FROM es")
 def hmm_emission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = floors.emissions(_vec(spark, sf_dir)[1], _anchors(spark))
+    rows = floors.emissions(_vec(spark, sf_dir)[1], _anchors(spark), floors.names(readings.plan(spark)))
     return rounded(rows, 6, "e1", "e2", "e3").select("event_id", "beacon", "cycle", "e1", "e2", "e3")
 
 
@@ -243,7 +249,8 @@ def hmm_emission(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM b JOIN es ON es.beacon = b.beacon AND es.cycle = b.cycle + 1)
 ) SELECT event_id, beacon, round(b1, 6) AS b1, round(b2, 6) AS b2, round(b3, 6) AS b3, CASE WHEN round(b1, 9) >= round(b2, 9) AND round(b1, 9) >= round(b3, 9) THEN 1 WHEN round(b2, 9) >= round(b3, 9) THEN 2 ELSE 3 END AS floor FROM b""")
 def hmm_belief(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = floors.beliefs(floors.emissions(_vec(spark, sf_dir)[1], _anchors(spark)))
+    plan = readings.plan(spark)
+    rows = floors.beliefs(floors.emissions(_vec(spark, sf_dir)[1], _anchors(spark), floors.names(plan)), plan)
     return rounded(rows, 6, "b1", "b2", "b3")
 
 
@@ -267,3 +274,14 @@ def calibration_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rssi_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = history.page(readings.readings(spark, sf_dir), 100).orderBy("t", "event_id")
     return rounded(rows, 6, "t", "rssi").select("event_id", "beacon", "anchor_id", "t", "rssi")
+
+
+@query(f"WITH {R}, {readings.SQL_MESSAGES}, s AS (SELECT m.event_id, split_part(topic, '/', 4) AS raw, CASE WHEN json_valid(payload) AND trim(payload) LIKE '{{%' THEN payload::JSON END AS j FROM m WHERE length(topic) - length(replace(topic, '/', '')) >= 3) SELECT event_id, coalesce(anchors.anchor_id, raw) AS anchor_id, CAST(j ->> '$.rssi' AS DOUBLE) AS rssi FROM s LEFT JOIN {ANCHORS} ON anchors.anchor_id = lower(raw) WHERE j ->> '$.rssi' IS NOT NULL")
+def survey_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strict parsing for surveys: ids of the plan in its spelling, others as they come."""
+    return readings.survey_readings(readings.messages(spark, sf_dir), _anchors(spark))
+
+
+@query(f"WITH {R} SELECT DISTINCT anchor_id FROM r")
+def anchor_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readings.anchor_universe(readings.readings(spark, sf_dir))

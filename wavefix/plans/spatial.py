@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from wavefix.functions import constants as K
 from wavefix.functions.signal import confidence_radius, noise, power
-from wavefix.operators import floors, history, particles, space, survey, tracker
+from wavefix.operators import floors, history, particles, space, survey
 from wavefix.plans.signals import C, ORACLES, QUERIES, R, query, rounded
 from wavefix.sources import layout, readings
+from wavefix.streaming import cycle
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -72,19 +73,31 @@ def room_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {C}, {space.SQL_GRID}, k AS (SELECT floor, least(58, CAST(trunc(y / 0.5) AS INTEGER)) AS row, least(35, CAST(trunc(x / 0.5) AS INTEGER)) AS col, count(*) AS n FROM c GROUP BY ALL) SELECT g.floor, g.row, g.col, walkable, coalesce(n, 0) AS n_particles FROM grid g LEFT JOIN k USING (floor, row, col)")
 def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row, col = space.cell_index(F.col("x"), F.col("y"), F.lit(36), F.lit(59))
-    n = _cloud(spark, sf_dir).groupBy("floor", row.alias("row"), col.alias("col")).agg(F.count(F.lit(1)).alias("n_particles"))
+    n = space.in_cells(_cloud(spark, sf_dir), _cells(spark)).groupBy("floor", "row", "col").agg(F.count(F.lit(1)).alias("n_particles"))
     return _cells(spark).join(n, ["floor", "row", "col"], "left").fillna(0, ["n_particles"]).select("floor", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "walkable", "n_particles").withColumn("floor", F.col("floor").cast("long"))
 
 
 @query(f"WITH {C}, {space.SQL_GRID}, k AS (SELECT c.floor, avg(CASE WHEN walkable THEN 1 ELSE 0 END) AS occupied FROM c JOIN grid g ON g.floor = c.floor AND g.row = least(58, CAST(trunc(y / 0.5) AS INTEGER)) AND g.col = least(35, CAST(trunc(x / 0.5) AS INTEGER)) GROUP BY 1) SELECT CAST(g.floor AS INTEGER) AS floor, round(avg(CASE WHEN walkable THEN 1 ELSE 0 END), 6) AS fraction, round(any_value(occupied), 6) AS occupied FROM grid g JOIN k USING (floor) GROUP BY 1")
 def walkable_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _cells(spark)
-    row, col = space.cell_index(F.col("x"), F.col("y"), F.lit(36), F.lit(59))
-    k = _cloud(spark, sf_dir).withColumns({"row": row, "col": col}).join(F.broadcast(cells), ["floor", "row", "col"]).groupBy("floor").agg(F.avg(F.col("walkable").cast("int")).alias("occupied"))
+    k = space.in_cells(_cloud(spark, sf_dir), cells).join(F.broadcast(cells), ["floor", "row", "col"]).groupBy("floor").agg(F.avg(F.col("walkable").cast("int")).alias("occupied"))
     return rounded(space.walkable_fraction(cells).join(k, "floor"), 6, "fraction", "occupied")
 
 
+@query(f"WITH {C}, {space.SQL_GRID} SELECT pid, CAST(pid % 5 + 1 AS INTEGER) AS floor, coalesce(g.walkable, false) AS walkable FROM c LEFT JOIN grid g ON g.floor = pid % 5 + 1 AND g.row = least(58, CAST(trunc(y / 0.5) AS INTEGER)) AND g.col = least(35, CAST(trunc(x / 0.5) AS INTEGER))")
+def walkable_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Particles on five floors, of which the plan has three."""
+    points = _cloud(spark, sf_dir).withColumn("floor", (F.col("pid") % 5 + 1).cast("int"))
+    return space.walkable_at(points, _cells(spark)).select("pid", "floor", "walkable")
+
+
+@query(f"WITH {C}, {space.SQL_ROOM}, m AS (SELECT zone, arg_max(room, (floor, room_pos)) AS room FROM (SELECT g.floor, g.room_pos, q.room, unnest([above, below]) AS zone FROM {V('gates', 'g')} JOIN {V('rooms', 'q')} ON q.floor = g.floor AND q.room_pos = g.room_pos) GROUP BY 1) SELECT lab.zone, coalesce(m.room, lab.zone) AS parent, count(*) AS n FROM lab LEFT JOIN m ON m.zone = lab.zone GROUP BY ALL")
+def zone_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Particles by zone, with the room that a gate's zone lies in."""
+    per = space.labelled(_cloud(spark, sf_dir), _plan(spark)).groupBy("zone").agg(F.count(F.lit(1)).alias("n"))
+    return per.join(F.broadcast(layout.gate_rooms(_plan(spark))), "zone", "left").select("zone", F.coalesce("room", "zone").alias("parent"), "n")
+
+
 @query(f"WITH {R}, {space.SQL_GRID}, {space.SQL_SNAP}, l AS (SELECT anchor_idx, count(*) AS n_readings FROM r GROUP BY 1) SELECT anchor_idx, sx, sy, n_readings FROM snap JOIN l USING (anchor_idx)")
 def nearest_walkable(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = readings.readings(spark, sf_dir).groupBy("anchor_idx").agg(F.count(F.lit(1)).alias("n_readings"))
@@ -310,8 +323,8 @@ def particle_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pf_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole filter for each beacon: cannot be expressed in SQL; tested by its invariants."""
-    rows = tracker.trajectories(readings.readings(spark, sf_dir), _plan(spark), _cells(spark), walls=_walls(spark))
+    """The live cycle over the whole table: cannot be expressed in SQL; tested by its invariants."""
+    rows = cycle.trajectories(readings.readings(spark, sf_dir), _plan(spark), _cells(spark), walls=_walls(spark))
     return rounded(rows, 4, "x", "y")
 
 

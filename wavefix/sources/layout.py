@@ -80,6 +80,13 @@ def gates(plan: DataFrame) -> DataFrame:
     return rooms(plan).where(F.size("r.gates") > 0).select("floor", "room_pos", "room", g["axis"].alias("axis"), g["coord"].alias("coord"), g["between"][0].alias("above"), g["between"][1].alias("below"))
 
 
+def gate_rooms(plan: DataFrame) -> DataFrame:
+    """(zone, room): the room that each side of a gate lies in; of several the last in order."""
+    g = F.explode(F.col("r.gates")).alias("g")
+    sides = rooms(plan).where(F.size("r.gates") > 0).select("floor", "room_pos", "room", g).select("floor", "room_pos", "room", F.explode("g.between").alias("zone"))
+    return sides.groupBy("zone").agg(F.max_by("room", F.struct("floor", "room_pos")).alias("room"))
+
+
 def pois(plan: DataFrame) -> DataFrame:
     out = rooms(plan).select("floor", "room_pos", "room", F.coalesce("poi_radius_ft", F.lit(3.0)).alias("radius"), F.posexplode("r.poi").alias("poi_pos", "p"))
     return out.select("floor", "room", (F.col("room_pos") * 100 + F.col("poi_pos")).alias("zone_pos"), F.concat_ws("_", "room", "p.name").alias("zone"), F.col("p.position")[0].alias("px"), F.col("p.position")[1].alias("py"), "radius")

@@ -51,7 +51,7 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as broker messages (event_id, topic, payload), some malformed."""
     rest = lambda n, k: F.col("event_id") % n == k
-    body = F.concat(F.lit('{"rssi": '), F.floor("rssi").cast("string"), F.lit(', "distance": '), (F.col("event_id") % 17).cast("string"), F.when(rest(11, 3), F.concat(F.lit(', "mV": '), (2000 + F.col("event_id") % 1100).cast("string"))).otherwise(""), F.lit("}"))
+    body = F.concat(F.lit('{"rssi": '), F.floor("rssi").cast("string"), F.lit(', "distance": '), (F.col("event_id") % 17).cast("string"), F.when(rest(11, 3), F.concat(F.lit(', "mV": '), (2000 + F.col("event_id") % 1100).cast("string"))).otherwise(""), F.when(rest(13, 4), F.concat(F.lit(', "temp": '), (F.col("event_id") % 29).cast("string"), F.lit(".5"))).otherwise(""), F.lit("}"))
     return readings(spark, sf_dir).select(
         "event_id",
         "t",
@@ -80,6 +80,20 @@ def calibration_readings(msgs: DataFrame, anchors: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(anchors.select("anchor_id")), "anchor_id").select("event_id", "anchor_id", "rssi")
 
 
+def survey_readings(msgs: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(event_id, anchor_id, rssi) of messages with a strength: ids of the plan in any case get its spelling, unknown ones stay as they are."""
+    body = F.trim("payload")
+    rows = msgs.where((F.size(F.split("topic", "/")) >= 4) & body.startswith("{"))
+    rows = rows.select("event_id", F.get(F.split("topic", "/"), F.lit(3)).alias("raw"), F.from_json(body, "rssi double")["rssi"].alias("rssi")).where("rssi IS NOT NULL")
+    known = F.broadcast(anchors.select("anchor_id", F.lower("anchor_id").alias("name")))  # of the plan's size
+    return rows.join(known, F.lower("raw") == F.col("name"), "left").select("event_id", F.coalesce("anchor_id", "raw").alias("anchor_id"), "rssi")
+
+
+def anchor_universe(samples: DataFrame) -> DataFrame:
+    """Every anchor that any sample heard, in order."""
+    return samples.select("anchor_id").distinct().orderBy("anchor_id")
+
+
 def survey_csv(spark: SparkSession, path: str) -> DataFrame:
     """Survey rows in long form (row, floor, x, y, room, zone, point_type, duration_s, n_readings, anchor_id, rssi, std).
 
@@ -134,7 +148,7 @@ SQL_MESSAGES = """m AS (
   SELECT event_id, t,
     CASE WHEN event_id % 50 = 7 THEN 'bad/topic' WHEN event_id % 53 = 5 THEN 'espresense/rooms/attic/x' ELSE 'espresense/devices/' || beacon || '/' || upper(anchor_id) END AS topic,
     CASE WHEN event_id % 47 = 3 THEN 'not json' WHEN event_id % 43 = 2 THEN '[1]' WHEN event_id % 41 = 1 THEN '{"id": "x"}' WHEN event_id % 37 = 9 THEN '  '
-         ELSE '{"rssi": ' || CAST(floor(rssi) AS BIGINT) || ', "distance": ' || (event_id % 17) || CASE WHEN event_id % 11 = 3 THEN ', "mV": ' || (2000 + event_id % 1100) ELSE '' END || '}' END AS payload
+         ELSE '{"rssi": ' || CAST(floor(rssi) AS BIGINT) || ', "distance": ' || (event_id % 17) || CASE WHEN event_id % 11 = 3 THEN ', "mV": ' || (2000 + event_id % 1100) ELSE '' END || CASE WHEN event_id % 13 = 4 THEN ', "temp": ' || (event_id % 29) || '.5' ELSE '' END || '}' END AS payload
   FROM r
 ), p AS (
   SELECT event_id, t, split_part(topic, '/', 3) AS device, lower(split_part(topic, '/', 4)) AS anchor_id, payload::JSON AS j

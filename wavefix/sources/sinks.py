@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from wavefix.operators import zones
@@ -21,8 +21,9 @@ def append_fingerprints(rows: DataFrame, path: str, notes: str | Column = "") ->
     """Append survey fingerprints and return how many; ``import_id`` tells them from those of other calls."""
     own = uuid.uuid4().hex
     noted = rows.withColumns({"notes": F.lit(notes) if isinstance(notes, str) else notes, "import_id": F.lit(own)})
-    noted.write.mode("append").parquet(path)
-    return rows.sparkSession.read.schema(noted.schema).parquet(path).where(F.col("import_id") == own).count()
+    seen = Observation()
+    noted.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return int(seen.get["n"])
 
 
 def import_csv(spark: SparkSession, csv: str, path: str) -> int:
@@ -36,7 +37,7 @@ def import_csv(spark: SparkSession, csv: str, path: str) -> int:
 
 def survey_csv(points: DataFrame, samples: DataFrame, path: str) -> None:
     """Survey points with a column rssi_<anchor> and std_<anchor> for each anchor heard anywhere; absent ones are blank."""
-    names = [r[0] for r in samples.select("anchor_id").distinct().orderBy("anchor_id").collect()]
+    names = [r[0] for r in readings.anchor_universe(samples).collect()]  # the file's header
     wide = samples.groupBy("point_id").pivot("anchor_id", names).agg(F.first("mean").alias("rssi"), F.first("std").alias("std"))
     wide = wide.select("point_id", *(F.col(f"{n}_{k}").alias(f"{k}_{n}") for k in ("rssi", "std") for n in names))
     points.join(wide, "point_id").write.mode("overwrite").option("header", True).csv(path)

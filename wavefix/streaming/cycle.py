@@ -1,221 +1,152 @@
-"""The live cycle over a stream: every micro-batch moves the beacons heard in it one cycle on.
+"""The live cycle over a stream, with each beacon's state in Spark's state store.
 
-A cycle is the floor model, the particle filter, the features and the position record, each
-as joins and aggregates over all beacons of the batch. State lies in four tables of one folder for each
-batch: the newest strengths, the belief in floors, the particles, and a clock with the last positions; a beacon's share of
-each has a fixed size. A batch reads the folder of the batch before it and writes its own, so a batch that is
-run again gives what it gave; older folders are deleted. Random numbers are hashes of beacon, particle and batch.
+A stateful processor holds three variables for each beacon: a map of its anchors, the model (clock, floor belief, last
+positions), and the particles. Readings of a micro-batch load the state of the beacons that they
+are of, and only what they change is written: anchors heard, and the model and the particles of beacons whose cycle
+was due. Silent beacons cost nothing. State is forgotten by a time to live (processing time), or by a timer once the
+watermark has passed a beacon's last reading by ``idle`` seconds (event time). Rooms, zones and activity are
+joined to the records as columns.
+
+A beacon's readings of one micro-batch are put in order in memory; the source's rate bounds them. The same processor runs
+over a table (``trajectories``), where Spark sorts the rows and nothing is gathered.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from wavefix.functions import constants as K
-from wavefix.functions.signal import activity, activity_score, distance, noise, stair_boost
-from wavefix.operators import features, floors, history, particles, space
+from wavefix.functions.signal import activity, activity_score
+from wavefix.operators import space
+from wavefix.operators.beacon import Beacon, Heard, House
 from wavefix.sources import layout
+from wavefix.streaming import live
 
-STATE = {
-    "heard": "beacon long, anchor_idx int, event_id long, t double, raw double, x double, was double, past array<double>",
-    "belief": "beacon long, floor int, p double",
-    "cloud": "beacon long, slot int, x double, y double, floor int, w double, cooldown double",
-    "clock": "beacon long, t double, held double, x double, y double, floor int, recent array<struct<x: double, y: double, floor: int>>",
-}
-
-
-@dataclass(frozen=True)
-class House:
-    """The floor plan, its cells and the walls between cells and anchors: tables of the plan's size."""
-
-    plan: DataFrame
-    cells: DataFrame
-    walls: DataFrame
-
-    @classmethod
-    def of(cls, spark: SparkSession) -> House:
-        fixed = lambda df: spark.createDataFrame(df.collect(), df.schema).coalesce(1)
-        plan = layout.read(spark)
-        cells = fixed(space.grid(plan))
-        at = layout.anchors(plan).select(F.col("anchor_idx").alias("key"), "floor", F.col("ax").alias("x"), F.col("ay").alias("y"))
-        return cls(plan, cells, fixed(space.anchor_rays(cells, space.nearest_walkable(at, cells))))
-
+RECORD = "beacon long, event_id long, t double, x double, y double, floor int, confidence double, n_eff double, belief array<double>, delta_mean double, var_mean double, displacement_ft double, n_late long"
+ANCHOR = "event_id long, t double, raw double, at double, x double, v double, p00 double, p01 double, p11 double, was double, past array<double>"
+MODEL = "t double, held double, cycles long, late long, belief array<double>, recent array<struct<x: double, y: double, floor: int>>"
+CLOUD = "x array<double>, y array<double>, floor array<int>, w array<double>, cooldown array<double>"
 
-def _last(items: Column, n: int) -> Column:
-    return F.slice(items, F.greatest(F.lit(1), F.size(items) - (n - 1)), F.lit(n))
 
+class Cycle(StatefulProcessor):
+    """Readings (event_id, t, anchor_idx, rssi) of a beacon to its position records.
 
-def heard(rows: DataFrame, before: DataFrame) -> DataFrame:
-    """Newest strengths with those of ``rows`` (event_id, beacon, t, anchor_idx, raw, x); a late reading changes nothing.
-
-    ``past`` holds the last changed strengths, ``was`` the one at the last cycle.
+    ``ttl_ms`` forgets by processing time, ``idle_s`` by event time; ``ordered`` says that rows come sorted by (t, event_id).
     """
-    new = history.latest(rows.select("beacon", "anchor_idx", "event_id", "t", "raw", "x")).select("beacon", "anchor_idx", F.struct("event_id", "t", "raw", "x").alias("n"))
-    old = before.select("beacon", "anchor_idx", F.struct("event_id", "t", "raw", "x").alias("o"), "was", "past")
-    out = old.join(new, ["beacon", "anchor_idx"], "full")
-    take = F.col("n").isNotNull() & (F.col("o").isNull() | (F.struct("n.t", "n.event_id") > F.struct("o.t", "o.event_id")))
-    out = out.withColumn("s", F.when(take, F.col("n")).otherwise(F.col("o")))
-    past = F.coalesce("past", F.array().cast("array<double>"))
-    changed = F.when(F.coalesce(F.try_element_at(past, F.lit(-1)) != F.col("s.raw"), F.lit(True)), _last(F.concat(past, F.array("s.raw")), K.FEATURE_WINDOW)).otherwise(past)
-    return out.select("beacon", "anchor_idx", "s.*", "was", changed.alias("past"))
-
-
-def due(rows: DataFrame, newest: DataFrame, clock: DataFrame) -> DataFrame:
-    """Beacons of ``rows`` whose cycle is due: (beacon, t, dt) and what the clock says of them."""
-    now = newest.join(rows.select("beacon").distinct(), "beacon", "left_semi").groupBy("beacon").agg(F.max("t").alias("t"))
-    out = now.join(clock.withColumnRenamed("t", "last"), "beacon", "left")
-    gap = F.col("t") - F.col("last")
-    dt = F.coalesce(F.greatest(F.least(gap, F.lit(K.MAX_DT)), F.lit(K.MIN_DT)), F.lit(K.DEFAULT_DT))
-    return out.where(gap.isNull() | (gap >= K.MIN_INTERVAL_S)).withColumn("dt", dt)
 
-
-def believed(turn: DataFrame, fresh: DataFrame, before: DataFrame, house: House) -> DataFrame:
-    """Belief (beacon, floor, p) after a step of the floor model; near stairs leaving the beacon's floor is likelier.
-
-    A new beacon starts with equal beliefs and has no place yet, so nothing is likelier for it.
-    """
-    names = F.broadcast(layout.floors(house.plan).select("floor"))
-    even = F.lit(1.0) / F.count(F.lit(1)).over(W.partitionBy("beacon"))
-    prior = turn.select("beacon", "dt").crossJoin(names).join(before, ["beacon", "floor"], "left").withColumn("p", F.coalesce("p", even))
-    stairs = F.broadcast(layout.stairs(house.plan).select(F.col("from_floor").alias("floor"), "ex", "ey"))
-    near = turn.join(stairs, "floor").groupBy("beacon", "floor").agg(F.min(distance("x", "y", "ex", "ey")).alias("dist"))
-    ways = layout.adjacency(house.plan).select(F.col("floor_a").alias("floor"), F.col("floor_b").alias("to"))
-    rate = F.least(K.HMM_RATE * F.col("dt") * stair_boost("dist"), F.lit(K.HMM_MAX_OFF))
-    prior = prior.join(near, ["beacon", "floor"], "left").join(F.broadcast(ways.groupBy("floor").agg(F.collect_set("to").alias("tos"))), "floor", "left").withColumn("off", rate)
-    tos = F.coalesce("tos", F.array().cast("array<int>"))
-    leave = F.col("off") / F.greatest(F.lit(1.0), F.col("off") * F.size(tos))
-    moves = F.concat(F.array(F.struct(F.col("floor").alias("to"), F.greatest(F.lit(0.0), 1 - F.col("off") * F.size(tos)).alias("q"))), F.transform(tos, lambda to: F.struct(to.alias("to"), leave.alias("q"))))
-    moved = prior.select("beacon", "p", F.explode(moves).alias("m")).groupBy("beacon", F.col("m.to").alias("floor")).agg(F.sum(F.col("p") * F.col("m.q")).alias("p"))
-    vec = fresh.select(F.lit(0).alias("event_id"), "beacon", F.lit(0).alias("cycle"), F.col("now").alias("t"), "anchor_idx", "age", "x")
-    e = floors.emissions(vec, layout.anchors(house.plan))
-    e = e.select("beacon", F.posexplode(F.array(*(f"e{g}" for g in floors.FLOORS))).alias("i", "e")).select("beacon", (F.col("i") + 1).alias("floor"), "e")
-    own = W.partitionBy("beacon")
-    out = moved.join(e, ["beacon", "floor"]).withColumn("q", F.col("p") * F.col("e"))
-    return out.select("beacon", "floor", F.when(F.sum("q").over(own) > 0, F.col("q") / F.sum("q").over(own)).otherwise(even).alias("p"))
-
-
-def begun(turn: DataFrame, before: DataFrame, house: House, tag: int) -> DataFrame:
-    """Particles (beacon, pid, x, y, floor, w, cooldown) of the beacons due; those of a new beacon are at walkable cells of all floors."""
-    spots = house.cells.where("walkable").agg(F.array_sort(F.collect_list(F.struct("floor", "row", "col"))).alias("spots"))
-    fresh = turn.join(before.select("beacon").distinct(), "beacon", "left_anti").select("beacon", F.explode(F.sequence(F.lit(0), F.lit(K.PARTICLES - 1))).alias("slot")).crossJoin(F.broadcast(spots))
-    spot = F.get("spots", F.floor(noise(F.concat_ws("/", "beacon", "slot"), "q") * F.size("spots")).cast("int"))
-    place = lambda c: ((F.col(f"s.{c}") + 0.5) * K.GRID_FT)
-    fresh = fresh.withColumn("s", spot).select("beacon", "slot", place("col").alias("x"), place("row").alias("y"), F.col("s.floor").alias("floor"), F.lit(1.0 / K.PARTICLES).alias("w"), F.lit(0.0).alias("cooldown"))
-    out = before.join(turn.select("beacon"), "beacon", "left_semi").select(fresh.columns).unionByName(fresh)
-    return out.withColumn("pid", F.concat_ws("/", F.col("beacon").cast("string"), F.col("slot").cast("string"), F.lit(str(tag)))).drop("slot")
-
-
-def weighed(turn: DataFrame, fresh: DataFrame, belief: DataFrame, cloud: DataFrame, house: House) -> DataFrame:
-    """Particles moved, taken over stairs and weighted by what is heard: (beacon, pid, x, y, floor, w, cooldown)."""
-    at = fresh.withColumn("rssi", F.col("x")).drop("x", "y")
-    kept = cloud.select("beacon", "pid", F.col("w").alias("prior"), "cooldown")
-    dt = turn.select("beacon", "dt")
-    moved = particles.predicted(cloud.select("beacon", "pid", "floor", "x", "y").join(dt, "beacon"), particles.drift_targets(at), space.grid_arrays(house.cells), F.col("dt"))
-    moved = moved.select("beacon", "pid", "floor", F.col("nx").alias("x"), F.col("ny").alias("y")).join(kept.select("beacon", "pid", "cooldown"), ["beacon", "pid"]).join(dt, "beacon")
-    moved = particles.changed_floor(moved, belief, house.plan, F.col("dt"))
-    likely = particles.weights(particles.seen_from(moved.select("beacon", "pid", "floor", "x", "y"), at, house.plan, house.cells, house.walls))
-    out = likely.join(kept.select("beacon", "pid", "prior"), ["beacon", "pid"]).join(moved.select("beacon", "pid", "cooldown"), ["beacon", "pid"])
-    own = W.partitionBy("beacon")
-    w = F.col("w") * F.col("prior")
-    even = 1 / F.count(F.lit(1)).over(own)
-    return out.select("beacon", "pid", "x", "y", "floor", F.when(F.sum(w).over(own) > 0, w / F.sum(w).over(own)).otherwise(even).alias("w"), "cooldown")
-
-
-def resampled(cloud: DataFrame, tag: int) -> DataFrame:
-    """Systematic resampling of the beacons whose effective number of particles is low; a place keeps its cooldown.
-
-    A beacon has a fixed number of particles, so its windows are small.
+    def __init__(self, house: House, n: int = K.PARTICLES, ttl_ms: int | None = None, idle_s: float | None = None, ordered: bool = False):
+        self.house, self.n, self.ttl_ms, self.idle_s, self.ordered = house, n, ttl_ms, idle_s, ordered
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.anchors = handle.getMapState("anchors", "anchor_idx int", ANCHOR, self.ttl_ms)
+        self.model = handle.getValueState("model", MODEL, self.ttl_ms)
+        self.cloud = handle.getValueState("cloud", CLOUD, self.ttl_ms)
+
+    def _loaded(self, number: int) -> Beacon:
+        b = Beacon(self.house, number, self.n)
+        for (anchor,), s in self.anchors.iterator():
+            b.heard[anchor] = Heard(s[0], s[1], s[2], tuple(s[3:9]), s[9], list(s[10]))
+        if self.model.exists():
+            b.last, b.hold, b.cycles, b.late, belief, recent = self.model.get()
+            b.belief = dict(zip(b.floors, belief, strict=True))
+            b.recent = [tuple(r) for r in recent]
+        if self.cloud.exists():
+            x, y, floor, w, cooldown = self.cloud.get()
+            b.x, b.y, b.floor, b.w, b.cooldown = np.array(x), np.array(y), np.array(floor), np.array(w), np.array(cooldown)
+        return b
+
+    def _batches(self, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if not self.ordered:
+            yield pd.concat(list(rows)).sort_values(["t", "event_id"])
+            return
+        last = None
+        for pdf in rows:
+            at = list(zip(pdf["t"], pdf["event_id"], strict=True))
+            if at != sorted(at) or (last is not None and at and at[0] < last):
+                raise ValueError("readings are not in order")
+            last = at[-1] if at else last
+            yield pdf
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        b, changed, cycled = self._loaded(int(key[0])), set(), False
+        for pdf in self._batches(rows):
+            out = []
+            for event_id, anchor, t, raw in zip(pdf["event_id"].tolist(), pdf["anchor_idx"].tolist(), pdf["t"].tolist(), pdf["rssi"].tolist(), strict=True):
+                record = b.reading(event_id, anchor, t, raw)
+                changed.add(anchor)
+                if record is not None:
+                    out.append({"beacon": b.number, **record})
+            if out:
+                cycled = True
+                yield pd.DataFrame(out)
+        for a in b.heard if cycled else changed:  # a cycle notes every anchor's strength
+            h = b.heard[a]
+            self.anchors.updateValue((a,), (h.event_id, h.t, h.raw, *h.state, h.was, h.past))
+        self.model.update((b.last, b.hold, b.cycles, b.late, [b.belief[f] for f in b.floors], b.recent))
+        if cycled:
+            self.cloud.update((b.x.tolist(), b.y.tolist(), b.floor.tolist(), b.w.tolist(), b.cooldown.tolist()))
+        if self.idle_s is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int((max(h.t for h in b.heard.values()) + self.idle_s) * 1000))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.anchors.clear()
+        self.model.clear()
+        self.cloud.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _numbered(readings: DataFrame, plan: DataFrame) -> DataFrame:
+    """(beacon, event_id, t, anchor_idx, rssi) and ``ts`` where there is one, of readings of the plan's anchors."""
+    a = F.broadcast(layout.anchors(plan).select("anchor_id", "anchor_idx"))
+    return readings.join(a, "anchor_id").select("beacon", "event_id", "t", "anchor_idx", F.col("rssi").cast("double").alias("rssi"), *(c for c in ("ts",) if c in readings.columns))
+
+
+def cycles(readings: DataFrame, house: House, plan: DataFrame, ttl_ms: int | None = None, idle_s: float | None = None, n: int = K.PARTICLES) -> DataFrame:
+    """Position records of a stream of readings (beacon, event_id, t, anchor_id, rssi); with ``idle_s`` it needs a watermark on ``ts``.
+
+    A query with a time to live never runs out of work: it is for endless triggers.
     """
-    own = W.partitionBy("beacon").orderBy("slot")
-    out = cloud.withColumn("slot", F.split("pid", "/")[1].cast("int"))
-    out = out.withColumns({"n": F.count(F.lit(1)).over(W.partitionBy("beacon")), "w2": F.sum(F.col("w") * F.col("w")).over(W.partitionBy("beacon")), "cum": F.sum("w").over(own.rowsBetween(W.unboundedPreceding, 0))})
-    again = 1 / F.col("w2") < K.RESAMPLE_RATIO * F.col("n")
-    u = noise(F.concat_ws("/", F.col("beacon").cast("string"), F.lit(str(tag))), "r")
-    edge = lambda c: F.greatest(F.lit(0), F.least(F.col("n"), F.ceil(F.round(c * F.col("n") - u, 9))))
-    last = F.when(F.lead("slot").over(own).isNull(), F.col("n")).otherwise(edge(F.col("cum")))
-    out = out.withColumns({"a": edge(F.col("cum") - F.col("w")), "b": last, "again": again})
-    taken = out.where("again AND a < b").select("beacon", F.explode(F.sequence(F.col("a").cast("int"), (F.col("b") - 1).cast("int"))).alias("slot"), "x", "y", "floor", (1 / F.col("n")).alias("w"))
-    taken = taken.join(out.select("beacon", "slot", "pid", "cooldown"), ["beacon", "slot"])
-    cols = ["beacon", "pid", "x", "y", "floor", "w", "cooldown"]
-    return out.where("NOT again").select(cols).unionByName(taken.select(cols))
-
-
-def disagreement(turn: DataFrame, cloud: DataFrame, belief: DataFrame, house: House) -> DataFrame:
-    """(beacon, seconds) for which the floor model has been sure of a floor beside that of most particles."""
-    most = cloud.groupBy("beacon", "floor").agg(F.count(F.lit(1)).alias("k")).groupBy("beacon").agg(F.max_by("floor", F.struct("k", -F.col("floor"))).alias("most"))
-    best = belief.groupBy("beacon").agg(F.max_by(F.struct("floor", "p"), F.struct("p", -F.col("floor"))).alias("b"))
-    out = turn.select("beacon", "dt", "held").join(most, "beacon").join(best, "beacon")
-    beside = layout.adjacency(house.plan).select(F.col("floor_a").alias("most"), F.col("floor_b").alias("to"), F.lit(True).alias("beside")).withColumn("b_floor", F.col("to"))
-    out = out.withColumn("b_floor", F.col("b.floor")).join(F.broadcast(beside.drop("to")), ["most", "b_floor"], "left")
-    return out.select("beacon", F.when(F.col("beside") & (F.col("b.p") >= K.TELEPORT_BELIEF), F.coalesce("held", F.lit(0.0)) + F.col("dt")).otherwise(0.0).alias("seconds"))
-
-
-def records(turn: DataFrame, cloud: DataFrame, belief: DataFrame, newest: DataFrame, house: House) -> DataFrame:
-    """The position record of each beacon due, and its last positions (``recent``)."""
-    own = newest.join(turn.select("beacon", F.col("t").alias("now")), "beacon")
-    d = F.abs(F.col("raw") - F.col("was"))
-    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda a, b: a + b) / F.size(v)
-    spread = F.round(F.aggregate("past", F.lit(0.0), lambda a, v: a + (v - mean(F.col("past"))) * (v - mean(F.col("past")))) / (F.size("past") - 1) + features.TIE, 3)
-    live = F.col("now") - F.col("t") <= K.STALE_S
-    tie = lambda c: F.coalesce(F.round(c + features.TIE, 3), F.lit(0.0))
-    shown = own.groupBy("beacon").agg(tie(F.avg(d)).alias("delta_mean"), tie(F.avg(F.when(live & (F.size("past") >= 2), spread))).alias("var_mean"))
-    beliefs = belief.groupBy("beacon").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("floor", F.round("p", 4))))).alias("floor_belief"))
-    out = space.labelled(particles.estimate(cloud, "beacon"), house.plan).join(turn.select("beacon", "t", F.col("recent").alias("old")), "beacon").join(shown, "beacon", "left").join(beliefs, "beacon")
-    recent = _last(F.concat(F.coalesce("old", F.array().cast("array<struct<x: double, y: double, floor: int>>")), F.array(F.struct("x", "y", "floor"))), K.POSITION_WINDOW)
-    out = out.withColumn("recent", recent).withColumn("_f", F.get("recent", F.lit(0)))
-    far = F.when(F.size("recent") < 2, 0.0).when(F.col("_f.floor") != F.col("floor"), 1.0).otherwise(F.round(distance("x", "y", "_f.x", "_f.y"), 3))
-    out = out.withColumn("displacement_ft", far).fillna(0.0, ["delta_mean", "var_mean"])
-    out = out.withColumn("activity_score", activity_score("var_mean", "delta_mean", "displacement_ft"))
-    return out.select("beacon", "t", "x", "y", "floor", "confidence", "n_eff", "room", F.col("zone").alias("location_label"), "activity_score", activity("activity_score").alias("activity"), "displacement_ft", "floor_belief", "recent")
-
-
-def advance(rows: DataFrame, batch_id: int, path: str, house: House) -> None:
-    """One cycle for the beacons of ``rows`` (event_id, beacon, t, anchor_id, rssi, x): writes state and positions of the batch."""
-    spark = rows.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    files = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    there = lambda n: f"{path}/state/{n:09d}"
-
-    def table(name: str, n: int) -> DataFrame:
-        at = f"{there(n)}/{name}"
-        return spark.read.schema(STATE[name]).parquet(at) if files.exists(hadoop(at)) else spark.createDataFrame([], STATE[name])
-
-    def kept(name: str, df: DataFrame) -> DataFrame:
-        at = f"{there(batch_id)}/{name}"
-        df.write.mode("overwrite").parquet(at)
-        return spark.read.schema(df.schema).parquet(at)
-
-    before = {name: table(name, batch_id - 1) for name in STATE}
-    places = F.broadcast(layout.anchors(house.plan))
-    rows = rows.join(places.select("anchor_id", "anchor_idx"), "anchor_id").select("event_id", "beacon", "t", "anchor_idx", F.col("rssi").alias("raw"), "x")
-    newest = kept("newest", heard(rows, before["heard"]))
-    turn = kept("turn", due(rows, newest, before["clock"]))
-    fresh = newest.join(turn.select("beacon", F.col("t").alias("now")), "beacon").withColumn("age", F.col("now") - F.col("t")).where(F.col("age") <= K.STALE_S).drop("t").join(places, "anchor_idx")
-    belief = kept("believed", believed(turn, fresh, before["belief"], house))
-    cloud = kept("begun", begun(turn, before["cloud"], house, batch_id))
-    held = disagreement(turn, cloud, belief, house)
-    sent = particles.teleported(cloud.drop("cooldown"), belief, held, layout.adjacency(house.plan), house.cells).drop("moved")
-    sent = kept("sent", sent.join(cloud.select("beacon", "pid", "cooldown"), ["beacon", "pid"]))
-    moved = kept("weighed", weighed(turn, fresh, belief, sent, house))
-    final = kept("resampled", resampled(moved, batch_id))
-    shown = kept("shown", records(turn, final, belief, newest, house))
-    shown.select(*(F.round(c, 2).alias(c) if c in ("x", "y") else c for c in shown.columns if c != "recent")).write.mode("overwrite").parquet(f"{path}/positions/batch={batch_id}")
-
-    others = lambda name: before[name].join(turn.select("beacon"), "beacon", "left_anti")
-    kept("heard", newest.join(turn.select("beacon", F.lit(True).alias("now")), "beacon", "left").withColumn("was", F.when(F.col("now"), F.col("raw")).otherwise(F.col("was"))).drop("now"))
-    kept("belief", others("belief").unionByName(belief))
-    kept("cloud", others("cloud").unionByName(final.select("beacon", F.split("pid", "/")[1].cast("int").alias("slot"), "x", "y", "floor", "w", "cooldown")))
-    seconds = F.when(F.col("seconds") >= K.TELEPORT_HOLD_S, 0.0).otherwise(F.col("seconds"))
-    kept("clock", others("clock").unionByName(shown.join(held.select("beacon", seconds.alias("held")), "beacon").select("beacon", "t", "held", "x", "y", "floor", "recent")))
-    files.delete(hadoop(there(batch_id - 2)), True)
-
-
-def positions(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Position records of a stream of smoothed readings (``live.tracked``), a folder for each batch; starts and returns the query."""
-    house = House.of(stream.sparkSession)
-    return stream.writeStream.foreachBatch(lambda rows, n: advance(rows, n, path, house)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    live.rocks(readings.sparkSession)
+    mode = "processingTime" if ttl_ms is not None else "eventTime" if idle_s is not None else "none"
+    return _numbered(readings, plan).groupBy("beacon").transformWithStateInPandas(Cycle(house, n, ttl_ms, idle_s), RECORD, "append", mode)
+
+
+def records(out: DataFrame, house: House, plan: DataFrame) -> DataFrame:
+    """What a cycle stores: place, room, zone, activity and the belief in floors by name."""
+    rows = space.labelled(out, plan).withColumn("activity_score", activity_score("var_mean", "delta_mean", "displacement_ft"))
+    belief = F.map_from_arrays(F.array(*(F.lit(int(f)) for f in house.floors)), F.transform("belief", lambda p: F.round(p, 4)))
+    return rows.select(
+        "beacon", "event_id", "t", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"), "floor", "confidence", "n_eff", "room", F.col("zone").alias("location_label"),
+        "activity_score", activity("activity_score").alias("activity"), "displacement_ft", belief.alias("floor_belief"), "n_late",
+    )
+
+
+def positions(readings: DataFrame, path: str, checkpoint: str, house: House | None = None, **how: Any) -> StreamingQuery:
+    """Position records of a stream of readings into a Parquet table, a folder for each batch; starts and returns the query."""
+    plan = layout.read(readings.sparkSession)
+    house = House.of(plan, space.grid(plan)) if house is None else house
+    return live.into(records(cycles(readings, house, plan, **how), house, plan), path, checkpoint)
+
+
+def trajectories(readings: DataFrame, plan: DataFrame, cells: DataFrame, n: int = K.PARTICLES, walls: DataFrame | None = None) -> DataFrame:
+    """The same processor over a table of readings (beacon, event_id, t, anchor_idx, rssi): (event_id, beacon, x, y, floor, confidence, n_eff) of each cycle."""
+    spark: SparkSession = readings.sparkSession
+    spark.streams.active  # noqa: B018  (the state store's coordinator starts with it)
+    house = House.of(plan, cells, walls)
+    rows = readings.select("beacon", "event_id", "t", "anchor_idx", "rssi").repartition("beacon").sortWithinPartitions("beacon", "t", "event_id")
+    out = rows.groupBy("beacon").transformWithStateInPandas(Cycle(house, n, ordered=True), RECORD, "append", "none")
+    return out.select("event_id", "beacon", "x", "y", "floor", "confidence", "n_eff")

@@ -1,82 +1,103 @@
-"""Live tracking with Structured Streaming.
+"""Live tracking with Structured Streaming: messages to smoothed readings, stays, and idempotent sinks.
 
-Messages arrive as files of JSON lines (topic, payload, ts) in time order; a broker
-connector would replace only ``messages``. State is kept per beacon: the filters of its
-anchors and the time of its last cycle. Sinks write one folder for each batch id, so
-a batch that is run again replaces what it wrote.
+Messages arrive as files of JSON lines (topic, payload, ts) or from a message log (``sources.log``); a broker
+connector would replace only ``messages``. Each anchor's filter is an entry of a map in Spark's state store. Sinks write
+one folder for each batch id, so a batch that is run again replaces what it wrote.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wavefix.functions import constants as K
+from wavefix.operators import kalman
 from wavefix.sources.readings import parsed
 
 OUT = "event_id long, beacon long, anchor_id string, t double, rssi double, x double, cycle boolean"
 FORGET_MS = 3_600_000
 
 
+def rocks(spark: SparkSession) -> None:
+    """Keep this session's streaming state in RocksDB, which stateful processors need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def messages(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema("event_id long, topic string, payload string, t double").json(path)
 
 
-def readings(stream: DataFrame) -> DataFrame:
-    """Device readings of a message stream."""
-    return parsed(stream).withColumn("beacon", F.col("device").cast("long")).where("beacon IS NOT NULL")
+def readings(stream: DataFrame, beacons: list[int] | None = None) -> DataFrame:
+    """Device readings of a message stream, of all beacons or of those that are tracked."""
+    out = parsed(stream).withColumn("beacon", F.col("device").try_cast("long")).where("beacon IS NOT NULL")
+    return out if beacons is None else out.where(F.col("beacon").isin(beacons))
+
+
+def on_time(stream: DataFrame, late: str = "10 seconds") -> DataFrame:
+    """Readings in event time (``ts``): repeats of a message within ``late`` are dropped, and so are readings behind the watermark.
+
+    Those are counted by the query (``dropped``).
+    """
+    ts = F.timestamp_micros((F.col("t") * 1e6).cast("long"))
+    return stream.withColumn("ts", ts).withWatermark("ts", late).dropDuplicatesWithinWatermark(["beacon", "anchor_id", "event_id"])
+
+
+def dropped(query: StreamingQuery) -> int:
+    """Rows that the query's operators found behind the watermark, in the batches whose progress is kept."""
+    return sum(int(s["numRowsDroppedByWatermark"]) for p in query.recentProgress for s in p["stateOperators"])
+
 
+class Smoother(StatefulProcessor):
+    """Smoothed readings of a beacon, and which of them start a cycle. A reading older than its anchor's newest gives no row."""
 
-def _kalman(state: list[float] | None, t: float, z: float) -> list[float]:
-    """One step of a filter (t, x, v, p00, p01, p11); a gap starts it anew."""
-    if state is None or t - state[0] > K.STALE_S:
-        x, v, a, b, c = z, 0.0, K.KALMAN_P_RSSI, 0.0, K.KALMAN_P_VELOCITY
-    else:
-        then, x, v, a, b, c = state
-        dt = t - then
-        x = x + v * dt
-        a, b, c = a + 2 * dt * b + dt * dt * c + K.KALMAN_Q * dt**3 / 3, b + dt * c + K.KALMAN_Q * dt * dt / 2, c + K.KALMAN_Q * dt
-    s, y = a + K.KALMAN_R, z - x
-    return [t, x + a / s * y, v + b / s * y, (1 - a / s) * a, (1 - a / s) * b, c - b * b / s]
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.anchors = handle.getMapState("anchors", "anchor_id string", "t double, x double, v double, p00 double, p01 double, p11 double", self.ttl_ms)
+        self.clock = handle.getValueState("clock", "t double", self.ttl_ms)
 
-def _tracker(forget: bool) -> Callable[..., Iterator[pd.DataFrame]]:
-    def track(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        s = json.loads(state.get[0]) if state.exists else {"anchors": {}, "last": None}
-        rows = pd.concat(list(batches)).sort_values(["t", "event_id"])
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        known: dict[str, tuple | None] = {}
+        last = self.clock.get()[0] if self.clock.exists() else None
         out = []
-        for event_id, anchor, t, rssi in zip(rows["event_id"], rows["anchor_id"], rows["t"], rows["rssi"], strict=True):
-            s["anchors"][anchor] = _kalman(s["anchors"].get(anchor), float(t), float(rssi))
-            due = s["last"] is None or t - s["last"] >= K.MIN_INTERVAL_S
-            if due:
-                s["last"] = float(t)
-            out.append((event_id, key[0], anchor, t, float(rssi), s["anchors"][anchor][1], due))
-        state.update((json.dumps(s),))
-        if forget:
-            state.setTimeoutDuration(FORGET_MS)
+        pdf = pd.concat(list(rows)).sort_values(["t", "event_id"])  # one beacon's share of a micro-batch
+        for event_id, anchor, t, z in zip(pdf["event_id"].tolist(), pdf["anchor_id"].tolist(), pdf["t"].tolist(), pdf["rssi"].tolist(), strict=True):
+            if anchor not in known:
+                known[anchor] = tuple(self.anchors.getValue((anchor,))) if self.anchors.containsKey((anchor,)) else None
+            s = known[anchor]
+            if s is not None and t < s[0]:
+                continue
+            known[anchor] = s = kalman.step(s, t, z)
+            due = last is None or t - last >= K.MIN_INTERVAL_S
+            last = t if due else last
+            out.append((event_id, key[0], anchor, t, z, s[1], due))
+        for anchor, s in known.items():
+            if s is not None:
+                self.anchors.updateValue((anchor,), s)
+        if last is not None:
+            self.clock.update((last,))
         yield pd.DataFrame(out, columns=["event_id", "beacon", "anchor_id", "t", "rssi", "x", "cycle"])
 
-    return track
+    def close(self) -> None:
+        pass
 
 
 def tracked(stream: DataFrame, forget: bool = False) -> DataFrame:
     """Smoothed readings, and which of them start a cycle.
 
-    With ``forget`` a beacon silent for an hour is dropped from the state; such a query never
+    With ``forget`` state lives for an hour after its last change; such a query never
     runs out of work, so it is for endless triggers only.
     """
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout
-    return stream.groupBy("beacon").applyInPandasWithState(_tracker(forget), OUT, "state string", "append", timeout)
+    rocks(stream.sparkSession)
+    rows = stream.select("beacon", "event_id", "anchor_id", "t", F.col("rssi").cast("double").alias("rssi"))
+    return rows.groupBy("beacon").transformWithStateInPandas(Smoother(FORGET_MS if forget else None), OUT, "append", "processingTime" if forget else "none")
 
 
 def visits(positions: DataFrame, gap: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
