@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavefix.operators import zones
@@ -19,11 +19,13 @@ def append_positions(rows: DataFrame, path: str) -> None:
 
 def append_fingerprints(rows: DataFrame, path: str, notes: str | Column = "") -> int:
     """Append survey fingerprints and return how many; ``import_id`` tells them from those of other calls."""
-    own = uuid.uuid4().hex
+    own = f"i{uuid.uuid4().hex}"
     noted = rows.withColumns({"notes": F.lit(notes) if isinstance(notes, str) else notes, "import_id": F.lit(own)})
-    seen = Observation()
-    noted.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
-    return int(seen.get["n"])
+    noted.write.mode("append").partitionBy("import_id").parquet(path)
+    at = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}/import_id={own}")
+    if not at.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration()).exists(at):
+        return 0
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/import_id={own}").count()  # this import's files alone
 
 
 def import_csv(spark: SparkSession, csv: str, path: str) -> int:
