@@ -326,6 +326,48 @@ def test_a_unit_returns_a_forest(spark):
     assert len(set(root)) == len({want[i + 2][1] for i in range(90)})
 
 
+@pytest.mark.parametrize("block", [512, 8])
+def test_blocks_compare_only_pairs_of_a_bucket(spark, monkeypatch, block):
+    rng = random.Random(9)
+    passages = [" ".join(f"p{i}q{rng.randrange(10**6)}" for _ in range(40)) for i in range(120)]
+    texts = ["", ""] + [" ".join(rng.sample(passages, 2)) for _ in range(600)]
+    core = [f"k{i}" for i in range(200)]  # pairs of a hub's far members
+    for _ in range(60):
+        t = list(core)
+        for _ in range(rng.randrange(3, 8)):
+            t[rng.randrange(200)] = f"m{rng.randrange(10**6)}"
+        texts.append(" ".join(t))
+    made, was = [], near_dedup.crossed
+
+    def counted(spark, docs, units, *rest):
+        sizes = {(r["bucket"], r["block"]): r["n"] for r in docs.groupBy("bucket", "block").agg(F.countDistinct("key").alias("n")).collect()}
+        for u in units.collect():
+            n, m = sizes[u["bucket"], u["block_x"]], sizes[u["bucket"], u["block_y"]]
+            made.append(n * (n - 1) // 2 if u["block_x"] == u["block_y"] else n * m)
+        return was(spark, docs, units, *rest)
+
+    monkeypatch.setattr(near_dedup, "crossed", counted)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    assert near(spark, texts) == brute_near(texts)
+    keys = near_dedup.band_keys(near_dedup.signatures(near_dedup.shingle_sets([t.encode() for t in sorted(set(texts[2:]))])))
+    shared = sum(n * (n - 1) // 2 for n in np.unique(keys, return_counts=True)[1].tolist())
+    assert 0 < sum(made) < shared
+
+
+def test_a_pair_is_answered_for_by_its_first_bucket():
+    rng, base = random.Random(5), [f"b{i}" for i in range(100)]
+    texts = [" ".join(base), " ".join([*base[:-1], "x"]), " ".join(f"z{rng.random()}" for _ in range(50))]
+    sigs = near_dedup.signatures(near_dedup.shingle_sets([t.encode() for t in texts]))
+    keys = near_dedup.band_keys(sigs)
+    shared = np.flatnonzero(keys[0] == keys[1])
+    assert len(shared) > 1
+    for b in shared.tolist():
+        rows = pd.DataFrame({"unit": 1, "bucket": keys.view(np.int64)[0, b], "x": True, "y": True, "key": range(3), "comp": range(3), "sig": [x.tobytes() for x in sigs]})
+        got = near_dedup._likely(rows, near_dedup.fewest_matches())
+        assert sorted(got["key"]) == ([0, 1] if b == shared[0] else [])
+        assert near_dedup._likely(rows.assign(comp=0), near_dedup.fewest_matches()).empty
+
+
 def test_near_dedup_links_every_text_of_an_id(spark):
     rng = random.Random(12)
     a, b = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(60)) for x in "ab")

@@ -7,15 +7,15 @@
    one goes on, so a hot bucket reaches its task as a row for each batch.
 3. Candidate pairs come from buckets in rounds, so that a group of n copies costs
    about n pairs, not n * n: first the least id of a bucket against the
-   others, then the greatest against those in other components. Members that
-   are in different components even then are compared in blocks: first inside each block,
-   then, where a group has several, two blocks at a time; a task joins components as it
-   goes and returns only the links that joined some. Every pair that shares a bucket is
-   therefore compared or already connected.
+   others, then the greatest of those left against those in other components. Members that
+   are in different components even then are compared inside each bucket: first inside its blocks,
+   then, where it has several, two blocks at a time. Every pair that shares a bucket is
+   therefore compared or already connected, and no other pair is compared.
 4. A pair's signatures are compared a batch at a time. After each batch the posterior
    of the similarity (uniform prior) is known; the pair is pruned when similarity
    at or above the threshold has less than ``MISS`` probability. Survivors are
-   verified exactly on their full shingle sets.
+   verified exactly on their full shingle sets; in blocks the texts of survivors alone are
+   read, and a task joins components as it goes and returns only the links that joined some.
 5. Components of the verified links: hooks to the least neighbour, doubled and contracted.
 
 A pair at the threshold misses all bands with probability (1 - 0.75 ** 4) ** 40 = 2.5e-7.
@@ -52,8 +52,8 @@ MISS = 1e-7
 LEAST = 75
 #: Pairs verified beside one copy of their common document's text.
 STAR = 64
-#: Documents in a block of those compared with each other.
-BLOCK = 512
+#: Documents, and shingles, in a block of those compared with each other.
+BLOCK, SHINGLES = 512, 1 << 20
 
 _SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 _MUL, _ADD = _SEEDS[: BANDS * ROWS] | np.uint64(1), _SEEDS[BANDS * ROWS :]
@@ -234,59 +234,92 @@ def linked(spark: SparkSession, pairs: DataFrame, texts: DataFrame) -> DataFrame
 
 
 def opened(held: DataFrame, names: DataFrame, keep: Keep) -> DataFrame:
-    """(bucket, key, comp) of the buckets that still hold several components of ``names`` (key, comp)."""
+    """(bucket, key, comp) of the buckets in ``held`` that still hold several components of ``names`` (key, comp)."""
     named = held.join(names, "key")
     several = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
     return keep(named.join(several, "bucket", "left_semi").select("bucket", "key", "comp"))
 
 
-def placed(spark: SparkSession, open_: DataFrame, keep: Keep) -> DataFrame:
-    """(key, comp, group, block) of the members (bucket, key, comp) of open buckets.
+def placed(open_: DataFrame, few: DataFrame) -> DataFrame:
+    """(bucket, key, comp, block) of the members (bucket, key, comp) of open buckets.
 
-    Members connected by buckets form a group. A group's large components have blocks of their
-    own, its small ones share blocks. A bucket is known by its least member and a document by the
-    least of these, so that only (hub, least hub) pairs are links of the grouping, not all (document, hub) pairs.
+    A bucket's large components have blocks of their own, its small ones share blocks. A block has about
+    ``BLOCK`` documents or ``SHINGLES`` shingles at most; a document of more has one with few others.
     """
-    hubs = open_.join(open_.groupBy("bucket").agg(F.min("key").alias("hub")), "bucket").select("key", "comp", "hub").distinct()
-    hubs = keep(hubs.join(hubs.groupBy("key").agg(F.min("hub").alias("least")), "key"))
-    groups = components(spark, hubs.select(F.col("hub").alias("a"), F.col("least").alias("b")), keep)
-    docs = hubs.select("key", "comp", "least").distinct().join(groups.select(F.col("key").alias("least"), F.col("comp").alias("group")), "least", "left")
-    docs = keep(docs.select("key", "comp", F.coalesce("group", "least").alias("group")))
-    sizes = docs.groupBy("group", "comp").agg(F.count(F.lit(1)).alias("n")).withColumn("large", F.col("n") > BLOCK // 2)
-    small = sizes.groupBy("group").agg(F.sum(F.when(~F.col("large"), F.col("n"))).alias("rest"))
-    pieces = F.when(F.col("large"), F.ceil(F.col("n") / BLOCK)).otherwise(F.ceil(F.col("rest") / BLOCK))
-    part = F.pmod(F.when(F.col("large"), F.xxhash64("key")).otherwise(F.xxhash64("comp")), pieces)
-    block = F.struct(F.when(F.col("large"), F.col("comp")).otherwise(-1).alias("of"), part.alias("part")).alias("block")
-    return keep(docs.join(sizes, ["group", "comp"]).join(small, "group").select("key", "comp", "group", block))
-
-
-def crossed(spark: SparkSession, docs: DataFrame, units: DataFrame, few: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between different components in ``units`` (group, block_x, block_y) of ``placed`` documents.
-
-    A unit has at most about 2 * BLOCK documents. It compares inside its task, joins components as
-    it finds links and returns only the links that joined two: fewer than it has components.
+    weight = few.groupBy("key").agg((F.count(F.lit(1)) / BLOCK + F.sum("n_shingles") / SHINGLES).alias("weight"))
+    docs = open_.distinct().join(weight, "key")
+    sizes = docs.groupBy("bucket", "comp").agg(F.sum("weight").alias("own"))
+    rest = sizes.groupBy("bucket").agg(F.sum(F.when(F.col("own") <= 0.5, F.col("own"))).alias("rest"))
+    large = F.col("own") > 0.5
+    pieces = F.ceil(F.when(large, F.col("own")).otherwise(F.col("rest")))
+    part = F.pmod(F.when(large, F.xxhash64("key")).otherwise(F.xxhash64("comp")), pieces)
+    block = F.struct(F.when(large, F.col("comp")).otherwise(-1).alias("of"), part.alias("part")).alias("block")
+    return docs.join(sizes, ["bucket", "comp"]).join(rest, "bucket").select("bucket", "key", "comp", block)
+
+
+def crossed(spark: SparkSession, docs: DataFrame, units: DataFrame, few: DataFrame, texts: DataFrame, keep: Keep) -> DataFrame:
+    """Links (a, b) between different components in ``units`` (bucket, block_x, block_y) of ``placed`` documents.
+
+    Signatures alone say which documents of a unit have a likely pair that no other bucket answers for; only these meet
+    again with their texts. A task joins components as it finds links and returns only the links that joined two.
     """
     sides = F.explode(F.array_distinct(F.array("block_x", "block_y"))).alias("block")
-    wide = few.join(texts, "key").select("key", "sig", "text")
     n = partitions(spark)
-    unit = F.xxhash64("group", "block_x", "block_y")
-    rows = units.select("group", unit.alias("unit"), F.col("block_x"), F.col("block_y"), sides).join(docs, ["group", "block"])
-    rows = rows.select("unit", (F.col("block") == F.col("block_x")).alias("x"), (F.col("block") == F.col("block_y")).alias("y"), "key", "comp").join(wide, "key")
-    rows = rows.withColumn("target", F.pmod("unit", F.lit(n)).cast("int"))
+    unit = F.xxhash64("bucket", "block_x", "block_y")
+    rows = units.select("bucket", unit.alias("unit"), F.col("block_x"), F.col("block_y"), sides).join(docs, ["bucket", "block"])
+    rows = rows.select("unit", "bucket", (F.col("block") == F.col("block_x")).alias("x"), (F.col("block") == F.col("block_y")).alias("y"), "key", "comp")
+    rows = rows.join(few.select("key", "sig"), "key").withColumn("target", F.pmod("unit", F.lit(n)).cast("int"))
+    likely_ = keep(routed(rows, n, "unit").mapInPandas(_by_unit(_likely), "unit long, x boolean, y boolean, key long, comp long, sig binary"))
+    wide = likely_.join(texts, "key").withColumn("target", F.pmod(F.xxhash64("unit"), F.lit(n)).cast("int"))
+    return routed(wide, n, "unit").mapInPandas(_by_unit(_compared), "a long, b long")
+
+
+def _by_unit(work: Callable[[pd.DataFrame, dict[int, int]], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``work`` on the rows of each unit; a task's rows come in order of their units."""
     least = fewest_matches()
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for pdf in batches:
             for _, g in pdf.groupby("unit", sort=False):
                 if held and held[0]["unit"].iloc[0] != g["unit"].iloc[0]:
-                    yield _compared(pd.concat(held), least)
+                    yield work(pd.concat(held), least)
                     held = []
                 held.append(g)
         if held:
-            yield _compared(pd.concat(held), least)
+            yield work(pd.concat(held), least)
+
+    return run
 
-    return routed(rows, n, "unit").mapInPandas(compare, "a long, b long")
+
+def _likely(rows: pd.DataFrame, least: dict[int, int]) -> pd.DataFrame:
+    """The documents of a unit with a likely partner in another component, ``unit`` renamed so that partners share it.
+
+    A pair that shares several buckets is answered for by that of its first band: there it has been compared or
+    connected before, or is compared now.
+    """
+    sigs = unpacked(rows["sig"], "<u4").reshape(len(rows), -1)
+    buckets = band_keys(sigs)
+    at = buckets == rows["bucket"].to_numpy()[:, None].astype(np.uint64)
+    here = at.any(axis=1)  # an id may have other texts, of other buckets
+    rows, sigs, buckets, band = rows[here], sigs[here], buckets[here], at[here].argmax(axis=1)
+    comps, x, y = (rows[c].to_numpy() for c in ("comp", "x", "y"))
+    same = bool((x & y).any())
+    cluster, found = np.arange(len(rows)), np.zeros(len(rows), bool)
+    for i in np.flatnonzero(x).tolist():
+        alive = np.flatnonzero(y & (comps != comps[i]) & (cluster != cluster[i]))
+        if same:
+            alive = alive[alive > i]
+        matches = np.zeros(len(alive), np.int64)
+        for n, m in least.items():
+            matches = matches + (sigs[alive, n - BATCH : n] == sigs[i, n - BATCH : n]).sum(axis=1)
+            alive, matches = alive[matches >= m], matches[matches >= m]
+        alive = alive[(buckets[alive] == buckets[i]).argmax(axis=1) == band[i]]
+        if len(alive):
+            found[i] = found[alive] = True
+            cluster[np.isin(cluster, cluster[alive])] = cluster[i]
+    unit = mix(rows["unit"].to_numpy().astype(np.uint64) + mix(cluster.astype(np.uint64))).view(np.int64)
+    return rows.assign(unit=unit)[found][["unit", "x", "y", "key", "comp", "sig"]]
 
 
 def _compared(unit: pd.DataFrame, least: dict[int, int]) -> pd.DataFrame:
@@ -359,7 +392,7 @@ def renamed(names: DataFrame, moved: DataFrame) -> DataFrame:
 def _joined(spark: SparkSession, docs: DataFrame, full: DataFrame, groups: DataFrame, keep: Keep) -> DataFrame:
     """(key, comp) of the heads of equal sets that share a bucket with another."""
     heads = groups.select(F.col("head").alias("key"))
-    alone = keep(full.join(heads.distinct(), "key", "left_semi").select("key", "sig").dropDuplicates(["key", "sig"]))
+    alone = keep(full.join(heads.distinct(), "key", "left_semi").select("key", "n_shingles", "sig").dropDuplicates(["key", "sig"]))
     held = members(spark, alone, keep)
     inside = held.select("key").distinct()
     few = keep(alone.join(inside, "key", "left_semi"))
@@ -381,20 +414,20 @@ def _joined(spark: SparkSession, docs: DataFrame, full: DataFrame, groups: DataF
             new = new.join(names.select(F.col("key").alias("a"), F.col("comp").alias("ca")), "a").join(names.select(F.col("key").alias("b"), F.col("comp").alias("cb")), "b")
             new = new.select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         names = joined(new)
-        open_ = opened(open_.select("bucket", "key"), names, keep)
+        # The hub has met all its bucket, or is connected with it: what is left are pairs of the others.
+        open_ = opened(open_.join(pick, "bucket").where("key <> hub.key").select("bucket", "key"), names, keep)
     if not open_.isEmpty():
-        docs_ = placed(spark, open_, keep)
-        blocks = docs_.groupBy("group", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        inner = blocks.where("lo < hi").select("group", F.col("block").alias("block_x"), F.col("block").alias("block_y"))
-        names = joined(keep(crossed(spark, docs_, inner, few, texts)))
-        wide = keep(docs_.join(blocks.groupBy("group").count().where("count > 1"), "group", "left_semi").select("key").distinct())
-        if not wide.isEmpty():
-            # Groups of several blocks: what is joined by now needs no comparison, the rest meets block by block.
-            docs_ = placed(spark, opened(open_.select("bucket", "key").join(wide, "key", "left_semi"), names, keep), keep)
-            blocks = docs_.groupBy("group", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-            x, y = (blocks.select("group", *(F.col(c).alias(f"{c}_{i}") for c in ("block", "lo", "hi"))) for i in "xy")
-            units = x.join(y, "group").where("block_x <= block_y AND (lo_x <> hi_y OR hi_x <> lo_y)").select("group", "block_x", "block_y")
-            names = joined(keep(crossed(spark, docs_, units, few, texts)))
+        docs_ = keep(placed(open_, few))
+        blocks = docs_.groupBy("bucket", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        inner = blocks.where("lo < hi").select("bucket", F.col("block").alias("block_x"), F.col("block").alias("block_y"))
+        names = joined(keep(crossed(spark, docs_, inner, few, texts, keep)))
+        wide = blocks.groupBy("bucket").count().where("count > 1").select("bucket")
+        docs_ = keep(docs_.drop("comp").join(wide, "bucket", "left_semi").join(names, "key"))
+        blocks = docs_.groupBy("bucket", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        x, y = (blocks.select("bucket", *(F.col(c).alias(f"{c}_{i}") for c in ("block", "lo", "hi"))) for i in "xy")
+        units = keep(x.join(y, "bucket").where("block_x < block_y AND (lo_x <> hi_y OR hi_x <> lo_y)").select("bucket", "block_x", "block_y"))
+        if not units.isEmpty():  # buckets of several blocks: what is joined by now needs no comparison, the rest meets two blocks at a time
+            names = joined(keep(crossed(spark, docs_, units, few, texts, keep)))
     return names
 
 
