@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
 import random
 import re
 import zlib
 from contextlib import contextmanager
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -134,6 +136,51 @@ def test_decontamination(spark, shard_words):
     assert got == brute_hits(texts, items)
 
 
+def test_tasks_hold_one_shard_at_a_time(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(300)], k=200)) for _ in range(30)]
+    items = [(i, " ".join(rng.choice(texts).split()[at : at + 40])) for i, at in enumerate(range(0, 160, 8))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    before = set(Path(spark.conf.get("spark.checkpoint.dir")[7:]).glob("wavefix/decontamination-*"))
+    rows = decontamination.scored(spark, documents(spark, texts), bench, shard_words=40)
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], list(r["items"]), r["contaminated"]) for r in rows.collect()}
+    assert got == brute_hits(texts, items) and any(x[1] for x in got.values())
+    assert len(set(Path(spark.conf.get("spark.checkpoint.dir")[7:]).glob("wavefix/decontamination-*")) - before) == 1
+
+    def alive(batches):
+        import gc
+
+        for _ in batches:
+            yield pd.DataFrame({"n": [sum(type(x).__name__ == "ItemAutomaton" for x in gc.get_objects())]})
+
+    assert max(r["n"] for r in spark.range(0, 64, 1, 16).mapInPandas(alive, "n long").collect()) <= 1
+
+
+def test_automaton_of_items_that_share_windows():
+    rng = random.Random(8)
+    for window in (1, 2, 4):
+        items = [(str(i), [b"%d" % rng.randrange(4) for _ in range(rng.randrange(9))]) for i in range(12)]
+        automaton = decontamination.ItemAutomaton(items, window)
+        for _ in range(200):
+            doc = [b"%d" % rng.randrange(5) for _ in range(rng.randrange(20))]
+            spans, names = set(), set()
+            for name, w in items:
+                n = min(window, len(w))
+                for k in range(len(w) - n + 1 if n else 0):
+                    at = [(i, i + n) for i in range(len(doc) - n + 1) if doc[i : i + n] == w[k : k + n]]
+                    spans.update(at)
+                    names.update([name] if at else [])
+            got = automaton.match(doc)
+            assert (set(got[0]), got[1]) == (spans, names)
+
+
+def test_automaton_is_small():
+    rng = random.Random(7)
+    words = [b"w%d" % i for i in range(5000)]
+    items = [(str(i), rng.choices(words, k=500)) for i in range(80)]
+    assert len(pickle.dumps(decontamination.ItemAutomaton(items, 13), protocol=5)) < 60 * 40_000
+
+
 def test_spans_are_cut_out(spark):
     words = [f"v{i}" for i in range(40)]
     docs = spark.createDataFrame([(1, "Start, " + "; ".join(words[5:25]) + " end."), (2, "v1 v2"), (3, None)], "doc_id long, text string")

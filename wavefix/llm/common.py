@@ -39,14 +39,21 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/wavefix/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def _written(spark: SparkSession, df: DataFrame, path: str, options: dict[str, str]) -> DataFrame:
+def written(spark: SparkSession, df: DataFrame, path: str, **options: str) -> DataFrame:
+    """Write ``df`` to a path of ``shared_dir`` and read it back."""
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a path of ``shared_dir``."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def saved(spark: SparkSession, df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and lost executors don't matter."""
-    return _written(spark, df, shared_dir(spark, name), options)
+    return written(spark, df, shared_dir(spark, name), **options)
 
 
 @contextmanager
@@ -54,10 +61,9 @@ def scratch(spark: SparkSession, name: str) -> Iterator[Callable[..., DataFrame]
     """``saved`` for tables that nothing needs after the block: their folder is deleted at its end."""
     root, number = shared_dir(spark, name), count()
     try:
-        yield lambda df, **options: _written(spark, df, f"{root}/{next(number)}", options)
+        yield lambda df, **options: written(spark, df, f"{root}/{next(number)}", **options)
     finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        removed(spark, root)
 
 
 def partitions(spark: SparkSession) -> int:

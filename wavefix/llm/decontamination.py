@@ -6,17 +6,20 @@ run of words ending there that occurs in an item. A matched length of ``window``
 words or more hits the last ``window`` words, and so does a shorter item matched whole.
 
 The automaton is sent to every task. Its size is bounded: items are dealt into shards
-of at most ``shard_words`` words (a longer item is a shard of its own), and
-documents pass through one shard after another.
+of at most ``shard_words`` words (a longer item is a shard of its own). Documents pass through
+one shard after another; between two they are written with what was found, and the shard is given up,
+so that driver and tasks hold one at a time.
 
 Defined results: a null or empty text has no words; an item without words is
 ignored; items of equal id count once; a null item id counts as the id ''; other
-columns of either table are ignored; repeated documents give repeated rows.
+columns of either table are ignored; repeated documents give repeated rows; an empty
+table of documents gives no rows, without items nothing is hit.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from fractions import Fraction
 
@@ -25,6 +28,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavefix.llm.common import removed, shared_dir, written
+
 #: What is found in a document: runs of hit words, items, and its number of words.
 HITS = "struct<spans: array<struct<a: int, b: int>>, items: array<string>, n_words: bigint>"
 #: Words once A-Z are lower-cased; UTF-8 bytes above 7F belong to words.
@@ -35,95 +40,137 @@ def words_of(text: str | None) -> list[bytes]:
     return WORD.findall(text.encode("utf-8", "replace").lower()) if text else []
 
 
+#: No symbol leads on from a state, or several do.
+_NONE, _SEVERAL = -1, -2
+
+
 class ItemAutomaton:
-    """Generalised suffix automaton over words, with the items of each state that matters."""
+    """Generalised suffix automaton over words, with the items of each state that matters.
+
+    States are numbers into flat arrays. Nearly all have one way on, which two of the arrays hold; the others have
+    a dictionary. Items are kept where the state's window is met first: one as its number, several as a set.
+    """
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        at_end: list[tuple[int, int, int]] = []
-        holds: dict[int, set[int]] = {}
+        self.symbol, self.only = array("i", [_NONE]), array("i", [0])
+        self.several: dict[int, dict[int, int]] = {}
+        self.link, self.length = array("i", [-1]), array("i", [0])
         self.ids = [x for x, _ in items]
-        for i, (_, words) in enumerate(items):
-            last, path = 0, []
+        for _, words in items:
+            last = 0
             for w in words:
                 last = self._extend(last, self.vocabulary.setdefault(w, len(self.vocabulary)))
-                path.append(last)
-            if 0 < len(words) < window:
-                at_end.append((last, len(words), i))
-        # States may have been cloned since: walk each item again for the states it passes.
-        for i, (_, words) in enumerate(items):
-            v = 0
-            for n, w in enumerate(words, 1):
-                v = self.next[v][self.vocabulary[w]]
-                if n >= window:
-                    holds.setdefault(v, set()).add(i)
-        self.shorts: list[tuple[tuple[int, int], ...]] = [()] * len(self.link)
+        # States may be cloned while others are added: only now are the states that each item passes final.
+        n = len(self.link)
+        self.owner, self.owners = array("i", [-1]) * n, []
         own: dict[int, list[tuple[int, int]]] = {}
-        for _, n, i in at_end:
+        for i, (_, words) in enumerate(items):
             v = 0
-            for w in items[i][1]:
-                v = self.next[v][self.vocabulary[w]]
-            own.setdefault(v, []).append((n, i))
-        order = sorted(range(len(self.link)), key=self.length.__getitem__)
-        for v in order[1:]:
-            self.shorts[v] = tuple(own.get(v, ())) + self.shorts[self.link[v]]
-        self.top = [0] * len(self.link)
-        for v in order[1:]:
+            for k, w in enumerate(words, 1):
+                v = self._way(v, self.vocabulary[w])
+                if k >= window:
+                    self._own(v, i)
+            if 0 < len(words) < window:
+                own.setdefault(v, []).append((len(words), i))
+        order = sorted(range(1, n), key=self.length.__getitem__)
+        self.shorts: dict[int, tuple[tuple[int, int], ...]] = {}
+        self.top = array("i", [0]) * n
+        for v in order:
+            up = self.link[v]
+            short = (*own.get(v, ()), *self.shorts.get(up, ()))
+            if short:
+                self.shorts[v] = short
             if self.length[v] >= window:
-                self.top[v] = v if self.length[self.link[v]] < window else self.top[self.link[v]]
-        for v in reversed(order[1:]):
-            p = self.link[v]
-            if v in holds and self.length[p] >= window:
-                holds.setdefault(p, set()).update(holds[v])
-        self.holds = {v: frozenset(holds[v]) for v in holds if self.top[v] == v}
+                self.top[v] = v if self.length[up] < window else self.top[up]
+        for v in reversed(order):
+            if self.top[v] not in (0, v):
+                for i in self.items_of(v):
+                    self._own(self.link[v], i)
+                self._disown(v)
+
+    def _way(self, v: int, c: int) -> int | None:
+        if self.symbol[v] == c:
+            return self.only[v]
+        return self.several[v].get(c) if self.symbol[v] == _SEVERAL else None
+
+    def _lead(self, v: int, c: int, to: int) -> None:
+        was = self.symbol[v]
+        if was == _SEVERAL:
+            self.several[v][c] = to
+        elif was in (_NONE, c):
+            self.symbol[v], self.only[v] = c, to
+        else:
+            self.several[v] = {was: self.only[v], c: to}
+            self.symbol[v] = _SEVERAL
+
+    def _state(self, link: int, length: int) -> int:
+        self.symbol.append(_NONE)
+        self.only.append(0)
+        self.link.append(link)
+        self.length.append(length)
+        return len(self.link) - 1
 
     def _extend(self, last: int, c: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        if c in nxt[last]:
-            q = nxt[last][c]
-            return q if length[q] == length[last] + 1 else self._clone(last, c, q)
-        new = len(link)
-        nxt.append({})
-        link.append(0)
-        length.append(length[last] + 1)
-        p = last
-        while p != -1 and c not in nxt[p]:
-            nxt[p][c] = new
-            p = link[p]
+        q = self._way(last, c)
+        if q is not None:
+            return q if self.length[q] == self.length[last] + 1 else self._clone(last, c, q)
+        new, p = self._state(0, self.length[last] + 1), last
+        while p != -1 and (q := self._way(p, c)) is None:
+            self._lead(p, c, new)
+            p = self.link[p]
         if p != -1:
-            q = nxt[p][c]
-            link[new] = q if length[q] == length[p] + 1 else self._clone(p, c, q)
+            self.link[new] = q if self.length[q] == self.length[p] + 1 else self._clone(p, c, q)
         return new
 
     def _clone(self, p: int, c: int, q: int) -> int:
-        copy = len(self.link)
-        self.next.append(dict(self.next[q]))
-        self.link.append(self.link[q])
-        self.length.append(self.length[p] + 1)
+        copy = self._state(self.link[q], self.length[p] + 1)
+        self.symbol[copy], self.only[copy] = self.symbol[q], self.only[q]
+        if q in self.several:
+            self.several[copy] = dict(self.several[q])
         self.link[q] = copy
-        while p != -1 and self.next[p].get(c) == q:
-            self.next[p][c] = copy
+        while p != -1 and self._way(p, c) == q:
+            self._lead(p, c, copy)
             p = self.link[p]
         return copy
 
+    def _own(self, v: int, item: int) -> None:
+        was = self.owner[v]
+        if was == -1:
+            self.owner[v] = item
+        elif was < -1:
+            self.owners[-2 - was].add(item)
+        elif was != item:
+            self.owner[v] = -2 - len(self.owners)
+            self.owners.append({was, item})
+
+    def _disown(self, v: int) -> None:
+        if self.owner[v] < -1:
+            self.owners[-2 - self.owner[v]] = set()
+        self.owner[v] = -1
+
+    def items_of(self, v: int) -> set[int]:
+        """Items (numbers) whose windows end in state ``v``."""
+        x = self.owner[v]
+        return set() if x == -1 else {x} if x >= 0 else self.owners[-2 - x]
+
     def match(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Spans (start, end) of words in occurring windows, not merged, and the items that own the windows."""
-        nxt, link, length, shorts, window = self.next, self.link, self.length, self.shorts, self.window
+        symbol, only, several, link, length, shorts, window = self.symbol, self.only, self.several, self.link, self.length, self.shorts, self.window
         spans: list[tuple[int, int]] = []
         found: set[int] = set()
-        v = n = 0
+        v = n = seen = 0
         for i, c in enumerate(map(self.vocabulary.get, words), 1):
             if c is None:
                 v = n = 0
                 continue
-            to = nxt[v].get(c)
-            while to is None and v:
+            while True:
+                to = only[v] if symbol[v] == c else several[v].get(c) if symbol[v] == _SEVERAL else None
+                if to is not None or not v:
+                    break
                 v = link[v]
                 n = length[v]
-                to = nxt[v].get(c)
             if to is None:
                 continue
             v = to
@@ -131,9 +178,10 @@ class ItemAutomaton:
             if n >= window:
                 spans.append((i - window, i))
                 u = self.top[v]
-                if u:
-                    found |= self.holds[u]
-            if shorts[v]:
+                if u and u != seen:
+                    seen = u
+                    found |= self.items_of(u)
+            if v in shorts:
                 for k, item in shorts[v]:
                     if k <= n:
                         spans.append((i - k, i))
@@ -174,13 +222,22 @@ def scored(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int =
     windows in the document; it is contaminated if hit words are at least ``coverage`` of all, and any.
     """
     least = Fraction(str(coverage))
-    hits = F.lit(None).cast(HITS)
-    for part in shards(items, shard_words):
-        hits = _step(spark.sparkContext.broadcast(ItemAutomaton(part, window)))(F.col("text"), hits)
     name = "_hits"
     while name in docs.columns:
         name += "_"
-    out = docs.withColumn(name, hits)
+    out, table = docs.withColumn(name, F.lit(None).cast(HITS)), None
+    parts = shards(items, shard_words)
+    part = next(parts)
+    while part is not None:
+        sent = spark.sparkContext.broadcast(ItemAutomaton(part, window))
+        out = out.withColumn(name, _step(sent)(F.col("text"), F.col(name)))
+        part = next(parts, None)
+        if part is not None:  # written, so that no task ever holds two shards
+            before, table = table, shared_dir(spark, "decontamination")
+            out = written(spark, out, table)
+            sent.destroy()
+            if before:
+                removed(spark, before)
     n_hit = F.aggregate(f"{name}.spans", F.lit(0).cast("long"), lambda n, x: n + (x["b"] - x["a"]))
     return out.withColumns({"spans": F.col(f"{name}.spans"), "items": F.col(f"{name}.items"), "n_words": F.col(f"{name}.n_words"), "n_hit": n_hit}).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * least.denominator >= F.col("n_words") * least.numerator)).drop(name)
 
