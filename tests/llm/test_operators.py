@@ -103,9 +103,30 @@ def test_index_levels_keep_the_least_and_answer_lookups(spark):
     some = [of("x" * 3), of("xx"), of("absent")]
     assert sorted(r["id"] for r in exact_dedup.found(runs, some).collect()) == sorted(i for i, t in rows if len(t) in (2, 3))
     probe = spark.createDataFrame([(of(f"y{i}"),) for i in range(2000)] + [(x,) for x in want], "digest binary")
-    passed = {bytes(r["digest"]) for r in exact_dedup.passing(probe, exact_dedup.filter_of(runs)).collect()}
+    bits = exact_dedup.filter_bits(len(want))
+    passed = {bytes(r["digest"]) for r in exact_dedup.passing(probe, exact_dedup.filter_of(runs, bits), bits).collect()}
     assert want.keys() <= passed and len(passed) < len(want) + 20
-    assert exact_dedup.passing(probe, exact_dedup.filter_of(runs.where("false"))).count() == 0
+    assert exact_dedup.passing(probe, exact_dedup.filter_of(runs.where("false"), bits), bits).count() == 0
+
+
+def test_filter_grows_with_the_hits(spark):
+    """At any number of hits few others pass; a filter that is too small lets more pass and loses none."""
+    assert [exact_dedup.filter_bits(n) for n in (0, 2048, 2049, 1 << 40)] == [1 << 15, 1 << 15, 1 << 16, exact_dedup.MOST]
+    own = spark.range(40_000).select(exact_dedup.sha256(F.col("id").cast("string")).alias("digest"), "id")
+    other = spark.range(40_000, 80_000).select(exact_dedup.sha256(F.col("id").cast("string")).alias("digest"), "id")
+    shares = []
+    for bits in (exact_dedup.filter_bits(40_000), exact_dedup.ROW):
+        held = exact_dedup.filter_of(own, bits)
+        assert held.count() <= bits // exact_dedup.ROW and exact_dedup.passing(own, held, bits).count() == 40_000
+        shares.append(exact_dedup.passing(other, held, bits).count() / 40_000)
+    assert shares[0] < 0.01 and shares[1] > 0.5
+
+
+def test_exact_dedup_with_more_hits_than_filter_bits(spark):
+    n = 40_000  # digests in two rows each, past the 32,768 bits of the least filter
+    docs = spark.range(2 * n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("t"), F.col("id") % n).alias("text"))
+    rows = exact_dedup.exact_dedup(spark, docs, most=exact_dedup.ROW)
+    assert rows.where("keep_id <> doc_id % 40000 OR group_size <> 2 OR kept <> (doc_id < 40000)").count() == 0 and rows.count() == 2 * n
 
 
 # --- op3 ----------------------------------------------------------------------------

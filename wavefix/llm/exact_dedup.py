@@ -6,8 +6,9 @@ size: ``FANOUT`` runs of a level merge into one sorted run of the next, which ke
 row that stays and how many there were, until one run is left. A run's rows are dealt by digest, so a
 level is merged by all tasks, and a hot digest is reduced before it is shuffled.
 
-Digests of several rows in the last run are hits. They get a filter of ``BITS`` bits (of fixed size, so it is
-broadcast; a full one only lets more pass); texts that pass it are looked up in the hits and their bytes
+Digests of several rows in the last run are hits. They get a Bloom filter sized by their number (``EACH`` bits for each,
+``MOST`` in all, so it may be broadcast; 0.5 % of other texts pass it, more only beyond ``MOST`` / ``EACH`` hits, and results
+never depend on it); texts that pass it are looked up in the hits and their bytes
 compared, and a digest whose texts differ is split by text. Point look-ups in the first runs use their files' own filters.
 
 Defined results: a null text is empty, and all empty texts are one group; a
@@ -28,10 +29,10 @@ from wavefix.llm.common import saved, scratch
 IGNORED = " \t\n\x0b\x0c\r"
 #: Runs that merge into one.
 FANOUT = 16
-#: Bits of the hits' filter.
-BITS = 1 << 24
-#: How the first runs are written: Parquet's own filters of at most 64 KB a file, for point look-ups.
-FILTERED = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled#digest": "true", "parquet.bloom.filter.max.bytes": "65536"}
+#: Bits of the hits' filter for each hit, and in all (128 MB); how many of a digest's bits are set; bits of one row of it.
+EACH, MOST, PROBES, ROW = 16, 1 << 30, 3, 1 << 15
+#: How the first runs are written: Parquet's own filters, each of the size that its file's digests need, for point look-ups.
+FILTERED = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled#digest": "true", "parquet.bloom.filter.max.bytes": "1048576"}
 
 
 def normalised(text: Column) -> Column:
@@ -69,21 +70,34 @@ def compacted(spark: SparkSession, runs: DataFrame, *also: str) -> DataFrame:
     return level.select("digest", *also, F.bitwise_not("best.rest").alias("keep_id"), F.col("n").alias("group_size"))
 
 
-def _bit() -> Column:
-    return F.pmod(F.xxhash64("digest"), F.lit(BITS))
+def filter_bits(hits: int, most: int = MOST) -> int:
+    """Bits of a filter for so many digests: a power of two, one row of ``ROW`` at least."""
+    return max(ROW, min(most, 1 << max(hits * EACH - 1, 0).bit_length()))
 
 
-def filter_of(digests: DataFrame) -> DataFrame:
-    """(bucket, bits): a Bloom filter of digests in rows of 4 KB, ``BITS`` / 8 bytes at most."""
-    return digests.groupBy(F.bitmap_bucket_number(_bit()).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(_bit())).alias("bits"))
+def _row(bits: int) -> Column:
+    return F.pmod(F.xxhash64("digest"), F.lit(bits // ROW)).cast("int")
 
 
-def passing(rows: DataFrame, bits: DataFrame) -> DataFrame:
-    """The rows whose digest may be among those of the filter; nothing is shuffled."""
-    at = F.bitmap_bit_position(_bit())
-    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    out = rows.withColumn("bucket", F.bitmap_bucket_number(_bit())).join(F.broadcast(bits), "bucket")
-    return out.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(rows.columns)
+def _places() -> list[Column]:
+    """The bits of a digest in its row of the filter: slices of a second hash."""
+    h = F.xxhash64(F.col("digest"), F.lit(1))
+    return [F.shiftrightunsigned(h, 15 * i).bitwiseAND(F.lit(ROW - 1)) for i in range(PROBES)]
+
+
+def filter_of(digests: DataFrame, bits: int) -> DataFrame:
+    """(bucket, set): a Bloom filter of digests in rows of 4 KB, ``bits`` / 8 bytes at most."""
+    places = digests.select(_row(bits).alias("bucket"), F.explode(F.array(*_places())).alias("at"))
+    return places.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("set"))
+
+
+def passing(rows: DataFrame, held: DataFrame, bits: int) -> DataFrame:
+    """The rows whose digest may be among those of the filter ``held``; nothing is shuffled."""
+    byte = lambda at: F.conv(F.hex(F.substring("set", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    out = rows.withColumn("bucket", _row(bits)).join(F.broadcast(held), "bucket")
+    for at in _places():
+        out = out.where(F.getbit(byte(at), (at % 8).cast("int")) == 1)
+    return out.select(rows.columns)
 
 
 def found(runs: DataFrame, digests: list[bytes]) -> DataFrame:
@@ -91,7 +105,7 @@ def found(runs: DataFrame, digests: list[bytes]) -> DataFrame:
     return runs.where(F.col("digest").isin([F.lit(x) for x in digests]))
 
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+def exact_dedup(spark: SparkSession, docs: DataFrame, digest: Callable[[Column], Column] = sha256, most: int = MOST) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, digest) for each row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     runs = flushed(spark, docs, digest)
@@ -101,7 +115,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, digest: Callable[[Column],
     # costs a row for each task; only digests that belong to several texts are left.
     text = normalised(F.coalesce(F.col("text"), F.lit("")))
     rows = docs.select(digest(text).alias("digest"), text.alias("norm"), "doc_id", "text")
-    maybe = passing(rows.select("digest", "norm"), filter_of(hits))
+    bits = filter_bits(hits.count(), most)
+    maybe = passing(rows.select("digest", "norm"), filter_of(hits, bits), bits)
     texts = maybe.groupBy("norm").agg(F.first("digest").alias("digest")).join(hits.select("digest"), "digest", "left_semi")
     mixed = saved(spark, texts.groupBy("digest").count().where("count > 1").select("digest"), "mixed")
 
