@@ -1,9 +1,10 @@
 """Boilerplate lines by their frequency within a site.
 
-A page's lines are what stands between its tags. For each host the share of its pages
-that contain a line is taken; lines on at least ``RATIO`` of a host's pages, and on at
-least ``PAGES`` of them, are dropped from all its pages. A host has at most (lines of
-a page) / ``RATIO`` such lines, so a page meets them as one array of its host.
+A page's lines are what stands between its tags. For each line of a host the pages that
+contain it are divided by the host's pages, the page in question left out of both: lines that more
+than ``RATIO`` of a page's fellow pages contain are dropped from all pages of the host. So a host of one page,
+which has no fellows, keeps its lines, and one rule holds for hosts of any size. A host has about (lines of
+a page) / ``RATIO`` such lines at most, so a page meets them as one array of its host.
 
 DataFrame functions only. Counts are partial before they are shuffled, so a host or
 a line of any frequency costs a row for each task.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from wavefix.llm.common import saved
 
-RATIO, PAGES = 0.3, 3
+RATIO = 0.3
 
 #: Fixed patterns: parts that are not text, tags, and the host of a URL.
 NOT_TEXT = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->"
@@ -40,12 +41,13 @@ def host_of(url: Column) -> Column:
     return F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), HOST, 1)
 
 
-def line_dedup(spark: SparkSession, pages: DataFrame, ratio: float = RATIO, least: int = PAGES) -> DataFrame:
+def line_dedup(spark: SparkSession, pages: DataFrame, ratio: float = RATIO) -> DataFrame:
     """(page_id, host, lines, kept) for each row of ``pages`` (page_id, url, html)."""
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), lines_of(F.col("html")).alias("lines"))
+    rows = saved(spark, rows, "lines", compression="zstd")  # so that pages are parsed once
     total = rows.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
-    per = rows.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    common = per.join(total, "host").where(F.col("n") >= ratio * F.col("total")).groupBy("host").agg(F.collect_list("line").alias("common"))
+    per = rows.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    common = per.join(total, "host").where(F.col("n") - 1 > ratio * (F.col("total") - 1)).groupBy("host").agg(F.collect_list("line").alias("common"))
     common = saved(spark, common, "common-lines")
     out = rows.join(common, "host", "left")
     kept = F.filter("lines", lambda x: ~F.array_contains("common", x))
@@ -64,7 +66,7 @@ WITH p AS (
   FROM pages
 ), t AS (SELECT host, count(*) AS total FROM p GROUP BY 1), l AS (
   SELECT host, line, count(*) AS n FROM (SELECT page_id, host, unnest(list_distinct(w)) AS line FROM p) GROUP BY ALL
-), c AS (SELECT host, list(line) AS common FROM l JOIN t USING (host) WHERE n >= 3 AND n >= 0.3 * total GROUP BY 1), k AS (
+), c AS (SELECT host, list(line) AS common FROM l JOIN t USING (host) WHERE n - 1 > 0.3::DOUBLE * (total - 1) GROUP BY 1), k AS (
   SELECT page_id, host, w, CASE WHEN common IS NULL THEN w ELSE list_filter(w, lambda x: NOT list_contains(common, x)) END AS k FROM p LEFT JOIN c USING (host)
 )
 SELECT page_id, host, CAST(len(w) AS BIGINT) AS n_lines, CAST(len(w) - len(k) AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(k, chr(10)), '')) AS kept_sha256 FROM k
