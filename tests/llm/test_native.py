@@ -143,3 +143,47 @@ def test_findings_against_plain_python(spark):
                 want.add((i, "" if i % 5 == 0 else f"s{i % 2}", at, n, m[0], w[: m.start()], w[m.end() :], *near))
     rows = secret_scan.findings(df).select("doc_id", "path", "at", "n", "candidate", "lead", "tail", "name", "before", "after").collect()
     assert len(rows) == len(want) and {tuple(r) for r in rows} == want
+
+
+def plain_features(r, known):
+    """The features of one finding, by plain Python."""
+    c, classes = r["candidate"], {"lower": "[a-z]", "upper": "[A-Z]", "digit": "[0-9]", "sign": "[+/_=-]"}
+    per = lambda p: len(re.findall(p, c)) / len(c)
+    out = {"length": len(c), "digits": per("[0-9]"), "upper": per("[A-Z]"), "hex": per("[0-9a-fA-F]"), "vowels": per("[aeiouAEIOU]"), "repeats": len(re.findall(r"(.)\1", c)) / len(c)}
+    out |= {"dictionary": sum(len(x) for x in re.findall("[a-z]{4,}", c.lower()) if x in known) / len(c), "path_length": len(r["path"]), "path_example": float(bool(re.search("test|example|sample|doc|mock", r["path"].lower())))}
+    out |= {f"{a}_{b}": per(f"{classes[a]}(?={classes[b]})") for a in classes for b in classes}
+    for w in ("name", "before", "tail", "after"):
+        n = min(len(r[w]), 64)
+        out |= {f"{w}_length": n, f"{w}_letters": len(re.findall("[A-Za-z]", r[w][-64:])) / max(n, 1)}
+    return out
+
+
+def test_features_against_plain_python(spark):
+    rng = random.Random(5)
+    parts = ["internationalisation", "Az09+/_=-", "0123456789abcdef", "zzTOKEN", '":', "é", "aaaa1111", "x" * 70]
+    rows = [(i, " ".join("".join(rng.choices(parts, k=rng.randrange(1, 5))) for _ in range(8)), rng.choice([None, "", "docs/a", "Test", "src"])) for i in range(60)]
+    found = secret_scan.findings(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    known = {"internationalisation", "abcdef", "token"}
+    got = secret_scan.described(found, spark.createDataFrame([(x,) for x in known], "run string")).collect()
+    assert len(got) == found.count() > 100
+    for r in got:
+        want = plain_features(r, known)
+        assert {f"f_{k}" for k in want} == set(secret_scan.FEATURES)
+        assert all(abs(r[f"f_{k}"] - v) < 1e-12 for k, v in want.items()), r
+
+
+def test_labels_are_drawn_alike_from_any_layout(spark):
+    rows = [(i, i % 7, i % 3 == 0) for i in range(3000)] + [(5, 5, True), (5, 5, False), (9, 2, None)]
+    labels = spark.createDataFrame(rows, "doc_id long, at int, secret boolean")
+    draw = lambda df, n: sorted(tuple(r) for r in secret_scan.drawn(df, ["doc_id", "at"], n).collect())
+    some = draw(labels, 300)
+    assert len(some) == 300 and some == draw(labels.repartition(17, "at"), 300)
+    everything = draw(labels, 5000)
+    assert len(everything) == 3000 and (5, 5, True) in everything and set(some) <= set(everything)
+    assert draw(labels.where("false"), 5) == []
+
+
+def test_repeated_rows_repeat_their_findings(spark):
+    docs = spark.createDataFrame(texts()[:8], "doc_id long, text string, source string")
+    once, twice = (secret_scan.scored(f, secret_scan.labelled(f)).groupBy("doc_id", "at", "n", "secret").count().collect() for f in (secret_scan.findings(docs), secret_scan.findings(docs.union(docs))))
+    assert {(*r[:4], 2 * r["count"]) for r in once} == {tuple(r) for r in twice}

@@ -14,7 +14,7 @@ letters and digits; a candidate far from such names or in the place of a name is
 assignments, quotes) is no feature, so the forest has to find secrets by other signs. The operator takes any labels.
 
 Defined results: a null or empty text has no candidates; a word with several gives them
-all, numbered by ``n``; labels without ``n`` hold for all candidates of a word; without labels of both classes the score is the share of secrets among the labels
+all, numbered by ``n``; a finding labelled both ways counts as a secret; labels without ``n`` hold for all candidates of a word; without labels of both classes the score is the share of secrets among the labels
 (0 without any); rows that repeat a document repeat its findings; an empty table gives
 no rows; a null path counts as empty; other columns are ignored.
 """
@@ -123,14 +123,14 @@ def described(found: DataFrame, known: DataFrame) -> DataFrame:
     }
     features |= {f"f_{a}_{b}": _count(c, f"{CLASSES[a]}(?={CLASSES[b]})") / n for a in CLASSES for b in CLASSES}
     for w in BESIDE:
-        x = _key() if w == "key" else F.col(w)
+        x = F.col(w)
         features |= {f"f_{w}_length": size(x), f"f_{w}_letters": _count(F.right(x, F.lit(LONGEST)), "[A-Za-z]") / F.greatest(size(x), F.lit(1.0))}
     return found.join(covered(found, known), "candidate", "left").select(*found.columns, *(v.alias(k) for k, v in features.items()))
 
 
-#: Classes of characters, and the words whose shape counts; ``key`` is what a separator before the value begins.
+#: Classes of characters, and the words whose shape counts.
 CLASSES = {"lower": "[a-z]", "upper": "[A-Z]", "digit": "[0-9]", "sign": "[+/_=-]"}
-BESIDE = ("name", "before", "key", "tail", "after")
+BESIDE = ("name", "before", "tail", "after")
 FEATURES = [
     *(f"f_{x}" for x in ("length", "digits", "upper", "hex", "vowels", "repeats", "dictionary", "path_length", "path_example")),
     *(f"f_{a}_{b}" for a in CLASSES for b in CLASSES), *(f"f_{w}_{x}" for w in BESIDE for x in ("length", "letters")),
@@ -148,11 +148,23 @@ def labelled(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "at", "n", F.when(names, False).when(owned & (_quoted() | mixed), True).when(~near, False).alias("secret"))
 
 
+def drawn(labels: DataFrame, key: list[str], bound: int) -> DataFrame:
+    """(key, secret): at most ``bound`` labelled findings, those of least hash; a finding with labels of both kinds is a secret.
+
+    Where there are more than twice as many, hashes beyond a threshold are left out first, so that a task sends few rows whatever the number of tasks.
+    """
+    own = labels.where("secret IS NOT NULL").groupBy(*key).agg(F.max("secret").alias("secret"))
+    n, steps = own.count(), 1 << 40
+    if n > 2 * bound:
+        own = own.where(F.pmod(F.xxhash64(*key), F.lit(steps)) < int(steps * (bound + 8 * bound**0.5 + 64) / n))
+    return own.orderBy(F.pmod(F.xxhash64(*key), F.lit(steps)), *key).limit(bound)
+
+
 def scored(found: DataFrame, labels: DataFrame, bound: int = LABELLED, known: DataFrame | None = None) -> DataFrame:
     """Findings with score and secret; ``labels`` are (doc_id, at, n, secret); ``known`` is the dictionary, by default of the findings' own words."""
     rows = described(found, dictionary(found.select(F.col("candidate").alias("text"))) if known is None else known)
     key = [x for x in ("doc_id", "at", "n") if x in labels.columns]
-    sample = labels.where("secret IS NOT NULL").dropDuplicates(key).orderBy(F.xxhash64(*key), *key).limit(bound)
+    sample = drawn(labels, key, bound)
     counts = {r["secret"]: r["n"] for r in sample.groupBy("secret").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         out = rows.withColumn("score", F.lit(1.0 if True in counts else 0.0))
@@ -176,6 +188,6 @@ def redacted(docs: DataFrame, rows: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = saved(spark, findings(docs), "findings")
-    known = found.where(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 != 0)
+    known = found.where(F.crc32(F.col("candidate").cast("binary")) % 5 != 0)  # by value: copies of a held-out one are held out too
     rows = scored(found, labelled(known), known=saved(spark, dictionary(docs), "dictionary"))
     return rows.select("doc_id", F.col("at").cast("long").alias("word_index"), F.col("n").cast("long").alias("candidate_index"), F.length("candidate").cast("long").alias("n_chars"), F.sha2(F.col("candidate").cast("binary"), 256).alias("candidate_sha256"), "score", "secret")
