@@ -15,7 +15,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from wavefix.llm import decontamination, exact_dedup, near_dedup, packing, phrase_dedup, quality, suffix_dedup, token_output
+from wavefix.llm import decontamination, exact_dedup, near_dedup, packing, phrase_dedup, quality, suffix_dedup, token_output, tokens
 from wavefix.llm.common import keyed, window_minima
 from wavefix.llm.tokens import PieceEncoder, vocabulary
 
@@ -459,6 +459,41 @@ def test_encoder_equals_the_tokenizer():
             assert e.ids(t).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def odd_texts(n=300, seed=5):
+    """Texts of marks, cases, blanks, combining and long words, in which words recur."""
+    rng = random.Random(seed)
+    bits = ["A", "it", "It's", "'s", "don't,", "x'S", "..'re", "J\u030c", "E\u0301,", "e\u0301", "É", "ΣΑΣ,", "12", "3,4", "a1!b", "\x00", "\x7f", "w" * 23, "w" * 24, "w" * 25, "W" * 60 + "!", "한국,", "I\u0307", "İ!", "_", "(K)"]
+    return ["".join(rng.choice([*bits, " ", " ", "\n", "  ", " \n", "\t\t"]) for _ in range(rng.randrange(1, 80))) for _ in range(n)]
+
+
+def test_encoder_of_many_texts_equals_the_tokenizer(monkeypatch):
+    """Together, with and without what is remembered, and when no more is."""
+    texts = [*odd_texts(), "", " ", "\n\n", "a\u2003b", "<|endoftext|>!", *[t or "" for t in TEXTS[:30]]]
+    for most in (1 << 20, 40):
+        monkeypatch.setattr(tokens, "WORDS", most)
+        for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+            e = PieceEncoder(vocabulary(name))
+            e.words.new.most = 30
+            want = [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+            for _ in range(3):
+                assert [x.tolist() for x in e.all_ids(texts)] == want
+                assert [x.tolist() for t in texts for x in e.all_ids([t])] == want
+            assert len(e.words.h) >= 30
+
+
+def test_encoder_remembers_little():
+    """A worker's memory of a million words and the newest takes under 100 bytes each; long words are never kept."""
+    e = PieceEncoder(vocabulary("byte_bpe_50k.json"))
+    rng = np.random.default_rng(3)
+    for _ in range(12):
+        words = ["".join(map(chr, 97 + rng.integers(0, 26, 9))) for _ in range(20_000)]
+        list(e.all_ids([" ".join(words), " ".join(w * 5 for w in words[:2000])]))
+    held = [e.words.h, *e.words.keys, e.words.begin, e.words.count, e.words.flat]
+    assert len(e.words.h) > 150_000 and sum(x.nbytes for x in held) < 100 * len(e.words.h)
+    assert max(e.words.keys[0]) <= tokens.LONGEST and all(len(x) <= tokens.LONGEST for x in e.words.new)
+    assert len(e.words.new) <= e.words.new.most <= max(1 << 14, len(e.words.h) // 8)
+
+
 def test_packing(spark):
     path = vocabulary("byte_bpe_50k.json")
     rows = packing.packed(spark, documents(spark, TEXTS), path).collect()

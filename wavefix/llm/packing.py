@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,18 +81,22 @@ def slots(patterns: list[tuple[list[int], int]]) -> tuple[pd.DataFrame, int]:
 def pieces(docs: DataFrame, path: str, size: int) -> DataFrame:
     """(key, piece, start, length, ids_crc32, doc_tokens): each document's ids cut at multiples of ``size``."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of = encoder(path).ids
+    names = ["key", "start", "length", "ids_crc32", "doc_tokens"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_ids = encoder(path).all_ids
         end = np.array([END], "<u4")
-        for pdf in batches:
+        for batch in batches:
             out: list[tuple] = []
-            for key, text in zip(pdf["key"], pdf["text"], strict=True):
-                ids = np.concatenate((ids_of(text), end))
+            texts = (x.as_py() for x in batch.column("text"))  # a megabyte of them at a time
+            for key, ids in zip(batch.column("key").to_pylist(), all_ids(texts), strict=True):
+                ids = np.concatenate((ids, end))
                 data = memoryview(ids.tobytes())
                 out += [(key, at, min(size, len(ids) - at), zlib.crc32(data[4 * at : 4 * (at + size)]), len(ids)) for at in range(0, len(ids), size)]
-            yield pd.DataFrame(out, columns=["key", "start", "length", "ids_crc32", "doc_tokens"])
+            columns = np.array(out, np.int64).reshape(-1, len(names)).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], names)
 
-    return docs.mapInPandas(cut, "key long, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.mapInArrow(cut, ", ".join(f"{x} long" for x in names))
 
 
 def ranked(df: DataFrame, by: str, key: str, blocks: int) -> DataFrame:
