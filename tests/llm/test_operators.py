@@ -481,6 +481,18 @@ def test_encoder_of_many_texts_equals_the_tokenizer(monkeypatch):
             assert len(e.words.h) >= 30
 
 
+def test_words_are_encoded_once_whatever_their_marks_and_case():
+    for name, text, want in (
+        ("word_bpe_49k.json", "alpha beta, ALPHA; Beta. Alpha! (beta", [b"!", b"(beta", b",", b".", b";", b"alpha", b"beta"]),
+        ("byte_bpe_50k.json", " alpha beta, alpha; beta. alpha!\nbeta", [b"\nbeta", b" alpha", b" beta", b"!", b",", b".", b";"]),
+    ):
+        e, asked = PieceEncoder(vocabulary(name)), []
+        e.words.new.make = lambda word, asked=asked, e=e: asked.append(word) or e.encode(word)
+        for _ in range(2):
+            assert [x.tolist() for x in e.all_ids([text, text])] == [e.tokenizer.encode(text, add_special_tokens=False).ids] * 2
+        assert sorted(asked) == want
+
+
 def test_encoder_remembers_little():
     """A worker's memory of a million words and the newest takes under 100 bytes each; long words are never kept."""
     e = PieceEncoder(vocabulary("byte_bpe_50k.json"))

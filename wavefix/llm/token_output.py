@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -59,8 +60,9 @@ class WaveletMatrix:
             ones = np.bitwise_count(plane.view(np.uint64)).reshape(-1, STEP // 64).sum(axis=1, dtype=np.uint32)
             planes.append(plane)
             ranks.append(np.concatenate(([0], np.cumsum(ones, dtype=np.uint32)[:-1])).astype(np.uint32))
-            zeros.append(int(len(bits) - bits.sum()))
-            values = np.concatenate((np.compress(~bits, values), np.compress(bits, values)))
+            zeros.append(len(bits) - int(np.count_nonzero(bits)))
+            if level:  # nothing is below the last plane
+                values = np.concatenate((np.compress(~bits, values), np.compress(bits, values)))
         return cls(len(values), planes, ranks, zeros)
 
     def _bits(self, k: int) -> np.ndarray:
@@ -174,7 +176,9 @@ def from_file(data: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
 def written(spark: SparkSession, docs: DataFrame, path: str, shard_tokens: int = 1 << 20) -> DataFrame:
     """Write all documents (doc_id, text) and return the table of shards: part, seq, first_key, n_docs, n_tokens, file."""
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = {"part": pa.int32(), "seq": pa.int32(), "first_key": pa.int64(), "n_docs": pa.int64(), "n_tokens": pa.int64(), "file": pa.binary()}
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = encoder(path)
         levels = max(1, (use.tokenizer.get_vocab_size() - 1).bit_length())
         part, seq = TaskContext.get().partitionId(), 0
@@ -183,14 +187,16 @@ def written(spark: SparkSession, docs: DataFrame, path: str, shard_tokens: int =
         held = 0
         end = np.array([END], "<u4")
 
-        def shard() -> pd.DataFrame:
+        def shard() -> pa.RecordBatch:
             lengths = np.array([len(x) for x in parts])
             file = to_file(np.array(keys), lengths, WaveletMatrix.build(np.concatenate(parts), levels))
-            return pd.DataFrame({"part": [part], "seq": [seq], "first_key": [keys[0]], "n_docs": [len(keys)], "n_tokens": [held], "file": [file]})
+            row = (part, seq, keys[0], len(keys), held, file)
+            return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds.values(), strict=True)], list(kinds))
 
-        for pdf in batches:
-            for key, text in zip(pdf["key"], pdf["text"], strict=True):
-                ids = np.concatenate((use.ids(text), end))
+        for batch in batches:
+            texts = (x.as_py() for x in batch.column("text"))  # a megabyte of them at a time
+            for key, ids in zip(batch.column("key").to_pylist(), use.all_ids(texts), strict=True):
+                ids = np.concatenate((ids, end))
                 keys.append(key)
                 parts.append(ids)
                 held += len(ids)
@@ -201,7 +207,7 @@ def written(spark: SparkSession, docs: DataFrame, path: str, shard_tokens: int =
             yield shard()
 
     dealt = keyed(docs).repartitionByRange(partitions(spark), "key").sortWithinPartitions("key", "text")
-    shards = dealt.mapInPandas(encode, "part int, seq int, first_key long, n_docs long, n_tokens long, file binary")
+    shards = dealt.mapInArrow(encode, "part int, seq int, first_key long, n_docs long, n_tokens long, file binary")
     return saved(spark, shards, "tokens", compression="zstd")
 
 
