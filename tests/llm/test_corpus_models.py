@@ -8,11 +8,14 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
 from wavefix.llm import collocations, piece_encoding, whitening
+from wavefix.llm.common import bounded_batches
 from wavefix.llm.tokens import vocabulary
 
 CLASH = ("key", "x", "digest", "weight", "times", "chunk", "n", "dims", "phrase", "ids", "part")
@@ -210,3 +213,33 @@ def test_arithmetic_beyond_64_bits(spark):
 
 def test_no_documents(spark):
     assert collocations.collocations(spark, spark.createDataFrame([], "text string, lang string")).count() == 0
+
+
+def test_collocations_blocks_are_met_one_by_one(spark, monkeypatch, tmp_path):
+    """Blocks of the dictionary are read a few at a time, and a block sends one frame to any number of shards."""
+    monkeypatch.setattr(collocations, "BLOCK", 1 << 20)
+    texts = [(" ".join(f"w{i * 7919 % 50021}x{j}" for j in range(400)), "en") for i in range(2500)]
+    cut = collocations.blocks(collocations.parsed(spark.createDataFrame(texts, "text string, lang string")).coalesce(1))
+    cut.write.options(**{**collocations.PAGES, "parquet.block.size": str(1 << 20)}).parquet(str(tmp_path / "cut"))
+    (file,) = (tmp_path / "cut").glob("*.parquet")
+    groups = pq.ParquetFile(file).metadata
+    assert groups.num_rows >= 5 and groups.num_row_groups >= 2
+
+    def sizes(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    with bounded_batches(spark, 1 << 20):
+        assert {r["n"] for r in spark.read.parquet(str(tmp_path / "cut")).mapInPandas(sizes, "n long").collect()} <= {1, 2}
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None
+    row = pq.read_table(file).slice(0, 1).to_pylist()[0]
+    sent = collocations._submissions(collocations.Block(row), row["block"], 600, 1, 2)
+    assert sorted(sent["target"]) == list(sent["target"]) and sent["target"].nunique() == len(sent) > 500 and set(sent["block"]) == {row["block"]}
+
+
+def test_collocations_slices_of_a_batch_count_together(spark, monkeypatch):
+    docs = [("a b c d e f g h. " * 20, "en"), (None, "en"), ("a b c " * 50, None), ("x", "de")] * 3
+    df = spark.createDataFrame(docs, "text string, lang string").coalesce(1)
+    want = sorted(map(tuple, collocations.parsed(df, 2).collect()))
+    monkeypatch.setattr(collocations, "SLICE", 40)
+    assert sorted(map(tuple, collocations.parsed(df, 2).collect())) == want and want

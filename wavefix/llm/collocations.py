@@ -29,15 +29,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wavefix.llm.common import gram_hashes, mix, partitions, routed, saved, scratch, squeezed, unsqueezed, word_hashes
+from wavefix.llm.common import bounded_batches, gram_hashes, mix, partitions, routed, saved, scratch, squeezed, unsqueezed, word_hashes
 
 LONGEST = 4
 OVERLAP = LONGEST - 1
 LEAST = 30
 #: Words between cuts, on average.
 PERIOD = 16
-#: Bytes of texts parsed at once, and of chunks in a block of the dictionary.
-BATCH, BLOCK = 1 << 22, 4 << 20
+#: Bytes of texts whose chunks are counted together, of those parsed at once, and of chunks in a block of the dictionary.
+BATCH, SLICE, BLOCK = 1 << 22, 1 << 18, 4 << 20
+#: Blocks are written a page each and a few to a row group: Parquet would otherwise hold a hundred rows before it looks at their size.
+PAGES = {"compression": "zstd", "parquet.block.size": str(1 << 22), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 #: Bits of the hashes that put rare phrases aside.
 BITS = 48
 
@@ -107,14 +109,17 @@ def parsed(docs: DataFrame, period: int = PERIOD) -> DataFrame:
         for batch in batches:
             texts = batch.column("text")
             sizes = np.cumsum(pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
+            until = lambda at, size: max(at + 1, int(np.searchsorted(sizes, size + (sizes[at - 1] if at else 0), "right")))  # noqa: E731, B023  (a longer text comes alone)
             at = 0
-            while at < len(texts):  # about BATCH bytes; a longer text comes alone
-                to = max(at + 1, int(np.searchsorted(sizes, BATCH + (sizes[at - 1] if at else 0), "right")))
-                chunk, text, last = _chunks(texts.slice(at, to - at), period)
-                table = pa.table({"lang": batch.column("lang").slice(at, to - at).take(pa.array(text)), "chunk": chunk, "last": last, "times": np.ones(len(chunk), np.int64)})
-                for part in table.group_by(["lang", "chunk", "last"]).aggregate([("times", "sum")]).to_batches(20_000):
+            while at < len(texts):
+                end, parts = min(until(at, BATCH), len(texts)), []
+                while at < end:
+                    to = min(until(at, SLICE), end)
+                    chunk, text, last = _chunks(texts.slice(at, to - at), period)
+                    parts.append(pa.table({"lang": batch.column("lang").slice(at, to - at).take(pa.array(text)), "chunk": chunk, "last": last, "times": np.ones(len(chunk), np.int64)}))
+                    at = to
+                for part in pa.concat_tables(parts).group_by(["lang", "chunk", "last"]).aggregate([("times", "sum")]).to_batches(20_000):
                     yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("chunk").cast(pa.binary()), part.column("last"), part.column("times_sum")], names=["lang", "chunk", "last", "times"])
-                at = to
 
     rows = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     return rows.mapInArrow(parse, CHUNK).groupBy("lang", "chunk", "last").agg(F.sum("times").alias("times"))
@@ -168,13 +173,13 @@ class Block:
         self.ends = np.flatnonzero(self.data == 0x20)
         self.starts = np.concatenate(([0], self.ends[:-1] + 1))
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.ends), [None, pa.py_buffer(np.append(self.starts, len(self.data)).tobytes()), pa.py_buffer(self.data)]).dictionary_encode()
-        self.chunk = np.repeat(np.arange(len(sizes)), np.diff(np.searchsorted(self.ends, np.concatenate(([0], np.cumsum(sizes))))))
-        count = np.bincount(self.chunk, minlength=len(sizes))
+        count = np.diff(np.searchsorted(self.ends, np.concatenate(([0], np.cumsum(sizes)))))
         place = np.arange(len(self.ends)) - np.repeat(np.cumsum(count) - count, count)
         # Where phrases start that belong to the chunk, how many words follow, and how often the chunk was parsed.
-        self.left = count[self.chunk] - place
-        self.owned = place < (count - np.where(last, 0, OVERLAP))[self.chunk]
-        self.times, self.lang = times[self.chunk], lang[self.chunk]
+        self.left = (np.repeat(count, count) - place).astype(np.int32)
+        self.owned = place < np.repeat(count - np.where(last, 0, OVERLAP), count)
+        del place
+        self.times, self.lang = np.repeat(times, count), np.repeat(lang, count)
         self.units, first = pd.factorize(words.indices.to_numpy().astype(np.int64) * len(self.langs) + self.lang)
         own = word_hashes(np.frombuffer(words.dictionary.buffers()[2], np.uint8), (edges := np.frombuffer(words.dictionary.buffers()[1], np.int64)[: len(words.dictionary) + 1])[:-1], edges[1:])
         names = np.array([int.from_bytes(hashlib.blake2b(x.encode("utf-8"), digest_size=8).digest(), "little") for x in self.langs], np.uint64)
@@ -190,8 +195,8 @@ class Block:
     def _numbered(self, n: int, where: np.ndarray) -> np.ndarray:
         """Exact numbers of the phrases of n words that start at ``where``, by those of n - 1 words."""
         width = int(self.units.max(initial=0)) + 1
-        codes = np.zeros(len(self.units), np.int64)
-        codes[where] = pd.factorize(self.codes[n - 1][where] * width + self.units[where + n - 1])[0]
+        codes = np.zeros(len(self.units), np.int32)
+        codes[where] = pd.factorize(self.codes[n - 1][where].astype(np.int64) * width + self.units[where + n - 1])[0]
         return codes
 
     def _count(self, n: int, where: np.ndarray) -> None:
@@ -265,19 +270,20 @@ def _answered(sent: DataFrame, least: int, shards: int) -> DataFrame:
         hashes = [np.cumsum(unsqueezed([r.hashes], "<u8"), dtype=np.uint64) for r in rows]
         codes, distinct = pd.factorize(np.concatenate(hashes))
         much = np.bincount(codes, unsqueezed([r.counts for r in rows], "<i8"), len(distinct)) >= least
-        for r, flags in zip(rows, np.split(much[codes], np.cumsum([len(h) for h in hashes])[:-1]), strict=True):
-            yield pd.DataFrame({"block": [r.block], "target": [r.target], "bits": [np.packbits(flags).tobytes()]})
+        bits = [np.packbits(flags).tobytes() for flags in np.split(much[codes], np.cumsum([len(h) for h in hashes])[:-1])]
+        yield pd.DataFrame({"block": [r.block for r in rows], "target": [r.target for r in rows], "bits": bits})
 
     said = routed(sent, shards, "block").mapInPandas(answer, "block long, target int, bits binary")
     return said.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("target", "bits"))).alias("answers"))
 
 
-def _submissions(block: Block, number: int, shards: int, *lengths: int) -> Iterator[pd.DataFrame]:
+def _submissions(block: Block, number: int, shards: int, *lengths: int) -> pd.DataFrame:
+    """A row for each shard that gets hashes of the block."""
     hashes, counts, _ = block.submitted(*lengths)
     target = _target(hashes, shards)
-    cuts = np.flatnonzero(np.concatenate(([True], target[1:] != target[:-1], [True]))) if len(target) else [0]
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        yield pd.DataFrame({"target": [np.int32(target[a])], "block": [number], "hashes": [squeezed(np.diff(hashes[a:b], prepend=np.uint64(0)))], "counts": [squeezed(counts[a:b])]})
+    cuts = np.flatnonzero(np.concatenate(([True], target[1:] != target[:-1], [True]))) if len(target) else np.zeros(1, np.int64)
+    parts = list(zip(cuts[:-1], cuts[1:], strict=True))
+    return pd.DataFrame({"target": target[cuts[:-1]].astype(np.int32), "block": np.full(len(parts), number, np.int64), "hashes": [squeezed(np.diff(hashes[a:b], prepend=np.uint64(0))) for a, b in parts], "counts": [squeezed(counts[a:b]) for a, b in parts]})
 
 
 SENT = "target int, block long, hashes binary, counts binary"
@@ -290,7 +296,7 @@ def counted(spark: SparkSession, dictionary: DataFrame, least: int = LEAST) -> D
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.to_dict("records"):
-                yield from _submissions(Block(row), row["block"], shards, 1, 2)
+                yield _submissions(Block(row), row["block"], shards, 1, 2)
 
     def extended(row: dict) -> tuple[Block, dict[int, np.ndarray]]:
         """The block with those longer phrases whose pairs are all frequent."""
@@ -307,7 +313,7 @@ def counted(spark: SparkSession, dictionary: DataFrame, least: int = LEAST) -> D
     def longer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.to_dict("records"):
-                yield from _submissions(extended(row)[0], row["block"], shards, 3, 4)
+                yield _submissions(extended(row)[0], row["block"], shards, 3, 4)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,8 +325,8 @@ def counted(spark: SparkSession, dictionary: DataFrame, least: int = LEAST) -> D
                     for at in range(0, out.num_rows, 20_000):
                         yield out.slice(at, 20_000)
 
-    with scratch(spark, "phrases") as kept:
-        cut = kept(blocks(dictionary), compression="zstd")
+    with scratch(spark, "phrases") as kept, bounded_batches(spark):
+        cut = kept(blocks(dictionary), **PAGES)
         one = kept(_answered(cut.mapInPandas(pairs, SENT), least, shards)).withColumnRenamed("answers", "pairs")
         both = cut.join(one, "block", "left")
         two = kept(_answered(both.mapInPandas(longer, SENT), least, shards)).withColumnRenamed("answers", "longer")
@@ -367,7 +373,7 @@ def ranked(candidates: DataFrame, most: int, groups: int) -> DataFrame:
 
 def collocations(spark: SparkSession, docs: DataFrame, least: int = LEAST, most: int = 2000, period: int = PERIOD) -> DataFrame:
     """Each language's first phrases of documents (text, lang): (lang, rank, phrase, a, l, r, n, score)."""
-    with scratch(spark, "parse") as kept:
+    with scratch(spark, "parse") as kept, bounded_batches(spark):
         dictionary = kept(parsed(docs, period), compression="zstd")
         counts = counted(spark, dictionary, least)
         n = saved(spark, totals(dictionary), "totals")

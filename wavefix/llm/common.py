@@ -66,6 +66,21 @@ def scratch(spark: SparkSession, name: str) -> Iterator[Callable[..., DataFrame]
         removed(spark, root)
 
 
+@contextmanager
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
+    """While it holds, what is executed gets Arrow batches of about ``size`` bytes, or one longer row; else rows of megabytes come by the thousand."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session: they set how many shards and blocks the operators use."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
