@@ -165,3 +165,24 @@ def test_stream_equals_table(spark, house, plan, tmp_path):
     want = {r["event_id"]: (round(r["x"], 2), round(r["y"], 2), r["floor"], r["confidence"]) for r in cycle.trajectories(flat, plan, space.grid(plan)).collect()}
     assert got.keys() == want.keys() and len(got) > 20
     assert all(got[k][2:] == want[k][2:] and got[k][:2] == pytest.approx(want[k][:2], abs=0.011) for k in want)
+
+
+def test_beacons_side_by_side_do_as_each_alone(spark, house, plan, monkeypatch):
+    """Which beacons go together, and how many cycles wait for it, changes no result; a step of the table equals one of the live cycle bit by bit."""
+    rows = []
+    for b in range(1, 8):
+        for k in range(3 + 4 * b):
+            rows += [(10_000 * b + 10 * k + i, b, t / (1 + b % 3), a, s) for i, (_, _, t, a, s) in enumerate(still(house, plan, b, 3.0 * k, 3.0 + 1.5 * b, 5.0 + 2 * b, 1 + (b + k // 9) % 3, 0)[: 9 - k % 3])]
+    df = spark.createDataFrame(rows, FIELDS).join(layout.anchors(plan).select("anchor_id", "anchor_idx"), "anchor_id").cache()
+    cells = space.grid(plan).cache()
+    run = lambda: {r["event_id"]: tuple(r) for r in cycle.trajectories(df, plan, cells).collect()}
+    want = run()
+    monkeypatch.setattr(cycle, "ABREAST", 1)
+    assert run() == want and len(want) == sum(3 + 4 * b for b in range(1, 8))
+    monkeypatch.setattr(cycle, "ABREAST", 3)
+    monkeypatch.setattr(cycle, "WAITING", 5)
+    assert run() == want
+    number = {r["anchor_id"]: r["anchor_idx"] for r in layout.anchors(plan).collect()}
+    alone = {b: Beacon(house, b) for b in range(1, 8)}
+    got = {e: alone[b].reading(e, number[a], t, s) for e, b, t, a, s in sorted(rows, key=lambda r: (r[1], r[2], r[0]))}
+    assert {e: (r["x"], r["y"], r["floor"], r["confidence"], r["n_eff"]) for e, r in got.items() if r is not None} == {e: r[2:] for e, r in want.items()}

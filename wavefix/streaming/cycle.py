@@ -7,8 +7,8 @@ was due. Silent beacons cost nothing. State is forgotten by a time to live (proc
 watermark has passed a beacon's last reading by ``idle`` seconds (event time). Rooms, zones and activity are
 joined to the records as columns.
 
-A beacon's readings of one micro-batch are put in order in memory; the source's rate bounds them. The same processor runs
-over a table (``trajectories``), where Spark sorts the rows and nothing is gathered.
+A beacon's readings of one micro-batch are put in order in memory; the source's rate bounds them. Over a table (``trajectories``)
+Spark sorts the rows, and the same steps move many beacons on side by side; no state is stored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from wavefix.functions import constants as K
 from wavefix.functions.signal import activity, activity_score
 from wavefix.operators import space
-from wavefix.operators.beacon import Beacon, Heard, House
+from wavefix.operators.beacon import Beacon, Fleet, Heard, House
 from wavefix.sources import layout
 from wavefix.streaming import live
 
@@ -39,11 +39,11 @@ CLOUD = "x array<double>, y array<double>, floor array<int>, w array<double>, co
 class Cycle(StatefulProcessor):
     """Readings (event_id, t, anchor_idx, rssi) of a beacon to its position records.
 
-    ``ttl_ms`` forgets by processing time, ``idle_s`` by event time; ``ordered`` says that rows come sorted by (t, event_id).
+    ``ttl_ms`` forgets by processing time, ``idle_s`` by event time.
     """
 
-    def __init__(self, house: House, n: int = K.PARTICLES, ttl_ms: int | None = None, idle_s: float | None = None, ordered: bool = False):
-        self.house, self.n, self.ttl_ms, self.idle_s, self.ordered = house, n, ttl_ms, idle_s, ordered
+    def __init__(self, house: House, n: int = K.PARTICLES, ttl_ms: int | None = None, idle_s: float | None = None):
+        self.house, self.n, self.ttl_ms, self.idle_s = house, n, ttl_ms, idle_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -64,30 +64,17 @@ class Cycle(StatefulProcessor):
             b.x, b.y, b.floor, b.w, b.cooldown = np.array(x), np.array(y), np.array(floor), np.array(w), np.array(cooldown)
         return b
 
-    def _batches(self, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if not self.ordered:
-            yield pd.concat(list(rows)).sort_values(["t", "event_id"])
-            return
-        last = None
-        for pdf in rows:
-            at = list(zip(pdf["t"], pdf["event_id"], strict=True))
-            if at != sorted(at) or (last is not None and at and at[0] < last):
-                raise ValueError("readings are not in order")
-            last = at[-1] if at else last
-            yield pdf
-
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         b, changed, cycled = self._loaded(int(key[0])), set(), False
-        for pdf in self._batches(rows):
-            out = []
-            for event_id, anchor, t, raw in zip(pdf["event_id"].tolist(), pdf["anchor_idx"].tolist(), pdf["t"].tolist(), pdf["rssi"].tolist(), strict=True):
-                record = b.reading(event_id, anchor, t, raw)
-                changed.add(anchor)
-                if record is not None:
-                    out.append({"beacon": b.number, **record})
-            if out:
-                cycled = True
-                yield pd.DataFrame(out)
+        out, pdf = [], pd.concat(list(rows)).sort_values(["t", "event_id"])
+        for event_id, anchor, t, raw in zip(pdf["event_id"].tolist(), pdf["anchor_idx"].tolist(), pdf["t"].tolist(), pdf["rssi"].tolist(), strict=True):
+            record = b.reading(event_id, anchor, t, raw)
+            changed.add(anchor)
+            if record is not None:
+                out.append({"beacon": b.number, **record})
+        if out:
+            cycled = True
+            yield pd.DataFrame(out)
         for a in b.heard if cycled else changed:  # a cycle notes every anchor's strength
             h = b.heard[a]
             self.anchors.updateValue((a,), (h.event_id, h.t, h.raw, *h.state, h.was, h.past))
@@ -142,11 +129,49 @@ def positions(readings: DataFrame, path: str, checkpoint: str, house: House | No
     return live.into(records(cycles(readings, house, plan, **how), house, plan), path, checkpoint)
 
 
+#: Beacons that a task moves on side by side, and the most cycles of theirs that wait for it.
+ABREAST, WAITING = 32, 200_000
+PLACE = "event_id long, beacon long, x double, y double, floor int, confidence double, n_eff double"
+
+
+def _sailed(house: House, waiting: list[tuple[Beacon, list[tuple]]]) -> Iterator[pd.DataFrame]:
+    """The cycles that wait of some beacons, those of each in turn."""
+    waiting = sorted((w for w in waiting if w[1]), key=lambda w: -len(w[1]))
+    if not waiting:
+        return
+    fleet, counts, out = Fleet(house, [b for b, _ in waiting]), np.array([len(due) for _, due in waiting]), []
+    for k in range(counts[0]):
+        m = int((counts > k).sum())
+        event_id, cycle, dt, heard, live = zip(*(due[k] for _, due in waiting[:m]), strict=True)
+        n_eff, x, y, floor, confidence = fleet.step(cycle, np.array(heard), np.array(live), np.array(dt))
+        out.append((event_id, [b.number for b, _ in waiting[:m]], x, y, floor, confidence, np.round(n_eff, 1)))
+    fleet.back()
+    yield pd.DataFrame({n: np.concatenate(v) for n, v in zip([c.split()[0] for c in PLACE.split(", ")], zip(*out, strict=True), strict=True)})
+
+
 def trajectories(readings: DataFrame, plan: DataFrame, cells: DataFrame, n: int = K.PARTICLES, walls: DataFrame | None = None) -> DataFrame:
-    """The same processor over a table of readings (beacon, event_id, t, anchor_idx, rssi): (event_id, beacon, x, y, floor, confidence, n_eff) of each cycle."""
+    """The same cycles over a table of readings (beacon, event_id, t, anchor_idx, rssi): (event_id, beacon, x, y, floor, confidence, n_eff) of each."""
     spark: SparkSession = readings.sparkSession
-    spark.streams.active  # noqa: B018  (the state store's coordinator starts with it)
-    house = House.of(plan, cells, walls)
-    rows = readings.select("beacon", "event_id", "t", "anchor_idx", "rssi").repartition("beacon").sortWithinPartitions("beacon", "t", "event_id")
-    out = rows.groupBy("beacon").transformWithStateInPandas(Cycle(house, n, ordered=True), RECORD, "append", "none")
-    return out.select("event_id", "beacon", "x", "y", "floor", "confidence", "n_eff")
+    house, abreast, most = House.of(plan, cells, walls), ABREAST, WAITING
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list[tuple[Beacon, list[tuple]]] = []
+        b, held, anchors = None, 0, list(house.anchors)
+        for pdf in batches:
+            for number, event_id, anchor, t, raw in zip(*(pdf[c].tolist() for c in ("beacon", "event_id", "anchor_idx", "t", "rssi")), strict=True):
+                if b is None or b.number != number or held >= most:
+                    if held >= most or len(waiting) >= abreast:
+                        yield from _sailed(house, waiting)
+                        waiting, held = [], 0
+                    b = b if b is not None and b.number == number else Beacon(house, number, n)
+                    waiting.append((b, []))
+                due = b.taken(event_id, anchor, t, raw)
+                if due is not None:
+                    dt, live = due
+                    waiting[-1][1].append((event_id, b.cycles, dt, [live[a].x if a in live else 0.0 for a in anchors], [a in live for a in anchors]))
+                    held += 1
+        yield from _sailed(house, waiting)
+
+    rows = readings.select("beacon", "event_id", "t", "anchor_idx", F.col("rssi").cast("double").alias("rssi"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, "beacon").sortWithinPartitions("beacon", "t", "event_id").mapInPandas(follow, PLACE)
