@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
@@ -117,3 +118,46 @@ def test_forest_on_enlarged_samples(spark):
     assert {r["name"] for r in top} == {"f0", "f1"}
     alone = spark.createDataFrame([(0, "z1"), (1, "z0"), (2, "z0")], "sample_id int, label string")
     assert len(zones.cross_validated(vectors, alone, 2, trees=5, depth=3).collect()) == 3
+
+
+def test_trees_split_as_plain_search_does():
+    """The first split is the best of the chosen features, leaves keep their least rows, and deep trees know what can be known."""
+    import numpy as np
+
+    from wavefix.operators import forest
+
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 6, (300, 4)).astype(np.uint8), rng.integers(0, 3, 300)
+    y[x[:, 2] > 3] = 1
+    count = rng.poisson(1.0, 300).astype(float)
+    total = np.bincount(y, count, 3)[None]
+
+    def gain(f, b):
+        left, right = (np.bincount(y[m], count[m], 3) for m in (x[:, f] <= b, x[:, f] > b))
+        return -1.0 if min(left.sum(), right.sum()) < 3 else (left**2).sum() / left.sum() + (right**2).sum() / right.sum()
+
+    for chosen in ([0, 1, 2, 3], [0, 1], [3]):
+        (f,), (b,) = forest._split(x, y, count, np.zeros(300, int), total, np.isin(np.arange(4), chosen)[None], 3)
+        assert gain(f, b) == pytest.approx(max(gain(i, j) for i in chosen for j in range(6)))
+    one, two = (forest.grown(x, y, 3, np.random.default_rng(1), 30, 3) for _ in range(2))
+    assert all((getattr(one, n) == getattr(two, n)).all() for n in ("feature", "bin", "left", "share"))
+    assert (one.answers(x).argmax(1) == y)[x[:, 2] > 3].mean() > 0.9 and np.allclose(one.share.sum(1), 1)
+    assert len(forest.grown(x, y, 3, np.random.default_rng(1), 0, 3).left) == 1
+
+
+def test_cross_validation_grows_trees_in_tasks(spark, monkeypatch):
+    """Training sets that fit a task need no forest of Spark's, and give the same twice; larger ones still get it."""
+    vectors = spark.createDataFrame([(i, j, float(-60 - 20 * (i % 3 == 0) - i % 5 if j < 2 else j)) for i in range(30) for j in range(4)], "sample_id int, idx int, value double").repartition(3).cache()
+    labels = spark.createDataFrame([(i, f"z{int(i % 3 == 0)}") for i in range(30)], "sample_id int, label string").cache()
+    run = lambda: sorted(map(tuple, zones.cross_validated(vectors, labels, 2, 3, 2, trees=12, depth=4).collect()))
+    spark_s = zones.fitted
+
+    def refused(*a, **b):
+        raise AssertionError("Spark's forest was fitted")
+
+    monkeypatch.setattr(zones, "fitted", refused)
+    got = run()
+    assert got == run() and len(got) == 30 and sum(r[1] == r[2] for r in got) >= 27
+    monkeypatch.setattr(zones, "fitted", spark_s)
+    monkeypatch.setattr(zones, "LOCAL", 0)
+    assert sum(r[1] == r[2] for r in run()) >= 27
